@@ -20,7 +20,7 @@ def oracle(folder: str):
 
 def _plain(value):
     if isinstance(value, float):
-        return f"{value + 0.0:.6f}"
+        return f"{value + 0.0:.12g}"
     return str(value)
 
 

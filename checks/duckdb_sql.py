@@ -106,9 +106,9 @@ def _scores(form: str, by: str, suffix: str = "") -> str:
 
 def _mixed(suffix: str = "") -> str:
     r, f, m = (f"{c}score{suffix}" for c in "rfm")
-    return f"""ROUND(0.3 * {r} + 0.3 * {f} + 0.4 * {m}, 6) AS rfm_score{suffix},
-       ROUND(CASE WHEN {r} > 0 AND {f} > 0 AND {m} > 0 THEN 3 / (1 / {r} + 1 / {f} + 1 / {m})
-                  ELSE 0 END, 6) AS rfm_score2{suffix}"""
+    return f"""0.3 * {r} + 0.3 * {f} + 0.4 * {m} AS rfm_score{suffix},
+       CASE WHEN {r} > 0 AND {f} > 0 AND {m} > 0 THEN 3 / (1 / {r} + 1 / {f} + 1 / {m})
+            ELSE 0 END AS rfm_score2{suffix}"""
 
 
 def _round(*columns: str) -> str:
@@ -301,8 +301,10 @@ WHERE SALES_AMOUNT > 0""",
     "predictions": """
 SELECT store_cd, lv4_nm, lv5_nm, jan, uid, sample_amt_jan, CAST(150 + 5 * jan AS DOUBLE) AS pprice,
        CAST(dp AS INTEGER) AS dp,
-       0.80 - 0.01 * (uid % 7) + (CASE WHEN uid % 11 = 0 THEN 0.001 ELSE -0.001 END) * dp AS prob_jan,
-       0.95 - 0.01 * (uid % 7) - 0.00025 * ((2 * jan + store_cd) % 5) * dp * dp AS prob_lv5
+       0.80::DOUBLE - 0.01::DOUBLE * (uid % 7)
+         + (CASE WHEN uid % 11 = 0 THEN 0.001::DOUBLE ELSE -0.001::DOUBLE END) * dp AS prob_jan,
+       0.95::DOUBLE - 0.01::DOUBLE * (uid % 7)
+         - 0.00025::DOUBLE * ((2 * jan + store_cd) % 5) * dp * dp AS prob_lv5
 FROM (SELECT store_cd, lv4_nm, lv5_nm, jan, uid, SUM(salesamount) AS sample_amt_jan FROM pos
       WHERE uid IS NOT NULL AND salesamount > 0
         AND salesday BETWEEN DATE '1998-01-01' AND DATE '1998-01-28' GROUP BY ALL)
@@ -371,47 +373,44 @@ KEY = f"{CASE}, uid"
 
 
 def _rfm(step: str) -> str:
-    return (f"SELECT {KEY}, r, f, {_round('m', 'rscore', 'fscore', 'mscore')}, {_mixed()} "
-            f"FROM {step}")
+    return f"SELECT {KEY}, r, f, m, rscore, fscore, mscore, {_mixed()} FROM {step}"
 
 
 def _loyalty(step: str) -> str:
-    return (f"SELECT {KEY}, f_lv5, f_jan, {_round('m_lv5', 'm_jan', 'jan_loy_m', 'jan_loy_f')}, "
-            f"ROUND((jan_loy_m + jan_loy_f) / 2, 6) AS jan_loy FROM {step}")
+    return (f"SELECT {KEY}, f_lv5, f_jan, m_lv5, m_jan, jan_loy_m, jan_loy_f, "
+            f"(jan_loy_m + jan_loy_f) / 2 AS jan_loy FROM {step}")
 
 
 def _pscore(step: str) -> str:
-    return (f"SELECT {KEY}, plv5_nm, ndays, "
-            f"{_round('unitp_item', 'unitp_cate', 'unitp_uid', 'pscore_item', 'pscore_ucate')}, "
-            f"ROUND(ABS(pscore_ucate - 0.5), 6) AS pscore_ucate_dis050 FROM {step}")
+    return (f"SELECT {KEY}, plv5_nm, ndays, unitp_item, unitp_cate, unitp_uid, pscore_item, "
+            f"pscore_ucate, ABS(pscore_ucate - 0.5) AS pscore_ucate_dis050 FROM {step}")
 
 
 def _kani(step: str, keys: str) -> str:
-    return (f"SELECT {KEY}, ROUND(COALESCE(kani_score, 0), 6) AS kani_score, "
-            f"ROUND(ABS(COALESCE(kani_score, 0) - 0.25), 6) AS kani_score_dis025 "
+    return (f"SELECT {KEY}, ROUND(COALESCE(kani_score, 0), 9) AS kani_score, "
+            f"ROUND(ABS(COALESCE(kani_score, 0) - 0.25), 9) AS kani_score_dis025 "
             f"FROM base LEFT JOIN {step} USING ({keys})")
 
 
 def _features(rfm: str, loyal: str, sensitive: str, kani: str, keys: str) -> str:
-    zero = lambda *cs: ", ".join(f"ROUND(COALESCE({c}, 0), 6) AS {c}" for c in cs)
+    zero = lambda *cs: ", ".join(f"COALESCE({c}, 0) AS {c}" for c in cs)
     return f"""
-SELECT {KEY}, ROUND(aprice - pprice, 6) AS dprice, ROUND((aprice - pprice) / pprice, 6) AS dprice_pct,
+SELECT {KEY}, aprice - pprice AS dprice, (aprice - pprice) / pprice AS dprice_pct,
        {zero('rscore', 'fscore', 'mscore')}, {_mixed()},
-       {zero('jan_loy_m', 'jan_loy_f', 'm_lv5', 'unitp_cate', 'unitp_uid', 'pscore_item',
-             'pscore_ucate', 'kani_score')},
-       COALESCE(f_lv5, 0) AS f_lv5,
-       ROUND(COALESCE((jan_loy_m + jan_loy_f) / 2, 0), 6) AS jan_loy,
-       ROUND(COALESCE(ABS(pscore_ucate - 0.5), 0), 6) AS pscore_ucate_dis050,
-       ROUND(ABS(COALESCE(kani_score, 0) - 0.25), 6) AS kani_score_dis025
+       {zero('jan_loy_m', 'jan_loy_f', 'm_lv5', 'f_lv5', 'unitp_cate', 'unitp_uid', 'pscore_item',
+             'pscore_ucate')},
+       COALESCE((jan_loy_m + jan_loy_f) / 2, 0) AS jan_loy,
+       COALESCE(ABS(pscore_ucate - 0.5), 0) AS pscore_ucate_dis050,
+       ROUND(COALESCE(kani_score, 0), 9) AS kani_score,
+       ROUND(ABS(COALESCE(kani_score, 0) - 0.25), 9) AS kani_score_dis025
 FROM {rfm}
 JOIN (SELECT {KEY}, jan_loy_m, jan_loy_f, m_lv5, f_lv5 FROM {loyal}) USING ({KEY})
 JOIN (SELECT {KEY}, unitp_cate, unitp_uid, pscore_item, pscore_ucate FROM {sensitive}) USING ({KEY})
 LEFT JOIN {kani} USING ({keys})"""
 
 
-ITEM_RESULT = ("store_cd, lv4_nm, lv5_nm, jan, name, pprice, rec_price, max_price, "
-               + _round("prof_ch", "amt_ch", "prob5_ch", "prof_pre", "sample_amt_jan", "prof_chr",
-                        "amt_chr"))
+ITEM_RESULT = ("store_cd, lv4_nm, lv5_nm, jan, name, pprice, rec_price, max_price, prof_pre, "
+               "sample_amt_jan, " + _round("prof_ch", "amt_ch", "prob5_ch", "prof_chr", "amt_chr"))
 
 QUERIES = {name: _sql(select) for name, select in {
     "pos_scan": f"SELECT {SCANNED} FROM scanned",
@@ -447,9 +446,9 @@ WHERE salesamount > 0 AND uid IS NOT NULL AND uid <> 1 GROUP BY uid""",
     "noise_clip": """
 SELECT salesday, store_cd, uid, jan, price, salescnt, salesamount FROM clipped""",
     "noise_clip_exact": """
-SELECT l_orderkey, l_linenumber, ROUND(LEAST(l_quantity, 6), 6) AS salescnt,
-       ROUND(l_extendedprice / l_quantity * LEAST(l_quantity, 6), 6) AS salesamount,
-       ROUND(l_extendedprice / l_quantity, 6) AS price FROM lineitem""",
+SELECT l_orderkey, l_linenumber, LEAST(l_quantity, 6) AS salescnt,
+       l_extendedprice / l_quantity * LEAST(l_quantity, 6) AS salesamount,
+       l_extendedprice / l_quantity AS price FROM lineitem""",
     "member_days": "SELECT * FROM days",
     "null_profile": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", COUNT(*) AS total_rows, COUNT(*) - COUNT({c}) AS null_count, "
@@ -475,7 +474,7 @@ SELECT o_orderkey, STRFTIME(MAKE_TIMESTAMP(o_orderkey * 86399 * 1000000), '%Y-%m
     "case_master_up": "SELECT * FROM cases",
     "case_master_zero": "SELECT * FROM zero_cases",
     "price_features": f"""
-SELECT {CASE}, ROUND(aprice - pprice, 6) AS dprice, ROUND((aprice - pprice) / pprice, 6) AS dprice_pct
+SELECT {CASE}, aprice - pprice AS dprice, (aprice - pprice) / pprice AS dprice_pct
 FROM cases""",
     "target_cases": f"""
 SELECT DISTINCT store_cd, lv4_nm, lv5_nm, jan, price AS pprice, price + 10 AS aprice,
@@ -507,8 +506,8 @@ FROM (SELECT DISTINCT jan, lv5_nm FROM receipts) LEFT JOIN (SELECT jan, det_val
     "rfm_rank_norm": _rfm("rfm_share"),
     "rfm_levels": f"""
 SELECT {KEY}, r_jan, f_jan, r_lv5, f_lv5, {_mixed('_jan')}, {_mixed('_lv5')},
-       {_round('m_jan', 'rscore_jan', 'fscore_jan', 'mscore_jan')},
-       {_round('m_lv5', 'rscore_lv5', 'fscore_lv5', 'mscore_lv5')} FROM levels""",
+       m_jan, rscore_jan, fscore_jan, mscore_jan, m_lv5, rscore_lv5, fscore_lv5, mscore_lv5
+FROM levels""",
     "loyalty": _loyalty("loyal"),
     "loyalty_global": _loyalty("loyal_global"),
     "pscore": _pscore("sensitive"),
@@ -543,21 +542,21 @@ FROM placed LEFT JOIN factors USING (dprice) GROUP BY ALL""",
 SELECT {CASE.replace('aprice', 'aprice + dp AS aprice')}, CAST(dp AS INTEGER) AS dp
 FROM cases CROSS JOIN (VALUES (0), (10), (20), (30)) g(dp)""",
     "prob_pivot": "SELECT store_cd, lv4_nm, lv5_nm, jan, uid, sample_amt_jan, pprice, " + ", ".join(
-        f"ROUND(MAX(CASE WHEN dp = {dp} THEN {p} END), 6) AS {p}_{dp}"
+        f"MAX(CASE WHEN dp = {dp} THEN {p} END) AS {p}_{dp}"
         for dp in (0, 10, 20, 30) for p in ("prob_jan", "prob_lv5"))
         + " FROM predictions GROUP BY ALL",
     "clamp_prob": """
 SELECT store_cd, lv4_nm, lv5_nm, jan, uid, sample_amt_jan, pprice, dp,
-       ROUND(LEAST(1, GREATEST(0, 3 * prob_jan - 1.5)), 6) AS prob_jan,
-       ROUND(LEAST(1, GREATEST(0, 3 * prob_lv5 - 1.5)), 6) AS prob_lv5 FROM predictions""",
+       LEAST(1, GREATEST(0, 3 * prob_jan - 1.5)) AS prob_jan,
+       LEAST(1, GREATEST(0, 3 * prob_lv5 - 1.5)) AS prob_lv5 FROM predictions""",
     "monotone_prob": f"""
 SELECT store_cd, lv4_nm, lv5_nm, jan, uid, sample_amt_jan, pprice, dp,
        {_round('prob_jan', 'prob_lv5')} FROM lowered""",
     "simulate_long": f"""
 SELECT store_cd, lv4_nm, lv5_nm, jan, name, uid, pprice, rec_price, max_price, dp,
-       {_round('prof_ch', 'amt_ch', 'prob5_ch', 'prof_pre', 'sample_amt_jan')},
-       ROUND(COALESCE(prof_ch / NULLIF(prof_pre, 0), 0), 6) AS prof_chr,
-       ROUND(COALESCE(amt_ch / NULLIF(sample_amt_jan, 0), 0), 6) AS amt_chr FROM simulated""",
+       prof_ch, amt_ch, prob5_ch, prof_pre, sample_amt_jan,
+       COALESCE(prof_ch / NULLIF(prof_pre, 0), 0) AS prof_chr,
+       COALESCE(amt_ch / NULLIF(sample_amt_jan, 0), 0) AS amt_chr FROM simulated""",
     "best_item_price": f"""
 SELECT {ITEM_RESULT}, CAST(RANK() OVER (PARTITION BY store_cd, lv4_nm, lv5_nm
                                         ORDER BY prof_ch DESC) AS INTEGER) AS rank FROM best""",

@@ -17,10 +17,10 @@ from pricelane.sources import sinks
 from pricelane.sources.tables import written
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, so that engines that add in another order agree."""
-    return df.select(*((F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c)
-                       for c, t in df.dtypes))
+def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
+    """Sums of fractions rounded, because engines add in another order. All other doubles come from
+    whole numbers by the same operations and need no rounding."""
+    return df.withColumns({c: F.round(c, places) + 0.0 for c in columns})
 
 
 # -- scans -----------------------------------------------------------------------------------------
@@ -99,7 +99,7 @@ def noise_clip_exact(spark, sf):
     lines = views.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_quantity").alias("salescnt"),
         F.col("l_extendedprice").alias("salesamount"))
-    return rounded(clean.clip_noise(lines, CFG, "exact"))
+    return clean.clip_noise(lines, CFG, "exact")
 
 
 def member_days(spark, sf):
@@ -185,12 +185,8 @@ def _days(spark, sf):
     return clean.member_days(views.pos(spark, sf), CFG)
 
 
-def _base(spark, sf, label_scope=None):
-    return sampling.sample_customers(case_master_up(spark, sf), _days(spark, sf), CFG, label_scope)
-
-
 def sample_customers(spark, sf):
-    return _base(spark, sf)
+    return sampling.sample_customers(case_master_up(spark, sf), _days(spark, sf), CFG)
 
 
 def sample_customers_zero(spark, sf):
@@ -198,11 +194,11 @@ def sample_customers_zero(spark, sf):
 
 
 def labels_case(spark, sf):
-    return _base(spark, sf, "case")
+    return sampling.sample_customers(case_master_up(spark, sf), _days(spark, sf), CFG, "case")
 
 
 def labels_item(spark, sf):
-    return _base(spark, sf, "item")
+    return sampling.sample_customers(case_master_up(spark, sf), _days(spark, sf), CFG, "item")
 
 
 # -- features --------------------------------------------------------------------------------------
@@ -223,43 +219,43 @@ def pack_size_category_all(spark, sf):
 
 
 def price_features(spark, sf):
-    return rounded(features.price_features(case_master_up(spark, sf)))
+    return features.price_features(case_master_up(spark, sf))
+
+
+def _sample(spark, sf, scope="case") -> tuple[DataFrame, DataFrame]:
+    """Customer days and sample base, written once as in the pipelines."""
+    days = written(_days(spark, sf), "days")
+    base = written(sampling.sample_customers(case_master_up(spark, sf), days, CFG), "base")
+    return base, features.feature_days(base, days, CFG) if scope == "global" else days
 
 
 def rfm_global(spark, sf):
-    base, days = _base(spark, sf), _days(spark, sf)
-    days = features.feature_days(base, days, CFG)
-    return rounded(features.rfm_features(base, days, CFG, "global").select(*KEY, *RFM))
+    return features.rfm_features(*_sample(spark, sf, "global"), CFG, "global").select(*KEY, *RFM)
 
 
 def rfm_case(spark, sf):
-    return rounded(features.rfm_features(_base(spark, sf), _days(spark, sf), CFG).select(*KEY, *RFM))
+    return features.rfm_features(*_sample(spark, sf), CFG).select(*KEY, *RFM)
 
 
 def rfm_rank_norm(spark, sf):
-    return rounded(features.rfm_features(_base(spark, sf), _days(spark, sf), CFG, form="share")
-                   .select(*KEY, *RFM))
+    return features.rfm_features(*_sample(spark, sf), CFG, form="share").select(*KEY, *RFM)
 
 
 def rfm_levels(spark, sf):
-    columns = [f"{c}_{level}" for level in ("jan", "lv5") for c in RFM[:6]]
-    columns += [f"{c}_{level}" for level in ("jan", "lv5") for c in RFM[6:]]
-    return rounded(features.rfm_level_features(_base(spark, sf), _days(spark, sf), CFG)
-                   .select(*KEY, *columns))
+    columns = [f"{c}_{level}" for level in ("jan", "lv5") for c in RFM]
+    return features.rfm_level_features(*_sample(spark, sf), CFG).select(*KEY, *columns)
 
 
 LOYALTY = ["m_lv5", "f_lv5", "m_jan", "f_jan", "jan_loy_m", "jan_loy_f", "jan_loy"]
 
 
 def loyalty(spark, sf):
-    return rounded(features.loyalty_features(_base(spark, sf), _days(spark, sf), CFG)
-                   .select(*KEY, *LOYALTY))
+    return features.loyalty_features(*_sample(spark, sf), CFG).select(*KEY, *LOYALTY)
 
 
 def loyalty_global(spark, sf):
-    base = _base(spark, sf)
-    days = features.feature_days(base, _days(spark, sf), CFG)
-    return rounded(features.loyalty_features(base, days, CFG, "global").select(*KEY, *LOYALTY))
+    return features.loyalty_features(*_sample(spark, sf, "global"), CFG, "global") \
+        .select(*KEY, *LOYALTY)
 
 
 PSCORE = ["plv5_nm", "unitp_item", "unitp_cate", "unitp_uid", "ndays", "pscore_item",
@@ -267,39 +263,37 @@ PSCORE = ["plv5_nm", "unitp_item", "unitp_cate", "unitp_uid", "ndays", "pscore_i
 
 
 def pscore(spark, sf):
-    return rounded(features.price_sensitivity_features(
-        _base(spark, sf), _days(spark, sf), views.packs(spark, sf), CFG).select(*KEY, *PSCORE))
+    return features.price_sensitivity_features(
+        *_sample(spark, sf), views.packs(spark, sf), CFG).select(*KEY, *PSCORE)
 
 
 def pscore_global(spark, sf):
-    base = _base(spark, sf)
-    days = features.feature_days(base, _days(spark, sf), CFG)
-    return rounded(features.price_sensitivity_features(
-        base, days, views.packs(spark, sf), CFG, "global").select(*KEY, *PSCORE))
+    return features.price_sensitivity_features(
+        *_sample(spark, sf, "global"), views.packs(spark, sf), CFG, "global").select(*KEY, *PSCORE)
 
 
 KANI = ["kani_score", "kani_score_dis025"]
 
 
+def _kani(df):
+    return rounded(df.select(*KEY, *KANI), 9, *KANI)
+
+
 def kani_mean5(spark, sf):
-    return rounded(features.cannibalisation_features(_base(spark, sf), _days(spark, sf), CFG)
-                   .select(*KEY, *KANI))
+    return _kani(features.cannibalisation_features(*_sample(spark, sf), CFG))
 
 
 def kani_global(spark, sf):
-    base = _base(spark, sf)
-    days = features.feature_days(base, _days(spark, sf), CFG)
-    return rounded(features.cannibalisation_features(base, days, CFG, "global").select(*KEY, *KANI))
+    return _kani(features.cannibalisation_features(*_sample(spark, sf, "global"), CFG, "global"))
 
 
 def kani_exp(spark, sf):
-    return rounded(features.cannibalisation_features(
-        _base(spark, sf), _days(spark, sf), CFG, mean="exponential").select(*KEY, *KANI))
+    return _kani(features.cannibalisation_features(*_sample(spark, sf), CFG, mean="exponential"))
 
 
 def kani_top_sales(spark, sf):
     lines = clean.clip_noise(clean.member_sales(views.pos(spark, sf)), CFG, "exact")
-    return rounded(features.top_sales_mean(lines))
+    return rounded(features.top_sales_mean(lines), 6, "kani_score")
 
 
 FEATURES = list(dict.fromkeys([*ITEM_FEATURES, *CATEGORY_FEATURES]))
@@ -307,17 +301,15 @@ FEATURE_COLUMNS = [*KEY, *(c for c in FEATURES if c not in KEY)]
 
 
 def features_all(spark, sf):
-    base = written(_base(spark, sf), "base")
-    days = written(_days(spark, sf), "days")
+    base, days = _sample(spark, sf)
     return rounded(features.add_features(base, days, views.packs(spark, sf), CFG)
-                   .select(*FEATURE_COLUMNS))
+                   .select(*FEATURE_COLUMNS), 9, *KANI)
 
 
 def features_all_global(spark, sf):
-    base = written(_base(spark, sf), "base")
-    days = written(_days(spark, sf), "days")
+    base, days = _sample(spark, sf)
     return rounded(features.add_features(base, days, views.packs(spark, sf), CFG, "global")
-                   .select(*FEATURE_COLUMNS))
+                   .select(*FEATURE_COLUMNS), 9, *KANI)
 
 
 # -- models ----------------------------------------------------------------------------------------
@@ -381,43 +373,47 @@ def price_grid(spark, sf):
 
 
 def prob_pivot(spark, sf):
-    return rounded(probability.grid_to_wide(_grid(spark, sf), CFG))
+    return probability.grid_to_wide(_grid(spark, sf), CFG)
 
 
 def clamp_prob(spark, sf):
     spread = views.predictions(spark, sf).withColumns(
         {p: 3 * F.col(p) - 1.5 for p in probability.PROBS})
     grid = probability.grid_from_long(spread, PREDICTION_KEYS)
-    return rounded(probability.grid_to_long(probability.clamp_prob(grid)))
+    return probability.grid_to_long(probability.clamp_prob(grid))
 
 
 def monotone_prob(spark, sf):
-    return rounded(probability.grid_to_long(probability.monotone_prob(_grid(spark, sf), CFG)))
+    lowered = probability.grid_to_long(probability.monotone_prob(_grid(spark, sf), CFG))
+    return rounded(lowered, 6, *probability.PROBS)
 
 
 def simulate_long(spark, sf):
-    return rounded(_simulated(spark, sf))
+    return _simulated(spark, sf)
+
+
+TOTALS = ["prof_ch", "amt_ch", "prob5_ch", "prof_chr", "amt_chr"]
 
 
 def best_item_price(spark, sf):
-    return rounded(simulate.best_item_price(_simulated(spark, sf), CFG))
+    return rounded(simulate.best_item_price(_simulated(spark, sf), CFG), 6, *TOTALS)
 
 
 def item_rank_avg(spark, sf):
     best = simulate.most_profitable(simulate.valid_item_prices(_simulated(spark, sf), CFG))
     running = simulate.rank_items(best, "running").withColumnRenamed("rank", "rank_running")
-    return rounded(simulate.rank_items(running, "average").select(
-        "store_cd", "jan", "rec_price", "rank_running", "rank"))
+    return simulate.rank_items(running, "average").select(
+        "store_cd", "jan", "rec_price", "rank_running", "rank")
 
 
 def series_price_cap(spark, sf):
-    return rounded(simulate.best_item_price(_simulated(spark, sf), CFG, views.series(spark, sf)))
+    return rounded(simulate.best_item_price(_simulated(spark, sf), CFG, views.series(spark, sf)),
+                   6, *TOTALS)
 
 
 def best_customer_price(spark, sf):
     simulated = _simulated(spark, sf)
-    return rounded(simulate.best_customer_price(simulated,
-                                                simulate.best_item_price(simulated, CFG)))
+    return simulate.best_customer_price(simulated, simulate.best_item_price(simulated, CFG))
 
 
 QUERIES = {f.__name__: f for f in (

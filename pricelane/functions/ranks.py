@@ -21,28 +21,40 @@ def _bucket(value: Column) -> Column:
             * F.floor(F.log2(F.abs(value) + 1) * BUCKETS_PER_OCTAVE)).cast("int")
 
 
-def rows_before(df: DataFrame, by: list[str], value: Column, descending: bool) -> DataFrame:
+def _preceding(window):
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _sort_key(column: str, descending: bool) -> Column:
+    value = F.col(column).cast("double")
+    return -value if descending else value
+
+
+def rows_before(df: DataFrame, by: list[str], column: str, descending: bool,
+                calendar: bool) -> DataFrame:
     """Per (by, value): `_before`, the rows of the group with an earlier value, and `_total`.
 
-    NULL comes first in ascending and last in descending order.
+    NULL comes first in ascending and last in descending order. `calendar` says that the column
+    counts days, so a group has few distinct values and their counts are added up at once.
     """
-    key = -value.cast("double") if descending else value.cast("double")
+    key = _sort_key(column, descending)
     counts = (df.select(*by, key.isNull().alias("_null"),
                         (F.coalesce(key, F.lit(0.0)) + 0.0).alias("_value"))
               .withColumn("_bucket", F.when(F.col("_null"), NULL_BUCKET if descending else -NULL_BUCKET)
-                          .otherwise(_bucket(F.col("_value"))))
+                          .otherwise(F.lit(0) if calendar else _bucket(F.col("_value"))))
               .groupBy(*by, "_bucket", "_null", "_value")
               .agg(F.count(F.lit(1)).alias("_n")))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    inside = before(Window.partitionBy(*by, "_bucket").orderBy("_value"))
-    across = Window.partitionBy(*(by or [F.lit(0)]))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    if calendar:
+        before = F.sum("_n").over(_preceding(group.orderBy("_bucket", "_value")))
+        return counts.select(*by, "_null", "_value", F.coalesce(before, F.lit(0)).alias("_before"),
+                             F.sum("_n").over(group).alias("_total"))
+    inside = F.sum("_n").over(_preceding(Window.partitionBy(*by, "_bucket").orderBy("_value")))
+    lower = F.sum("_size").over(_preceding(group.orderBy("_bucket")))
     totals = (counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
-              .withColumn("_lower", F.coalesce(
-                  F.sum("_size").over(before(across.orderBy("_bucket"))), F.lit(0)))
-              .withColumn("_total", F.sum("_size").over(across))
-              .drop("_size"))
-    return (counts
-            .withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+              .select(*by, "_bucket", F.coalesce(lower, F.lit(0)).alias("_lower"),
+                      F.sum("_size").over(group).alias("_total")))
+    return (counts.withColumn("_inside", F.coalesce(inside, F.lit(0)))
             .join(totals, [*by, "_bucket"])
             .select(*by, "_null", "_value",
                     (F.col("_inside") + F.col("_lower")).alias("_before"), "_total"))
@@ -53,18 +65,17 @@ def with_rank_scores(df: DataFrame, by: list[str], scores: dict[str, tuple[str,
     """Add one relative rank per entry of `scores` (new column -> (value column, descending)).
 
     form "percent": (rank - 1) / (rows - 1), 0 for a single row; "share": rank / rows.
-    `calendar` names value columns that count days: without groups they have no more distinct values
-    than the calendar has days, so their ranks are broadcast.
+    `calendar` names value columns that count days, which have no more distinct values than the
+    calendar has days; without groups their ranks are therefore broadcast.
     """
     if form not in ("percent", "share"):
         raise ValueError(f"unknown form {form!r}")
     out = df
     for name, (column, descending) in scores.items():
-        ranks = rows_before(df, by, F.col(column), descending)
+        ranks = rows_before(df, by, column, descending, column in calendar)
         if not by and column in calendar:
             ranks = F.broadcast(ranks)
-        key = F.col(column).cast("double")
-        key = -key if descending else key
+        key = _sort_key(column, descending)
         out = (out.withColumn("_null", key.isNull())
                .withColumn("_value", F.coalesce(key, F.lit(0.0)) + 0.0)
                .join(ranks, [*by, "_null", "_value"], "left"))

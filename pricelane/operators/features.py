@@ -37,7 +37,9 @@ def feature_days(base: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataFr
 
 def _history(sales: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Per key, an array with one entry per day of sale: never longer than the calendar."""
-    daily = sales.groupBy(*keys, "salesday").agg(*(F.sum(c).alias(c) for c in sums))
+    daily = sales
+    if set(keys) != {*ITEM, "uid"}:  # otherwise the sales are one row per day already
+        daily = sales.groupBy(*keys, "salesday").agg(*(F.sum(c).alias(c) for c in sums))
     return daily.groupBy(*keys).agg(F.collect_list(F.struct("salesday", *sums)).alias("history"))
 
 
@@ -71,14 +73,17 @@ def price_features(base: DataFrame) -> DataFrame:
 
 # -- recency, frequency, monetary value ------------------------------------------------------------
 
-def _score_columns(df: DataFrame, by: list[str], form: str, suffix: str) -> DataFrame:
-    r, f, m = (f"{c}score{suffix}" for c in "rfm")
-    scored = with_rank_scores(
-        df, by, {r: (f"r{suffix}", True), f: (f"f{suffix}", False), m: (f"m{suffix}", False)},
-        form, calendar=frozenset({f"r{suffix}", f"f{suffix}"}))
-    return (scored
-            .withColumn(f"rfm_score{suffix}", 0.3 * F.col(r) + 0.3 * F.col(f) + 0.4 * F.col(m))
-            .withColumn(f"rfm_score2{suffix}", harmonic_mean(F.col(r), F.col(f), F.col(m))))
+def _score_columns(df: DataFrame, by: list[str], form: str, *suffixes: str) -> DataFrame:
+    ranks, days = {}, set()
+    for suffix in suffixes:
+        days |= {f"r{suffix}", f"f{suffix}"}
+        ranks |= {f"{c}score{suffix}": (f"{c}{suffix}", c == "r") for c in "rfm"}
+    out = with_rank_scores(df, by, ranks, form, calendar=frozenset(days))
+    for suffix in suffixes:
+        r, f, m = (F.col(f"{c}score{suffix}") for c in "rfm")
+        out = (out.withColumn(f"rfm_score{suffix}", 0.3 * r + 0.3 * f + 0.4 * m)
+               .withColumn(f"rfm_score2{suffix}", harmonic_mean(r, f, m)))
+    return out
 
 
 def rfm_features(base: DataFrame, days: DataFrame, cfg: PricingConfig, scope: str = "case",
@@ -111,9 +116,7 @@ def rfm_level_features(base: DataFrame, days: DataFrame, cfg: PricingConfig,
         out = (_with_spending(out, days, level, f"_{level}", cfg)
                .withColumn(f"r_{level}", F.datediff(F.date_add("astart", -1), last_day))
                .drop(last_day))
-    for level in ("jan", "lv5"):
-        out = _score_columns(out, CASE, form, f"_{level}")
-    return out
+    return _score_columns(out, CASE, form, "_jan", "_lv5")
 
 
 # -- loyalty ---------------------------------------------------------------------------------------
