@@ -354,8 +354,8 @@ def batch_predict(spark, sf):
     pos = views.pos(spark, sf)
     return pipelines.batch_predict(
         pos, pos.select("store_cd").distinct(), views.item_master(spark, sf),
-        views.dropped(spark, sf), views.packs(spark, sf), UPDAY, trained.zero, trained.up, CFG,
-        monotone=True).customers
+        views.dropped(spark, sf), views.packs(spark, sf), UPDAY, trained.zero, trained.up,
+        CFG).customers
 
 
 # -- prices ----------------------------------------------------------------------------------------

@@ -64,22 +64,28 @@ def item_categories(rows: DataFrame) -> DataFrame:
     return rows.select(*SHELF, "lv4_nm", "lv5_nm").distinct()
 
 
+def padded_period(pos: DataFrame, period: tuple[str, str], cfg: PricingConfig) -> DataFrame:
+    """Sales of a period and of the days around it that price runs at its edges reach into."""
+    return pos.where(F.col("salesday").between(
+        F.lit(offset_day(period[0], -cfg.thd_plen - 10)).cast("date"),
+        F.lit(offset_day(period[1], cfg.thd_alen + 10)).cast("date")))
+
+
 def case_master(pos: DataFrame, case_type: str, cfg: PricingConfig,
                 period: tuple[str, str] | None = None, lead_first: bool = False) -> DataFrame:
-    """All cases of one type in all stores of `pos`, with the category of the item.
+    """All cases in all stores of `pos`, with the category of the item.
 
-    `period` limits the sales that are read, padded so that runs at its edges are long enough; the
-    change day itself is not limited to it.
+    case_type is "up", "zero" or "both"; in the last case the two kinds differ in whether the price
+    changes. `period` limits the sales that are read (padded), not the change day itself.
     """
-    if case_type not in ("up", "zero"):
+    if case_type not in ("up", "zero", "both"):
         raise ValueError(f"unknown case type {case_type!r}")
-    if period is not None:
-        pos = pos.where(F.col("salesday").between(
-            F.lit(offset_day(period[0], -cfg.thd_plen - 10)).cast("date"),
-            F.lit(offset_day(period[1], cfg.thd_alen + 10)).cast("date")))
-    rows = price_rows(pos)
+    rows = price_rows(pos if period is None else padded_period(pos, period, cfg))
     periods = price_periods(day_price(rows))
-    cases = cases_up(periods, cfg, lead_first) if case_type == "up" else cases_zero(periods, cfg)
+    columns = [*SHELF, "pprice", "aprice", "astart"]
+    up = cases_up(periods, cfg, lead_first).select(*columns)
+    zero = cases_zero(periods, cfg).select(*columns)
+    cases = {"up": up, "zero": zero, "both": up.unionByName(zero)}[case_type]
     return cases.join(item_categories(rows), SHELF, "left").select(*CASE)
 
 

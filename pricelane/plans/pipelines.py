@@ -39,27 +39,34 @@ def train(pos: DataFrame, packs: DataFrame, cfg: PricingConfig,
           sample_paths: tuple[str, str] | None = None) -> Training:
     """Cases, samples, labels, features and both pairs of models (unchanged and raised prices).
 
-    Cases, customer days, samples and features are written once each, because every later step reads
-    them several times.
+    Customer days, cases, samples and features are written once each, because every later step reads
+    them several times. When labels and features only look at a row's own case, both kinds of cases
+    go through the steps together; otherwise each kind on its own.
     """
     if stores is not None:
         pos = pos.join(stores.select("store_cd").distinct(), "store_cd", "left_semi")
     days = written(member_days(pos, cfg), "days")
-    features = {}
-    for case_type in ("zero", "up"):
-        cases = written(case_master(pos, case_type, cfg, period), f"cases-{case_type}")
-        base = written(sample_customers(cases, days, cfg, label_scope), f"base-{case_type}")
-        if sample_paths is not None:
-            write_samples(base, sample_paths[case_type == "up"])
-        features[case_type] = written(
-            label_ints(add_features(base, days, packs, cfg, scope)), f"features-{case_type}")
+    together = scope == "case" and label_scope == "case"
+    samples, features = [], []
+    for kind in ("both",) if together else ("zero", "up"):
+        cases = written(case_master(pos, kind, cfg, period), f"cases-{kind}")
+        samples.append(written(sample_customers(cases, days, cfg, label_scope), f"base-{kind}"))
+        features.append(written(label_ints(add_features(samples[-1], days, packs, cfg, scope)),
+                                f"features-{kind}"))
+    if together:
+        same = F.col("aprice") == F.col("pprice")
+        samples = [samples[0].where(same), samples[0].where(~same)]
+        features = [features[0].where(same), features[0].where(~same)]
+    if sample_paths is not None:
+        for base, path in zip(samples, sample_paths):
+            write_samples(base, path)
     keys = [*CASE, "uid"]
-    zero = fit_models(features["zero"], options_zero, keys)
-    up = fit_models(features["up"], options_up, keys)
+    zero = fit_models(features[0], options_zero, keys)
+    up = fit_models(features[1], options_up, keys)
     if model_paths is not None:
         zero.save(model_paths[0])
         up.save(model_paths[1])
-    return Training(zero, up, features["zero"], features["up"])
+    return Training(zero, up, features[0], features[1])
 
 
 @dataclass(frozen=True)
