@@ -1,0 +1,214 @@
+import random
+from collections import defaultdict
+
+import pytest
+from conftest import day, pos_frame, rows, sale
+from pyspark.sql import functions as F
+from test_sampling import CASES, case
+
+from pricelane import PricingConfig
+from pricelane.functions.ranks import with_rank_scores
+from pricelane.operators import features
+from pricelane.operators.clean import clip_noise, member_days, member_sales
+from pricelane.operators.sampling import sample_customers
+from pricelane.schema import CASE, CATEGORY_FEATURES, ITEM_FEATURES
+
+CFG = PricingConfig(pscore_mod_lv5={"milk": 700})
+KEY = ("store_cd", "jan", "astart", "uid")
+
+
+def sample(spark, cases, sales, cfg=CFG):
+    days = member_days(pos_frame(spark, sales), cfg)
+    return sample_customers(spark.createDataFrame(cases, CASES), days, cfg), days
+
+
+def packs(spark, *values):
+    return spark.createDataFrame(list(values), "jan bigint, det_val double")
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("by", [[], ["g"]])
+@pytest.mark.parametrize("calendar", [False, True])
+def test_ranks_equal_a_plain_count(spark, by, descending, calendar):
+    rng = random.Random(7)
+    data = [(i, rng.randrange(3), rng.choice([None, 0.0, -3.0, 2.0, 2.5, 1e9, float(i), i / 7]))
+            for i in range(200)]
+    df = spark.createDataFrame(data, "i int, g int, v double")
+    kwargs = {"calendar": frozenset({"v"} if calendar else ())}
+    found = with_rank_scores(df, by, {"p": ("v", descending)}, **kwargs)
+    shares = with_rank_scores(df, by, {"s": ("v", descending)}, "share", **kwargs)
+    share = {r["i"]: r["s"] for r in rows(shares)}
+
+    def place(v):   # NULL first when ascending, last when descending
+        return (1, 0) if v is None and descending else (-1, 0) if v is None \
+            else (0, -v if descending else v)
+
+    for r in rows(found):
+        group = [place(v) for _, g, v in data if not by or g == r["g"]]
+        earlier = sum(p < place(r["v"]) for p in group)
+        assert r["p"] == earlier / (len(group) - 1)
+        assert share[r["i"]] == (earlier + 1) / len(group)
+
+
+def test_single_row_ranks_zero(spark):
+    df = spark.createDataFrame([(1, 5.0)], "i int, v double")
+    assert rows(with_rank_scores(df, [], {"p": ("v", True)}))[0]["p"] == 0.0
+    with pytest.raises(ValueError):
+        with_rank_scores(df, [], {"p": ("v", True)}, "dense")
+
+
+def test_price_features(spark):
+    df = spark.createDataFrame([case(0), case(0, price=0.0)], CASES)
+    found = rows(features.price_features(df), "pprice")
+    assert [(r["dprice"], r["dprice_pct"]) for r in found] == [(10.0, None), (10.0, 0.1)]
+
+
+def test_rfm_of_a_case(spark):
+    sales = [sale(90), sale(90, jan=2, amount=50.0), sale(40, amount=70.0),
+             sale(36, amount=999.0),                    # day -64 is out
+             sale(99, uid=2), sale(100, uid=2, amount=999.0)]
+    base, days = sample(spark, [case(100)], sales)
+    found = {r["uid"]: r for r in rows(features.rfm_features(base, days, CFG))}
+    assert [(found[u]["r"], found[u]["f"], found[u]["m"]) for u in (1, 2)] == [
+        (10, 2, 220.0), (1, 1, 100.0)]
+    assert [(found[u]["rscore"], found[u]["fscore"], found[u]["mscore"]) for u in (1, 2)] == [
+        (0.0, 1.0, 1.0), (1.0, 0.0, 0.0)]
+    assert found[1]["rfm_score"] == 0.7 and found[1]["rfm_score2"] == 0.0
+    levels = {r["uid"]: r for r in rows(features.rfm_level_features(base, days, CFG))}
+    assert (levels[1]["r_jan"], levels[1]["f_jan"], levels[1]["m_jan"]) == (9, 2, 170.0)
+    assert (levels[1]["r_lv5"], levels[1]["f_lv5"], levels[1]["m_lv5"]) == (9, 2, 220.0)
+
+
+def test_loyalty_without_category_amount(spark):
+    base, days = sample(spark, [case(100)], [sale(90), sale(91, jan=2, amount=300.0)])
+    r = rows(features.loyalty_features(base, days, CFG))[0]
+    assert (r["jan_loy_m"], r["jan_loy_f"], r["jan_loy"]) == (0.25, 0.5, 0.375)
+    # a price below one unit of currency is rounded down to 0, so the category sums to 0
+    base, days = sample(spark, [case(100)], [sale(90, amount=0.5)])
+    r = rows(features.loyalty_features(base, days, CFG))[0]
+    assert (r["m_lv5"], r["jan_loy_m"], r["jan_loy_f"]) == (0.0, 0.0, 1.0)
+
+
+def test_pack_size_category(spark):
+    df = spark.createDataFrame([("milk", 700.0), ("milk", 701.0), ("milk", 1199.0), ("milk", 1200.0),
+                                ("milk", None), ("tea", 900.0), (None, 900.0)],
+                               "lv5_nm string, det_val double")
+    found = [r["plv5_nm"] for r in rows(features.pack_size_category(df, CFG))]
+    assert found == ["milk_S", "milk_L", "milk_L", "milk_S", "milk_S", "tea", None]
+    found = [r["plv5_nm"] for r in rows(features.pack_size_category(df, CFG, suffix_all=True))]
+    assert found == ["milk_S", "milk_L", "milk_L", "milk_S", "milk_S", "tea_S", None]
+
+
+def test_price_sensitivity(spark):
+    sales = [sale(90), sale(91, jan=2, amount=300.0), sale(92, uid=2, amount=200.0),
+             sale(93, jan=3, amount=100.0, lv5="tea")]
+    base, days = sample(spark, [case(100)], sales)
+    master = packs(spark, (1, 1000.0), (1, 2000.0), (2, 1000.0), (3, None))   # item 1 twice: 1000
+    found = {r["uid"]: r for r in rows(features.price_sensitivity_features(base, days, master, CFG))}
+    assert found[1]["plv5_nm"] == "milk_L"
+    assert (found[1]["unitp_item"], found[1]["unitp_cate"]) == (0.15, 0.2)
+    assert found[1]["pscore_item"] == pytest.approx(-0.25)
+    assert (found[1]["unitp_uid"], found[1]["ndays"]) == (0.2, 2)
+    assert found[2]["pscore_ucate"] == pytest.approx(0.0)
+    # items without a case do not count towards the category in the global scope
+    found = {r["uid"]: r for r in rows(
+        features.price_sensitivity_features(base, days, master, CFG, "global"))}
+    assert (found[1]["unitp_cate"], found[1]["unitp_uid"], found[1]["ndays"]) == (0.15, 0.1, 1)
+
+
+def test_price_sensitivity_without_pack_content(spark):
+    base, days = sample(spark, [case(100)], [sale(90)])
+    for scope in features.SCOPES:
+        unknown = rows(features.price_sensitivity_features(base, days, packs(spark, (1, None)), CFG,
+                                                           scope))[0]
+        assert (unknown["unitp_cate"], unknown["pscore_item"], unknown["pscore_ucate"]) == (0, 0, 0)
+        missing = rows(features.price_sensitivity_features(base, days, packs(spark, (9, 1.0)), CFG,
+                                                           scope))[0]
+        assert (missing["plv5_nm"], missing["pscore_item"]) == (None, 0.0)
+
+
+def test_ignored_category_scores_zero(spark):
+    base, days = sample(spark, [case(100)], [sale(90), sale(91, jan=2, amount=300.0)])
+    cfg = PricingConfig(pscore_mod_lv5={}, pscore_ignore_plv5=("milk",))
+    r = rows(features.price_sensitivity_features(
+        base, days, packs(spark, (1, 1.0), (2, 1.0)), cfg))[0]
+    assert (r["pscore_item"], r["pscore_ucate"], r["pscore_ucate_dis050"]) == (0.0, 0.0, 0.5)
+
+
+def _kani_by_hand(baskets, target, weighted=True):
+    """Scores of the competitors of one item from {member: {item: amount}}, best first."""
+    scores, wall = defaultdict(float), 0.0
+    for basket in baskets.values():
+        t = basket.get(target)
+        if t is None:
+            continue
+        wall += t
+        for item, a in basket.items():
+            if item != target:
+                scores[item] += (0.5 - abs(a / (a + t) - 0.5)) * 2 * (t if weighted else 1)
+    return sorted((s / wall if weighted else s for s in scores.values()), reverse=True)
+
+
+def _baskets(seed=3, members=25, items=9):
+    rng = random.Random(seed)
+    return {u: {j: 10.0 * rng.randrange(1, 40) for j in rng.sample(range(items), rng.randrange(1, 8))}
+            for u in range(members)}
+
+
+@pytest.mark.parametrize("slices", [1, 2_000])
+def test_cannibalisation(spark, slices):
+    cfg = PricingConfig(basket_slice=slices, hot_rows=2, hot_share=0.01)
+    baskets = _baskets()
+    sales = [sale(90, jan=j, uid=u, amount=a) for u, basket in baskets.items()
+             for j, a in basket.items()]
+    base, days = sample(spark, [case(100), case(100, jan=2)], sales, cfg)
+    for scope in features.SCOPES:
+        found = rows(features.cannibalisation_features(base, days, cfg, scope))
+        assert {r["jan"] for r in found} == {1, 2}
+        for r in found:
+            expected = sum(_kani_by_hand(baskets, r["jan"])[:5]) / 5
+            assert r["kani_score"] == pytest.approx(expected)
+            assert r["kani_score_dis025"] == pytest.approx(abs(expected - 0.25))
+    for r in rows(features.cannibalisation_features(base, days, cfg, mean="exponential")):
+        top = _kani_by_hand(baskets, r["jan"], weighted=False)[:5]
+        expected = sum(s * 2 ** -(i + 1) for i, s in enumerate(top)) / (1 - 2 ** -len(top))
+        assert r["kani_score"] == pytest.approx(expected)
+
+
+def test_basket_of_one_item(spark):
+    base, days = sample(spark, [case(100)], [sale(90)])
+    for scope in features.SCOPES:
+        r = rows(features.cannibalisation_features(base, days, CFG, scope))[0]
+        assert (r["kani_score"], r["kani_score_dis025"]) == (0.0, 0.25)
+    with pytest.raises(ValueError):
+        features.cannibalisation_features(base, days, CFG, "global", "exponential")
+    with pytest.raises(ValueError):
+        features.cannibalisation_features(base, days, CFG, mean="median")
+
+
+def test_top_sales_keeps_all_ties(spark):
+    lines = [sale(i, amount=100.0) for i in range(8)] + [sale(9, amount=300.0), sale(9, amount=1.0)]
+    clean = clip_noise(member_sales(pos_frame(spark, lines)), CFG, "exact")
+    assert rows(features.top_sales_mean(clean))[0]["kani_score"] == pytest.approx(1100 / 9)
+
+
+@pytest.mark.parametrize("scope", features.SCOPES)
+def test_all_features_once_per_row_without_nulls(spark, scope):
+    sales = [sale(d, jan=j, uid=u, amount=10.0 * (1 + (d * j + u) % 9))
+             for d in range(30, 130, 7) for j in range(4) for u in range(8)]
+    base, days = sample(spark, [case(100), case(120, jan=2)], sales)
+    found = features.add_features(base, days, packs(spark, (1, 1000.0), (2, 500.0)), CFG, scope)
+    assert found.count() == base.count() == 16
+    nulls = found.agg(*(F.count_if(F.col(c).isNull()).alias(c)
+                        for c in {*ITEM_FEATURES, *CATEGORY_FEATURES})).first()
+    assert set(nulls) == {0}
+    assert set(CASE) <= set(found.columns)
+    with pytest.raises(ValueError):
+        features.add_features(base, days, packs(spark, (1, 1.0)), CFG, "shop")
+
+
+def test_global_scope_reads_the_period_of_the_cases(spark):
+    sales = [sale(36), sale(37), sale(100), sale(101), sale(90, store=2)]
+    base, days = sample(spark, [case(100)], [*sales, sale(95)])
+    kept = features.feature_days(base, days, CFG)
+    assert sorted(r["salesday"] for r in rows(kept)) == [day(37), day(95), day(100)]

@@ -1,0 +1,126 @@
+import random
+
+import pytest
+from conftest import POS_SCHEMA, day, pos_frame, rows, sale
+
+from pricelane import PricingConfig
+from pricelane.functions.hot import hot_keys, sales_in_window
+from pricelane.operators.clean import clip_noise, member_days, member_sales, price_rows
+from pricelane.operators.sampling import sample_customers
+from pricelane.schema import ITEM
+
+CFG = PricingConfig()
+SPLIT = PricingConfig(hot_rows=2, hot_share=0.02)
+CASES = ("store_cd int, lv4_nm string, lv5_nm string, jan bigint, pprice double, aprice double, "
+         "astart date")
+
+
+def case(offset, jan=1, store=1, lv5="milk", price=100.0):
+    return (store, "lv4", lv5, jan, price, price + 10, day(offset))
+
+
+def sampled(spark, cases, sales, scope=None, cfg=CFG):
+    return sample_customers(spark.createDataFrame(cases, CASES),
+                            member_days(pos_frame(spark, sales), cfg), cfg, scope)
+
+
+@pytest.mark.parametrize("offset, expected", [(-29, 0), (-28, 1), (-1, 1), (0, 0)])
+def test_sample_window(spark, offset, expected):
+    assert sampled(spark, [case(100)], [sale(100 + offset)]).count() == expected
+
+
+@pytest.mark.parametrize("offset, expected", [(0, False), (6, False), (7, True), (34, True),
+                                              (35, False)])
+def test_label_window(spark, offset, expected):
+    for scope in ("case", "item"):
+        found = rows(sampled(spark, [case(100)], [sale(90), sale(100 + offset)], scope))
+        assert [(r["label_jan"], r["label_lv5"]) for r in found] == [(expected, expected)]
+
+
+def test_category_label_needs_only_the_category(spark):
+    found = rows(sampled(spark, [case(100)], [sale(90), sale(110, jan=2)], "case"))
+    assert [(r["label_jan"], r["label_lv5"]) for r in found] == [(False, True)]
+    found = rows(sampled(spark, [case(100)], [sale(90), sale(110, jan=2, lv5="tea")], "case"))
+    assert [(r["label_jan"], r["label_lv5"]) for r in found] == [(False, False)]
+
+
+def test_item_scope_takes_labels_from_other_cases(spark):
+    cases = [case(100), case(200)]
+    sales = [sale(90), sale(210)]        # sampled for the first case, bought after the second
+    own = rows(sampled(spark, cases, sales, "case"))
+    any_case = rows(sampled(spark, cases, sales, "item"))
+    assert [(r["label_jan"], r["label_lv5"]) for r in own] == [(False, False)]
+    assert [(r["label_jan"], r["label_lv5"]) for r in any_case] == [(True, True)]
+
+
+def test_amounts_are_clipped_and_unknown_members_left_out(spark):
+    sales = [sale(90, count=8.0, amount=804.0), sale(91, uid=None), sale(92, uid=2, amount=0.0),
+             sale(93, uid=3, count=0.0)]
+    found = {r["uid"]: r["sample_amt_jan"] for r in rows(sampled(spark, [case(100)], sales))}
+    assert found == {1: 600.0, 3: None}  # 8 units at 100.5: 6 units at 100; no unit: no amount
+
+
+def test_clip_forms(spark):
+    line = pos_frame(spark, [sale(0, count=8.0, amount=804.0)])
+    prices = {f: rows(clip_noise(line, CFG, f))[0] for f in ("floor", "truncate", "exact")}
+    assert [prices[f]["price"] for f in prices] == [100.0, 100.0, 100.5]
+    assert prices["exact"]["salesamount"] == 603.0
+    with pytest.raises(ValueError):
+        clip_noise(line, CFG, "up")
+
+
+def test_guests(spark):
+    line = pos_frame(spark, [sale(0, uid=0), sale(0, uid=5), sale(0, uid=None)])
+    assert member_sales(line).count() == 2
+    assert [r["uid"] for r in rows(member_sales(line, guest_uid=0))] == [5]
+
+
+def test_price_rows_drop_lines_without_units(spark):
+    found = rows(price_rows(pos_frame(spark, [sale(0, count=0.0), sale(0, amount=-5.0),
+                                              sale(0, count=3.0)])))
+    assert [r["price"] for r in found] == [33.33]
+
+
+def _random_sales(seed, n=400):
+    rng = random.Random(seed)
+    return [sale(rng.randrange(200), jan=1 if rng.random() < .5 else rng.randrange(4),
+                 uid=rng.randrange(30), amount=100.0 * rng.randrange(1, 4), store=rng.randrange(2))
+            for _ in range(n)]
+
+
+@pytest.mark.parametrize("scope", [None, "case", "item"])
+def test_split_keys_change_nothing(spark, scope):
+    sales = _random_sales(1)
+    cases = [case(a, jan=j, store=s) for a in (60, 90, 97, 150) for j in (0, 1, 2) for s in (0, 1)]
+    key = ("store_cd", "jan", "astart", "uid")
+    assert rows(sampled(spark, cases, sales, scope, SPLIT), *key) \
+        == rows(sampled(spark, cases, sales, scope), *key)
+
+
+def test_windows_equal_all_pairs(spark):
+    sales, astarts = _random_sales(2, 150), (40, 41, 77, 140)
+    cases = spark.createDataFrame([case(a, jan=j, store=s) for a in astarts for j in (0, 1)
+                                   for s in (0, 1)], CASES)
+    lines = pos_frame(spark, sales)
+    for first, last in ((-28, -1), (-28, 34), (7, 34), (-63, -1)):
+        expected = sorted((a, s[3], s[1], s[0], s[2]) for s in sales for a in map(day, astarts)
+                          if s[3] in (0, 1) and first <= (s[0] - a).days <= last)
+        for cfg, by in ((CFG, None), (CFG, "uid"), (SPLIT, "uid")):
+            found = sales_in_window(cases, lines, ITEM, first, last, cfg, by)
+            assert sorted((r["astart"], r["jan"], r["store_cd"], r["salesday"], r["uid"])
+                          for r in rows(found)) == expected
+
+
+def test_hot_keys_are_few(spark):
+    lines = pos_frame(spark, [sale(0, jan=1)] * 60 + [sale(0, jan=2)] * 5 + [sale(0, jan=3)])
+    found = rows(hot_keys(lines, ["jan"], PricingConfig(hot_rows=4, hot_share=0.1)), "jan")
+    assert found == [{"jan": 1, "_slices": 10}]   # limit 6.6 rows
+
+
+def test_empty(spark):
+    empty = spark.createDataFrame([], POS_SCHEMA)
+    cases = spark.createDataFrame([], CASES)
+    for scope in (None, "case", "item"):
+        assert sample_customers(cases, member_days(empty, CFG), CFG, scope).count() == 0
+    with pytest.raises(ValueError):
+        sample_customers(cases, member_days(empty, CFG), CFG, "store")
