@@ -182,7 +182,8 @@ def target_cases(spark, sf):
 # -- samples ---------------------------------------------------------------------------------------
 
 def _days(spark, sf):
-    return clean.member_days(views.pos(spark, sf), CFG)
+    """Customer days, written once as in the pipelines because every step reads them."""
+    return written(clean.member_days(views.pos(spark, sf), CFG), "days")
 
 
 def sample_customers(spark, sf):
@@ -198,7 +199,8 @@ def labels_case(spark, sf):
 
 
 def labels_item(spark, sf):
-    return sampling.sample_customers(case_master_up(spark, sf), _days(spark, sf), CFG, "item")
+    cases_up = written(case_master_up(spark, sf), "cases")
+    return sampling.sample_customers(cases_up, _days(spark, sf), CFG, "item")
 
 
 # -- features --------------------------------------------------------------------------------------
@@ -223,8 +225,8 @@ def price_features(spark, sf):
 
 
 def _sample(spark, sf, scope="case") -> tuple[DataFrame, DataFrame]:
-    """Customer days and sample base, written once as in the pipelines."""
-    days = written(_days(spark, sf), "days")
+    """Sample base and customer days, both written."""
+    days = _days(spark, sf)
     base = written(sampling.sample_customers(case_master_up(spark, sf), days, CFG), "base")
     return base, features.feature_days(base, days, CFG) if scope == "global" else days
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricelane.config import PricingConfig
 from pricelane.functions.scalars import offset_day
 from pricelane.operators.clean import price_rows
-from pricelane.operators.periods import SHELF, day_price, price_periods
+from pricelane.operators.periods import SHELF, price_periods, shelf_days
 from pricelane.schema import CASE, ITEM
 
 
@@ -60,10 +60,6 @@ def cases_zero(periods: DataFrame, cfg: PricingConfig, single: bool = False) ->
                     F.col("price").alias("pprice"), F.col("price").alias("aprice")))
 
 
-def item_categories(rows: DataFrame) -> DataFrame:
-    return rows.select(*SHELF, "lv4_nm", "lv5_nm").distinct()
-
-
 def padded_period(pos: DataFrame, period: tuple[str, str], cfg: PricingConfig) -> DataFrame:
     """Sales of a period and of the days around it that price runs at its edges reach into."""
     return pos.where(F.col("salesday").between(
@@ -71,6 +67,21 @@ def padded_period(pos: DataFrame, period: tuple[str, str], cfg: PricingConfig) -
         F.lit(offset_day(period[1], cfg.thd_alen + 10)).cast("date")))
 
 
+def cases_on_shelves(shelves: DataFrame, case_type: str, cfg: PricingConfig,
+                     lead_first: bool = False) -> DataFrame:
+    """All cases in a table of `shelf_days`, with the category of the item."""
+    if case_type not in ("up", "zero", "both"):
+        raise ValueError(f"unknown case type {case_type!r}")
+    periods = price_periods(shelves.groupBy(*SHELF, "salesday", "price")
+                            .agg(F.sum("pos").alias("pos")))
+    columns = [*SHELF, "pprice", "aprice", "astart"]
+    up = cases_up(periods, cfg, lead_first).select(*columns)
+    zero = cases_zero(periods, cfg).select(*columns)
+    cases = {"up": up, "zero": zero, "both": up.unionByName(zero)}[case_type]
+    categories = shelves.select(*SHELF, "lv4_nm", "lv5_nm").distinct()
+    return cases.join(categories, SHELF, "left").select(*CASE)
+
+
 def case_master(pos: DataFrame, case_type: str, cfg: PricingConfig,
                 period: tuple[str, str] | None = None, lead_first: bool = False) -> DataFrame:
     """All cases in all stores of `pos`, with the category of the item.
@@ -78,15 +89,8 @@ def case_master(pos: DataFrame, case_type: str, cfg: PricingConfig,
     case_type is "up", "zero" or "both"; in the last case the two kinds differ in whether the price
     changes. `period` limits the sales that are read (padded), not the change day itself.
     """
-    if case_type not in ("up", "zero", "both"):
-        raise ValueError(f"unknown case type {case_type!r}")
     rows = price_rows(pos if period is None else padded_period(pos, period, cfg))
-    periods = price_periods(day_price(rows))
-    columns = [*SHELF, "pprice", "aprice", "astart"]
-    up = cases_up(periods, cfg, lead_first).select(*columns)
-    zero = cases_zero(periods, cfg).select(*columns)
-    cases = {"up": up, "zero": zero, "both": up.unionByName(zero)}[case_type]
-    return cases.join(item_categories(rows), SHELF, "left").select(*CASE)
+    return cases_on_shelves(shelf_days(rows), case_type, cfg, lead_first)
 
 
 def target_cases(pos: DataFrame, upday: str, dprice: int, cfg: PricingConfig,

@@ -14,6 +14,12 @@ def day_price(rows: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("pos")))
 
 
+def shelf_days(rows: DataFrame) -> DataFrame:
+    """The same with the category: a small table from which all cases can be found."""
+    return (rows.groupBy(*SHELF, "lv4_nm", "lv5_nm", "salesday", "price")
+            .agg(F.count(F.lit(1)).alias("pos")))
+
+
 def price_periods(day_prices: DataFrame) -> DataFrame:
     """Maximal runs of one price in (salesday, price) order, with first and last day and length.
 

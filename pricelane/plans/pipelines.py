@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from pricelane.config import PricingConfig
 from pricelane.functions.scalars import offset_day
-from pricelane.operators.cases import case_master, target_cases
-from pricelane.operators.clean import member_days
+from pricelane.operators.cases import cases_on_shelves, padded_period, target_cases
+from pricelane.operators.clean import member_days, price_rows
 from pricelane.operators.features import add_customer_features, add_features, fill_features
 from pricelane.operators.models import (FitOptions, RetentionModels, fit_models, label_ints,
                                         predict)
+from pricelane.operators.periods import shelf_days
 from pricelane.operators.probability import clamp_prob, monotone_prob
 from pricelane.operators.sampling import sample_customers
 from pricelane.operators.simulate import best_customer_price, best_item_price, simulate
@@ -39,17 +40,20 @@ def train(pos: DataFrame, packs: DataFrame, cfg: PricingConfig,
           sample_paths: tuple[str, str] | None = None) -> Training:
     """Cases, samples, labels, features and both pairs of models (unchanged and raised prices).
 
-    Customer days, cases, samples and features are written once each, because every later step reads
-    them several times. When labels and features only look at a row's own case, both kinds of cases
+    Receipt lines are read twice: for the prices on the shelves and for what customers bought. These
+    two tables, cases, samples and features are written, because every later step reads them several
+    times. When labels and features only look at a row's own case, both kinds of cases
     go through the steps together; otherwise each kind on its own.
     """
     if stores is not None:
         pos = pos.join(stores.select("store_cd").distinct(), "store_cd", "left_semi")
+    shelves = written(shelf_days(price_rows(
+        pos if period is None else padded_period(pos, period, cfg))), "shelves")
     days = written(member_days(pos, cfg), "days")
     together = scope == "case" and label_scope == "case"
     samples, features = [], []
     for kind in ("both",) if together else ("zero", "up"):
-        cases = written(case_master(pos, kind, cfg, period), f"cases-{kind}")
+        cases = written(cases_on_shelves(shelves, kind, cfg), f"cases-{kind}")
         samples.append(written(sample_customers(cases, days, cfg, label_scope), f"base-{kind}"))
         features.append(written(label_ints(add_features(samples[-1], days, packs, cfg, scope)),
                                 f"features-{kind}"))

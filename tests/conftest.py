@@ -16,8 +16,6 @@ def spark(tmp_path_factory):
                .config("spark.sql.shuffle.partitions", "4")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
-               # compiling costs more than running on a few rows
-               .config("spark.sql.codegen.wholeStage", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
                .getOrCreate())
