@@ -12,10 +12,12 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = (SparkSession.builder.master("local[8]").appName("pricelane-tests")
-               .config("spark.sql.shuffle.partitions", "4")
+    session = (SparkSession.builder.master("local[4]").appName("pricelane-tests")
+               .config("spark.sql.shuffle.partitions", "2")
+               .config("spark.default.parallelism", "2")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
+               .config("spark.sql.maxMetadataStringLength", "2000")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
                .getOrCreate())
