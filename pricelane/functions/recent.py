@@ -1,0 +1,37 @@
+"""A key's sales on the days around a case, without joining all pairs of cases and sales."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def _slot(day: Column, width: int) -> Column:
+    return F.floor(F.unix_date(day) / F.lit(width))
+
+
+def with_sales_between(base: DataFrame, daily: DataFrame, keys: list[str], first: int, last: int,
+                       sums: list[str]) -> DataFrame:
+    """Add `entries`: the key's days of sale in [astart + first, astart + last], NULL without any.
+
+    `daily` has one row per key and day. Time is cut into slots as long as the window. Every day is
+    filed under its slot and the next one, so the array of the slot in which a window ends holds the
+    whole window: each row of `base` meets one array of at most two slots of days.
+    """
+    width = last - first + 1
+    filed = F.explode(F.array(_slot(F.col("salesday"), width), _slot(F.col("salesday"), width) + 1))
+    history = (daily.select(*keys, "salesday", *sums, filed.alias("_slot"))
+               .groupBy(*keys, "_slot")
+               .agg(F.collect_list(F.struct("salesday", *sums)).alias("_history")))
+    start, end = F.date_add("astart", first), F.date_add("astart", last)
+    entries = F.filter("_history", lambda e: e["salesday"].between(start, end))
+    return (base.withColumn("_slot", _slot(end, width))
+            .join(history, [*keys, "_slot"], "left")
+            .withColumn("entries", F.when(F.size(entries) > 0, entries))
+            .drop("_history", "_slot"))
+
+
+def entry_sum(field: str) -> Column:
+    """Sum of a field over `entries`, leaving out NULLs."""
+    return F.aggregate("entries", F.lit(0.0),
+                       lambda total, e: total + F.coalesce(e[field], F.lit(0.0)))

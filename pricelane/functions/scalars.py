@@ -50,17 +50,3 @@ def harmonic_mean(*scores: Column) -> Column:
         positive = positive & (score > 0)
         total = total + 1 / score
     return F.when(positive, len(scores) / total).otherwise(F.lit(0.0))
-
-
-def days_between(days: Column, first: Column, last: Column) -> Column:
-    """The entries of an array of dates that lie in [first, last]."""
-    return F.filter(days, lambda day: day.between(first, last))
-
-
-def purchases_between(history: Column, first: Column, last: Column) -> Column:
-    """The entries of an array of structs whose `salesday` lies in [first, last]."""
-    return F.filter(history, lambda entry: entry["salesday"].between(first, last))
-
-
-def array_sum(entries: Column, field: str) -> Column:
-    return F.aggregate(entries, F.lit(0.0), lambda total, entry: total + entry[field])

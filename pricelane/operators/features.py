@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pricelane.config import PricingConfig
 from pricelane.functions.hot import sales_in_window
 from pricelane.functions.ranks import with_rank_scores
-from pricelane.functions.scalars import (array_sum, harmonic_mean, map_lookup, purchases_between,
-                                         ratio)
+from pricelane.functions.recent import entry_sum, with_sales_between
+from pricelane.functions.scalars import harmonic_mean, map_lookup, ratio
 from pricelane.schema import CASE, CATEGORY, CATEGORY_FEATURES, ITEM, ITEM_FEATURES
 
 SCOPES = ("case", "global")
@@ -33,34 +33,25 @@ def feature_days(base: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataFr
             .join(base.select("store_cd").distinct(), "store_cd", "left_semi"))
 
 
-# -- histories -------------------------------------------------------------------------------------
+# -- sales in the feature window -------------------------------------------------------------------
 
-def _history(sales: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
-    """Per key, an array with one entry per day of sale: never longer than the calendar."""
+def _with_window(base: DataFrame, sales: DataFrame, keys: list[str], sums: list[str],
+                 cfg: PricingConfig) -> DataFrame:
     daily = sales
     if set(keys) != {*ITEM, "uid"}:  # otherwise the sales are one row per day already
         daily = sales.groupBy(*keys, "salesday").agg(*(F.sum(c).alias(c) for c in sums))
-    return daily.groupBy(*keys).agg(F.collect_list(F.struct("salesday", *sums)).alias("history"))
-
-
-def _in_feature_window(cfg: PricingConfig) -> Column:
-    """The entries of `history` inside the window of the row's case; NULL when there is none."""
-    entries = purchases_between(F.col("history"), F.date_add("astart", -cfg.feature_len),
-                                F.date_add("astart", -1))
-    return F.when(F.size(entries) > 0, entries)
+    return with_sales_between(base, daily, keys, -cfg.feature_len, -1, sums)
 
 
 def _with_spending(base: DataFrame, days: DataFrame, level: str, suffix: str,
                    cfg: PricingConfig) -> DataFrame:
     """Last day, number of days (f) and amount (m) of the member's purchases in the feature window."""
-    keys = [*LEVELS[level], "uid"]
-    return (base.join(_history(days, keys, ["salesamount"]), keys, "left")
-            .withColumn("entries", _in_feature_window(cfg))
-            .withColumn(f"last_day{suffix}", F.array_max(F.col("entries.salesday")))
-            .withColumn(f"f{suffix}", F.size("entries").cast("long"))
-            .withColumn(f"m{suffix}", F.when(F.col("entries").isNotNull(),
-                                             array_sum(F.col("entries"), "salesamount")))
-            .drop("history", "entries"))
+    found = F.col("entries").isNotNull()
+    return (_with_window(base, days, [*LEVELS[level], "uid"], ["salesamount"], cfg)
+            .withColumns({f"last_day{suffix}": F.array_max(F.col("entries.salesday")),
+                          f"f{suffix}": F.size("entries").cast("long"),
+                          f"m{suffix}": F.when(found, entry_sum("salesamount"))})
+            .drop("entries"))
 
 
 # -- price -----------------------------------------------------------------------------------------
@@ -226,18 +217,14 @@ def _unit_prices_of_case(base: DataFrame, cases: DataFrame, days: DataFrame, pac
                          cfg: PricingConfig) -> DataFrame:
     sized = pack_size_category(days.join(packs, "jan"), cfg).withColumn(
         "volume", F.col("det_val") * F.col("salescnt"))
-    sums = ["salesamount", "volume"]
 
     def window_price(df: DataFrame, keys: list[str], name: str, days_name: str | None = None):
-        out = (df.join(_history(sized, keys, sums), keys, "left")
-               .withColumn("entries", _in_feature_window(cfg))
-               .withColumn(name, F.when(F.col("entries").isNotNull(), _unit_price(
-                   array_sum(F.col("entries"), "salesamount"),
-                   F.aggregate("entries", F.lit(0.0),
-                               lambda total, e: total + F.coalesce(e["volume"], F.lit(0.0)))))))
+        price = _unit_price(entry_sum("salesamount"), entry_sum("volume"))
+        out = (_with_window(df, sized, keys, ["salesamount", "volume"], cfg)
+               .withColumn(name, F.when(F.col("entries").isNotNull(), price)))
         if days_name:
             out = out.withColumn(days_name, F.size("entries").cast("long"))
-        return out.drop("history", "entries")
+        return out.drop("entries")
 
     pack_category = [*CATEGORY, "plv5_nm"]
     cases = pack_size_category(cases.join(packs, "jan"), cfg).drop("det_val")
