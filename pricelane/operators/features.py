@@ -1,5 +1,8 @@
 """Behavioural features of the sampled customers.
 
+`base` is the sample, possibly with other features already; an operator takes the keys it joins sales
+to from the plain `sample` when that is given, so that earlier features are not computed twice.
+
 Every operator has two scopes. "case" looks at the `feature_len` days before the row's own change, in
 its store. "global" looks at all sales given, in all stores, for all rows alike.
 """
@@ -12,11 +15,11 @@ from pyspark.sql import functions as F
 from pricelane.config import PricingConfig
 from pricelane.functions.hot import sales_in_window
 from pricelane.functions.ranks import with_rank_scores
-from pricelane.functions.recent import entry_sum, with_sales_between
 from pricelane.functions.scalars import harmonic_mean, map_lookup, ratio
 from pricelane.schema import CASE, CATEGORY, CATEGORY_FEATURES, ITEM, ITEM_FEATURES
 
 SCOPES = ("case", "global")
+ROW = [*CASE, "uid"]
 LEVELS = {"store": ["store_cd"], "lv5": CATEGORY, "jan": ITEM}
 
 
@@ -35,23 +38,31 @@ def feature_days(base: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataFr
 
 # -- sales in the feature window -------------------------------------------------------------------
 
-def _with_window(base: DataFrame, sales: DataFrame, keys: list[str], sums: list[str],
-                 cfg: PricingConfig) -> DataFrame:
+def _window_totals(rows: DataFrame, by: list[str], sales: DataFrame, keys: list[str],
+                   sums: list[str], cfg: PricingConfig) -> DataFrame:
+    """Per row key `by`: last day, number of days and sums of the sales with equal `keys` in the
+    feature window of the row's case.
+
+    Only the key columns of a row travel through the join with the sales. The totals of all features
+    have the same keys, so the wide rows are shuffled once for all of them.
+    """
     daily = sales
     if set(keys) != {*ITEM, "uid"}:  # otherwise the sales are one row per day already
         daily = sales.groupBy(*keys, "salesday").agg(*(F.sum(c).alias(c) for c in sums))
-    return with_sales_between(base, daily, keys, -cfg.feature_len, -1, sums)
+    narrow = rows.select(*dict.fromkeys([*by, *keys]))
+    return (sales_in_window(narrow, daily, keys, -cfg.feature_len, -1, cfg)
+            .groupBy(*by)
+            .agg(F.max("salesday").alias("last_day"), F.count(F.lit(1)).alias("n_days"),
+                 *(F.sum(c).alias(c) for c in sums)))
 
 
-def _with_spending(base: DataFrame, days: DataFrame, level: str, suffix: str,
+def _with_spending(base: DataFrame, sample: DataFrame, days: DataFrame, level: str, suffix: str,
                    cfg: PricingConfig) -> DataFrame:
     """Last day, number of days (f) and amount (m) of the member's purchases in the feature window."""
-    found = F.col("entries").isNotNull()
-    return (_with_window(base, days, [*LEVELS[level], "uid"], ["salesamount"], cfg)
-            .withColumns({f"last_day{suffix}": F.array_max(F.col("entries.salesday")),
-                          f"f{suffix}": F.size("entries").cast("long"),
-                          f"m{suffix}": F.when(found, entry_sum("salesamount"))})
-            .drop("entries"))
+    totals = _window_totals(sample, ROW, days, [*LEVELS[level], "uid"], ["salesamount"], cfg)
+    return base.join(totals.select(*ROW, F.col("last_day").alias(f"last_day{suffix}"),
+                                   F.col("n_days").alias(f"f{suffix}"),
+                                   F.col("salesamount").alias(f"m{suffix}")), ROW, "left")
 
 
 # -- price -----------------------------------------------------------------------------------------
@@ -92,7 +103,7 @@ def rfm_features(base: DataFrame, days: DataFrame, cfg: PricingConfig, scope: st
             F.sum("salesamount").alias("m"))
         spent = base.join(totals, "uid", "left")
     else:
-        spent = _with_spending(base, days, "store", "", cfg)
+        spent = _with_spending(base, base, days, "store", "", cfg)
     spent = spent.withColumn("r", F.datediff("astart", "last_day")).drop("last_day")
     return _score_columns(spent, CASE if scope == "case" else [], form, "")
 
@@ -104,7 +115,7 @@ def rfm_level_features(base: DataFrame, days: DataFrame, cfg: PricingConfig,
     out = base
     for level in ("jan", "lv5"):
         last_day = f"last_day_{level}"
-        out = (_with_spending(out, days, level, f"_{level}", cfg)
+        out = (_with_spending(out, base, days, level, f"_{level}", cfg)
                .withColumn(f"r_{level}", F.datediff(F.date_add("astart", -1), last_day))
                .drop(last_day))
     return _score_columns(out, CASE, form, "_jan", "_lv5")
@@ -112,10 +123,11 @@ def rfm_level_features(base: DataFrame, days: DataFrame, cfg: PricingConfig,
 
 # -- loyalty ---------------------------------------------------------------------------------------
 
-def loyalty_features(base: DataFrame, days: DataFrame, cfg: PricingConfig,
-                     scope: str = "case") -> DataFrame:
+def loyalty_features(base: DataFrame, days: DataFrame, cfg: PricingConfig, scope: str = "case",
+                     sample: DataFrame | None = None) -> DataFrame:
     """Share of the item in what the member spends (m) and how often it buys (f) in the category."""
     _check_scope(scope)
+    sample = base if sample is None else sample
     out = base
     for level, keys in (("lv5", ["uid", "lv5_nm"]), ("jan", ["uid", "jan"])):
         if scope == "global":
@@ -124,7 +136,8 @@ def loyalty_features(base: DataFrame, days: DataFrame, cfg: PricingConfig,
                 F.count_distinct("salesday").alias(f"f_{level}"))
             out = out.join(totals, keys, "left")
         else:
-            out = _with_spending(out, days, level, f"_{level}", cfg).drop(f"last_day_{level}")
+            out = _with_spending(out, sample, days, level, f"_{level}", cfg) \
+                .drop(f"last_day_{level}")
     return (out.withColumn("jan_loy_m", ratio(F.col("m_jan"), F.col("m_lv5"), 0.0))
             .withColumn("jan_loy_f", ratio(F.col("f_jan"), F.col("f_lv5"), 0.0))
             .withColumn("jan_loy", (F.col("jan_loy_m") + F.col("jan_loy_f")) / 2))
@@ -169,26 +182,26 @@ def _pscore_columns(df: DataFrame, cfg: PricingConfig) -> DataFrame:
 
 def price_sensitivity_features(base: DataFrame, days: DataFrame, packs: DataFrame,
                                cfg: PricingConfig, scope: str = "case",
-                               cases: DataFrame | None = None) -> DataFrame:
+                               sample: DataFrame | None = None) -> DataFrame:
     """Price per content of the item and of what the member buys, relative to the category.
 
     Scope "global" takes the category of an item from the cases, so only items with a case count
     towards the price of a category; scope "case" takes it from the sales, so all items do.
     """
     _check_scope(scope)
-    cases = _cases_of(base, cases)
+    sample = base if sample is None else sample
     packs = one_row_per_item(packs, "det_val")
-    if scope == "global":
-        return _pscore_columns(_unit_prices_global(base, cases, days, packs, cfg), cfg)
-    return _pscore_columns(_unit_prices_of_case(base, cases, days, packs, cfg), cfg)
+    prices = _unit_prices_global if scope == "global" else _unit_prices_of_case
+    return _pscore_columns(prices(base, sample, days, packs, cfg), cfg)
 
 
-def _cases_of(base: DataFrame, cases: DataFrame | None) -> DataFrame:
-    return base.select(*CASE).distinct() if cases is None else cases
+def _cases_of(sample: DataFrame) -> DataFrame:
+    return sample.select(*CASE).distinct()
 
 
-def _unit_prices_global(base: DataFrame, cases: DataFrame, days: DataFrame, packs: DataFrame,
+def _unit_prices_global(base: DataFrame, sample: DataFrame, days: DataFrame, packs: DataFrame,
                         cfg: PricingConfig) -> DataFrame:
+    cases = _cases_of(sample)
     packs = pack_size_category(
         packs.join(one_row_per_item(cases, "lv5_nm"), "jan", "left"), cfg).drop("lv5_nm")
     # sales are added up per item before the pack content is joined
@@ -213,25 +226,25 @@ def _unit_prices_global(base: DataFrame, cases: DataFrame, days: DataFrame, pack
             .join(member_price, ["uid", "plv5_nm"], "left"))
 
 
-def _unit_prices_of_case(base: DataFrame, cases: DataFrame, days: DataFrame, packs: DataFrame,
+def _unit_prices_of_case(base: DataFrame, sample: DataFrame, days: DataFrame, packs: DataFrame,
                          cfg: PricingConfig) -> DataFrame:
     sized = pack_size_category(days.join(packs, "jan"), cfg).withColumn(
         "volume", F.col("det_val") * F.col("salescnt"))
 
-    def window_price(df: DataFrame, keys: list[str], name: str, days_name: str | None = None):
-        price = _unit_price(entry_sum("salesamount"), entry_sum("volume"))
-        out = (_with_window(df, sized, keys, ["salesamount", "volume"], cfg)
-               .withColumn(name, F.when(F.col("entries").isNotNull(), price)))
-        if days_name:
-            out = out.withColumn(days_name, F.size("entries").cast("long"))
-        return out.drop("entries")
-
     pack_category = [*CATEGORY, "plv5_nm"]
-    cases = pack_size_category(cases.join(packs, "jan"), cfg).drop("det_val")
-    cases = window_price(cases, ITEM, "unitp_item")
-    cases = window_price(cases, pack_category, "unitp_cate")
-    return window_price(base.join(cases, CASE, "left"), [*pack_category, "uid"],
-                        "unitp_uid", "ndays")
+    price = _unit_price(F.col("salesamount"), F.col("volume"))
+
+    def totals(rows: DataFrame, by: list[str], keys: list[str], name: str) -> DataFrame:
+        return (_window_totals(rows, by, sized, keys, ["salesamount", "volume"], cfg)
+                .select(*by, price.alias(name), F.col("n_days").alias("ndays")))
+
+    cases = pack_size_category(_cases_of(sample).join(packs, "jan"), cfg).drop("det_val")
+    tagged = base.join(
+        cases.join(totals(cases, CASE, ITEM, "unitp_item").drop("ndays"), CASE, "left")
+        .join(totals(cases, CASE, pack_category, "unitp_cate").drop("ndays"), CASE, "left"),
+        CASE, "left")
+    members = sample.select(*ROW).join(cases.select(*CASE, "plv5_nm"), CASE)
+    return tagged.join(totals(members, ROW, [*pack_category, "uid"], "unitp_uid"), ROW, "left")
 
 
 # -- cannibalisation -------------------------------------------------------------------------------
@@ -267,14 +280,14 @@ def _with_kani(base: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame
 
 def cannibalisation_features(base: DataFrame, days: DataFrame, cfg: PricingConfig,
                              scope: str = "case", mean: str = "top5",
-                             cases: DataFrame | None = None) -> DataFrame:
+                             sample: DataFrame | None = None) -> DataFrame:
     """How strongly members switch between the item and the five closest items of its category.
 
     mean "top5": scores weighted by what members spend on the item, plain mean;
     mean "exponential" (scope "case" only): unweighted scores, weights halving by rank.
     """
     _check_scope(scope)
-    cases = _cases_of(base, cases)
+    cases = _cases_of(base if sample is None else sample)
     if scope == "global":
         if mean != "top5":
             raise ValueError("the exponential mean is defined per case")
@@ -357,11 +370,10 @@ def add_customer_features(base: DataFrame, days: DataFrame, packs: DataFrame, cf
     _check_scope(scope)
     if scope == "global":
         days = feature_days(base, days, cfg)
-    cases = _cases_of(base, None)
     out = rfm_features(base, days, cfg, scope)
-    out = loyalty_features(out, days, cfg, scope)
-    out = price_sensitivity_features(out, days, packs, cfg, scope, cases)
-    return cannibalisation_features(out, days, cfg, scope, cases=cases)
+    out = loyalty_features(out, days, cfg, scope, base)
+    out = price_sensitivity_features(out, days, packs, cfg, scope, base)
+    return cannibalisation_features(out, days, cfg, scope, sample=base)
 
 
 def fill_features(df: DataFrame) -> DataFrame:

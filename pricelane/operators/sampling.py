@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pricelane.config import PricingConfig
 from pricelane.functions.hot import sales_in_window
-from pricelane.functions.recent import with_sales_between
 from pricelane.schema import CASE, CATEGORY, ITEM
 
 
@@ -44,11 +43,13 @@ def sample_customers(cases: DataFrame, days: DataFrame, cfg: PricingConfig,
 
 
 def _category_label_of_case(base: DataFrame, days: DataFrame, first: int, last: int) -> DataFrame:
-    keys = [*CATEGORY, "uid"]
-    bought = days.select(*keys, "salesday").distinct()
-    return (with_sales_between(base, bought, keys, first, last, [])
-            .withColumn("label_lv5", F.col("entries").isNotNull())
-            .drop("entries"))
+    # one row per member and category; the array holds each calendar day at most once
+    history = days.groupBy(*CATEGORY, "uid").agg(F.collect_set("salesday").alias("days"))
+    start, end = F.date_add("astart", first), F.date_add("astart", last)
+    bought = F.exists("days", lambda day: day.between(start, end))
+    return (base.join(history, [*CATEGORY, "uid"], "left")
+            .withColumn("label_lv5", F.coalesce(bought, F.lit(False)))
+            .drop("days"))
 
 
 def _category_label_of_any_case(base: DataFrame, cases: DataFrame, days: DataFrame,

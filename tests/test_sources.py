@@ -135,6 +135,10 @@ def test_sinks(spark, tmp_path):
     assert text == "store_cd,jan,name\n12345,2,é\n"
     sinks.write_by_store(df, str(tmp_path / "parquet"), "parquet")
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 2
+    two = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (1, 2, "b")], df.schema)
+    sinks.write_by_store(two, str(tmp_path / "sorted"), order=("jan",))
+    text = next((tmp_path / "sorted" / "store=0001").glob("*.csv")).read_text()
+    assert text.split() == ["store_cd,jan,name", "1,1,a", "1,2,b", "1,3,c"]
     sinks.write_samples(pos_frame(spark, [sale(0)]).select("salesday", "jan"), str(tmp_path / "base"))
     assert spark.read.csv(str(tmp_path / "base"), header=True).first()["salesday"] == "2020-01-01"
 
