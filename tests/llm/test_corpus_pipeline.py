@@ -1,0 +1,85 @@
+"""Every stage of the pipeline against a plain version, on the rows that the stage before kept."""
+
+import public_tokenizers
+import pytest
+from cases import lowered, no_documents, odd_documents
+from conftest import SMALL, rows
+from test_near_dedup import plain as near_plain
+from test_packing import plain_pieces, well_packed
+
+import corpus_pipeline
+from pricelane.llm import language, mixing
+from pricelane.llm.queries import TARGETS
+from pricelane.llm.work import written
+
+FOLDER = SMALL
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs, found = spark.read.parquet(f"{FOLDER}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        after = written(stage(spark, docs, FOLDER), name)
+        found.append((docs, after))
+        docs = after
+    return found
+
+
+def key(row):
+    return tuple(str(x) for x in row)
+
+
+def test_language(stages):
+    before, after = stages[0]
+    filters = language.train(before, ~language.held_out())
+    expected = [r for r in before.collect() if r.text and any(map(str.isalpha, r.text))
+                and language.predict([r.text], filters)[1][0] > 0]
+    assert sorted(after.collect(), key=key) == sorted(expected, key=key)
+    assert after.columns == before.columns and len(expected) > 0.95 * before.count()
+
+
+def test_exact(stages):
+    before, after = stages[1]
+    best = {}
+    for r in before.collect():
+        if lowered(r.text) not in best or best[lowered(r.text)].doc_id < r.doc_id:
+            best[lowered(r.text)] = r
+    assert sorted(after.collect(), key=key) == sorted(best.values(), key=key) and after.columns == before.columns
+
+
+def test_near(stages):
+    before, after = stages[2]
+    keep = {low for _, _, low in near_plain([(r.doc_id, r.text) for r in before.collect()])}
+    assert sorted(after.collect(), key=key) == sorted((r for r in before.collect() if r.doc_id in keep), key=key)
+
+
+def test_mixing(spark, stages):
+    before, after = stages[3]
+    labelled = mixing.quality_domains(spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    keep = {r["doc_id"] for r in rows(mixing.mixed(before, labelled, TARGETS, 1.0)) if r["copies"]}
+    assert sorted(after.collect(), key=key) == sorted((r for r in before.collect() if r.doc_id in keep), key=key)
+    assert after.columns == before.columns and after.count() >= 0.7 * before.count()
+
+
+def test_packing(stages):
+    before, after = stages[4]
+    found = rows(after)
+    names = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert sorted((tuple(r[n] for n in names) for r in found), key=str) == \
+        plain_pieces([(r.doc_id, r.text) for r in before.collect()], 4096)
+    well_packed(found, 4096)
+
+
+def test_run_is_its_stages(spark, stages):
+    assert corpus_pipeline.run(spark, FOLDER).exceptAll(stages[-1][1]).count() == 0
+    assert public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.mark.parametrize("made", [odd_documents, no_documents])
+def test_odd_tables(spark, made):
+    docs = made(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, FOLDER)
+        if name != "packing":
+            assert after.columns == docs.columns
+        docs = written(after, name)

@@ -1,0 +1,100 @@
+import numpy as np
+import pytest
+from cases import ODD, no_documents, odd_documents
+from conftest import SMALL, rows
+from pyspark.sql import functions as F
+
+from pricelane.llm import mixing
+
+TARGETS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    folder = "/root/testdata/sf0.01"
+    return (spark.read.parquet(f"{folder}/documents.parquet"),
+            mixing.quality_domains(spark.read.parquet(f"{folder}/labels.parquet")))
+
+
+def plain_rates(tokens, p, share, total, cap, ridge=1e-3, steps=30, enough=1e-4):
+    tokens = tokens / tokens.sum()
+    rate = np.ones(len(tokens))
+    mass = now = (tokens[:, None] * p).sum(0)
+    total = min(mass / share) if total is None else total
+    for _ in range(steps):
+        pull = (p * ((now - share * total) / mass)).sum(1) + ridge * (rate - 1)
+        rate = np.clip(rate - pull / (1 + ridge), 0, cap)
+        last, now = now, (tokens[:, None] * p * rate[:, None]).sum(0)
+        if (abs(now - last) / (share * total)).max() <= enough:
+            break
+    return rate, now / total
+
+
+def test_rates_against_numpy(tables):
+    for total, cap in ((None, 4.0), (0.5, 1.0), (1.5, 4.0)):
+        found = mixing.mixed(*tables, TARGETS, cap, total=total).toPandas()
+        p = np.array(found.p.tolist())
+        share = np.array(list(TARGETS.values()))
+        rate, met = plain_rates(found.tokens.to_numpy(float), p, share, total, cap)
+        assert np.allclose(found.rate, rate, atol=1e-6)
+        assert np.allclose(p.sum(1), 1) and (found.rate >= 0).all() and (found.rate <= cap).all()
+        if cap > 1:
+            assert np.allclose(met, share, atol=0.02)
+        assert (abs(found.copies - found.rate) < 1).all()
+        assert abs(found.copies.sum() - found.rate.sum()) < 4 * len(found) ** 0.5
+
+
+def test_classifier_on_labelled_rows(tables):
+    docs, labelled = tables
+    found = mixing.mixed(docs, labelled, TARGETS).join(labelled.withColumnRenamed("domain", "is"), "doc_id").toPandas()
+    assert (found["is"] == found.domain).mean() >= 0.8
+    rates = found.groupby("is").rate.mean()
+    assert rates["good"] > 0.9 and rates["toxic"] < 0.5 * rates["good"]
+
+
+def test_posteriors_against_plain(spark, tables):
+    docs, labelled = tables
+    model = mixing.train(docs, labelled, list(TARGETS), rows_per_domain=100)
+    sample = docs.limit(60)
+    binned = sample.transform(lambda d: mixing.measured(d, "doc_id")).select(
+        "doc_id", "tokens", "words", F.array(*mixing.bins(model.markers)).alias("bins")).collect()
+    found = {r["doc_id"]: r for r in rows(mixing.posteriors(sample, model))}
+    texts = {r.doc_id: r.text for r in sample.collect()}
+    for r in binned:
+        text = texts[r.doc_id].encode().lower().decode()
+        words = "".join(c if "a" <= c <= "z" or ord(c) > 127 else " " for c in text).split()
+        assert r.words == words and r.tokens == len(words)
+        assert r.bins[0] == min(15, int(np.log2(max(1, len(words)))))
+        assert r.bins[7:] == [min(15, len(set(words) & set(m))) for m in model.markers]
+        logs = np.array([p + 0.5 * sum(t[b] for t, b in zip(own, r.bins)) for p, own in zip(model.prior, model.tables)])
+        expected = np.exp(logs - logs.max())
+        assert np.allclose(found[r.doc_id]["p"], expected / expected.sum())
+
+
+def test_sampled_rows(spark, tables):
+    docs, labelled = tables
+    kept = mixing.sampled(docs, labelled, TARGETS)
+    assert kept.columns == docs.columns and kept.count() == kept.distinct().count()
+    again = mixing.sampled(docs, labelled, TARGETS, max_rate=4.0, total=2.0)
+    copies = mixing.mixed(docs, labelled, TARGETS, 4.0, total=2.0).agg(F.sum("copies")).first()[0]
+    assert again.count() == copies > docs.count()
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark)
+    labelled = spark.createDataFrame([(1, "good"), (7, "poor"), (99, "toxic"), (6, "other")], "doc_id long, domain string")
+    for given in (labelled, labelled.limit(0)):
+        found = rows(mixing.mixed(docs, given, TARGETS))
+        assert len(found) == len(ODD) and all(abs(sum(r["p"]) - 1) < 1e-9 and 0 <= r["rate"] <= 4 for r in found)
+        assert {r["tokens"] for r in found if r["doc_id"] in (3, 4, 5, 10)} == {0}
+    assert len({r["copies"] for r in found if r["doc_id"] == 2}) == 1
+    assert mixing.sampled(docs, labelled, TARGETS).columns == docs.columns
+    assert mixing.mixed(no_documents(spark), labelled, TARGETS).count() == 0
+    assert mixing.sampled(no_documents(spark), labelled, TARGETS).count() == 0
+
+
+def test_domains(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (3, 1, 0), (4, None, None), (None, 1, 1), (5, None, 1)],
+                                   "doc_id long, quality int, toxic int")
+    assert {r["doc_id"]: r["domain"] for r in rows(mixing.quality_domains(labels))} == \
+        {1: "good", 2: "poor", 3: "toxic", 5: "toxic"}
