@@ -8,7 +8,7 @@ leave their home.
 
 The walk needs counts alone. Rows are numbered within their home arc, the walk moves number ranges of
 arcs, and its result - a few thousand ranges, however many rows there are - is joined back. An arc with
-many rows (one hot text) is numbered in cells of bounded size.
+more than a task's fair share of rows (one hot text) is numbered in several cells.
 """
 
 from __future__ import annotations
@@ -66,8 +66,7 @@ def walk(counts: dict[int, int], owners: list[int], capacity: list[int]) -> list
     return placed
 
 
-def shards_of(docs: DataFrame, shards: int, vnodes: int = 64, seed: int = 0,
-              cell_rows: int = 200_000) -> DataFrame:
+def shards_of(docs: DataFrame, shards: int, vnodes: int = 64, seed: int = 0) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, size, text_crc32, shard, slot.
 
     size: UTF-8 bytes of the text plus 16. slot: place within the shard, gapless from 0. A null text
@@ -94,7 +93,10 @@ def shards_of(docs: DataFrame, shards: int, vnodes: int = 64, seed: int = 0,
     total = sum(counts.values())
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     ranges = walk(counts, [s for _, s in points], capacity)
-    cells = [(arc, -(-n // cell_rows)) for arc, n in counts.items() if n > cell_rows]
+    # a quarter of what a task would have if all had the same: at most one more cell per point and four
+    # per task
+    most = max(1, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cells = [(arc, -(-n // most)) for arc, n in counts.items() if n > most]
 
     split = F.broadcast(spark.createDataFrame(cells, "arc int, cells long"))  # at most one per point
     rows = rows.join(split, "arc", "left").withColumn(
