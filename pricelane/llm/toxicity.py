@@ -209,7 +209,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(best, -40, 40)))
 
 
-def fit(texts: list[bytes], owner: np.ndarray, label: np.ndarray, passes: int = 12, batch: int = 128,
+def fit(texts: list[bytes], owner: np.ndarray, label: np.ndarray, passes: int = 12, batch: int = 64,
         rate: float = 0.02, min_docs: int = 3, seed: int = 1) -> Network:
     """A network from windows (texts), the document of each (owner, falling together) and the
     documents' labels. Without both labels only the constant is fitted."""
@@ -267,7 +267,7 @@ def fit(texts: list[bytes], owner: np.ndarray, label: np.ndarray, passes: int =
     return network
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_label: int = 1200,
+def train(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_label: int = 1000,
           windows_per_row: int = 12, passes: int = 12) -> Network:
     """A network from `docs` (doc_id, text) and `labels` (doc_id, toxic), of rows for which `learn`
     (on doc_id) holds and toxic is not null.
