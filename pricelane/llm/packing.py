@@ -8,13 +8,17 @@ bounded share of the tokens, so streams are packed in parallel and their number
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from pricelane.llm.work import written
@@ -24,42 +28,102 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CACHED_WORDS = 400_000
 
 
+#: Words of printable ASCII and of Latin letters with one code point each, which no normal form changes.
+PLAIN = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u024f]+")
+
+
+class Store:
+    """Lists of ids under the numbers of the keys that have them."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New keys, with all their ids in a row and the number of ids of each."""
+        count = len(self.known)
+        used = self.ends[count]
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while count + len(keys) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[used:used + len(ids)] = ids
+        self.ends[count + 1:count + 1 + len(keys)] = used + np.cumsum(sizes)
+        self.known.update(zip(keys, range(count, count + len(keys))))
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter((self.known[k] for k in keys), np.int64, len(keys))
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the keys in a row, and the bounds of the keys."""
+        first = self.ends[numbers]
+        after = np.r_[0, np.cumsum(self.ends[numbers + 1] - first)]
+        place = np.repeat(first - after[:-1], np.diff(after)) + np.arange(after[-1])
+        return self.flat[place], after
+
+
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that never joins across ASCII white space: each distinct
-    word is encoded once and remembered, as texts consist of few words often."""
+    """Ids of whole texts by a tokenizer that never joins across ASCII white space. Texts consist of few
+    words often, so each distinct word is encoded once and remembered.
+
+    Most of the time of an encoding goes into normalising and cutting a word while keeping track of
+    offsets. If the tokenizer cuts words by a pattern into pieces that end with a marked token, plain
+    words are cut with that pattern here, and distinct pieces are encoded many at a time: the marked
+    tokens show where each ends. All other words go through the whole tokenizer one by one.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encoder = Tokenizer.from_file(path)
-        self.forget()
+        self.pieces_of = self._pattern(json.loads(self.encoder.to_str()))
+        if self.pieces_of:
+            self.model = Tokenizer(self.encoder.model)
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            last = [i for token, i in self.encoder.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]
+            self.last = np.zeros(max(last) + 1, bool)
+            self.last[last] = True
+        self.words, self.parts = Store(), Store()
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.first, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.used = 0
+    @staticmethod
+    def _pattern(parts: dict):
+        """How words are cut, or None if the tokenizer does it in a way not known here."""
+        kinds = [n.get("type") for n in (parts["normalizer"] or {}).get("normalizers", [])]
+        steps = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if (kinds != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]
+                or (steps[0]["behavior"], steps[0]["invert"]) != ("Removed", True) or steps[1]["use_regex"]
+                or steps[1]["add_prefix_space"] or parts["model"].get("end_of_word_suffix") != "</w>"):
+            return None
+        return regex.compile(steps[0]["pattern"]["Regex"]).findall
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if self.pieces_of and PLAIN.fullmatch(w)]
+        cut = [self.pieces_of(w.lower()) for w in plain]
+        new = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in self.parts.known]
+        if new:
+            codes = self.model.encode_batch_fast([" ".join(new[i:i + 500]) for i in range(0, len(new), 500)],
+                                                 add_special_tokens=False)
+            ids = np.concatenate([np.array(c.ids, np.uint32) for c in codes])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            self.parts.add(new, ids, np.diff(np.r_[0, ends]))
+        if plain:
+            ids, after = self.parts.ids(self.parts.numbers(list(chain.from_iterable(cut))))
+            ends = after[np.cumsum([len(c) for c in cut])]
+            self.words.add(plain, ids, np.diff(np.r_[0, ends]))
+        odd = [w for w in words if w not in self.words.known]
+        if odd:
+            found = [c.ids for c in self.encoder.encode_batch_fast(odd, add_special_tokens=False)]
+            self.words.add(odd, np.fromiter(chain.from_iterable(found), np.uint32),
+                           np.array([len(f) for f in found], np.int64))
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        """The numbers under which the ids of the words are remembered."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS and self.known:
-            self.forget()
-            new = words
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            for word, code in zip(part, self.encoder.encode_batch(part, add_special_tokens=False)):
-                ids, number = code.ids, len(self.known)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if number >= len(self.first):
-                    self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-                    self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-                self.known[word] = number
-                self.first[number], self.size[number] = self.used, len(ids)
-                self.flat[self.used:self.used + len(ids)] = ids
-                self.used += len(ids)
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        """The numbers under which the ids of distinct words are remembered."""
+        new = [w for w in words if w not in self.words.known]
+        if len(self.words.known) + len(new) > CACHED_WORDS and self.words.known:
+            self.words, self.parts, new = Store(), Store(), words
+        self._learn(new)
+        return self.words.numbers(words)
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text followed by `end_id`, and the bounds of the texts."""
@@ -67,15 +131,13 @@ class WordTokenizer:
         words = lists.flatten().dictionary_encode()
         number = self.numbers(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)] \
             if len(words) else np.zeros(0, np.int64)
-        size = self.size[number]
-        after = np.r_[0, np.cumsum(size)]
-        place = np.repeat(self.first[number] - after[:-1], size) + np.arange(after[-1])
+        found, after = self.words.ids(number)
         offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
         ends = after[offsets] + np.arange(len(texts) + 1)
         ids = np.full(ends[-1], end_id, np.uint32)
         inside = np.ones(len(ids), bool)
         inside[ends[1:] - 1] = False
-        ids[inside] = self.flat[place]
+        ids[inside] = found
         return ids, ends
 
 

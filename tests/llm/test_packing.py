@@ -68,7 +68,7 @@ def test_forgetting_words(monkeypatch):
     for n in range(4):
         text = " ".join(f"word{i}" for i in range(n, n + 4))
         assert encode(pa.array([text]), 1)[0].tolist() == plain_ids(text)
-        assert len(encode.known) <= 5
+        assert len(encode.words.known) <= 5
 
 
 def test_streams_and_cells(spark):
