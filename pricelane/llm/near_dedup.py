@@ -9,11 +9,15 @@ often as their Jaccard similarity says. Steps:
 2. Bands of registers deal the classes into buckets. Classes that share a bucket are candidates. A pair
    at similarity s shares none of `BANDS` bands of `ROWS` registers with chance (1 - s ** ROWS) ** BANDS,
    2e-9 at 0.85.
-3. Each class first meets the bucket head that it shares most buckets with; verified links make
-   components. Large groups of near copies become one component here, at one pair per member.
+3. The head of a bucket is the class with most company in all its buckets: in a group of near copies,
+   the text that the others are edits of. Each class first meets the head that it shares most buckets
+   with, and verified links make components. So a large group becomes one component at one pair per
+   member.
 4. Of what is left in a bucket, all pairs of different components are compared by the joint likelihood
-   of their registers, in blocks of bounded size, and pairs that may reach the threshold go on.
-5. Every link is verified on the full sets of the texts.
+   of their registers, in cells of bounded size, and rows that may reach the threshold with another go
+   on.
+5. Every link is verified on the full sets of the texts: first the pairs with a head, then inside the
+   cells of what went on. A cell gives the links that connect its rows, never all pairs.
 """
 
 from __future__ import annotations
@@ -149,46 +153,84 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["id", "key"])
 
 
-def _alike(percent: int):
-    """Streams rows sorted by cell, and gives the pairs of a cell that may be similar. A cell holds two
-    blocks of a bucket, or one."""
-    def pairs(cell) -> Iterator[pa.RecordBatch]:
-        ids, roots, sizes, side, regs = cell
-        left = np.flatnonzero(side != 1)
-        right = np.flatnonzero(side != 0)
-        for i in left:
-            other = right[(roots[right] != roots[i]) & ((side[i] == 0) | (right > i))]
-            other = other[100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])]
-            if not len(other):
-                continue
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each cell (key, i, j) of a sorted stream, one cell at a time, without lone rows."""
+    rest = None
+    for batch in batches:
+        for at in range(0, len(batch), 2000):
+            part = batch.slice(at, 2000)
+            rest = part if rest is None else pa.concat_batches([rest, part])
+            done = 0
+            change = np.any([np.diff(np.asarray(rest.column(i))) != 0 for i in range(3)], axis=0)
+            for cut in np.flatnonzero(change) + 1:
+                if cut - done > 1:
+                    yield rest.slice(done, cut - done)
+                done = int(cut)
+            rest = rest.slice(done)
+    if rest is not None and len(rest) > 1:
+        yield rest
+
+
+def likely_pairs(cell: pa.RecordBatch, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows that it may be similar to) of a cell: of different components, in blocks that face
+    each other, and in no earlier band together, where the pair is looked at already."""
+    roots, sizes, side = (np.asarray(cell.column(i)) for i in (4, 5, 6))
+    regs = as_registers(cell.column(7))
+    keys, own = band_keys(regs), np.asarray(cell.column(0)).view(np.uint64)[0]
+    right = np.flatnonzero(side != 0)
+    for i in np.flatnonzero(side != 1):
+        other = right[(roots[right] != roots[i]) & ((side[i] == 0) | (right > i))]
+        other = other[100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])]
+        other = other[keys[i, (keys[other] == keys[i]).argmax(1)] == own]
+        if len(other):
             more = (regs[i] > regs[other]).sum(1).astype(float)
             less = (regs[i] < regs[other]).sum(1).astype(float)
-            other = other[likely(more, less, np.full(len(other), float(sizes[i])), sizes[other].astype(float), percent)]
-            if len(other):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(ids[other], ids[i])), pa.array(np.maximum(ids[other], ids[i]))],
-                    names=["low", "high"])
+            n = np.full(len(other), float(sizes[i]))
+            other = other[likely(more, less, n, sizes[other].astype(float), percent)]
+        if len(other):
+            yield int(i), other
+
 
+def _promising(percent: int):
+    """The rows of each cell that may be similar to some other."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
-                rest = part if rest is None else pa.concat_batches([rest, part])
-                change = np.any([np.diff(np.asarray(rest.column(i))) != 0 for i in range(3)], axis=0)
-                cuts = np.flatnonzero(change) + 1
-                done = 0
-                for cut in cuts:
-                    if cut - done > 1:
-                        yield from pairs(columns(rest.slice(done, cut - done)))
-                    done = int(cut)
-                rest = rest.slice(done)
-        if rest is not None and len(rest) > 1:
-            yield from pairs(columns(rest))
-
-    def columns(cell):
-        return (*(np.asarray(cell.column(i)) for i in (3, 4, 5, 6)), as_registers(cell.column(7)))
+        for cell in _cells(batches):
+            keep = np.zeros(len(cell), bool)
+            for i, other in likely_pairs(cell, percent):
+                keep[i] = True
+                keep[other] = True
+            if keep.any():
+                yield cell.filter(pa.array(keep))
+    return run
 
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _linked(percent: int):
+    """Links between the rows of a cell, verified on the full sets of the texts: enough of them to
+    connect what is connected, so one less than there are rows at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            ids, group = np.asarray(cell.column(3)), np.asarray(cell.column(4)).copy()
+            texts, sets, found = cell.column(8), {}, []
+
+            def set_of(i):
+                if i not in sets:
+                    sets[i] = shingle_sets([texts[i].as_py().encode("utf-8", "surrogatepass").lower()])[0]
+                return sets[i]
+
+            for i, other in likely_pairs(cell, percent):
+                for j in other.tolist():
+                    if group[i] != group[j] and similar(set_of(i), set_of(j), percent):
+                        found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                        group[group == group[j]] = group[i]
+            if found:
+                low, high = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())],
+                                                 names=["low", "high"])
     return run
 
 
@@ -199,9 +241,7 @@ def _verify(percent: int):
             for at, texts in words.slices(batch.column(2)):
                 others = [t.encode("utf-8", "surrogatepass").lower()
                           for t in batch.column(3).slice(at, len(texts)).to_pylist()]
-                for a, b in zip(shingle_sets(texts), shingle_sets(others)):
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
+                keep += [similar(a, b, percent) for a, b in zip(shingle_sets(texts), shingle_sets(others))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
     return run
 
@@ -216,16 +256,22 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """id, root of the classes (id, n, registers) that are linked to a smaller one."""
     bands = written(classes.select("id", "registers").mapInArrow(_bands, "id long, key long"), "bands")
-    shared = bands.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1")
-    members = written(bands.join(shared, "key"), "buckets")
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = written(bands.join(shared, "key"), "shared")
+    company = buckets.groupBy("id").agg(F.sum("size").alias("company"))
+    heads = buckets.join(company, "id").groupBy("key").agg(
+        F.max(F.struct("company", (-F.col("id")).alias("h"))).alias("best")) \
+        .select("key", (-F.col("best.h")).alias("head"))
+    members = written(buckets.join(heads, "key"), "buckets")
     texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
                     .join(members.select("id").distinct(), "id", "left_semi"), "texts")
 
     # the head that a class shares most buckets with
-    heads = members.filter("id > head").groupBy("id", "head").agg(F.count("*").alias("shared")) \
+    first = members.filter("id != head").groupBy("id", "head").agg(F.count("*").alias("shared")) \
         .groupBy("id").agg(F.max(F.struct("shared", (-F.col("head")).alias("h"))).alias("best")) \
-        .select((-F.col("best.h")).alias("low"), F.col("id").alias("high"))
-    links = written(verified(heads, texts, percent), "links")
+        .select(F.col("id"), (-F.col("best.h")).alias("head")) \
+        .select(F.least("id", "head").alias("low"), F.greatest("id", "head").alias("high")).distinct()
+    links = written(verified(first, texts, percent), "links")
     roots = written(components(links), "roots")
 
     rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -238,11 +284,11 @@ def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFra
                 F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
                 .alias("side"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = open_.join(classes, "id").select("key", "i", "j", "id", "root", "n", "side", "registers") \
-        .repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    near = cells.mapInArrow(_alike(percent), "low long, high long").distinct() \
-        .join(heads, ["low", "high"], "left_anti")
-    more = written(verified(written(near, "near"), texts, percent), "links")
+    in_cells = lambda rows: rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    cells = open_.join(classes, "id").select("key", "i", "j", "id", "root", "n", "side", "registers")
+    near = written(in_cells(cells).mapInArrow(_promising(percent), cells.schema), "near")
+    more = written(in_cells(near.join(texts, "id").select(*near.columns, "text"))
+                   .mapInArrow(_linked(percent), "low long, high long"), "links")
     if more.isEmpty():
         return roots
     return components(links.unionByName(more))
