@@ -293,8 +293,8 @@ FROM part WHERE p_partkey % 20 <> 19""",
 SELECT p_partkey AS PRODUCT_CODE, p_name AS PRODUCT_NAME FROM part WHERE p_partkey % 50 <> 7""",
     "scanned": """
 SELECT SALES_DATE AS salesday, CAST(STORE_CODE AS INTEGER) AS store_cd, MEMBER_CODE AS uid,
-       CAST(JAN_CODE AS BIGINT) AS jan, CAST(CAST(SALES_NUMBER AS FLOAT) AS DOUBLE) AS salescnt,
-       CAST(CAST(SALES_AMOUNT AS FLOAT) AS DOUBLE) AS salesamount, PRODUCT_NAME AS name,
+       CAST(JAN_CODE AS BIGINT) AS jan, CAST(SALES_NUMBER AS DOUBLE) AS salescnt,
+       CAST(SALES_AMOUNT AS DOUBLE) AS salesamount, PRODUCT_NAME AS name,
        CATEGORY1_NAME AS lv3_nm, CATEGORY2_NAME AS lv4_nm, CATEGORY3_NAME AS lv5_nm, AGE, GENDER_FLG
 FROM fact JOIN category USING (CATEGORY_KEY) JOIN product USING (PRODUCT_CODE)
 WHERE SALES_AMOUNT > 0""",
@@ -306,8 +306,7 @@ SELECT store_cd, lv4_nm, lv5_nm, jan, uid, sample_amt_jan, CAST(150 + 5 * jan AS
        0.95::DOUBLE - 0.01::DOUBLE * (uid % 7)
          - 0.00025::DOUBLE * ((2 * jan + store_cd) % 5) * dp * dp AS prob_lv5
 FROM (SELECT store_cd, lv4_nm, lv5_nm, jan, uid, SUM(salesamount) AS sample_amt_jan FROM pos
-      WHERE uid IS NOT NULL AND salesamount > 0
-        AND salesday BETWEEN DATE '1998-01-01' AND DATE '1998-01-28' GROUP BY ALL)
+      WHERE uid IS NOT NULL AND salesamount > 0 GROUP BY ALL)
 CROSS JOIN (VALUES (0), (10), (20), (30)) g(dp)""",
     # a running minimum of p + 0.008 * step, brought back to the step, is the stepwise lowered value
     "lowered_lv5": """
@@ -416,14 +415,37 @@ QUERIES = {name: _sql(select) for name, select in {
     "pos_scan": f"SELECT {SCANNED} FROM scanned",
     "pos_scan_left": """
 SELECT SALES_DATE AS salesday, CAST(STORE_CODE AS INTEGER) AS store_cd, MEMBER_CODE AS uid,
-       CAST(JAN_CODE AS BIGINT) AS jan, CAST(CAST(SALES_NUMBER AS FLOAT) AS DOUBLE) AS salescnt,
-       CAST(CAST(SALES_AMOUNT AS FLOAT) AS DOUBLE) AS salesamount, PRODUCT_NAME AS name,
+       CAST(JAN_CODE AS BIGINT) AS jan, CAST(SALES_NUMBER AS DOUBLE) AS salescnt,
+       CAST(SALES_AMOUNT AS DOUBLE) AS salesamount, PRODUCT_NAME AS name,
        CATEGORY1_NAME AS lv3_nm, CATEGORY2_NAME AS lv4_nm, CATEGORY3_NAME AS lv5_nm
 FROM fact LEFT JOIN category USING (CATEGORY_KEY) LEFT JOIN product USING (PRODUCT_CODE)
 WHERE SALES_AMOUNT > 0""",
     "pos_filters": f"""
 SELECT {SCANNED} FROM scanned WHERE salesday BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'
 AND store_cd IN (1, 2, 3, 5, 8) AND lv3_nm = 'area 1'""",
+    "pos_scan_damaged": f"""
+SELECT {SCANNED} FROM scanned WHERE jan % 11 <> 0 AND jan % 13 <> 0 AND jan % 17 <> 0""",
+    "pos_scan_rejects": """
+SELECT CASE WHEN PRODUCT_CODE % 11 = 0 THEN 'A' || JAN_CODE WHEN PRODUCT_CODE % 13 = 0
+            THEN '98765432109876543210' ELSE JAN_CODE END AS JAN_CODE,
+       CASE WHEN PRODUCT_CODE % 17 = 0 THEN 'north' ELSE CAST(STORE_CODE AS VARCHAR) END AS STORE_CODE,
+       COUNT(*) AS lines
+FROM fact WHERE PRODUCT_CODE % 11 = 0 OR PRODUCT_CODE % 13 = 0 OR PRODUCT_CODE % 17 = 0 GROUP BY ALL""",
+    "pos_member_filter": f"SELECT {SCANNED} FROM scanned WHERE uid IN (7, 8, 10, 11)",
+    "pos_names_filter": f"""
+SELECT {SCANNED} FROM scanned WHERE lv4_nm = 'group 1' AND lv5_nm IN ('class 1', 'class 5')""",
+    "item_master_rows": """
+SELECT p_partkey AS jan, p_name AS name, CAST(80.5 AS DOUBLE) AS oprice,
+       CAST(CASE p_partkey % 3 WHEN 0 THEN 50 WHEN 2 THEN 20 END AS DOUBLE) AS max_dprice
+FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 10 <> 1 AND p_partkey % 5 <> 0""",
+    "item_master_rejects": """
+SELECT * FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'X' || p_partkey WHEN p_partkey % 10 = 1 THEN ' '
+                           ELSE CAST(p_partkey AS VARCHAR) END AS jan, p_name AS name,
+                      CASE WHEN p_partkey % 5 = 0 THEN '12,5' ELSE ' 80.5 ' END AS oprice,
+                      CASE p_partkey % 3 WHEN 0 THEN '50.0' WHEN 1 THEN '' ELSE '20' END AS max_dprice,
+                      CASE WHEN p_partkey % 7 = 0 THEN 'unreadable jan' WHEN p_partkey % 10 = 1 THEN 'no jan'
+                           WHEN p_partkey % 5 = 0 THEN 'unreadable oprice' END AS reason FROM part)
+WHERE reason IS NOT NULL""",
     "pos_item_filter": f"SELECT {SCANNED} FROM scanned WHERE jan IN (5, 11, 13)",
     "pos_demographic_filter": f"SELECT {SCANNED} FROM scanned WHERE AGE = 33 AND GENDER_FLG = 1",
     "pos_topk": f"""
@@ -473,6 +495,7 @@ SELECT o_orderkey, STRFTIME(MAKE_TIMESTAMP(o_orderkey * 86399 * 1000000), '%Y-%m
     "cases_zero_single": _zero('CAST("start" + INTERVAL 82 DAY AS TIMESTAMP)'),
     "case_master_up": "SELECT * FROM cases",
     "case_master_zero": "SELECT * FROM zero_cases",
+    "case_master_both": "SELECT * FROM cases UNION ALL SELECT * FROM zero_cases",
     "price_features": f"""
 SELECT {CASE}, aprice - pprice AS dprice, (aprice - pprice) / pprice AS dprice_pct
 FROM cases""",
@@ -538,6 +561,13 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CAST(dprice A
                 + CASE WHEN place <= FLOOR((factor - FLOOR(factor)) * n) THEN 1 ELSE 0 END END)
             AS BIGINT) AS copies
 FROM placed LEFT JOIN factors USING (dprice) GROUP BY ALL""",
+    "median_fill_exact": """
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_linenumber <> 3 THEN l_quantity
+            ELSE (SELECT QUANTILE_DISC(l_quantity, 0.5) FROM lineitem WHERE l_linenumber <> 3) END AS quantity,
+       CASE WHEN l_linenumber <> 5 THEN l_extendedprice
+            ELSE (SELECT QUANTILE_DISC(l_extendedprice, 0.5) FROM lineitem WHERE l_linenumber <> 5) END AS price
+FROM lineitem""",
     "price_grid": f"""
 SELECT {CASE.replace('aprice', 'aprice + dp AS aprice')}, CAST(dp AS INTEGER) AS dp
 FROM cases CROSS JOIN (VALUES (0), (10), (20), (30)) g(dp)""",
@@ -553,6 +583,11 @@ SELECT store_cd, lv4_nm, lv5_nm, jan, uid, sample_amt_jan, pprice, dp,
 SELECT store_cd, lv4_nm, lv5_nm, jan, uid, sample_amt_jan, pprice, dp,
        {_round('prob_jan', 'prob_lv5')} FROM lowered""",
     "simulate_long": f"""
+SELECT store_cd, lv4_nm, lv5_nm, jan, name, uid, pprice, rec_price, max_price, dp,
+       prof_ch, amt_ch, prob5_ch, prof_pre, sample_amt_jan,
+       COALESCE(prof_ch / NULLIF(prof_pre, 0), 0) AS prof_chr,
+       COALESCE(amt_ch / NULLIF(sample_amt_jan, 0), 0) AS amt_chr FROM simulated""",
+    "simulate_repeated_items": f"""
 SELECT store_cd, lv4_nm, lv5_nm, jan, name, uid, pprice, rec_price, max_price, dp,
        prof_ch, amt_ch, prob5_ch, prof_pre, sample_amt_jan,
        COALESCE(prof_ch / NULLIF(prof_pre, 0), 0) AS prof_chr,
@@ -580,7 +615,82 @@ FROM (SELECT s.* EXCLUDE (rec_price), b.rec_price,
       JOIN best b ON b.store_cd = s.store_cd AND b.jan = s.jan)""",
 }.items()}
 
+QUERIES["model_eval_fixed"] = """
+WITH r AS (SELECT CASE WHEN l_quantity + l_partkey % 10 < 40 THEN 1 ELSE 0 END AS label,
+                  1 - FLOOR(l_quantity) / 64 AS prob FROM lineitem
+           WHERE CAST('0x' || SUBSTR(MD5(l_orderkey || '|' || l_linenumber), 1, 8) AS BIGINT) % 5 = 0)
+SELECT (SELECT AVG(CASE WHEN p.prob > n.prob THEN 1.0::DOUBLE WHEN p.prob = n.prob THEN 0.5 ELSE 0 END)
+        FROM r p JOIN r n ON p.label = 1 AND n.label = 0) AS auc,
+       (SELECT AVG(CAST(label AS DOUBLE)) FROM r WHERE prob >= 0.6) AS precision,
+       (SELECT AVG(CASE WHEN prob >= 0.6 THEN 1.0::DOUBLE ELSE 0 END) FROM r WHERE label = 1) AS recall,
+       (SELECT COUNT(*) FROM r) AS rows"""
+
+
+def _many(name: str) -> str:
+    """The same query over 24 items in three categories."""
+    sql = QUERIES[name]
+    for old, new in (("l_partkey % 5", "l_partkey % 24"), ("'lv4' AS lv4_nm", "'group ' || (l_partkey % 24) // 16 AS lv4_nm"),
+                     ("CASE WHEN l_partkey % 24 < 3 THEN 'milk' ELSE 'tea' END AS lv5_nm",
+                      "'class ' || (l_partkey % 24) // 8 AS lv5_nm")):
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+QUERIES |= {f"{name}_many": _many(name) for name in ("kani_mean5", "kani_exp", "kani_global")}
+
+# 24 items of which each two sell alike
+PAIRED = {
+    STEPS["predictions"]: """
+SELECT store_cd, 'group ' || (half % 2) AS lv4_nm, 'class ' || (half % 4) AS lv5_nm,
+       half + shift AS jan, uid, sample_amt_jan, CAST(150 + 5 * half AS DOUBLE) AS pprice,
+       CAST(dp AS INTEGER) AS dp, 0.80::DOUBLE - 0.01::DOUBLE * (uid % 7) - 0.001::DOUBLE * dp AS prob_jan,
+       0.95::DOUBLE - 0.01::DOUBLE * (uid % 7)
+         - 0.00025::DOUBLE * ((2 * half + store_cd) % 5) * dp * dp AS prob_lv5
+FROM (SELECT store_cd, jan AS half, uid, SUM(salesamount) AS sample_amt_jan FROM pos
+      WHERE uid IS NOT NULL AND salesamount > 0 GROUP BY ALL)
+CROSS JOIN (VALUES (0), (10), (20), (30)) g(dp) CROSS JOIN (VALUES (0), (12)) s(shift)""",
+    STEPS["items"]: """
+SELECT DISTINCT p_partkey % 24 AS jan, 'item ' || (p_partkey % 12) AS name,
+       CAST(60 + 5 * (p_partkey % 12) AS DOUBLE) AS oprice,
+       CAST(CASE WHEN p_partkey % 12 % 3 = 0 THEN 20 ELSE 30 END AS DOUBLE) AS max_dprice,
+       CASE WHEN p_partkey % 24 % 7 <> 0 THEN CAST(250 + 50 * (p_partkey % 24) AS DOUBLE) END AS det_val,
+       CASE WHEN p_partkey % 24 % 5 <> 0 THEN 'S' || (p_partkey % 24 % 2) END AS series FROM part""",
+    "l_partkey % 5": "l_partkey % 12",
+}
+
+
+def _paired(sql: str) -> str:
+    for old, new in PAIRED.items():
+        sql = sql.replace(old, new)
+    return sql
+
+
+QUERIES["item_rank_ties"] = _paired(_sql("""
+SELECT store_cd, jan, rec_price, place + (rows_so_far - 1) / 2.0 AS rank_running, CAST(place AS INTEGER) AS rank_lowest,
+       place + (ties - 1) / 2.0 AS rank
+FROM (SELECT *, RANK() OVER (PARTITION BY store_cd, lv4_nm, lv5_nm ORDER BY prof_ch DESC) AS place,
+             COUNT(prof_ch) OVER (PARTITION BY store_cd, lv4_nm, lv5_nm ORDER BY prof_ch DESC) AS rows_so_far,
+             COUNT(*) OVER (PARTITION BY store_cd, lv4_nm, lv5_nm, prof_ch) AS ties
+      FROM (SELECT * REPLACE (ROUND(prof_ch, 4) AS prof_ch) FROM valid
+            QUALIFY ROW_NUMBER() OVER (PARTITION BY store_cd, jan
+                                       ORDER BY ROUND(prof_ch, 4) DESC, rec_price) = 1))"""))
+QUERIES["series_price_cap_many"] = _paired(_sql(f"""
+SELECT {ITEM_RESULT} FROM (
+    SELECT * FROM capped WHERE jan % 5 <> 0 UNION ALL SELECT * FROM best WHERE jan % 5 = 0)"""))
+
+# the same steps from other probabilities, without the dropped item
+QUERIES["batch_recommend"] = QUERIES["best_customer_price"].replace(
+    "predictions AS (\nSELECT", "predictions AS (SELECT * REPLACE ("
+    "LEAST(1, GREATEST(0, 1.5 * prob_jan - 0.25)) AS prob_jan, "
+    "LEAST(1, GREATEST(0, 1.5 * prob_lv5 - 0.25)) AS prob_lv5) FROM (\nSELECT", 1).replace(
+    "g(dp))", "g(dp)) WHERE jan <> 4)", 1)
 # the same cases from sales of a padded period only
 QUERIES["case_master_period"] = QUERIES["case_master_up"].replace(
     "FROM receipts WHERE", "FROM receipts WHERE salesday BETWEEN DATE '1996-10-08' "
     "AND DATE '2000-02-24' AND")
+
+QUERIES["train_days"] = _sql("SELECT * FROM days").replace("uid IS NOT NULL", "uid IS NOT NULL AND uid <> 1") + f"""
+WHERE salesday BETWEEN (SELECT MIN(astart) FROM ({QUERIES["case_master_period"]})) - INTERVAL 63 DAY
+                   AND (SELECT MAX(astart) FROM ({QUERIES["case_master_period"]})) + INTERVAL 34 DAY
+  AND store_cd IN (SELECT store_cd FROM ({QUERIES["case_master_period"]}))"""

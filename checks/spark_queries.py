@@ -11,10 +11,12 @@ from pricelane.functions.predicates import where_clause
 from pricelane.functions.scalars import day_text, offset_day_text
 from pricelane.operators import cases, clean, features, models, periods, probability, sampling, simulate
 from pricelane.plans import pipelines
-from pricelane.schema import CASE, CATEGORY_FEATURES, ITEM_FEATURES, PREDICTION_KEY
+from pricelane.schema import CASE, CATEGORY_FEATURES, ITEM_FEATURES, ITEM_MASTER, PREDICTION_KEY
 from pricelane.sources import pos as pos_source
 from pricelane.sources import sinks
-from pricelane.sources.tables import written
+from pricelane.sources.masters import parse_master
+from pricelane.sources.pos import rejected_lines
+from pricelane.sources.tables import Workspace
 
 
 def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
@@ -58,6 +60,53 @@ def predicate_builder(spark, sf):
         "GENDER_FLG": 1})).select("SALES_DATE", "STORE_CODE", "MEMBER_CODE", "JAN_CODE")
 
 
+def pos_member_filter(spark, sf):
+    return pos_source.scan_pos(*views.star(spark, sf), uid=[7, 8, 10, 11])
+
+
+def pos_names_filter(spark, sf):
+    return pos_source.scan_pos(*views.star(spark, sf), lv4_nm="group 1", lv5_nm=["class 1", "class 5"])
+
+
+def _damaged_fact(spark, sf):
+    """The fact with item and store codes of which some are no numbers or too long."""
+    fact, _, _ = views.star(spark, sf)
+    line = F.col("PRODUCT_CODE")
+    return fact.withColumns({
+        "JAN_CODE": F.when(line % 11 == 0, F.concat(F.lit("A"), "JAN_CODE"))
+        .when(line % 13 == 0, F.lit("98765432109876543210")).otherwise(F.col("JAN_CODE")),
+        "STORE_CODE": F.when(line % 17 == 0, F.lit("north")).otherwise(F.col("STORE_CODE").cast("string"))})
+
+
+def pos_scan_damaged(spark, sf):
+    _, category, product = views.star(spark, sf)
+    return pos_source.scan_pos(_damaged_fact(spark, sf), category, product)
+
+
+def pos_scan_rejects(spark, sf):
+    return rejected_lines(_damaged_fact(spark, sf)).groupBy("JAN_CODE", "STORE_CODE").agg(
+        F.count(F.lit(1)).alias("lines"))
+
+
+def _master_text(spark, sf):
+    """An item master as text, with codes, prices and caps of which some cannot be read."""
+    key = F.col("p_partkey")
+    return views.table(spark, sf, "part").select(
+        F.when(key % 7 == 0, F.concat(F.lit("X"), key)).when(key % 10 == 1, F.lit(" "))
+        .otherwise(key.cast("string")).alias("jan"),
+        F.col("p_name").alias("name"),
+        F.when(key % 5 == 0, F.lit("12,5")).otherwise(F.lit(" 80.5 ")).alias("oprice"),
+        F.when(key % 3 == 0, F.lit("50.0")).when(key % 3 == 1, F.lit("")).otherwise(F.lit("20")).alias("max_dprice"))
+
+
+def item_master_rows(spark, sf):
+    return parse_master(_master_text(spark, sf), ITEM_MASTER).rows
+
+
+def item_master_rejects(spark, sf):
+    return parse_master(_master_text(spark, sf), ITEM_MASTER).rejects
+
+
 def store_list(spark, sf):
     return pos_source.store_list(views.store(spark, sf))
 
@@ -161,14 +210,18 @@ def cases_zero_single(spark, sf):
     return cases.cases_zero(price_periods(spark, sf), CFG, single=True)
 
 
-def case_master_up(spark, sf):
-    return cases.case_master(views.receipts(spark, sf), "up", CFG)
+def case_master_up(spark, sf, count=5):
+    return cases.case_master(views.receipts(spark, sf, count), "up", CFG)
 
 
 def case_master_zero(spark, sf):
     return cases.case_master(views.receipts(spark, sf), "zero", CFG)
 
 
+def case_master_both(spark, sf):
+    return cases.case_master(views.receipts(spark, sf), "both", CFG)
+
+
 def case_master_period(spark, sf):
     return cases.case_master(views.receipts(spark, sf), "up", CFG, ("1997-01-01", "1999-12-31"))
 
@@ -181,9 +234,9 @@ def target_cases(spark, sf):
 
 # -- samples ---------------------------------------------------------------------------------------
 
-def _days(spark, sf):
-    """Customer days, written once as in the pipelines because every step reads them."""
-    return written(clean.member_days(views.pos(spark, sf), CFG), "days")
+def _days(spark, sf, count=5):
+    """Customer days, kept because every step reads them."""
+    return clean.member_days(views.pos(spark, sf, count), CFG).persist()
 
 
 def sample_customers(spark, sf):
@@ -194,12 +247,17 @@ def sample_customers_zero(spark, sf):
     return sampling.sample_customers(case_master_zero(spark, sf), _days(spark, sf), CFG)
 
 
+def train_days(spark, sf):
+    """The customer days that training on a period keeps."""
+    return pipelines.training_days(views.pos(spark, sf), case_master_period(spark, sf), CFG, guest_uid=1)
+
+
 def labels_case(spark, sf):
     return sampling.sample_customers(case_master_up(spark, sf), _days(spark, sf), CFG, "case")
 
 
 def labels_item(spark, sf):
-    cases_up = written(case_master_up(spark, sf), "cases")
+    cases_up = case_master_up(spark, sf).persist()
     return sampling.sample_customers(cases_up, _days(spark, sf), CFG, "item")
 
 
@@ -224,10 +282,10 @@ def price_features(spark, sf):
     return features.price_features(case_master_up(spark, sf))
 
 
-def _sample(spark, sf, scope="case") -> tuple[DataFrame, DataFrame]:
-    """Sample base and customer days, both written."""
-    days = _days(spark, sf)
-    base = written(sampling.sample_customers(case_master_up(spark, sf), days, CFG), "base")
+def _sample(spark, sf, scope="case", count=5) -> tuple[DataFrame, DataFrame]:
+    """Sample base and customer days, both kept."""
+    days = _days(spark, sf, count)
+    base = sampling.sample_customers(case_master_up(spark, sf, count), days, CFG).persist()
     return base, features.feature_days(base, days, CFG) if scope == "global" else days
 
 
@@ -293,6 +351,18 @@ def kani_exp(spark, sf):
     return _kani(features.cannibalisation_features(*_sample(spark, sf), CFG, mean="exponential"))
 
 
+def kani_mean5_many(spark, sf):
+    return _kani(features.cannibalisation_features(*_sample(spark, sf, "case", views.MANY), CFG))
+
+
+def kani_exp_many(spark, sf):
+    return _kani(features.cannibalisation_features(*_sample(spark, sf, "case", views.MANY), CFG, mean="exponential"))
+
+
+def kani_global_many(spark, sf):
+    return _kani(features.cannibalisation_features(*_sample(spark, sf, "global", views.MANY), CFG, "global"))
+
+
 def kani_top_sales(spark, sf):
     lines = clean.clip_noise(clean.member_sales(views.pos(spark, sf)), CFG, "exact")
     return rounded(features.top_sales_mean(lines), 6, "kani_score")
@@ -332,6 +402,21 @@ def median_fill(spark, sf):
     return models.fill_medians(lines, models.medians(lines, ["quantity", "price"]))
 
 
+def median_fill_exact(spark, sf):
+    lines = views.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("quantity"),
+        F.when(F.col("l_linenumber") != 5, F.col("l_extendedprice")).alias("price"))
+    return models.fill_medians(lines, models.medians(lines, ["quantity", "price"], error=0.0))
+
+
+def model_eval_fixed(spark, sf):
+    """The measures of deterministic scores with many ties, on the rows that are held out."""
+    lines = views.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", ((F.col("l_quantity") + F.col("l_partkey") % 10 < 40)).cast("int").alias("label"),
+        (1 - F.floor("l_quantity") / 64).alias("prob"))
+    return models.evaluate(lines.where(models.held_out(["l_orderkey", "l_linenumber"])), "label", "prob", 0.6)
+
+
 def _trained(spark, sf) -> pipelines.Training:
     return pipelines.train(views.pos(spark, sf), views.packs(spark, sf), CFG,
                            options_zero=models.FitOptions({"seed": 1}, {"seed": 1}),
@@ -346,8 +431,11 @@ def model_predict(spark, sf):
 
 def model_eval(spark, sf):
     trained = _trained(spark, sf)
+    keys = [*PREDICTION_KEY, "label_jan"]
+    unseen = models.held_out([*CASE, "uid"])
+    fitted = models.fit_models(trained.features_up.where(~unseen), models.FitOptions({"seed": 1}, {"seed": 1}))
     scored = probability.grid_to_wide(models.predict(
-        trained.features_up, trained.zero, trained.up, CFG, [*PREDICTION_KEY, "label_jan"]), CFG)
+        trained.features_up.where(unseen), trained.zero, fitted, CFG, keys), CFG)
     return models.evaluate(scored, "label_jan", "prob_jan_10")
 
 
@@ -370,6 +458,23 @@ def _simulated(spark, sf):
     return simulate.simulate(_grid(spark, sf), views.item_master(spark, sf), CFG)
 
 
+def batch_recommend(spark, sf):
+    """All steps after the models, for all stores, from deterministic probabilities that fall outside
+    [0, 1] and rise with the price here and there."""
+    spread = views.predictions(spark, sf).withColumns({p: 1.5 * F.col(p) - 0.25 for p in probability.PROBS})
+    kept = pos_source.drop_items(views.item_master(spark, sf), views.dropped(spark, sf))
+    grid = probability.grid_from_long(spread.join(kept.select("jan"), "jan", "left_semi"), PREDICTION_KEYS)
+    return pipelines.recommend(grid, kept, CFG, work=Workspace(spark, persist=True)).customers
+
+
+def simulate_repeated_items(spark, sf):
+    """An item master that holds every item three times, once with an unknown cost price."""
+    items = views.item_master(spark, sf)
+    more = items.withColumns({"oprice": F.col("oprice") + 9, "name": F.concat("name", F.lit(" old"))})
+    gaps = items.withColumns({"oprice": F.lit(None).cast("double"), "name": F.lit(" first")})
+    return simulate.simulate(_grid(spark, sf), items.unionByName(more).unionByName(gaps), CFG)
+
+
 def price_grid(spark, sf):
     return probability.price_grid(case_master_up(spark, sf), CFG)
 
@@ -413,22 +518,45 @@ def series_price_cap(spark, sf):
                    6, *TOTALS)
 
 
+def _simulated_many(spark, sf):
+    grid = probability.grid_from_long(views.predictions_many(spark, sf), PREDICTION_KEYS)
+    return simulate.simulate(grid, views.items_many(spark, sf).select("jan", "name", "oprice", "max_dprice"), CFG)
+
+
+def item_rank_ties(spark, sf):
+    # sums of fractions differ in their last digits, which would break the ties
+    valid = simulate.valid_item_prices(_simulated_many(spark, sf), CFG)
+    best = simulate.most_profitable(rounded(valid, 4, "prof_ch"))
+    running = simulate.rank_items(best, "running").withColumnRenamed("rank", "rank_running")
+    lowest = simulate.rank_items(running, "lowest").withColumnRenamed("rank", "rank_lowest")
+    return simulate.rank_items(lowest, "average").select(
+        "store_cd", "jan", "rec_price", "rank_running", "rank_lowest", "rank")
+
+
+def series_price_cap_many(spark, sf):
+    best = simulate.best_item_price(_simulated_many(spark, sf), CFG, views.items_many(spark, sf))
+    return rounded(best, 6, *TOTALS).drop("rank")
+
+
 def best_customer_price(spark, sf):
     simulated = _simulated(spark, sf)
     return simulate.best_customer_price(simulated, simulate.best_item_price(simulated, CFG))
 
 
 QUERIES = {f.__name__: f for f in (
-    pos_scan, pos_scan_left, pos_filters, pos_item_filter, pos_demographic_filter, pos_topk,
+    pos_scan, pos_scan_left, pos_scan_damaged, pos_scan_rejects, pos_member_filter, pos_names_filter,
+    item_master_rows, item_master_rejects, pos_filters, pos_item_filter, pos_demographic_filter, pos_topk,
     predicate_builder, store_list, store_lookup, item_drop_anti, flagged_rows,
     unit_price, member_filter, noise_clip, noise_clip_exact, member_days, null_profile,
     date_offset, epoch_date,
     day_price, price_periods, price_periods_many, cases_up, cases_up_lead_first, cases_zero,
-    cases_zero_single, case_master_up, case_master_zero, case_master_period, target_cases,
-    sample_customers, sample_customers_zero, labels_case, labels_item,
+    cases_zero_single, case_master_up, case_master_zero, case_master_both, case_master_period, target_cases,
+    sample_customers, sample_customers_zero, train_days, labels_case, labels_item,
     pack_size_category, pack_size_category_all, price_features,
     rfm_global, rfm_case, rfm_rank_norm, rfm_levels, loyalty, loyalty_global, pscore, pscore_global,
-    kani_mean5, kani_global, kani_exp, kani_top_sales, features_all, features_all_global,
-    oversample, median_fill, model_predict, model_eval, batch_predict,
-    price_grid, prob_pivot, clamp_prob, monotone_prob, simulate_long, best_item_price,
-    item_rank_avg, series_price_cap, best_customer_price)}
+    kani_mean5, kani_global, kani_exp, kani_mean5_many, kani_exp_many,
+    kani_global_many, kani_top_sales, features_all, features_all_global,
+    oversample, median_fill, median_fill_exact, model_eval_fixed, model_predict, model_eval, batch_predict,
+    price_grid, prob_pivot, clamp_prob, monotone_prob, simulate_long, simulate_repeated_items,
+    batch_recommend, best_item_price,
+    item_rank_avg, item_rank_ties, series_price_cap, series_price_cap_many, best_customer_price)}

@@ -15,8 +15,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _receipt_columns(*more: str) -> list:
-    jan = F.col("l_partkey") % 5
+#: Items of the second view: three categories of eight, two groups.
+MANY = 24
+
+
+def _receipt_columns(*more: str, count: int = 5) -> list:
+    jan = F.col("l_partkey") % count
     day = F.col("l_shipdate").cast("date")
     units = 1 + F.col("l_quantity").cast("int") % 8
     steps = F.floor(F.datediff(day, F.lit("1995-01-01").cast("date")) / (150 + 25 * jan))
@@ -29,23 +33,25 @@ def _receipt_columns(*more: str) -> list:
         units.cast("double").alias("salescnt"),
         (paid * units * (100 + 10 * jan + 10 * steps)).cast("double").alias("salesamount"),
         F.concat(F.lit("item "), jan.cast("string")).alias("name"),
-        F.lit("lv3").alias("lv3_nm"), F.lit("lv4").alias("lv4_nm"),
-        F.when(jan < 3, "milk").otherwise("tea").alias("lv5_nm"),
+        F.lit("lv3").alias("lv3_nm"),
+        (F.lit("lv4") if count == 5 else F.concat(F.lit("group "), F.floor(jan / 16).cast("string"))).alias("lv4_nm"),
+        (F.when(jan < 3, "milk").otherwise("tea") if count == 5 else
+         F.concat(F.lit("class "), F.floor(jan / 8).cast("string"))).alias("lv5_nm"),
     ]
 
 
-def receipts(spark: SparkSession, folder: str) -> DataFrame:
+def receipts(spark: SparkSession, folder: str, count: int = 5) -> DataFrame:
     """Receipt lines without the member, for everything that is about shelves."""
-    return table(spark, folder, "lineitem").select(*_receipt_columns())
+    return table(spark, folder, "lineitem").select(*_receipt_columns(count=count))
 
 
-def pos(spark: SparkSession, folder: str) -> DataFrame:
+def pos(spark: SparkSession, folder: str, count: int = 5) -> DataFrame:
     """Receipt lines with the member; every fiftieth customer is unknown."""
     member = F.when(F.col("o_custkey") % 50 != 0, F.col("o_custkey")).alias("uid")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     return (table(spark, folder, "lineitem")
             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .select(*_receipt_columns(member)))
+            .select(*_receipt_columns(member, count=count)))
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,11 +117,10 @@ def store(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Deterministic probabilities for every member who bought an item in January 1998."""
+    """Deterministic probabilities for every member who bought an item."""
     keys = ["store_cd", "lv4_nm", "lv5_nm", "jan", "uid"]
     bought = (pos(spark, folder)
-              .where("uid IS NOT NULL AND salesamount > 0 "
-                     "AND salesday BETWEEN DATE '1998-01-01' AND DATE '1998-01-28'")
+              .where("uid IS NOT NULL AND salesamount > 0")
               .groupBy(*keys).agg(F.sum("salesamount").alias("sample_amt_jan")))
     wear = 0.01 * (F.col("uid") % 7)
     slope = 0.00025 * ((2 * F.col("jan") + F.col("store_cd")) % 5)
@@ -127,4 +132,35 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
             .withColumn("prob_jan", 0.80 - wear + drift * F.col("dp")))
 
 
+def predictions_many(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for 24 items, of which each two have equal sales and prices and so equal profits."""
+    keys = ["store_cd", "lv4_nm", "lv5_nm", "jan", "uid"]
+    bought = (pos(spark, folder, MANY // 2).where("uid IS NOT NULL AND salesamount > 0")
+              .groupBy("store_cd", "jan", "uid").agg(F.sum("salesamount").alias("sample_amt_jan"))
+              .withColumn("half", F.col("jan"))
+              .withColumn("jan", F.explode(F.array(F.col("half"), F.col("half") + MANY // 2)))
+              .withColumn("lv4_nm", F.concat(F.lit("group "), (F.col("half") % 2).cast("string")))
+              .withColumn("lv5_nm", F.concat(F.lit("class "), (F.col("half") % 4).cast("string"))))
+    slope = 0.00025 * ((2 * F.col("half") + F.col("store_cd")) % 5)
+    wear = 0.01 * (F.col("uid") % 7)
+    return (bought
+            .withColumn("pprice", (150 + 5 * F.col("half")).cast("double"))
+            .withColumn("dp", F.explode(F.array(*(F.lit(dp) for dp in CFG.grid))))
+            .withColumn("prob_lv5", 0.95 - wear - slope * F.col("dp") * F.col("dp"))
+            .withColumn("prob_jan", 0.80 - wear - 0.001 * F.col("dp"))
+            .select(*keys, "sample_amt_jan", "pprice", "dp", "prob_lv5", "prob_jan"))
+
+
+def items_many(spark: SparkSession, folder: str) -> DataFrame:
+    """Masters of the 24 items: every fifth has no series, every seventh no known pack content."""
+    jan = F.col("jan")
+    half = jan % (MANY // 2)
+    return (table(spark, folder, "part").select((F.col("p_partkey") % MANY).alias("jan")).distinct()
+            .select("jan", F.concat(F.lit("item "), half.cast("string")).alias("name"),
+                    (60 + 5 * half).cast("double").alias("oprice"),
+                    F.when(half % 3 == 0, 20.0).otherwise(30.0).alias("max_dprice"),
+                    F.when(jan % 7 != 0, (250 + 50 * jan).cast("double")).alias("det_val"),
+                    F.when(jan % 5 != 0, F.concat(F.lit("S"), (jan % 2).cast("string"))).alias("series")))
+
+
 PREDICTION_KEYS = ["store_cd", "lv4_nm", "lv5_nm", "jan", "uid", "sample_amt_jan", "pprice"]

@@ -44,6 +44,7 @@ def rows_before(df: DataFrame, by: list[str], column: str, descending: bool,
                           .otherwise(F.lit(0) if calendar else _bucket(F.col("_value"))))
               .groupBy(*by, "_bucket", "_null", "_value")
               .agg(F.count(F.lit(1)).alias("_n")))
+    # without groups one task orders the days of the calendar, or the buckets: both are bounded
     group = Window.partitionBy(*(by or [F.lit(0)]))
     if calendar:
         before = F.sum("_n").over(_preceding(group.orderBy("_bucket", "_value")))
@@ -60,6 +61,18 @@ def rows_before(df: DataFrame, by: list[str], column: str, descending: bool,
                     (F.col("_inside") + F.col("_lower")).alias("_before"), "_total"))
 
 
+def running_below(counts: DataFrame, value: str, amount: str) -> DataFrame:
+    """Add `below`: the sum of `amount` over the rows with a smaller `value`. Values are distinct."""
+    rows = counts.withColumn("_bucket", _bucket(F.col(value)))
+    inside = F.sum(amount).over(_preceding(Window.partitionBy("_bucket").orderBy(value)))
+    # one row per bucket, a bounded number for all finite doubles
+    lower = F.sum("_size").over(_preceding(Window.partitionBy(F.lit(0)).orderBy("_bucket")))
+    totals = rows.groupBy("_bucket").agg(F.sum(amount).alias("_size")) \
+        .select("_bucket", F.coalesce(lower, F.lit(0)).alias("_lower"))
+    return (rows.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(totals, "_bucket")
+            .withColumn("below", F.col("_inside") + F.col("_lower")).drop("_bucket", "_inside", "_lower"))
+
+
 def with_rank_scores(df: DataFrame, by: list[str], scores: dict[str, tuple[str, bool]],
                      form: str = "percent", calendar: frozenset[str] = frozenset()) -> DataFrame:
     """Add one relative rank per entry of `scores` (new column -> (value column, descending)).

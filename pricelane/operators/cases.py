@@ -9,7 +9,7 @@ from pricelane.config import PricingConfig
 from pricelane.functions.scalars import offset_day
 from pricelane.operators.clean import price_rows
 from pricelane.operators.periods import SHELF, price_periods, shelf_days
-from pricelane.schema import CASE, ITEM
+from pricelane.schema import CASE
 
 
 def cases_up(periods: DataFrame, cfg: PricingConfig, lead_first: bool = False) -> DataFrame:
@@ -67,6 +67,17 @@ def padded_period(pos: DataFrame, period: tuple[str, str], cfg: PricingConfig) -
         F.lit(offset_day(period[1], cfg.thd_alen + 10)).cast("date")))
 
 
+def category_changes(shelves: DataFrame) -> DataFrame:
+    """Per shelf the days on which its category changed, with the new one: one entry unless an item
+    was moved. Of two categories on one day the larger name counts."""
+    daily = shelves.groupBy(*SHELF, "salesday").agg(F.max(F.struct("lv4_nm", "lv5_nm")).alias("category"))
+    before = F.lag("category").over(Window.partitionBy(*SHELF).orderBy("salesday"))
+    return (daily.withColumn("_before", before)
+            .where(F.col("_before").isNull() | ~F.col("category").eqNullSafe(F.col("_before")))
+            .groupBy(*SHELF)
+            .agg(F.collect_list(F.struct("salesday", "category.lv4_nm", "category.lv5_nm")).alias("categories")))
+
+
 def cases_on_shelves(shelves: DataFrame, case_type: str, cfg: PricingConfig,
                      lead_first: bool = False) -> DataFrame:
     """All cases in a table of `shelf_days`, with the category of the item."""
@@ -78,8 +89,10 @@ def cases_on_shelves(shelves: DataFrame, case_type: str, cfg: PricingConfig,
     up = cases_up(periods, cfg, lead_first).select(*columns)
     zero = cases_zero(periods, cfg).select(*columns)
     cases = {"up": up, "zero": zero, "both": up.unionByName(zero)}[case_type]
-    categories = shelves.select(*SHELF, "lv4_nm", "lv5_nm").distinct()
-    return cases.join(categories, SHELF, "left").select(*CASE)
+    known = F.array_max(F.filter("categories", lambda c: c["salesday"] <= F.col("astart")))
+    return (cases.join(category_changes(shelves), SHELF, "left")
+            .withColumn("_category", known)
+            .select(*CASE[:1], "_category.lv4_nm", "_category.lv5_nm", *CASE[3:]))
 
 
 def case_master(pos: DataFrame, case_type: str, cfg: PricingConfig,
@@ -95,18 +108,17 @@ def case_master(pos: DataFrame, case_type: str, cfg: PricingConfig,
 
 def target_cases(pos: DataFrame, upday: str, dprice: int, cfg: PricingConfig,
                  items: DataFrame | None = None) -> DataFrame:
-    """Items sold at a single price in the `thd_plen` days before `upday`, to be raised by `dprice`."""
+    """Items sold at a single price in the `thd_plen` days before `upday`, to be raised by `dprice`, with
+    the category of their last day."""
     rows = price_rows(pos.where(F.col("salesday").between(
         F.lit(offset_day(upday, -cfg.thd_plen)).cast("date"),
         F.lit(offset_day(upday, -1)).cast("date"))))
     if items is not None:
         rows = rows.join(items.select("jan").distinct(), "jan", "left_semi")
-    shelf = Window.partitionBy(*SHELF)
-    return (rows.groupBy(*SHELF, "lv4_nm", "lv5_nm")
-            .agg(F.min("price").alias("low"), F.max("price").alias("high"))
-            .withColumn("shelf_low", F.min("low").over(shelf))
-            .withColumn("shelf_high", F.max("high").over(shelf))
-            .where(F.col("shelf_low") == F.col("shelf_high"))
-            .select(*ITEM, F.col("low").alias("pprice"),
+    return (rows.groupBy(*SHELF)
+            .agg(F.min("price").alias("low"), F.max("price").alias("high"),
+                 F.max(F.struct("salesday", "lv4_nm", "lv5_nm")).alias("_last"))
+            .where(F.col("low") == F.col("high"))
+            .select("store_cd", "_last.lv4_nm", "_last.lv5_nm", "jan", F.col("low").alias("pprice"),
                     (F.col("low") + F.lit(float(dprice))).alias("aprice"),
                     F.lit(upday).cast("date").alias("astart")))

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from pricelane.config import PricingConfig
 from pricelane.functions.scalars import ratio
+from pricelane.schema import NO_CATEGORY
+
+
+def with_categories(pos: DataFrame) -> DataFrame:
+    """Sales of an unknown category get one of their own; a NULL key would drop out of every join."""
+    return pos.fillna(NO_CATEGORY, ["lv4_nm", "lv5_nm"])
 
 
 def positive_sales(pos: DataFrame) -> DataFrame:
@@ -16,7 +22,7 @@ def positive_sales(pos: DataFrame) -> DataFrame:
 def price_rows(pos: DataFrame) -> DataFrame:
     """Positive sales with the unit price rounded to two places."""
     price = F.round(ratio(F.col("salesamount"), F.col("salescnt")), 2)
-    return (positive_sales(pos)
+    return (with_categories(positive_sales(pos))
             .select("salesday", "store_cd", "lv4_nm", "lv5_nm", "jan", "salescnt", "salesamount",
                     price.alias("price")))
 
@@ -52,7 +58,7 @@ def member_days(pos: DataFrame, cfg: PricingConfig, guest_uid=None) -> DataFrame
 
     Sampling and all features start from this table, so receipt lines are read and shuffled once.
     """
-    return (clip_noise(member_sales(pos, guest_uid), cfg)
+    return (clip_noise(with_categories(member_sales(pos, guest_uid)), cfg)
             .groupBy("store_cd", "lv4_nm", "lv5_nm", "jan", "uid", "salesday")
             .agg(F.sum("salesamount").alias("salesamount"), F.sum("salescnt").alias("salescnt")))
 

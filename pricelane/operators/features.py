@@ -38,31 +38,35 @@ def feature_days(base: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataFr
 
 # -- sales in the feature window -------------------------------------------------------------------
 
+BASKET = [*CATEGORY, "uid", "astart"]
+
+
 def _window_totals(rows: DataFrame, by: list[str], sales: DataFrame, keys: list[str],
                    sums: list[str], cfg: PricingConfig) -> DataFrame:
-    """Per row key `by`: last day, number of days and sums of the sales with equal `keys` in the
-    feature window of the row's case.
-
-    Only the key columns of a row travel through the join with the sales. The totals of all features
-    have the same keys, so the wide rows are shuffled once for all of them.
-    """
-    daily = sales
-    if set(keys) != {*ITEM, "uid"}:  # otherwise the sales are one row per day already
-        daily = sales.groupBy(*keys, "salesday").agg(*(F.sum(c).alias(c) for c in sums))
+    """Per row key `by`: sums of the sales of all customers with equal `keys` in the feature window."""
+    daily = sales.groupBy(*keys, "salesday").agg(*(F.sum(c).alias(c) for c in sums))
     narrow = rows.select(*dict.fromkeys([*by, *keys]))
     return (sales_in_window(narrow, daily, keys, -cfg.feature_len, -1, cfg)
-            .groupBy(*by)
-            .agg(F.max("salesday").alias("last_day"), F.count(F.lit(1)).alias("n_days"),
-                 *(F.sum(c).alias(c) for c in sums)))
+            .groupBy(*by).agg(*(F.sum(c).alias(c) for c in sums)))
+
+
+def member_windows(rows: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataFrame:
+    """The customer days in the feature windows of `rows` (store_cd, uid, astart), all categories.
+
+    A member's cases of one store and change day share a window, so each of its days is met once,
+    however many rows of the sample it has. All member features are sums over this table.
+    """
+    asked = rows.select("store_cd", "uid", "astart").distinct()
+    return sales_in_window(asked, days, ["store_cd", "uid"], -cfg.feature_len, -1, cfg)
 
 
-def _with_spending(base: DataFrame, sample: DataFrame, days: DataFrame, level: str, suffix: str,
-                   cfg: PricingConfig) -> DataFrame:
-    """Last day, number of days (f) and amount (m) of the member's purchases in the feature window."""
-    totals = _window_totals(sample, ROW, days, [*LEVELS[level], "uid"], ["salesamount"], cfg)
-    return base.join(totals.select(*ROW, F.col("last_day").alias(f"last_day{suffix}"),
-                                   F.col("n_days").alias(f"f{suffix}"),
-                                   F.col("salesamount").alias(f"m{suffix}")), ROW, "left")
+def _spending(window: DataFrame, level: str) -> DataFrame:
+    """Last day, number of days (f) and amount (m) per member, change day and store, category or item."""
+    keys = [*LEVELS[level], "uid", "astart"]
+    # of one item there is one row per day
+    n_days = F.count(F.lit(1)) if level == "jan" else F.count_distinct("salesday")
+    return window.groupBy(*keys).agg(F.max("salesday").alias("last_day"), n_days.alias("f"),
+                                     F.sum("salesamount").alias("m"))
 
 
 # -- price -----------------------------------------------------------------------------------------
@@ -88,8 +92,14 @@ def _score_columns(df: DataFrame, by: list[str], form: str, *suffixes: str) -> D
     return out
 
 
+def _scored(base: DataFrame, spent: DataFrame, by: list[str], form: str, *suffixes: str) -> DataFrame:
+    """Ranks are taken in a narrow frame of row keys and values, which joins the wide rows once."""
+    values = [f"{c}{suffix}" for suffix in suffixes for c in "rfm"]
+    return base.join(_score_columns(spent.select(*ROW, *values), by, form, *suffixes), ROW, "left")
+
+
 def rfm_features(base: DataFrame, days: DataFrame, cfg: PricingConfig, scope: str = "case",
-                 form: str = "percent") -> DataFrame:
+                 form: str = "percent", window: DataFrame | None = None) -> DataFrame:
     """Days since the last purchase (r), days with a purchase (f) and amount (m) of each member,
     their relative ranks, and two mixed scores.
 
@@ -101,33 +111,35 @@ def rfm_features(base: DataFrame, days: DataFrame, cfg: PricingConfig, scope: st
             F.max("salesday").alias("last_day"),
             F.count_distinct("salesday").alias("f"),
             F.sum("salesamount").alias("m"))
-        spent = base.join(totals, "uid", "left")
+        spent = base.select(*ROW).join(totals, "uid", "left")
     else:
-        spent = _with_spending(base, base, days, "store", "", cfg)
-    spent = spent.withColumn("r", F.datediff("astart", "last_day")).drop("last_day")
-    return _score_columns(spent, CASE if scope == "case" else [], form, "")
+        window = member_windows(base, days, cfg) if window is None else window
+        spent = base.select(*ROW).join(_spending(window, "store"), ["store_cd", "uid", "astart"], "left")
+    spent = spent.withColumn("r", F.datediff("astart", "last_day"))
+    return _scored(base, spent, CASE if scope == "case" else [], form, "")
 
 
 def rfm_level_features(base: DataFrame, days: DataFrame, cfg: PricingConfig,
-                       form: str = "percent") -> DataFrame:
+                       form: str = "percent", window: DataFrame | None = None) -> DataFrame:
     """The same scores per case, once from purchases of the item (`_jan`) and once from purchases of
     its category (`_lv5`); r counts up to the last day before the change."""
-    out = base
+    window = member_windows(base, days, cfg) if window is None else window
+    spent = base.select(*ROW)
     for level in ("jan", "lv5"):
-        last_day = f"last_day_{level}"
-        out = (_with_spending(out, base, days, level, f"_{level}", cfg)
-               .withColumn(f"r_{level}", F.datediff(F.date_add("astart", -1), last_day))
-               .drop(last_day))
-    return _score_columns(out, CASE, form, "_jan", "_lv5")
+        found = _spending(window, level).withColumnsRenamed({c: f"{c}_{level}" for c in ("last_day", "f", "m")})
+        spent = spent.join(found, [*LEVELS[level], "uid", "astart"], "left").withColumn(
+            f"r_{level}", F.datediff(F.date_add("astart", -1), f"last_day_{level}"))
+    return _scored(base, spent, CASE, form, "_jan", "_lv5")
 
 
 # -- loyalty ---------------------------------------------------------------------------------------
 
 def loyalty_features(base: DataFrame, days: DataFrame, cfg: PricingConfig, scope: str = "case",
-                     sample: DataFrame | None = None) -> DataFrame:
+                     sample: DataFrame | None = None, window: DataFrame | None = None) -> DataFrame:
     """Share of the item in what the member spends (m) and how often it buys (f) in the category."""
     _check_scope(scope)
-    sample = base if sample is None else sample
+    if scope == "case" and window is None:
+        window = member_windows(base if sample is None else sample, days, cfg)
     out = base
     for level, keys in (("lv5", ["uid", "lv5_nm"]), ("jan", ["uid", "jan"])):
         if scope == "global":
@@ -136,8 +148,9 @@ def loyalty_features(base: DataFrame, days: DataFrame, cfg: PricingConfig, scope
                 F.count_distinct("salesday").alias(f"f_{level}"))
             out = out.join(totals, keys, "left")
         else:
-            out = _with_spending(out, sample, days, level, f"_{level}", cfg) \
-                .drop(f"last_day_{level}")
+            found = _spending(window, level).drop("last_day") \
+                .withColumnsRenamed({c: f"{c}_{level}" for c in "fm"})
+            out = out.join(found, [*LEVELS[level], "uid", "astart"], "left")
     return (out.withColumn("jan_loy_m", ratio(F.col("m_jan"), F.col("m_lv5"), 0.0))
             .withColumn("jan_loy_f", ratio(F.col("f_jan"), F.col("f_lv5"), 0.0))
             .withColumn("jan_loy", (F.col("jan_loy_m") + F.col("jan_loy_f")) / 2))
@@ -145,8 +158,13 @@ def loyalty_features(base: DataFrame, days: DataFrame, cfg: PricingConfig, scope
 
 # -- price sensitivity -----------------------------------------------------------------------------
 
-def one_row_per_item(master: DataFrame, column: str) -> DataFrame:
-    return master.groupBy("jan").agg(F.min(column).alias(column))
+def one_row_per_item(master: DataFrame, *columns: str) -> DataFrame:
+    """The master cut to one whole row per item: the row with the fewest NULLs, then the smallest
+    values. Without `columns` it keeps all of them."""
+    values = F.struct(*(columns or [c for c in master.columns if c != "jan"]))
+    gaps = sum((values[c].isNull().cast("int") for c in (columns or master.columns) if c != "jan"), F.lit(0))
+    return master.groupBy("jan").agg(F.min_by(values, F.struct(gaps, values)).alias("_row")) \
+        .select("jan", "_row.*")
 
 
 def pack_size_category(df: DataFrame, cfg: PricingConfig, suffix_all: bool = False) -> DataFrame:
@@ -182,7 +200,8 @@ def _pscore_columns(df: DataFrame, cfg: PricingConfig) -> DataFrame:
 
 def price_sensitivity_features(base: DataFrame, days: DataFrame, packs: DataFrame,
                                cfg: PricingConfig, scope: str = "case",
-                               sample: DataFrame | None = None) -> DataFrame:
+                               sample: DataFrame | None = None,
+                               window: DataFrame | None = None) -> DataFrame:
     """Price per content of the item and of what the member buys, relative to the category.
 
     Scope "global" takes the category of an item from the cases, so only items with a case count
@@ -191,8 +210,10 @@ def price_sensitivity_features(base: DataFrame, days: DataFrame, packs: DataFram
     _check_scope(scope)
     sample = base if sample is None else sample
     packs = one_row_per_item(packs, "det_val")
-    prices = _unit_prices_global if scope == "global" else _unit_prices_of_case
-    return _pscore_columns(prices(base, sample, days, packs, cfg), cfg)
+    if scope == "global":
+        return _pscore_columns(_unit_prices_global(base, sample, days, packs, cfg), cfg)
+    window = member_windows(sample, days, cfg) if window is None else window
+    return _pscore_columns(_unit_prices_of_case(base, sample, days, packs, cfg, window), cfg)
 
 
 def _cases_of(sample: DataFrame) -> DataFrame:
@@ -227,24 +248,29 @@ def _unit_prices_global(base: DataFrame, sample: DataFrame, days: DataFrame, pac
 
 
 def _unit_prices_of_case(base: DataFrame, sample: DataFrame, days: DataFrame, packs: DataFrame,
-                         cfg: PricingConfig) -> DataFrame:
-    sized = pack_size_category(days.join(packs, "jan"), cfg).withColumn(
-        "volume", F.col("det_val") * F.col("salescnt"))
+                         cfg: PricingConfig, window: DataFrame) -> DataFrame:
+    def sized(sales):
+        return pack_size_category(sales.join(packs, "jan"), cfg).withColumn(
+            "volume", F.col("det_val") * F.col("salescnt"))
 
     pack_category = [*CATEGORY, "plv5_nm"]
     price = _unit_price(F.col("salesamount"), F.col("volume"))
+    # the two case prices need the sales of all customers, but not by customer
+    sold = sized(days.groupBy(*ITEM, "salesday").agg(
+        F.sum("salesamount").alias("salesamount"), F.sum("salescnt").alias("salescnt")))
 
-    def totals(rows: DataFrame, by: list[str], keys: list[str], name: str) -> DataFrame:
-        return (_window_totals(rows, by, sized, keys, ["salesamount", "volume"], cfg)
-                .select(*by, price.alias(name), F.col("n_days").alias("ndays")))
+    def totals(keys: list[str], name: str) -> DataFrame:
+        return (_window_totals(cases, CASE, sold, keys, ["salesamount", "volume"], cfg)
+                .select(*CASE, price.alias(name)))
 
     cases = pack_size_category(_cases_of(sample).join(packs, "jan"), cfg).drop("det_val")
-    tagged = base.join(
-        cases.join(totals(cases, CASE, ITEM, "unitp_item").drop("ndays"), CASE, "left")
-        .join(totals(cases, CASE, pack_category, "unitp_cate").drop("ndays"), CASE, "left"),
-        CASE, "left")
-    members = sample.select(*ROW).join(cases.select(*CASE, "plv5_nm"), CASE)
-    return tagged.join(totals(members, ROW, [*pack_category, "uid"], "unitp_uid"), ROW, "left")
+    priced = (cases.join(totals(ITEM, "unitp_item"), CASE, "left")
+              .join(totals(pack_category, "unitp_cate"), CASE, "left"))
+    members = (sized(window).groupBy(*pack_category, "uid", "astart")
+               .agg(F.sum("salesamount").alias("salesamount"), F.sum("volume").alias("volume"),
+                    F.count_distinct("salesday").alias("ndays"))
+               .select(*pack_category, "uid", "astart", "ndays", price.alias("unitp_uid")))
+    return base.join(priced, CASE, "left").join(members, [*pack_category, "uid", "astart"], "left")
 
 
 # -- cannibalisation -------------------------------------------------------------------------------
@@ -280,7 +306,8 @@ def _with_kani(base: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame
 
 def cannibalisation_features(base: DataFrame, days: DataFrame, cfg: PricingConfig,
                              scope: str = "case", mean: str = "top5",
-                             sample: DataFrame | None = None) -> DataFrame:
+                             sample: DataFrame | None = None,
+                             window: DataFrame | None = None) -> DataFrame:
     """How strongly members switch between the item and the five closest items of its category.
 
     mean "top5": scores weighted by what members spend on the item, plain mean;
@@ -294,26 +321,40 @@ def cannibalisation_features(base: DataFrame, days: DataFrame, cfg: PricingConfi
         return _with_kani(base, _kani_global(cases, days, cfg), ["jan"])
     if mean not in ("top5", "exponential"):
         raise ValueError(f"unknown mean {mean!r}")
-    return _with_kani(base, _kani_of_case(cases, days, cfg, mean), CASE)
+    if window is None:
+        window = member_windows(case_buyers(cases, days, cfg), days, cfg)
+    return _with_kani(base, _kani_of_case(cases, window, cfg, mean), CASE)
 
 
-def _kani_global(cases: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataFrame:
-    """Pairs a member's purchases of an item with a case with the other items of the category.
+def case_buyers(cases: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataFrame:
+    """store_cd, uid, astart of all who bought the item of a case in its feature window."""
+    return (sales_in_window(cases, days.select(*ITEM, "uid", "salesday"), ITEM, -cfg.feature_len, -1, cfg, by="uid")
+            .select("store_cd", "uid", "astart").distinct())
+
 
-    Only items with a case are paired. A member with very many items of one category is spread over
-    slices, and pairs are added up before they are shuffled.
+def _pairs(spent: DataFrame, targets: DataFrame, basket: list[str], cfg: PricingConfig) -> DataFrame:
+    """Rows of `targets` (basket, jan, ...) with the other items of the same basket: competitor, amount.
+
+    A basket with more than `basket_slice` items is spread over slices. The targets, of which only items
+    with a case are, are repeated for each slice.
     """
-    basket = ["uid", "lv5_nm"]
-    spent = days.groupBy(*basket, "jan").agg(F.sum("salesamount").alias("amount"))
-    walls = spent.groupBy("jan").agg(F.sum("amount").alias("wall"))
     size = F.count(F.lit(1)).over(Window.partitionBy(*basket))
     sliced = spent.withColumn("slices", F.ceil(size / F.lit(cfg.basket_slice)).cast("int"))
-    targets = (sliced.join(cases.select("jan").distinct(), "jan", "left_semi")
-               .select(*basket, "jan", F.col("amount").alias("target_amount"),
-                       F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")))
+    wanted = (targets.join(sliced.select(*basket, "jan", F.col("amount").alias("target_amount"), "slices"),
+                           [*basket, "jan"])
+              .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices"))
     others = sliced.select(*basket, F.col("jan").alias("competitor"), "amount",
                            F.pmod(F.xxhash64("jan"), F.col("slices")).cast("int").alias("slice"))
-    scores = (targets.join(others, [*basket, "slice"]).where("jan != competitor")
+    return wanted.join(others, [*basket, "slice"]).where("jan != competitor").drop("slice")
+
+
+def _kani_global(cases: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataFrame:
+    """Pairs over all of a member's purchases; pairs are added up before they are shuffled."""
+    basket = ["uid", "lv5_nm"]
+    spent = days.groupBy(*basket, "jan").agg(F.sum("salesamount").alias("amount"))
+    walls = spent.groupBy("jan").agg(F.sum("amount").alias("wall"))
+    targets = spent.join(cases.select("jan").distinct(), "jan", "left_semi").select(*basket, "jan")
+    scores = (_pairs(spent, targets, basket, cfg)
               .groupBy("jan", "competitor")
               .agg(F.sum(_switching(F.col("amount"), F.col("target_amount"))
                          * F.col("target_amount")).alias("weighted"))
@@ -323,20 +364,15 @@ def _kani_global(cases: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataF
     return _top_mean(scores, ["jan"])
 
 
-def _kani_of_case(cases: DataFrame, days: DataFrame, cfg: PricingConfig, mean: str) -> DataFrame:
-    sales = days.select(*ITEM, "uid", "salesday", "salesamount")
-    buyers = (sales_in_window(cases, sales, ITEM, -cfg.feature_len, -1, cfg, by="uid")
-              .groupBy(*CASE, "uid").agg(F.sum("salesamount").alias("target_amount")))
-    pairs = (sales_in_window(buyers, sales.withColumnRenamed("jan", "competitor"),
-                             [*CATEGORY, "uid"], -cfg.feature_len, -1, cfg)
-             .where("jan != competitor")
-             .groupBy(*CASE, "uid", "target_amount", "competitor")
-             .agg(F.sum("salesamount").alias("amount"))
-             .withColumn("switching", _switching(F.col("amount"), F.col("target_amount"))))
+def _kani_of_case(cases: DataFrame, window: DataFrame, cfg: PricingConfig, mean: str) -> DataFrame:
+    spent = window.groupBy(*BASKET, "jan").agg(F.sum("salesamount").alias("amount"))
+    bought = spent.join(cases, [*ITEM, "astart"])
+    pairs = _pairs(spent, bought.select(*CASE, "uid"), BASKET, cfg) \
+        .withColumn("switching", _switching(F.col("amount"), F.col("target_amount")))
     if mean == "exponential":
         return _top_exponential_mean(
             pairs.groupBy(*CASE, "competitor").agg(F.sum("switching").alias("score")), CASE)
-    walls = buyers.groupBy(*CASE).agg(F.sum("target_amount").alias("wall"))
+    walls = bought.groupBy(*CASE).agg(F.sum("amount").alias("wall"))
     scores = (pairs.groupBy(*CASE, "competitor")
               .agg(F.sum(F.col("switching") * F.col("target_amount")).alias("weighted"))
               .join(walls, CASE)
@@ -369,11 +405,16 @@ def add_customer_features(base: DataFrame, days: DataFrame, packs: DataFrame, cf
     """All features that do not depend on the new price."""
     _check_scope(scope)
     if scope == "global":
-        days = feature_days(base, days, cfg)
-    out = rfm_features(base, days, cfg, scope)
-    out = loyalty_features(out, days, cfg, scope, base)
-    out = price_sensitivity_features(out, days, packs, cfg, scope, base)
-    return cannibalisation_features(out, days, cfg, scope, sample=base)
+        days, window = feature_days(base, days, cfg), None
+    else:
+        members = case_buyers(_cases_of(base), days, cfg)
+        if cfg.sample_len > cfg.feature_len:  # otherwise who was sampled is among them
+            members = members.unionByName(base.select("store_cd", "uid", "astart"))
+        window = member_windows(members, days, cfg)
+    out = rfm_features(base, days, cfg, scope, window=window)
+    out = loyalty_features(out, days, cfg, scope, base, window)
+    out = price_sensitivity_features(out, days, packs, cfg, scope, base, window)
+    return cannibalisation_features(out, days, cfg, scope, sample=base, window=window)
 
 
 def fill_features(df: DataFrame) -> DataFrame:

@@ -38,18 +38,20 @@ def sample_customers(cases: DataFrame, days: DataFrame, cfg: PricingConfig,
             "label_jan", F.max("label_jan").over(Window.partitionBy(*ITEM, "uid")))
     base = base.where("sampled > 0").drop("sampled")
     if label_scope == "case":
-        return _category_label_of_case(base, days, label_first, label_last)
+        return _category_label_of_case(base, days, label_first, label_last, cfg)
     return _category_label_of_any_case(base, cases, days, label_first, label_last)
 
 
-def _category_label_of_case(base: DataFrame, days: DataFrame, first: int, last: int) -> DataFrame:
-    # one row per member and category; the array holds each calendar day at most once
-    history = days.groupBy(*CATEGORY, "uid").agg(F.collect_set("salesday").alias("days"))
-    start, end = F.date_add("astart", first), F.date_add("astart", last)
-    bought = F.exists("days", lambda day: day.between(start, end))
-    return (base.join(history, [*CATEGORY, "uid"], "left")
-            .withColumn("label_lv5", F.coalesce(bought, F.lit(False)))
-            .drop("days"))
+def _category_label_of_case(base: DataFrame, days: DataFrame, first: int, last: int,
+                            cfg: PricingConfig) -> DataFrame:
+    # a member's cases of a category with one change day share their answer
+    keys = [*CATEGORY, "uid"]
+    asked = base.select(*keys, "astart").distinct()
+    bought = days.select(*keys, "salesday").distinct().join(asked.select(*keys).distinct(), keys, "left_semi")
+    buyers = (sales_in_window(asked, bought, keys, first, last, cfg)
+              .select(*keys, "astart").distinct().withColumn("label_lv5", F.lit(True)))
+    return (base.join(buyers, [*keys, "astart"], "left")
+            .withColumn("label_lv5", F.coalesce("label_lv5", F.lit(False))))
 
 
 def _category_label_of_any_case(base: DataFrame, cases: DataFrame, days: DataFrame,

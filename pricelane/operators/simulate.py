@@ -14,19 +14,21 @@ OFFER = [*CATEGORY, "jan", "name", "pprice", "rec_price", "max_price"]
 
 
 def simulate(predictions: DataFrame, items: DataFrame, cfg: PricingConfig) -> DataFrame:
-    """One row per customer, item and price increase: the change of profit and amount against no
-    increase, and the change of the probability to stay in the category."""
+    """One row per customer, item and price step: the change of profit and amount against no step, and
+    the change of the probability to stay in the category. All steps but 0 count, lower prices too; an
+    item that the master holds several times counts once."""
+    # the formulas of the simulated measures are fixed
     cost = F.col("pprice") - F.col("oprice")
     at_zero = F.try_element_at(F.filter("grid", lambda e: e["dp"] == 0), F.lit(1))["prob_lv5"]
     leave = 1 - F.col("prob_lv5")
     won = F.col("prob_jan") * F.col("dp")
-    base = (predictions.join(items, "jan", "left")
+    base = (predictions.join(one_row_per_item(items), "jan", "left")
             .withColumn("cnt", ratio(F.col("sample_amt_jan"), F.col("pprice")).cast("long"))
             .withColumn("prof_pre", F.col("cnt") * cost)
             .withColumn("lv5_0", at_zero)
             .withColumn("prof_ch_0", -(1 - F.col("lv5_0")) * cost * F.col("cnt"))
             .withColumn("amt_ch_0", -(1 - F.col("lv5_0")) * F.col("pprice") * F.col("cnt")))
-    steps = F.filter("grid", lambda e: e["dp"] > 0)
+    steps = F.filter("grid", lambda e: e["dp"] != 0)
     return (base.select(*(c for c in base.columns if c != "grid"), F.inline(steps))
             .withColumn("prof_ch", (won - leave * cost) * F.col("cnt") - F.col("prof_ch_0"))
             .withColumn("amt_ch", (won - leave * F.col("pprice")) * F.col("cnt") - F.col("amt_ch_0"))

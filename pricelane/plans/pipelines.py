@@ -11,7 +11,7 @@ from pricelane.config import PricingConfig
 from pricelane.functions.scalars import offset_day
 from pricelane.operators.cases import cases_on_shelves, padded_period, target_cases
 from pricelane.operators.clean import member_days, price_rows
-from pricelane.operators.features import add_customer_features, add_features, fill_features
+from pricelane.operators.features import add_customer_features, price_features
 from pricelane.operators.models import (FitOptions, RetentionModels, fit_models, label_ints,
                                         predict)
 from pricelane.operators.periods import shelf_days
@@ -21,7 +21,7 @@ from pricelane.operators.simulate import best_customer_price, best_item_price, s
 from pricelane.schema import CASE, PREDICTION_KEY
 from pricelane.sources.pos import drop_items
 from pricelane.sources.sinks import write_samples
-from pricelane.sources.tables import written
+from pricelane.sources.tables import Workspace
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,23 @@ class Training:
     up: RetentionModels
     features_zero: DataFrame
     features_up: DataFrame
+    work: Workspace
+
+
+def training_days(pos: DataFrame, cases: DataFrame, cfg: PricingConfig, guest_uid=None) -> DataFrame:
+    """The customer days that samples, labels and features of `cases` look at: stores with a case, from
+    the feature window of the first change to the label window of the last.
+
+    The two days are read from the cases, so they reach the scan as literals and prune its partitions.
+    """
+    first, last = cases.agg(F.min("astart"), F.max("astart")).first()
+    near = F.lit(False)
+    if first is not None:
+        day = lambda of, shift: F.date_add(F.lit(of).cast("date"), shift)
+        near = F.col("salesday").between(day(first, -max(cfg.feature_len, cfg.sample_len)),
+                                         day(last, cfg.interval_len + cfg.label_len - 1))
+    stores = cases.select("store_cd").distinct()
+    return member_days(pos.where(near).join(stores, "store_cd", "left_semi"), cfg, guest_uid)
 
 
 def train(pos: DataFrame, packs: DataFrame, cfg: PricingConfig,
@@ -37,26 +54,30 @@ def train(pos: DataFrame, packs: DataFrame, cfg: PricingConfig,
           scope: str = "case", label_scope: str = "case",
           options_zero: FitOptions = FitOptions(), options_up: FitOptions = FitOptions(),
           model_paths: tuple[str, str] | None = None,
-          sample_paths: tuple[str, str] | None = None) -> Training:
+          sample_paths: tuple[str, str] | None = None, guest_uid=None,
+          work: Workspace | None = None) -> Training:
     """Cases, samples, labels, features and both pairs of models (unchanged and raised prices).
 
-    Receipt lines are read twice: for the prices on the shelves and for what customers bought. These
-    two tables, cases, samples and features are written, because every later step reads them several
-    times. When labels and features only look at a row's own case, both kinds of cases
-    go through the steps together; otherwise each kind on its own.
+    Receipt lines are read twice: for the prices on the shelves and for what customers bought around
+    the cases. These two tables, cases, samples and features are kept in `work`, because every later
+    step reads them several times; clear it when the results are no longer needed. When labels and
+    features only look at a row's own case, both kinds of cases go through the steps together; otherwise
+    each kind on its own. `guest_uid` is the member code of guests, if there is one.
     """
+    work = work or Workspace(pos.sparkSession)
     if stores is not None:
         pos = pos.join(stores.select("store_cd").distinct(), "store_cd", "left_semi")
-    shelves = written(shelf_days(price_rows(
+    shelves = work.keep(shelf_days(price_rows(
         pos if period is None else padded_period(pos, period, cfg))), "shelves")
-    days = written(member_days(pos, cfg), "days")
+    cases = {kind: work.keep(cases_on_shelves(shelves, kind, cfg), f"cases-{kind}") for kind in ("zero", "up")}
+    cases["both"] = cases["zero"].unionByName(cases["up"])
+    days = work.keep(training_days(pos, cases["both"], cfg, guest_uid), "days")
     together = scope == "case" and label_scope == "case"
     samples, features = [], []
     for kind in ("both",) if together else ("zero", "up"):
-        cases = written(cases_on_shelves(shelves, kind, cfg), f"cases-{kind}")
-        samples.append(written(sample_customers(cases, days, cfg, label_scope), f"base-{kind}"))
-        features.append(written(label_ints(add_features(samples[-1], days, packs, cfg, scope)),
-                                f"features-{kind}"))
+        samples.append(work.keep(sample_customers(cases[kind], days, cfg, label_scope), f"base-{kind}"))
+        known = price_features(add_customer_features(samples[-1], days, packs, cfg, scope))
+        features.append(work.keep(label_ints(known), f"features-{kind}"))
     if together:
         same = F.col("aprice") == F.col("pprice")
         samples = [samples[0].where(same), samples[0].where(~same)]
@@ -70,7 +91,7 @@ def train(pos: DataFrame, packs: DataFrame, cfg: PricingConfig,
     if model_paths is not None:
         zero.save(model_paths[0])
         up.save(model_paths[1])
-    return Training(zero, up, features[0], features[1])
+    return Training(zero, up, features[0], features[1], work)
 
 
 @dataclass(frozen=True)
@@ -78,14 +99,16 @@ class Recommendation:
     predictions: DataFrame
     items: DataFrame
     customers: DataFrame
+    work: Workspace
 
 
 def predict_prices(pos: DataFrame, items: DataFrame, dropped: DataFrame, packs: DataFrame,
                    upday: str, zero: RetentionModels, up: RetentionModels, cfg: PricingConfig,
                    stores: DataFrame | None = None, scope: str = "case",
                    series: DataFrame | None = None, monotone: bool = False,
-                   hard: bool = False) -> Recommendation:
+                   hard: bool = False, guest_uid=None, work: Workspace | None = None) -> Recommendation:
     """Recommended prices per item and per customer for a change on `upday`, in all stores given."""
+    work = work or Workspace(pos.sparkSession)
     if stores is not None:
         pos = pos.join(stores.select("store_cd").distinct(), "store_cd", "left_semi")
     items = drop_items(items, dropped)
@@ -93,16 +116,23 @@ def predict_prices(pos: DataFrame, items: DataFrame, dropped: DataFrame, packs:
     first = offset_day(upday, -max(cfg.feature_len, cfg.sample_len))
     recent = pos.where(F.col("salesday").between(F.lit(first).cast("date"),
                                                  F.lit(upday).cast("date")))
-    days = written(member_days(recent, cfg), "days")
-    base = written(sample_customers(cases, days, cfg), "base")
-    features = fill_features(add_customer_features(base, days, packs, cfg, scope))
-    grid = clamp_prob(predict(features, zero, up, cfg, PREDICTION_KEY, hard))
+    days = work.keep(member_days(recent, cfg, guest_uid), "days")
+    base = work.keep(sample_customers(cases, days, cfg), "base")
+    features = add_customer_features(base, days, packs, cfg, scope)
+    return recommend(predict(features, zero, up, cfg, PREDICTION_KEY, hard), items, cfg, series, monotone, work)
+
+
+def recommend(grid: DataFrame, items: DataFrame, cfg: PricingConfig, series: DataFrame | None = None,
+              monotone: bool = False, work: Workspace | None = None) -> Recommendation:
+    """Prices from probabilities on the price grid: clamped, simulated and compared."""
+    work = work or Workspace(grid.sparkSession)
+    grid = clamp_prob(grid)
     if monotone:
         grid = monotone_prob(grid, cfg)
-    predictions = written(grid, "predictions")
+    predictions = work.keep(grid, "predictions")
     simulated = simulate(predictions, items, cfg)
-    best = written(best_item_price(simulated, cfg, series), "items")
-    return Recommendation(predictions, best, best_customer_price(simulated, best))
+    best = work.keep(best_item_price(simulated, cfg, series), "items")
+    return Recommendation(predictions, best, best_customer_price(simulated, best), work)
 
 
 def batch_predict(pos: DataFrame, stores: DataFrame, *args, **kwargs) -> Recommendation:

@@ -32,11 +32,15 @@ ITEM_MASTER = T.StructType([
     T.StructField("jan", T.LongType()),
     T.StructField("name", T.StringType()),
     T.StructField("oprice", T.DoubleType()),
-    T.StructField("max_dprice", T.IntegerType()),
+    T.StructField("max_dprice", T.DoubleType()),
 ])
 
 DROP_LIST = T.StructType([T.StructField("jan", T.LongType())])
 
+#: The category of sales whose category is not known, so that keys are never NULL.
+NO_CATEGORY = "(none)"
+
+# Column names, keys and the inputs of the two models.
 CATEGORY = ["store_cd", "lv4_nm", "lv5_nm"]
 ITEM = [*CATEGORY, "jan"]
 CASE = [*ITEM, "pprice", "aprice", "astart"]

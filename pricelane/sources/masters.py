@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +12,32 @@ from pyspark.sql import types as T
 from pricelane.schema import DROP_LIST, ITEM_MASTER, PACK_MASTER, SERIES_MASTER
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType,
+class Parsed(NamedTuple):
+    rows: DataFrame
+    rejects: DataFrame
+
+
+def parse_master(text: DataFrame, schema: T.StructType) -> Parsed:
+    """Rows of text columns in the types of `schema`, and the rejected rows as they are with a `reason`.
+
+    Columns are found by name; absent ones are NULL. A row is rejected if a value that is not blank
+    cannot be read, or if it has no item code.
+    """
+    def value(field):
+        return F.trim(F.col(field.name)) if field.name in text.columns else F.lit(None).cast("string")
+
+    reasons = [F.when(F.coalesce(value(f), F.lit("")) == "", F.lit("no jan") if f.name == "jan" else None)
+               .when(value(f).try_cast(f.dataType).isNull(), f"unreadable {f.name}") for f in schema]
+    reason = F.coalesce(*reasons)
+    typed = [F.nullif(value(f), F.lit("")).try_cast(f.dataType).alias(f.name) for f in schema]
+    return Parsed(text.where(reason.isNull()).select(*typed),
+                  text.withColumn("reason", reason).where("reason IS NOT NULL"))
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, max_rejected: float,
           optional: bool = False) -> DataFrame:
-    """Columns by header name: absent ones are NULL, rows without a readable item code are left out.
-    An optional file may be missing."""
+    """The readable rows. Fails when more than the share `max_rejected` of all rows is rejected, and
+    says why; an optional file may be missing."""
     try:
         text = spark.read.csv(path, header=True, encoding="UTF-8")
     except AnalysisException as error:
@@ -24,23 +48,24 @@ def _read(spark: SparkSession, path: str, schema: T.StructType,
     text = text.withColumnsRenamed({c: c.lstrip("\ufeff").strip() for c in text.columns})
     if not text.columns:
         return spark.createDataFrame([], schema)
-    typed = text.select(*(
-        (F.trim(F.col(field.name)).try_cast(field.dataType) if field.name in text.columns
-         else F.lit(None).cast(field.dataType)).alias(field.name) for field in schema))
-    return typed.where(F.col("jan").isNotNull())
+    parsed = parse_master(text, schema)
+    bad = parsed.rejects.agg(F.count("*").alias("n"), F.min("reason").alias("why")).first()
+    if bad.n and bad.n > max_rejected * text.count():
+        raise ValueError(f"{path}: {bad.n} rows are rejected, for example for: {bad.why}")
+    return parsed.rows
 
 
-def read_pack_master(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, PACK_MASTER)
+def read_pack_master(spark: SparkSession, path: str, max_rejected: float = 0.0) -> DataFrame:
+    return _read(spark, path, PACK_MASTER, max_rejected)
 
 
-def read_series_master(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, SERIES_MASTER, optional=True)
+def read_series_master(spark: SparkSession, path: str, max_rejected: float = 0.0) -> DataFrame:
+    return _read(spark, path, SERIES_MASTER, max_rejected, optional=True)
 
 
-def read_item_master(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, ITEM_MASTER)
+def read_item_master(spark: SparkSession, path: str, max_rejected: float = 0.0) -> DataFrame:
+    return _read(spark, path, ITEM_MASTER, max_rejected)
 
 
-def read_drop_list(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, DROP_LIST)
+def read_drop_list(spark: SparkSession, path: str, max_rejected: float = 0.0) -> DataFrame:
+    return _read(spark, path, DROP_LIST, max_rejected)

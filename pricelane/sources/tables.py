@@ -1,29 +1,45 @@
-"""Intermediate tables in the shared folder of the cluster."""
+"""Intermediate tables of a run."""
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; in local mode a temporary one if it is unset."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pricelane-"))
-        return context.getCheckpointDir()
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to a new table and read it back: later steps neither recompute it nor lose it with
-    an executor, and its size is known to the optimizer."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/pricelane/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Workspace:
+    """Holds what a run computes once and reads several times.
+
+    With a folder that all executors share - the one given, or that of spark.checkpoint.dir - tables are
+    written there and read back: nothing is recomputed, a lost executor costs only its own tasks, and
+    sizes are known to the optimizer. Without one, or with `persist`, Spark persists them. `clear` removes all of
+    them, once the results that read them are no longer needed.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, persist: bool = False):
+        self.spark = spark
+        shared = None if persist else folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        self.path = f"{shared.rstrip('/')}/pricelane/{uuid4().hex}" if shared else None
+        self.persisted: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        if self.path is None:
+            self.persisted.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+            return df
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def clear(self) -> None:
+        for df in self.persisted:
+            df.unpersist()
+        self.persisted.clear()
+        if self.path is not None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()

@@ -212,3 +212,18 @@ def test_global_scope_reads_the_period_of_the_cases(spark):
     base, days = sample(spark, [case(100)], [*sales, sale(95)])
     kept = features.feature_days(base, days, CFG)
     assert sorted(r["salesday"] for r in rows(kept)) == [day(37), day(95), day(100)]
+
+
+def test_slices_of_a_basket_change_nothing(spark):
+    rng = random.Random(8)
+    sales = [sale(rng.randrange(40, 100), jan=rng.randrange(9), uid=rng.randrange(6), amount=float(rng.randrange(50, 200)))
+             for _ in range(300)]
+    days = member_days(pos_frame(spark, sales), CFG)
+    base = spark.createDataFrame([(1, "lv4", "milk", j, 100.0, 110.0, day(100), u, 1.0) for j in (1, 2) for u in range(6)],
+                                 "store_cd int, lv4_nm string, lv5_nm string, jan bigint, pprice double, aprice double, "
+                                 "astart date, uid bigint, sample_amt_jan double")
+    for mean in ("top5", "exponential"):
+        whole, cut = (rows(features.cannibalisation_features(base, days, PricingConfig(basket_slice=n), mean=mean), "jan", "uid")
+                      for n in (2_000, 2))
+        assert [round(r["kani_score"], 9) for r in whole] == [round(r["kani_score"], 9) for r in cut]
+        assert any(r["kani_score"] > 0 for r in whole)

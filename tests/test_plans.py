@@ -74,3 +74,17 @@ def test_sampling_joins_on_the_time_slot(spark):
         cases.case_master(views.receipts(spark, SMALL), "up", views.CFG), days, views.CFG)
     joins = [line for line in plan(base).splitlines() if "_slot" in line and "Join [" in line]
     assert any("_slice" in line for line in joins)
+
+
+def test_all_features_read_the_days_a_few_times(spark, tmp_path):
+    clean.member_days(views.pos(spark, SMALL), views.CFG).write.parquet(str(tmp_path / "days"))
+    days = spark.read.parquet(str(tmp_path / "days"))
+    cases.case_master(views.receipts(spark, SMALL), "up", views.CFG).write.parquet(str(tmp_path / "cases"))
+    sampling.sample_customers(spark.read.parquet(str(tmp_path / "cases")), days, views.CFG) \
+        .write.parquet(str(tmp_path / "base"))
+    df = features.add_features(spark.read.parquet(str(tmp_path / "base")), days, views.packs(spark, SMALL), views.CFG)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    exchanges = len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange (hash|range|single)", final))
+    assert final.count("FileScan parquet") <= 4 + 2  # the days, and the tables of cases and samples
+    assert 0 < exchanges <= 30

@@ -167,3 +167,16 @@ def test_empty(spark):
                                   items(spark, (1, 60, 20)), CFG)
     best = simulate.best_item_price(simulated, CFG)
     assert best.count() == 0 and simulate.best_customer_price(simulated, best).count() == 0
+
+
+def test_a_repeated_item_counts_once_and_lower_prices_stay(spark):
+    cfg = PricingConfig(dprice_range=(-10, 10))
+    grid = [{"dp": dp, "prob_jan": 0.8, "prob_lv5": 0.9} for dp in (-10, 0, 10)]
+    kind = ("store_cd int, lv4_nm string, lv5_nm string, jan bigint, uid bigint, sample_amt_jan double, "
+            "pprice double, grid array<struct<dp:int,prob_jan:double,prob_lv5:double>>")
+    table = spark.createDataFrame([(1, "a", "b", 7, 1, 500.0, 100.0, grid)], kind)
+    master = "jan bigint, name string, oprice double, max_dprice double"
+    once = spark.createDataFrame([(7, "x", 60.0, 20.0)], master)
+    more = spark.createDataFrame([(7, "y", 50.0, 20.0), (7, "x", 60.0, 20.0), (7, "a", None, 20.0)], master)
+    found = rows(simulate.simulate(table, once, cfg), "dp")
+    assert [r["dp"] for r in found] == [-10, 10] and found == rows(simulate.simulate(table, more, cfg), "dp")

@@ -124,3 +124,15 @@ def test_empty(spark):
         assert sample_customers(cases, member_days(empty, CFG), CFG, scope).count() == 0
     with pytest.raises(ValueError):
         sample_customers(cases, member_days(empty, CFG), CFG, "store")
+
+
+def test_lines_of_an_unknown_category_reach_the_sample(spark):
+    cases = [(1, "(none)", "(none)", 1, 100.0, 110.0, day(100))]
+    lines = [(*sale(d)[:8], None, None) for d in (90, 110)]
+    found = rows(sampled(spark, cases, lines, "case"))
+    assert [(r["label_jan"], r["label_lv5"]) for r in found] == [(True, True)]
+
+
+def test_category_labels_need_no_list_of_days(spark):
+    text = sampled(spark, [case(100)], [sale(90)], "case")._jdf.queryExecution().toString()
+    assert "collect_set" not in text and "collect_list" not in text

@@ -8,7 +8,7 @@ from pricelane.functions.predicates import all_of, item_codes, padded_item_code,
 from pricelane.functions.scalars import day_text, offset_day, offset_day_text
 from pricelane.operators.clean import null_profile
 from pricelane.sources import masters, sinks, tables
-from pricelane.sources.pos import drop_items, scan_pos, store_codes, store_list
+from pricelane.sources.pos import drop_items, rejected_lines, scan_pos, store_codes, store_list
 
 FACT = ("SALES_DATE date, STORE_CODE string, MEMBER_CODE bigint, JAN_CODE string, SALES_NUMBER int, "
         "SALES_AMOUNT int, CATEGORY_KEY int, PRODUCT_CODE int, AGE int, GENDER_FLG int")
@@ -110,17 +110,25 @@ def test_masters(spark, tmp_path):
         path.write_text(text, encoding="utf-8")
         return str(path)
 
-    packs = masters.read_pack_master(spark, file("p.csv", "﻿jan,det_val,note\n4901,750,x\nbad,1,\n4902,,y\n"))
+    packs = masters.read_pack_master(spark, file("p.csv", "﻿jan,det_val,note\n4901,750,x\n4902,,y\n"))
     assert rows(packs, "jan") == [{"jan": 4901, "det_val": 750.0}, {"jan": 4902, "det_val": None}]
     items = masters.read_item_master(
         spark, file("i.csv", "name,jan,max_dprice,oprice\n牛乳,1,50,100.5\n"))
-    assert rows(items) == [{"jan": 1, "name": "牛乳", "oprice": 100.5, "max_dprice": 50}]
+    assert rows(items) == [{"jan": 1, "name": "牛乳", "oprice": 100.5, "max_dprice": 50.0}]
     assert masters.read_drop_list(spark, file("d.csv", "jan\n")).count() == 0
     series = masters.read_series_master(spark, file("s.csv", "jan\n1\n"))
     assert rows(series) == [{"jan": 1, "series": None}]
     for path in (file("empty.csv", ""), str(tmp_path / "missing.csv")):
         found = masters.read_series_master(spark, path)
         assert found.columns == ["jan", "series"] and found.count() == 0
+    bad = file("bad.csv", 'jan,det_val\n1,5\nX3,1\n"4,901",2\n2,much\n,7\n')
+    for reader in (masters.read_pack_master, masters.read_drop_list):
+        with pytest.raises(ValueError, match="rows are rejected"):
+            reader(spark, bad)
+    assert rows(masters.read_pack_master(spark, bad, max_rejected=0.9)) == [{"jan": 1, "det_val": 5.0}]
+    rejects = masters.parse_master(spark.read.csv(bad, header=True), masters.PACK_MASTER).rejects
+    assert sorted((str(r["jan"]), r["reason"]) for r in rows(rejects)) == [
+        ("2", "unreadable det_val"), ("4,901", "unreadable jan"), ("None", "no jan"), ("X3", "unreadable jan")]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         masters.read_item_master(spark, str(tmp_path / "missing.csv"))
 
@@ -160,9 +168,31 @@ def test_null_profile(spark):
     assert rows(null_profile(df.where("i > 9")))[0]["null_ratio"] == 0.0
 
 
-def test_tables_are_written_to_the_shared_folder(spark):
+def test_workspace(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "i int, s string")
-    kept = tables.written(df, "kept")
-    assert kept.schema == df.schema and rows(kept) == rows(df)
-    folder = spark.conf.get("spark.checkpoint.dir")
-    assert kept.inputFiles()[0].replace("file://", "").startswith(folder)
+    with tables.Workspace(spark) as work:
+        kept = work.keep(df, "kept")
+        assert kept.schema == df.schema and rows(kept) == rows(df)
+        folder = spark.conf.get("spark.checkpoint.dir")
+        assert kept.inputFiles()[0].replace("file://", "").startswith(folder)
+    assert not list((tmp_path.parent).glob("**/kept"))
+    with tables.Workspace(spark, str(tmp_path / "own")) as work:
+        work.keep(df, "kept")
+        assert list((tmp_path / "own").glob("pricelane/*/kept/*.parquet"))
+    assert not list((tmp_path / "own").glob("pricelane/*/*"))
+    with tables.Workspace(spark, persist=True) as work:
+        assert work.keep(df, "kept").storageLevel.useMemory
+    assert not df.storageLevel.useMemory
+
+
+def test_codes_and_amounts_that_do_not_fit(star):
+    fact, category, product = star
+    odd = fact.limit(3).withColumn("JAN_CODE", F.lit("A17")).unionByName(
+        fact.limit(1).withColumn("STORE_CODE", F.lit(None).cast(fact.schema["STORE_CODE"].dataType)))
+    both = fact.unionByName(odd)
+    assert scan_pos(both, category, product).count() == scan_pos(fact, category, product).count() + \
+        scan_pos(fact.limit(1), category, product).count()
+    assert rejected_lines(both).count() == odd.where("JAN_CODE = 'A17'").count()
+    large = fact.withColumn("SALES_AMOUNT", F.lit(16_777_217))
+    assert {r["salesamount"] for r in rows(scan_pos(large, category, product))} == {16_777_217.0}
+    assert {r["salesamount"] for r in rows(scan_pos(large, category, product, single_precision=True))} == {16_777_216.0}
