@@ -1,9 +1,10 @@
 """Packing documents into sequences by bounded-space online best fit.
 
-Pieces of documents arrive in streams in hash order. A stream keeps a fixed number of open bins in a
-bitset keyed by free space: the lowest set bit at or above a piece's length is the best fit, found with
-a shift. If no bin fits, a new one opens; if too many are open, the fullest closes first. A stream is a
-bounded share of the tokens, so streams are packed in parallel and their number grows with the input.
+Pieces of documents are dealt to streams by a hash and arrive the longest first. A stream keeps a fixed
+number of open bins in a bitset keyed by free space: the lowest set bit at or above a piece's length is
+the best fit, found with a shift. If no bin fits, a new one opens; if too many are open, the fullest
+closes first. A stream has tokens for about as many bins as may be open, so few close before short
+pieces have filled them. Streams are packed in parallel, and their number grows with the input.
 """
 
 from __future__ import annotations
@@ -216,7 +217,7 @@ class OpenBins:
 
 
 def pack(rows: DataFrame, limit: int = 4096, open_bins: int = 4096,
-         stream_bins: int = 20_000) -> DataFrame:
+         stream_bins: int = 4096) -> DataFrame:
     """`rows` (the columns of pieces()) with sequence_id and offset. No piece is cut or dropped; a
     sequence holds `limit` ids at most, its pieces follow each other without gaps."""
     tokens = rows.agg(F.sum("length")).first()[0] or 0
@@ -226,7 +227,7 @@ def pack(rows: DataFrame, limit: int = 4096, open_bins: int = 4096,
     dealt = rows.select("*", order.alias("tie")) \
         .withColumn("stream", F.pmod(F.shiftrightunsigned("tie", 20), F.lit(streams)))
     dealt = dealt.repartition(parts, "stream").sortWithinPartitions(
-        "stream", "tie", *(c for c in rows.columns if c != "ids"))
+        "stream", F.desc("length"), "tie", *(c for c in rows.columns if c not in ("ids", "length")))
     at, size = dealt.columns.index("stream"), dealt.columns.index("length")
     names = rows.columns
 

@@ -49,7 +49,7 @@ def test_ids_and_places(spark):
         expected = plain_pieces([(r.doc_id, r.text) for r in docs.collect()], limit)
         assert sorted((tuple(r[n] for n in names) for r in found), key=str) == expected
         used = well_packed(found, limit)
-        assert used <= 1.02 * -(-sum(r["length"] for r in found) // limit) + 1
+        assert used <= 1.002 * -(-sum(r["length"] for r in found) // limit) + 1
 
 
 @settings(max_examples=60, deadline=None)
