@@ -14,7 +14,7 @@ from pricelane.llm.work import written
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without any n-gram that a language knows, go."""
-    return language.accepted(docs, language.train(docs, ~language.held_out()))
+    return language.accepted(docs, language.train(docs, language.learnable()))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

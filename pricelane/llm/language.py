@@ -101,7 +101,8 @@ def train(docs: DataFrame, learn: Column, rows_per_language: int = 1500, min_cou
     (an expected number; all of a language with fewer). rare: an n-gram enters a language's filter if
     its share there is at least this part of its largest share in any language.
     """
-    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()) \
+        .select("doc_id", "text", "lang")
     counts = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().collect())
     languages = [lang for lang, _ in counts]
     words = max(1, -(-len(languages) // 64))
@@ -216,3 +217,8 @@ def accepted(docs: DataFrame, filters: Filters) -> DataFrame:
 
 def held_out(every: int = 4, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % every == rest, F.lit(False))
+
+
+def learnable() -> Column:
+    """Documents that are not held out; one without a doc_id is neither."""
+    return ~held_out() & F.col("doc_id").isNotNull()

@@ -164,14 +164,15 @@ def without_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     `docs` has them): the other lines joined by \\n."""
     names = {c: free_name(docs, c) for c in ("kept_text", "n_lines", "n_dropped")}
     text = F.coalesce(F.col("text"), F.lit(""))
-    maps = bitmaps.toDF("map_id", "map_hash", "map_lines", "map_dropped", "map_bits")
-    ids = F.col("doc_id").cast("long").eqNullSafe(F.col("map_id"))
-    met = docs.join(maps, ids & (F.xxhash64(text) == F.col("map_hash")), "left")
-    changed: Column = F.col("map_bits").isNotNull()
-    kept = F.pandas_udf(_kept, "string")(F.when(changed, text), F.col("map_bits"))  # only changed texts go to Python
+    own = [free_name(docs, f"map_{c}") for c in ("id", "hash", "lines", "dropped", "bits")]
+    map_id, map_hash, map_lines, map_dropped, map_bits = (F.col(c) for c in own)
+    ids = F.col("doc_id").cast("long").eqNullSafe(map_id)
+    met = docs.join(bitmaps.toDF(*own), ids & (F.xxhash64(text) == map_hash), "left")
+    changed: Column = map_bits.isNotNull()
+    kept = F.pandas_udf(_kept, "string")(F.when(changed, text), map_bits)  # only changed texts go to Python
     breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return met.withColumns({
         names["kept_text"]: F.coalesce(kept, text),
-        names["n_lines"]: F.coalesce(F.col("map_lines"), breaks).cast("long"),
-        names["n_dropped"]: F.coalesce(F.col("map_dropped"), F.lit(0)).cast("long"),
-    }).drop("map_id", "map_hash", "map_lines", "map_dropped", "map_bits")
+        names["n_lines"]: F.coalesce(map_lines, breaks).cast("long"),
+        names["n_dropped"]: F.coalesce(map_dropped, F.lit(0)).cast("long"),
+    }).drop(*own)

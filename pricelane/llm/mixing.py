@@ -82,7 +82,8 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], rows_per_dom
             .limit(rows_per_domain)
         sample = part if sample is None else sample.unionAll(part)
     sample = F.broadcast(sample.select(F.col("doc_id").alias("sample_id"), "domain"))  # bounded above
-    rows = written(measured(docs.join(sample, F.col("doc_id") == F.col("sample_id")), "domain"), "labelled")
+    known_docs = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("sample_id"))
+    rows = written(measured(known_docs, "domain"), "labelled")
 
     seen = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
     total = sum(seen.values())
@@ -187,7 +188,7 @@ def sampled(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], max
     copies = mixed(docs, labelled, targets, max_rate, **options).filter("copies > 0") \
         .select(F.col("doc_id").alias("mix_id"), F.col("lot").alias("mix_lot"), "copies").distinct()
     names = [f"c{i}" for i in range(len(docs.columns))]
-    own = docs.withColumn("mix_own", F.xxhash64("doc_id", "text")).toDF(*names, "mix_own")
+    own = docs.select("*", F.xxhash64("doc_id", "text")).toDF(*names, "mix_own")
     ids = F.col(names[docs.columns.index("doc_id")])
     met = own.join(copies, ids.eqNullSafe(F.col("mix_id")) & (F.col("mix_own") == F.col("mix_lot")))
     return met.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))) \

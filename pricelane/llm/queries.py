@@ -67,7 +67,7 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs, held_out = table(spark, folder, "documents"), language.held_out()
-    filters = language.train(docs, ~held_out & F.col("doc_id").isNotNull())
+    filters = language.train(docs, language.learnable())
     return language.identified(docs.select("doc_id", "text"), filters) \
         .select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 

@@ -18,7 +18,7 @@ def odd_documents(spark):
 
 
 CLASHING = ("size shard slot place score n digest kept rate copies p id key row n_lines kept_text lang_pred raw "
-            "words tokens").split()
+            "words tokens domain number part map_id mix_own own_id sample_id c0 body").split()
 
 
 def no_documents(spark):

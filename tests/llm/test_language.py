@@ -14,7 +14,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def filters(docs):
-    return language.train(docs, ~language.held_out())
+    return language.train(docs, language.learnable())
 
 
 def test_held_out_accuracy(docs, filters):
