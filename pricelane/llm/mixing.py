@@ -3,8 +3,9 @@
 A classifier learned from a labelled table gives each document a posterior over domains. Document rates
 are then fitted so that the expected tokens of each domain - the sum over documents of rate * tokens *
 posterior - match the targets: nonnegative least squares by projected gradient. A step needs one sum per
-domain over all documents; a document's rate after any number of steps is an expression of its own
-posterior and of those sums, so each step is one narrow scan without a shuffle of rows.
+domain over all documents. The projection is lazy: gradients add up in one number per domain, and a
+document's rate is what these numbers and its posterior give, projected into the allowed range. So the
+state of the fit is a number per domain, and each step is one narrow scan without a shuffle of rows.
 
 Everything runs as DataFrame expressions. The classifier is naive Bayes over binned features of the
 text, among them how many of a domain's marker words it holds.
@@ -127,7 +128,7 @@ def posteriors(docs: DataFrame, model: Classifier, sharpness: float = 0.5) -> Da
 
 
 def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = None, max_rate: float = 4.0,
-                 ridge: float = 1e-3, steps: int = 30, enough: float = 1e-4) -> Column:
+                 ridge: float = 1e-3, steps: int = 25, enough: float = 1e-3) -> Column:
     """The rate of a row of `rows` (tokens, p) as an expression of p.
 
     weights: target shares of the domains. total: tokens to aim at, as a share of all tokens; None: as
@@ -149,12 +150,12 @@ def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = No
     if total is None:
         total = min(m / s for m, s in zip(mass, share) if s > 0)
     target = [s * total for s in share]
-    pace = 1 / (1 + ridge)
+    pull = [0.0] * size
     for _ in range(steps):
-        # the gradient over the document's tokens, in shares of each domain's mass
-        pull = [pace * (n - t) / m for n, t, m in zip(now, target, mass)]
+        # the gradients so far over the document's tokens, in shares of each domain's mass
+        pull = [(1 - ridge) * p + (n - t) / m for p, n, t, m in zip(pull, now, target, mass)]
         dot = sum((F.col("p")[k] * pull[k] for k in range(1, size)), F.col("p")[0] * pull[0])
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(max_rate), rate * (1 - pace * ridge) + (pace * ridge - dot)))
+        rate = F.greatest(F.lit(0.0), F.least(F.lit(max_rate), 1 - dot))
         last, now = now, expected(rate)
         if max(abs(a - b) / max(t, 1e-9) for a, b, t in zip(now, last, target)) <= enough:
             break

@@ -16,14 +16,15 @@ def tables(spark):
             mixing.quality_domains(spark.read.parquet(f"{folder}/labels.parquet")))
 
 
-def plain_rates(tokens, p, share, total, cap, ridge=1e-3, steps=30, enough=1e-4):
+def plain_rates(tokens, p, share, total, cap, ridge=1e-3, steps=25, enough=1e-3):
     tokens = tokens / tokens.sum()
     rate = np.ones(len(tokens))
     mass = now = (tokens[:, None] * p).sum(0)
     total = min(mass / share) if total is None else total
+    pull = np.zeros(len(share))
     for _ in range(steps):
-        pull = (p * ((now - share * total) / mass)).sum(1) + ridge * (rate - 1)
-        rate = np.clip(rate - pull / (1 + ridge), 0, cap)
+        pull = (1 - ridge) * pull + (now - share * total) / mass
+        rate = np.clip(1 - p @ pull, 0, cap)
         last, now = now, (tokens[:, None] * p * rate[:, None]).sum(0)
         if (abs(now - last) / (share * total)).max() <= enough:
             break
