@@ -132,7 +132,7 @@ def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = No
     """The rate of a row of `rows` (tokens, p) as an expression of p.
 
     weights: target shares of the domains. total: tokens to aim at, as a share of all tokens; None: as
-    many as no domain needs repeats for. Rates lie between 0 and `max_rate`; `ridge` draws them to 1.
+    many as the domain of the largest weight fills without repeats or losses. Rates lie between 0 and `max_rate`; `ridge` draws them to 1.
     Stops when no domain's expected tokens change by more than `enough` of their target in a step.
     """
     size = len(weights)
@@ -148,7 +148,8 @@ def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = No
         return rate
     mass = [max(x, 1e-9) for x in now]
     if total is None:
-        total = min(m / s for m, s in zip(mass, share) if s > 0)
+        main = share.index(max(share))
+        total = mass[main] / share[main]
     target = [s * total for s in share]
     pull = [0.0] * size
     for _ in range(steps):

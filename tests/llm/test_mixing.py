@@ -20,7 +20,7 @@ def plain_rates(tokens, p, share, total, cap, ridge=1e-3, steps=25, enough=1e-3)
     tokens = tokens / tokens.sum()
     rate = np.ones(len(tokens))
     mass = now = (tokens[:, None] * p).sum(0)
-    total = min(mass / share) if total is None else total
+    total = mass[0] / share[0] if total is None else total
     pull = np.zeros(len(share))
     for _ in range(steps):
         pull = (1 - ridge) * pull + (now - share * total) / mass
