@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.1"
 @pytest.fixture(scope="module")
 def network(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
-    return toxicity.train(docs, labels, ~toxicity.held_out(), rows_per_label=300, windows_per_row=8, passes=24)
+    return toxicity.train(docs, labels, ~toxicity.held_out())
 
 
 def test_held_out(spark, network):
