@@ -28,7 +28,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Poor and toxic documents are thinned out to the target shares; no document is repeated."""
+    """Documents that are poor or toxic, by their label or else most likely, are thinned out towards the
+    target shares; all others stay, and no document is repeated."""
     labelled = mixing.quality_domains(table(spark, sf_dir, "labels"))
     return mixing.sampled(docs, labelled, TARGETS, max_rate=1.0)
 

@@ -8,7 +8,8 @@ document's rate is what these numbers and its posterior give, projected into the
 state of the fit is a number per domain, and each step is one narrow scan without a shuffle of rows.
 
 Everything runs as DataFrame expressions. The classifier is naive Bayes over binned features of the
-text, among them how many of a domain's marker words it holds.
+text, among them how many of a domain's marker words it holds. A labelled document is not guessed at:
+its label is its posterior.
 """
 
 from __future__ import annotations
@@ -127,12 +128,26 @@ def posteriors(docs: DataFrame, model: Classifier, sharpness: float = 0.5) -> Da
         "doc_id", "lot", "tokens", F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
+def with_labels(rows: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
+    """The rows of posteriors(), with the label of a labelled document as its p. Several labels of a
+    document count alike."""
+    known = labelled.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id") \
+        .agg(F.array(*(F.count_if(F.col("domain") == d) / F.count("*") for d in domains)).alias("known")) \
+        .select(F.col("doc_id").alias("known_id"), F.lit(0).cast("long").alias("spread"), "known")
+    # rows without a doc_id meet nothing and are spread by their texts
+    spread = F.when(F.col("doc_id").isNull(), F.col("lot")).otherwise(0)
+    met = rows.join(known, (F.col("doc_id") == F.col("known_id")) & (spread == F.col("spread")), "left")
+    return met.select("doc_id", "lot", "tokens", F.coalesce("known", "p").alias("p"))
+
+
 def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = None, max_rate: float = 4.0,
                  ridge: float = 1e-3, steps: int = 25, enough: float = 1e-3) -> Column:
     """The rate of a row of `rows` (tokens, p) as an expression of p.
 
     weights: target shares of the domains. total: tokens to aim at, as a share of all tokens; None: as
-    many as the domain of the largest weight fills without repeats or losses. Rates lie between 0 and `max_rate`; `ridge` draws them to 1.
+    many as the domain of the largest weight fills without repeats or losses. If `max_rate` is 1 at most
+    besides, rows are only thinned out: those whose likeliest domain is that one have the rate `max_rate`,
+    and the others are fitted. Rates lie between 0 and `max_rate`; `ridge` draws them to 1.
     Stops when no domain's expected tokens change by more than `enough` of their target in a step.
     """
     size = len(weights)
@@ -142,13 +157,14 @@ def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = No
         sums = rows.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col("p")[k] * rate) for k in range(size))).first()
         return [s / sums[0] for s in sums[1:]] if sums[0] else None
 
+    main = share.index(max(share))
+    held = F.col("p")[main] >= F.array_max("p") if total is None and max_rate <= 1 else F.lit(False)
     rate = F.lit(1.0)
     now = expected(rate)
     if now is None:
-        return rate
+        return F.least(rate, F.lit(float(max_rate)))
     mass = [max(x, 1e-9) for x in now]
     if total is None:
-        main = share.index(max(share))
         total = mass[main] / share[main]
     target = [s * total for s in share]
     pull = [0.0] * size
@@ -156,7 +172,7 @@ def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = No
         # the gradients so far over the document's tokens, in shares of each domain's mass
         pull = [(1 - ridge) * p + (n - t) / m for p, n, t, m in zip(pull, now, target, mass)]
         dot = sum((F.col("p")[k] * pull[k] for k in range(1, size)), F.col("p")[0] * pull[0])
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(max_rate), 1 - dot))
+        rate = F.when(held, F.lit(float(max_rate))).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(max_rate), 1 - dot)))
         last, now = now, expected(rate)
         if max(abs(a - b) / max(t, 1e-9) for a, b, t in zip(now, last, target)) <= enough:
             break
@@ -170,12 +186,12 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], max_r
 
     copies: the rate rounded up or down by a hash of doc_id and text, with the rate as its mean, so
     repeated rows are treated alike. A null text is empty and has no tokens; rows without a doc_id are
-    rated by their text. Without labelled rows all domains are equally likely. An empty table gives no
-    rows.
+    rated by their text. Labelled documents have their label as p. Without labelled rows all domains are
+    equally likely. An empty table gives no rows.
     """
     domains = list(targets)
     model = train(docs, labelled, domains)
-    rows = written(posteriors(docs, model), "posteriors")
+    rows = written(with_labels(posteriors(docs, model), labelled, domains), "posteriors")
     rate = fitted_rates(rows, [targets[d] for d in domains], max_rate=max_rate, **options)
     chance = F.pmod(F.xxhash64("lot", F.lit(12)), F.lit(1 << 32)) / float(1 << 32)
     first = F.array_position("p", F.array_max("p")).cast("int")

@@ -61,6 +61,13 @@ def test_mixing(spark, stages):
     assert after.columns == before.columns and after.count() >= 0.7 * before.count()
 
 
+def test_mixing_keeps_labelled_good(spark, stages):
+    before, after = stages[3]
+    good = {r.doc_id for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect() if r.quality == 1 and r.toxic == 0}
+    given = {r.doc_id for r in before.collect()} & good
+    assert given and given <= {r.doc_id for r in after.collect()}
+
+
 def test_packing(stages):
     before, after = stages[4]
     found = rows(after)

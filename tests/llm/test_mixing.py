@@ -99,3 +99,32 @@ def test_domains(spark):
                                    "doc_id long, quality int, toxic int")
     assert {r["doc_id"]: r["domain"] for r in rows(mixing.quality_domains(labels))} == \
         {1: "good", 2: "poor", 3: "toxic", 5: "toxic"}
+
+
+def test_classifier_on_rows_it_did_not_see(tables):
+    docs, labelled = tables
+    unseen = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
+    found = mixing.mixed(docs, labelled.filter(~unseen), TARGETS) \
+        .join(labelled.filter(unseen).withColumnRenamed("domain", "is"), "doc_id").toPandas()
+    assert len(found) > 50 and (found["is"] == found.domain).mean() >= 0.8
+
+
+def test_thinning_keeps_the_main_domain(tables):
+    docs, labelled = tables
+    found = mixing.mixed(docs, labelled, TARGETS, 1.0).join(labelled.withColumnRenamed("domain", "is"), "doc_id", "left") \
+        .toPandas()
+    good = found[found["is"] == "good"]
+    assert len(good) and (good.copies == 1).all() and (good.rate == 1).all()
+    assert (found[found.domain == "good"].copies == 1).all()
+    assert found["is"].isna().any() and (found.rate <= 1).all() and found[found.domain != "good"].rate.mean() < 0.9
+
+
+def test_labels_are_posteriors(spark):
+    docs = odd_documents(spark)
+    labelled = spark.createDataFrame([(1, "poor"), (2, "good"), (6, "good"), (6, "toxic"), (7, "other"), (None, "toxic")],
+                                     "doc_id long, domain string")
+    found = rows(mixing.mixed(docs, labelled, TARGETS))
+    assert len(found) == len(ODD)
+    by_id = {i: [r["p"] for r in found if r["doc_id"] == i] for i in (1, 2, 6)}
+    assert by_id == {1: [[0, 1, 0]], 2: [[1, 0, 0]] * 2, 6: [[0.5, 0, 0.5]]}
+    assert all(max(r["p"]) < 1 for r in found if r["doc_id"] in (7, None))
