@@ -13,7 +13,7 @@ from pricelane.llm.work import written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without any n-gram that a language knows, go."""
+    """Documents without a letter go, and those of which no language knows a quarter of the n-grams."""
     return language.accepted(docs, language.train(docs, language.learnable()))
 
 

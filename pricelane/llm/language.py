@@ -28,6 +28,10 @@ UNKNOWN = "und"
 ORDERS = (3, 4)
 SLOTS_LOG2, PROBES = 20, 2
 SEGMENT = 1 << 20
+#: A text is accepted if its language knows this share of its n-grams, and so many standard deviations more
+#: of them than false hits make likely. Texts of a language that was learned have shares above a half,
+#: random letters and other languages mostly below a fifth.
+LEAST, DEVIATIONS = 0.25, 3.0
 FACTORS = np.random.default_rng(9).integers(1, 2 ** 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _letters: list[np.ndarray] = []
 
@@ -168,18 +172,27 @@ def hits(texts: list[str], filters: Filters) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(0, count - n[:, None] * filters.false_rate) / (1 - filters.false_rate), n
 
 
-def predict(texts: list[str | None], filters: Filters) -> tuple[list[str], np.ndarray]:
-    """The language of each text and the winner's share of all corrected hits."""
+def summed_hits(texts: list[str | None], filters: Filters) -> tuple[np.ndarray, np.ndarray]:
+    """What hits() gives for texts of any length."""
     cut = [(i, s) for i, t in enumerate(texts) for s in segments(t or "")]
-    sums = np.zeros((len(texts), len(filters.languages)))
+    sums, grams_of = np.zeros((len(texts), len(filters.languages))), np.zeros(len(texts))
     at = 0
     while at < len(cut):
         to, size = at, 0
         while to < len(cut) and (to == at or size + len(cut[to][1]) < SEGMENT):
             size += len(cut[to][1])
             to += 1
-        np.add.at(sums, [i for i, _ in cut[at:to]], hits([s for _, s in cut[at:to]], filters)[0])
+        found, n = hits([s for _, s in cut[at:to]], filters)
+        owner = [i for i, _ in cut[at:to]]
+        np.add.at(sums, owner, found)
+        np.add.at(grams_of, owner, n)
         at = to
+    return sums, grams_of
+
+
+def predict(texts: list[str | None], filters: Filters) -> tuple[list[str], np.ndarray]:
+    """The language of each text and the winner's share of all corrected hits."""
+    sums, _ = summed_hits(texts, filters)
     if not filters.languages:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     total = sums.sum(1)
@@ -209,10 +222,30 @@ def identified(docs: DataFrame, filters: Filters) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, filters: Filters) -> DataFrame:
-    """The rows of `docs` whose text has a letter and some n-gram that a language knows."""
-    pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
-    return identified(docs, filters).filter((F.col(pred) != UNKNOWN) & (F.col(score) > 0)).drop(pred, score)
+def recognised(texts: list[str | None], filters: Filters, least: float = LEAST,
+               deviations: float = DEVIATIONS) -> np.ndarray:
+    """Whether a language knows at least the share `least` of a text's n-grams, beyond its expected false
+    hits, and more than chance gives: its hits exceed these by `deviations` standard deviations."""
+    if not filters.languages:
+        return np.zeros(len(texts), bool)
+    sums, n = summed_hits(texts, filters)
+    best = sums.argmax(1)
+    false, most = filters.false_rate[best], sums.max(1)
+    beyond = most * (1 - false)
+    return (most > 0) & (most >= least * n) & (beyond >= deviations * np.sqrt(n * false * (1 - false)))
+
+
+def accepted(docs: DataFrame, filters: Filters, least: float = LEAST, deviations: float = DEVIATIONS) -> DataFrame:
+    """The rows of `docs` whose text has a letter and is recognised() as some language."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), 1000):
+                part = batch.slice(low, 1000)
+                yield part.filter(pa.array(recognised(part.column(at).to_pylist(), filters, least, deviations)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(every: int = 4, rest: int = 2) -> Column:

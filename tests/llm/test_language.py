@@ -79,3 +79,24 @@ def test_many_languages(spark):
     filters = language.train(table, F.lit(True))
     assert len(filters.slots) == 3
     assert language.predict([t for _, t, _ in made], filters)[0] == [lang for _, _, lang in made]
+
+
+def test_junk_and_unlearned_languages_are_not_accepted(spark, docs, filters):
+    random = np.random.default_rng(0)
+    word = lambda: "".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), random.integers(3, 9)))
+    junk = [" ".join(word() for _ in range(100)) for _ in range(50)]
+    other = ["Ogni giorno il sole sorge sopra le montagne e illumina la valle dove vivono gli uomini",
+             "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+             "Все люди рождаются свободными и равными в своем достоинстве и правах"]
+    lost = " ".join(["qxzvwk"] * 2000) + " the"
+    texts = [*junk, *other, lost]
+    assert not language.recognised(texts, filters).any()
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert language.accepted(made, filters).count() == 0
+    assert language.accepted(made, filters, least=0.0, deviations=0.0).count() >= 50
+
+
+def test_learned_languages_are_accepted(docs, filters):
+    lettered = [r.text for r in docs.select("text").collect() if language.has_letter(r.text)]
+    assert language.recognised(lettered, filters).all()
+    assert list(language.recognised(["The", "the of", "12 !", "", None], filters)) == [True, True, False, False, False]
