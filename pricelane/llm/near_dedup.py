@@ -15,7 +15,7 @@ often as their Jaccard similarity says. Steps:
    member.
 4. Of what is left in a bucket, all pairs of different components are compared by the joint likelihood
    of their registers, in cells of bounded size, and rows that may reach the threshold with another go
-   on.
+   on. Rows of a bucket's largest component only meet those of others.
 5. Every link is verified on the full sets of the texts: first the pairs with a head, then inside the
    cells of what went on. A cell gives the links that connect its rows, never all pairs.
 """
@@ -253,6 +253,27 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         .mapInArrow(_verify(percent), "low long, high long").distinct()
 
 
+def dealt(rooted: DataFrame) -> DataFrame:
+    """key, i, j, id, root, side: the cells in which the rows (key, size, id, root) of buckets with several
+    roots meet. Rows of a bucket's largest root, if they are more than a block, have blocks of their own,
+    which meet the blocks of the other rows only; all other blocks of a bucket meet each other."""
+    per_root = rooted.groupBy("key", "root").agg(F.count("*").alias("m"))
+    largest = per_root.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("most")) \
+        .filter("roots > 1").select("key", F.col("most.m").alias("m"), F.col("most.root").alias("main"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    apart = F.when(F.col("m") > BLOCK, F.col("m")).otherwise(0)
+    own = (F.col("m") > BLOCK) & (F.col("root") == F.col("main"))
+    lot = F.xxhash64("id")
+    return rooted.join(largest, "key") \
+        .withColumn("rest", blocks(F.col("size") - apart)).withColumn("all", F.col("rest") + blocks(apart)) \
+        .withColumn("block", F.when(own, F.col("rest") + F.pmod(lot, F.col("all") - F.col("rest")))
+                    .otherwise(F.pmod(lot, F.col("rest"))).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(own, F.col("rest")).otherwise(F.col("all")) - 1))) \
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root",
+                F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+                .alias("side"))
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """id, root of the classes (id, n, registers) that are linked to a smaller one."""
     bands = written(classes.select("id", "registers").mapInArrow(_bands, "id long, key long"), "bands")
@@ -275,14 +296,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     roots = written(components(links), "roots")
 
     rooted = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = rooted.join(mixed, "key", "left_semi").withColumn("blocks", blocks) \
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root",
-                F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-                .alias("side"))
+    open_ = dealt(rooted)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_cells = lambda rows: rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     cells = open_.join(classes, "id").select("key", "i", "j", "id", "root", "n", "side", "registers")

@@ -129,3 +129,23 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert {i: found.get(i, i) for i in root} == root
+
+
+def test_a_large_root_is_not_dealt_against_itself(spark):
+    made = [(1, 3001, i, 0 if i < 3000 else i) for i in range(3001)]
+    cells = near_dedup.dealt(spark.createDataFrame(made, "key long, size long, id long, root long"))
+    assert cells.count() <= 3000 + 10
+
+
+def test_different_roots_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    groups = {1: [40, 1], 2: [30, 20, 1, 1], 3: [1] * 30, 4: [5, 2], 5: [50], 6: [9, 9]}
+    made = [(key, sum(sizes), 10_000 * key + 100 * g + i, 10_000 * key + 100 * g)
+            for key, sizes in groups.items() for g, n in enumerate(sizes) for i in range(n)]
+    cells = {}
+    for r in near_dedup.dealt(spark.createDataFrame(made, "key long, size long, id long, root long")).collect():
+        cells.setdefault((r.key, r.i, r.j), []).append(r)
+    met = [frozenset((a.id, b.id)) for c in cells.values() for a in c for b in c
+           if a.root != b.root and (a.side == 0 and b.side == 1 or a.side == b.side == 2 and a.id < b.id)]
+    wanted = {frozenset((a[2], b[2])) for a in made for b in made if a[0] == b[0] and a[3] != b[3]}
+    assert len(met) == len(set(met)) and set(met) == wanted
