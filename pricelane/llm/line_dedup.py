@@ -37,7 +37,7 @@ def lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     return cut.select("doc_id", "text_hash", F.size("cut").alias("n_lines"),
                       F.posexplode("cut").alias("pos", "line")) \
         .select("*", key.alias("key")).filter(F.length("key") >= min_chars) \
-        .select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"),
+        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"),  # seeded by 1, not by h1
                 "doc_id", "text_hash", "pos", "n_lines")
 
 

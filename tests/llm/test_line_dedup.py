@@ -87,3 +87,29 @@ def test_odd_rows(spark):
     assert line_dedup.keep_bitmaps(no_documents(spark)).count() == 0
     empty = no_documents(spark)
     assert line_dedup.without_lines(empty, line_dedup.keep_bitmaps(empty)).count() == 0
+
+
+def same_hash():
+    """Two lines of 16 letters and digits with the same xxhash64 at Spark's seed."""
+    p1, p2, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    part = lambda k: turn(k * p2, 31) * p1
+    undo = lambda p: np.uint64(pow(int(p), -1, 1 << 64))
+    random, letters = np.random.default_rng(0), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    heads = [np.frombuffer(h, "<u8") for h in (b"one line", b"two line")]
+    states = [turn((np.full(1, 42 + 16, np.uint64) + p5) ^ part(h), 27) * p1 + p4 for h in heads]
+    while True:
+        tails = random.choice(letters, (1 << 20, 8)).view("<u8").ravel()
+        others = turn((part(tails) ^ states[0] ^ states[1]) * undo(p1), 33) * undo(p2)
+        fit = np.flatnonzero(np.isin(others.view(np.uint8).reshape(-1, 8), letters).all(1))
+        if len(fit):
+            return "one line" + tails[fit[:1]].tobytes().decode(), "two line" + others[fit[:1]].tobytes().decode()
+
+
+def test_lines_with_one_hash_alike_are_two_keys(spark):
+    pair = same_hash()
+    docs = spark.createDataFrame([(i, pair[i % 2]) for i in range(12)], "doc_id long, text string")
+    found = rows(line_dedup.lines(docs))
+    assert len({r["h1"] for r in found}) == 1 and len({r["h2"] for r in found}) == 2
+    assert line_dedup.keep_bitmaps(docs, min_docs=10).count() == 0
+    assert line_dedup.keep_bitmaps(docs, min_docs=6).count() == 12
