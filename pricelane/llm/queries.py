@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricelane.llm import (chat, exact_dedup, language, line_dedup, mixing, near_dedup, packing, sharding, topk,
-                           toxicity)
+from pricelane.llm import (chat, divergence, exact_dedup, filter_audit, language, line_dedup, mixing, near_dedup,
+                           packing, sharding, simhash, topk, toxicity)
 
 #: Target shares of tokens by domain.
 TARGETS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
@@ -79,6 +79,18 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
                         "domain", "rate", "copies")
 
 
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"), min_docs=30, top=50)
+
+
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_topk, op2_near_dedup, op3_sharding, op4_toxicity, op5_chat, op6_line_dedup, op7_exact_dedup, op8_packing,
-    op9_language, op10_mixing)}
+    op9_language, op10_mixing, op11_divergence, op12_simhash, op13_filter_audit)}

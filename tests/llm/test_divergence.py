@@ -1,0 +1,144 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from cases import ODD, lowered, no_documents, odd_documents
+from conftest import rows
+
+from pricelane.llm import divergence
+
+TERM = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+COLUMNS = ["lang", "source", "part", "item", "value", "rank"]
+
+
+def plain(docs, min_docs, top):
+    """Rows for docs (text, lang, source), by loops over dictionaries."""
+    groups, seen, found = {}, {}, []
+    for text, lang, source in docs:
+        lang, source = lang or "", source or ""
+        counts = groups.setdefault(lang, {}).setdefault(source, {})
+        terms = TERM.findall(lowered(text))
+        for term in terms:
+            counts[term] = counts.get(term, 0) + 1
+        for term in set(terms):
+            seen[lang, term] = seen.get((lang, term), 0) + 1
+    for lang, sources in groups.items():
+        kept = sorted(t for (l, t), n in seen.items() if l == lang and n >= min_docs)
+        whole = {t: sum(c.get(t, 0) for c in sources.values()) for t in kept}
+
+        def shares(counts):
+            total = sum(counts.get(t, 0) for t in kept)
+            return {t: 1 + 10 ** 9 * (counts.get(t, 0) + 5) // (total + 5 * len(kept)) for t in kept}
+        q, p = shares(whole), {s: shares(c) for s, c in sources.items()}
+        for source in sources:
+            pairs = [(sum(abs(p[source][t] - p[o][t]) for t in kept), o) for o in sources if o != source]
+            terms = [(p[source][t] - q[t], t) for t in kept if sources[source].get(t) and p[source][t] > q[t]]
+            for part, items in (("pair", pairs), ("term", terms)):
+                items.sort(key=lambda x: (-x[0], x[1].encode()))
+                found += [(lang, source, part, item, value, rank) for rank, (value, item) in enumerate(items, 1)
+                          if part == "pair" or rank <= top]
+    return sorted(found)
+
+
+def result(df):
+    return sorted(tuple(r[c] for c in COLUMNS) for r in rows(df))
+
+
+def made(seed, n, sources, langs=("en", "de", None)):
+    r = random.Random(seed)
+    stems = ["a", "ab", "ÄB", "straße", "abcdefgh", "abcdefghi", "abcdefghijklmnop", "abcdefghijklmnopq", "漢字漢字漢字", "é" * 40, "x" * 500]
+    docs = []
+    for _ in range(n):
+        terms = [r.choice(stems) + r.choice(["", "z", "Z", "\U0001f600"]) for _ in range(r.randrange(40))]
+        text = "".join(t + r.choice([" ", "\n", "7", "-", "_", "\x7f"]) for t in terms)
+        docs.append((text, r.choice(langs), r.choice(sources)))
+    return docs
+
+
+def table(spark, docs):
+    return spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id long, text string, lang string, source string") \
+        .repartition(3)
+
+
+def test_against_dictionaries(spark):
+    docs = made(1, 300, ["s1", "S2", None, "ß", "only"]) + [(None, "fr", "empty"), ("", "fr", "second"), ("one two", "it", "lone")]
+    for min_docs, top in ((1, 3), (12, 50), (10 ** 6, 50)):
+        assert result(divergence.source_divergence(table(spark, docs), min_docs, top)) == plain(docs, min_docs, top)
+
+
+def test_blocks_and_chunks_change_nothing(spark, monkeypatch):
+    docs = made(2, 300, [f"s{i}" for i in range(23)]) + [("lonelyterm " * 3, "en", "s4")] * 2
+    monkeypatch.setattr(divergence, "BLOCK", 5)
+    monkeypatch.setattr(divergence, "CELL", 40)
+    assert result(divergence.source_divergence(table(spark, docs), 2, 7)) == plain(docs, 2, 7)
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark)
+    found = result(divergence.source_divergence(docs, 1, 5))
+    assert found == plain([(text, "en", None) for _, text in ODD], 1, 5)
+    assert divergence.source_divergence(no_documents(spark)).count() == 0
+
+
+def batch(docs):
+    return pa.RecordBatch.from_arrays([pa.array([d[1] or "" for d in docs]), pa.array([d[2] or "" for d in docs]),
+                                       pa.array([d[0] for d in docs], pa.string())], names=["lang", "source", "text"])
+
+
+def added_up(batches):
+    total = {}
+    for b in batches:
+        for r in b.to_pylist():
+            for source, n in zip(r["sources"], r["counts"]):
+                key = r["lang"], r["term"]
+                total[(*key, source)] = total.get((*key, source), 0) + n
+            total[key] = total.get(key, 0) + r["docs"]
+    return total
+
+
+def expected(docs):
+    total = {}
+    for text, lang, source in docs:
+        terms = TERM.findall(lowered(text))
+        for term in terms:
+            total[lang or "", term, source or ""] = total.get((lang or "", term, source or ""), 0) + 1
+        for term in set(terms):
+            total[lang or "", term] = total.get((lang or "", term), 0) + 1
+    return total
+
+
+@pytest.mark.parametrize("fold, held", [(1 << 20, 1 << 21), (50, 100), (1, 1)])
+def test_a_task_that_hands_out_often(monkeypatch, fold, held):
+    docs = made(3, 120, ["a", "b"]) + [("Long term " * 200_000, "en", "a"), ("w" * 300_000, "de", "b")]
+    monkeypatch.setattr(divergence, "FOLD", fold)
+    monkeypatch.setattr(divergence, "HELD", held)
+    assert added_up(divergence._count(iter([batch(docs[:50]), batch(docs[50:])]))) == expected(docs)
+
+
+def test_long_texts_in_pieces():
+    text = ("Über die Wörter hinaus " * 50 + "x" * 700 + " " + "漢" * 90).encode()
+    lower = text.lower()
+    whole = divergence.counted([lower], np.zeros(1, np.uint32), np.zeros(1, np.uint32))
+    for size in (1, 10, 100, 10 ** 6):
+        pieces = divergence.counted_long(lower, 0, 0, size)
+        assert pieces.keys() == whole.keys()
+        for bucket, t in whole.items():
+            assert all((a == b).all() for a, b in zip(t.keys, pieces[bucket].keys))
+            assert (t.count == pieces[bucket].count).all() and (pieces[bucket].docs == 1).all()
+
+
+def test_radix_order():
+    r = np.random.default_rng(4)
+    keys = (r.integers(0, 3, 5000).astype(np.uint32), r.integers(0, 2 ** 64, 5000, dtype=np.uint64) >> r.integers(0, 63, 5000).astype(np.uint64),
+            r.integers(0, 70_000, 5000).astype(np.uint32))
+    assert (divergence.radix_order(keys) == np.lexsort(keys[::-1])).all()
+
+
+def test_shares_are_exact(spark):
+    given = [(0, 0, 1), (10 ** 15, 3 * 10 ** 15, 7), (3 * 10 ** 15, 3 * 10 ** 15, 1), (7, 11, 13), (10 ** 18, 10 ** 18, 10 ** 9)]
+    df = spark.createDataFrame(given, "a long, n long, v long")
+    from pyspark.sql import functions as F
+    found = [r[0] for r in df.select(divergence.share(F.col("a"), F.col("n"), F.col("v"))).collect()]
+    assert found == [1 + 10 ** 9 * (a + 5) // (n + 5 * v) for a, n, v in given]

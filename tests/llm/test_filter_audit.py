@@ -1,0 +1,132 @@
+import random
+import re
+from itertools import permutations
+
+import numpy as np
+import pytest
+from cases import ODD, no_documents, odd_documents
+from conftest import rows
+
+from pricelane.llm import filter_audit
+
+COLUMNS = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+
+
+def failing(docs):
+    """The letters that each row of docs (doc_id, text, source) fails."""
+    found = []
+    for doc, text, _ in docs:
+        text = text or ""
+        words = re.findall("[^\x20\x09-\x0D]+", text)
+        letters = set()
+        if len(words) < 50:
+            letters.add("A")
+        if 100 * len(set(words)) < 65 * len(words):
+            letters.add("B")
+        if 100 * len(re.findall("[A-Z]", text)) > 5 * len(text):
+            letters.add("C")
+        if re.search("[#$%&*|]", text):
+            letters.add("D")
+        if doc is not None and any(d is not None and d < doc and (t or "") == text for d, t, _ in docs):
+            letters.add("E")
+        found.append(letters)
+    return found
+
+
+def plain(docs, labels):
+    """Every order applied step by step to the rows themselves."""
+    fails = failing(docs)
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
+    found = []
+    for part in {s or "" for _, _, s in docs}:
+        own = [i for i, d in enumerate(docs) if (d[2] or "") == part]
+        made, shapley = [], dict.fromkeys("ABCDE", 0)
+        for order in permutations("ABCDE"):
+            left = set(own)
+            for step, letter in enumerate(order, 1):
+                gone = {i for i in left if letter in fails[i]}
+                before, left = left, left - gone
+                shapley[letter] += len(gone)
+                made.append([part, "".join(order), step, len(left), len(gone),
+                             sum(letter in fails[i] for i in own if i not in before),
+                             sum(fails[i] == {letter} for i in own),
+                             sum(docs[i][0] in good for i in gone), sum(docs[i][0] in toxic for i in gone)])
+        found += [(*m, shapley[m[1][m[2] - 1]]) for m in made]
+    return sorted(found)
+
+
+def result(df):
+    return sorted(tuple(r[c] for c in COLUMNS) for r in rows(df))
+
+
+def frames(spark, docs, labels):
+    return (spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3),
+            spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+
+def made(seed, n):
+    r, docs = random.Random(seed), []
+    for i in range(n):
+        words = [r.choice(["Up", "low", "x#", "SHOUT", "ä"]) + str(r.randrange(r.choice([3, 1000]))) for _ in range(r.choice([10, 49, 50, 51, 80]))]
+        text = r.choice([" ", "\n", "\t "]).join(w if r.random() < 0.5 else w.lower().replace("#", "") for w in words)
+        docs.append((r.choice([i, i, None, 5]), text if r.random() < 0.7 or not docs else r.choice(docs)[1], r.choice(["s1", "s2", None, ""])))
+    return docs
+
+
+def test_against_step_by_step(spark):
+    docs = made(1, 150)
+    labels = [(i, i % 3 % 2, i % 5 // 4) for i in range(150)] + [(7, 1, None), (7, 0, 1), (None, 1, 1), (9, None, None), (999, 1, 1)]
+    assert result(filter_audit.audit(*frames(spark, docs, labels))) == plain(docs, labels)
+
+
+def test_limits_are_exact(spark):
+    words = [f"w{i}" for i in range(50)]
+    docs = [(1, " ".join(words), "a"), (2, " ".join(words[:49]), "a"),
+            (3, " ".join(words[:13] * 5), "b"), (4, " ".join((words[:12] + ["W0"]) + words[:7]), "b"),
+            (5, "A" + "b" * 19, "c"), (6, "AA" + "b" * 38, "c"), (7, "AA" + "é" * 37, "c"), (8, " ".join(words), "d")]
+    assert result(filter_audit.audit(*frames(spark, docs, [(1, 1, 1)]))) == plain(docs, [(1, 1, 1)])
+    assert failing(docs)[4] == {"A"} and "C" in failing(docs)[6] and failing(docs)[7] == {"E"}
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark)
+    labels = [(1, 1, 0), (2, 0, 1), (2, 1, 0), (3, 1, 1), (None, 1, 1)]
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert result(filter_audit.audit(docs, given)) == plain([(d, t, None) for d, t in ODD], labels)
+    assert filter_audit.audit(docs, given.limit(0)).count() == 600
+    assert filter_audit.audit(no_documents(spark), given).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 10, 1000])
+def test_positional_counts(n):
+    words = np.random.default_rng(n).integers(0, 2 ** 32, n, dtype=np.uint32)
+    assert filter_audit.positional_counts(words).tolist() == [int((words >> b & 1).sum()) for b in range(32)]
+
+
+def test_words_of_masks():
+    for mask, word in enumerate(filter_audit.WORDS.tolist()):
+        assert [word >> s & 1 for s in range(32)] == [int(s & mask == 0) for s in range(32)]
+
+
+def test_long_texts_in_pieces():
+    text = "word Word é x#1 " * 500 + "y" * 3000
+    whole = filter_audit.word_counts(text)
+    assert whole == (len(text.split()), len(set(text.split())))
+    assert all(filter_audit.word_counts(text, size) == whole for size in (1, 5, 1000))
+
+
+def test_a_task_that_counts_often(spark, monkeypatch):
+    batches = [spark.createDataFrame(rows_, "part string, mask int, good boolean, toxic boolean").toArrow().to_batches()[0]
+               for rows_ in ([("a", 3, True, False), ("b", 0, False, False)], [("a", 31, True, True), ("c", 16, False, True)])]
+    whole = {}
+    for held in (1, 1 << 18):
+        monkeypatch.setattr(filter_audit, "HELD", held)
+        total = {}
+        for b in filter_audit._survivors(iter(batches)):
+            for r in b.to_pylist():
+                for kind in filter_audit.KINDS:
+                    key = r["part"], kind
+                    total[key] = [x + y for x, y in zip(total.get(key, [0] * 32), r[kind])]
+        whole = whole or total
+        assert total == whole

@@ -17,7 +17,7 @@ def test_registered():
     import __spark_entry__ as driver
     names = set(driver.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(sql.QUERIES) <= set(driver.oracle_sql())
 
 
