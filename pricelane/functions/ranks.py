@@ -2,7 +2,7 @@
 
 A rank only depends on how many rows have a smaller value. So rows are first counted per value, the
 counts are added up inside value buckets, the (few) bucket totals are added up in value order, and
-the result is joined back by value.
+the result is joined back by value. All measures of a table go through these steps together.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ BUCKETS_PER_OCTAVE = 256
 NULL_BUCKET = 1 << 20
 
 
-def _bucket(value: Column) -> Column:
+def value_bucket(value: Column) -> Column:
     """A coarse bucket that never decreases when the value grows."""
     return (F.signum(value)
             * F.floor(F.log2(F.abs(value) + 1) * BUCKETS_PER_OCTAVE)).cast("int")
@@ -30,40 +30,27 @@ def _sort_key(column: str, descending: bool) -> Column:
     return -value if descending else value
 
 
-def rows_before(df: DataFrame, by: list[str], column: str, descending: bool,
-                calendar: bool) -> DataFrame:
-    """Per (by, value): `_before`, the rows of the group with an earlier value, and `_total`.
-
-    NULL comes first in ascending and last in descending order. `calendar` says that the column
-    counts days, so a group has few distinct values and their counts are added up at once.
-    """
-    key = _sort_key(column, descending)
-    counts = (df.select(*by, key.isNull().alias("_null"),
-                        (F.coalesce(key, F.lit(0.0)) + 0.0).alias("_value"))
-              .withColumn("_bucket", F.when(F.col("_null"), NULL_BUCKET if descending else -NULL_BUCKET)
-                          .otherwise(F.lit(0) if calendar else _bucket(F.col("_value"))))
-              .groupBy(*by, "_bucket", "_null", "_value")
-              .agg(F.count(F.lit(1)).alias("_n")))
-    # without groups one task orders the days of the calendar, or the buckets: both are bounded
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    if calendar:
-        before = F.sum("_n").over(_preceding(group.orderBy("_bucket", "_value")))
-        return counts.select(*by, "_null", "_value", F.coalesce(before, F.lit(0)).alias("_before"),
-                             F.sum("_n").over(group).alias("_total"))
-    inside = F.sum("_n").over(_preceding(Window.partitionBy(*by, "_bucket").orderBy("_value")))
-    lower = F.sum("_size").over(_preceding(group.orderBy("_bucket")))
-    totals = (counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
-              .select(*by, "_bucket", F.coalesce(lower, F.lit(0)).alias("_lower"),
-                      F.sum("_size").over(group).alias("_total")))
+def rows_before(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Per (group, _null, _value): `_before`, the rows of the group with an earlier value, and `_total`,
+    from rows (group, _bucket, _null, _value) whose buckets are in the order of the values."""
+    counts = rows.groupBy(*group, "_bucket", "_null", "_value").agg(F.count(F.lit(1)).alias("_n")) \
+        .repartition(*group, "_bucket")
+    inside = F.sum("_n").over(_preceding(Window.partitionBy(*group, "_bucket").orderBy("_value")))
+    # one row per bucket, a bounded number for all finite doubles
+    of_group = Window.partitionBy(*group)
+    lower = F.sum("_size").over(_preceding(of_group.orderBy("_bucket")))
+    totals = (counts.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_size"))
+              .select(*group, "_bucket", F.coalesce(lower, F.lit(0)).alias("_lower"),
+                      F.sum("_size").over(of_group).alias("_total")))
     return (counts.withColumn("_inside", F.coalesce(inside, F.lit(0)))
-            .join(totals, [*by, "_bucket"])
-            .select(*by, "_null", "_value",
+            .join(totals, [*group, "_bucket"])
+            .select(*group, "_null", "_value",
                     (F.col("_inside") + F.col("_lower")).alias("_before"), "_total"))
 
 
 def running_below(counts: DataFrame, value: str, amount: str) -> DataFrame:
     """Add `below`: the sum of `amount` over the rows with a smaller `value`. Values are distinct."""
-    rows = counts.withColumn("_bucket", _bucket(F.col(value)))
+    rows = counts.withColumn("_bucket", value_bucket(F.col(value)))
     inside = F.sum(amount).over(_preceding(Window.partitionBy("_bucket").orderBy(value)))
     # one row per bucket, a bounded number for all finite doubles
     lower = F.sum("_size").over(_preceding(Window.partitionBy(F.lit(0)).orderBy("_bucket")))
@@ -74,27 +61,34 @@ def running_below(counts: DataFrame, value: str, amount: str) -> DataFrame:
 
 
 def with_rank_scores(df: DataFrame, by: list[str], scores: dict[str, tuple[str, bool]],
-                     form: str = "percent", calendar: frozenset[str] = frozenset()) -> DataFrame:
+                     form: str = "percent", keys: list[str] | None = None) -> DataFrame:
     """Add one relative rank per entry of `scores` (new column -> (value column, descending)).
 
-    form "percent": (rank - 1) / (rows - 1), 0 for a single row; "share": rank / rows.
-    `calendar` names value columns that count days, which have no more distinct values than the
-    calendar has days; without groups their ranks are therefore broadcast.
+    form "percent": (rank - 1) / (rows - 1), 0 for a single row; "share": rank / rows. NULL comes first in
+    ascending and last in descending order. `keys`: columns that identify a row, if there are any; without
+    them whole rows are compared and repeated ones are kept.
+
+    All values are stacked into one table of (measure, value), which is counted, added up and joined once,
+    however many ranks are asked for; each row then gathers its ranks.
     """
     if form not in ("percent", "share"):
         raise ValueError(f"unknown form {form!r}")
-    out = df
-    for name, (column, descending) in scores.items():
-        ranks = rows_before(df, by, column, descending, column in calendar)
-        if not by and column in calendar:
-            ranks = F.broadcast(ranks)
-        key = _sort_key(column, descending)
-        out = (out.withColumn("_null", key.isNull())
-               .withColumn("_value", F.coalesce(key, F.lit(0.0)) + 0.0)
-               .join(ranks, [*by, "_null", "_value"], "left"))
-        if form == "percent":
-            score = F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - 1)).otherwise(0.0)
-        else:
-            score = (F.col("_before") + 1) / F.col("_total")
-        out = out.withColumn(name, score).drop("_null", "_value", "_before", "_total")
-    return out
+    values = F.array(*(_sort_key(column, descending) for column, descending in scores.values()))
+    null_buckets = F.lit([NULL_BUCKET if descending else -NULL_BUCKET for _, descending in scores.values()])
+    stacked = (df.select("*", F.posexplode(values).alias("_measure", "_key"))
+               .withColumn("_null", F.col("_key").isNull())
+               .withColumn("_value", F.coalesce("_key", F.lit(0.0)) + 0.0).drop("_key"))
+    bucket = F.when(F.col("_null"), null_buckets[F.col("_measure")]).otherwise(value_bucket(F.col("_value")))
+    group = [*by, "_measure"]
+    ranks = rows_before(stacked.select(*group, bucket.alias("_bucket"), "_null", "_value"), group)
+    met = stacked.join(ranks, [*group, "_null", "_value"])
+    if form == "percent":
+        score = F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - 1)).otherwise(0.0)
+    else:
+        score = (F.col("_before") + 1) / F.col("_total")
+    gathered = [F.max(F.when(F.col("_measure") == i, score)).alias(name) for i, name in enumerate(scores)]
+    if keys:
+        rest = [F.first(c).alias(c) for c in df.columns if c not in keys]
+        return met.groupBy(*keys).agg(*rest, *gathered).select(*df.columns, *scores)
+    return (met.groupBy(*df.columns).agg(*gathered, F.count_if(F.col("_measure") == 0).cast("int").alias("_copies"))
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies", "_copy"))

@@ -17,6 +17,7 @@ from pricelane.functions.hot import sales_in_window
 from pricelane.functions.ranks import with_rank_scores
 from pricelane.functions.scalars import harmonic_mean, map_lookup, ratio
 from pricelane.schema import CASE, CATEGORY, CATEGORY_FEATURES, ITEM, ITEM_FEATURES
+from pricelane.sources.tables import Workspace, session_workspace
 
 SCOPES = ("case", "global")
 ROW = [*CASE, "uid"]
@@ -54,19 +55,57 @@ def member_windows(rows: DataFrame, days: DataFrame, cfg: PricingConfig) -> Data
     """The customer days in the feature windows of `rows` (store_cd, uid, astart), all categories.
 
     A member's cases of one store and change day share a window, so each of its days is met once,
-    however many rows of the sample it has. All member features are sums over this table.
+    however many rows of the sample it has.
     """
     asked = rows.select("store_cd", "uid", "astart").distinct()
     return sales_in_window(asked, days, ["store_cd", "uid"], -cfg.feature_len, -1, cfg)
 
 
-def _spending(window: DataFrame, level: str) -> DataFrame:
+#: Days of a window that one 64-bit number marks, without its sign.
+DAYS_PER_WORD = 63
+
+
+def member_baskets(rows: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataFrame:
+    """The items of a member's feature window (of `rows`: store_cd, uid, astart), one row each: amount (m),
+    units, and its days as bits of `days_0`, `days_1`, ..., the day before the change first.
+
+    All member features are sums over this table: days of several items are told apart by their bits, so
+    nothing that is added up later needs the days themselves.
+    """
+    ago = F.datediff("astart", "salesday") - 1
+    words = range(-(-cfg.feature_len // DAYS_PER_WORD))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), ago % DAYS_PER_WORD)
+    marks = [F.bit_or(F.when(F.floor(ago / DAYS_PER_WORD) == k, bit).otherwise(0)).alias(f"days_{k}") for k in words]
+    return member_windows(rows, days, cfg).groupBy(*BASKET, "jan").agg(
+        F.sum("salesamount").alias("m"), F.sum("salescnt").alias("units"), *marks)
+
+
+def _marks(baskets: DataFrame) -> list[str]:
+    return sorted((c for c in baskets.columns if c.startswith("days_")), key=lambda c: int(c[5:]))
+
+
+def _n_days(baskets: DataFrame, union: bool) -> Column:
+    """The number of marked days, of a row or of the `union` of grouped rows."""
+    words = [F.bit_or(c) if union else F.col(c) for c in _marks(baskets)]
+    return sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0])).cast("long")
+
+
+def _last_ago(marks: list[str]) -> Column:
+    """Days from the last marked day to the change: the lowest bit that is set."""
+    found = [F.when(F.col(c) != 0, F.bit_count(F.col(c).bitwiseAND(-F.col(c)) - 1) + 1 + DAYS_PER_WORD * k)
+             for k, c in enumerate(marks)]
+    return F.coalesce(*found)
+
+
+def _spending(baskets: DataFrame, level: str) -> DataFrame:
     """Last day, number of days (f) and amount (m) per member, change day and store, category or item."""
     keys = [*LEVELS[level], "uid", "astart"]
-    # of one item there is one row per day
-    n_days = F.count(F.lit(1)) if level == "jan" else F.count_distinct("salesday")
-    return window.groupBy(*keys).agg(F.max("salesday").alias("last_day"), n_days.alias("f"),
-                                     F.sum("salesamount").alias("m"))
+    marks = _marks(baskets)
+    # of one item there is one row already
+    found = baskets if level == "jan" else \
+        baskets.groupBy(*keys).agg(F.sum("m").alias("m"), *(F.bit_or(c).alias(c) for c in marks))
+    return found.select(*keys, F.date_sub("astart", _last_ago(marks)).alias("last_day"),
+                        _n_days(found, union=False).alias("f"), "m")
 
 
 # -- price -----------------------------------------------------------------------------------------
@@ -80,13 +119,11 @@ def price_features(base: DataFrame) -> DataFrame:
 # -- recency, frequency, monetary value ------------------------------------------------------------
 
 def _score_columns(df: DataFrame, by: list[str], form: str, *suffixes: str) -> DataFrame:
-    ranks, days = {}, set()
-    for suffix in suffixes:
-        days |= {f"r{suffix}", f"f{suffix}"}
-        ranks |= {f"{c}score{suffix}": (f"{c}{suffix}", c == "r") for c in "rfm"}
-    out = with_rank_scores(df, by, ranks, form, calendar=frozenset(days))
+    ranks = {f"{c}score{suffix}": (f"{c}{suffix}", c == "r") for suffix in suffixes for c in "rfm"}
+    out = with_rank_scores(df, by, ranks, form, keys=ROW)
     for suffix in suffixes:
         r, f, m = (F.col(f"{c}score{suffix}") for c in "rfm")
+        # fixed weights
         out = (out.withColumn(f"rfm_score{suffix}", 0.3 * r + 0.3 * f + 0.4 * m)
                .withColumn(f"rfm_score2{suffix}", harmonic_mean(r, f, m)))
     return out
@@ -99,7 +136,7 @@ def _scored(base: DataFrame, spent: DataFrame, by: list[str], form: str, *suffix
 
 
 def rfm_features(base: DataFrame, days: DataFrame, cfg: PricingConfig, scope: str = "case",
-                 form: str = "percent", window: DataFrame | None = None) -> DataFrame:
+                 form: str = "percent", baskets: DataFrame | None = None) -> DataFrame:
     """Days since the last purchase (r), days with a purchase (f) and amount (m) of each member,
     their relative ranks, and two mixed scores.
 
@@ -113,20 +150,20 @@ def rfm_features(base: DataFrame, days: DataFrame, cfg: PricingConfig, scope: st
             F.sum("salesamount").alias("m"))
         spent = base.select(*ROW).join(totals, "uid", "left")
     else:
-        window = member_windows(base, days, cfg) if window is None else window
-        spent = base.select(*ROW).join(_spending(window, "store"), ["store_cd", "uid", "astart"], "left")
+        baskets = member_baskets(base, days, cfg) if baskets is None else baskets
+        spent = base.select(*ROW).join(_spending(baskets, "store"), ["store_cd", "uid", "astart"], "left")
     spent = spent.withColumn("r", F.datediff("astart", "last_day"))
     return _scored(base, spent, CASE if scope == "case" else [], form, "")
 
 
 def rfm_level_features(base: DataFrame, days: DataFrame, cfg: PricingConfig,
-                       form: str = "percent", window: DataFrame | None = None) -> DataFrame:
+                       form: str = "percent", baskets: DataFrame | None = None) -> DataFrame:
     """The same scores per case, once from purchases of the item (`_jan`) and once from purchases of
     its category (`_lv5`); r counts up to the last day before the change."""
-    window = member_windows(base, days, cfg) if window is None else window
+    baskets = member_baskets(base, days, cfg) if baskets is None else baskets
     spent = base.select(*ROW)
     for level in ("jan", "lv5"):
-        found = _spending(window, level).withColumnsRenamed({c: f"{c}_{level}" for c in ("last_day", "f", "m")})
+        found = _spending(baskets, level).withColumnsRenamed({c: f"{c}_{level}" for c in ("last_day", "f", "m")})
         spent = spent.join(found, [*LEVELS[level], "uid", "astart"], "left").withColumn(
             f"r_{level}", F.datediff(F.date_add("astart", -1), f"last_day_{level}"))
     return _scored(base, spent, CASE, form, "_jan", "_lv5")
@@ -135,11 +172,11 @@ def rfm_level_features(base: DataFrame, days: DataFrame, cfg: PricingConfig,
 # -- loyalty ---------------------------------------------------------------------------------------
 
 def loyalty_features(base: DataFrame, days: DataFrame, cfg: PricingConfig, scope: str = "case",
-                     sample: DataFrame | None = None, window: DataFrame | None = None) -> DataFrame:
+                     sample: DataFrame | None = None, baskets: DataFrame | None = None) -> DataFrame:
     """Share of the item in what the member spends (m) and how often it buys (f) in the category."""
     _check_scope(scope)
-    if scope == "case" and window is None:
-        window = member_windows(base if sample is None else sample, days, cfg)
+    if scope == "case" and baskets is None:
+        baskets = member_baskets(base if sample is None else sample, days, cfg)
     out = base
     for level, keys in (("lv5", ["uid", "lv5_nm"]), ("jan", ["uid", "jan"])):
         if scope == "global":
@@ -148,7 +185,7 @@ def loyalty_features(base: DataFrame, days: DataFrame, cfg: PricingConfig, scope
                 F.count_distinct("salesday").alias(f"f_{level}"))
             out = out.join(totals, keys, "left")
         else:
-            found = _spending(window, level).drop("last_day") \
+            found = _spending(baskets, level).drop("last_day") \
                 .withColumnsRenamed({c: f"{c}_{level}" for c in "fm"})
             out = out.join(found, [*LEVELS[level], "uid", "astart"], "left")
     return (out.withColumn("jan_loy_m", ratio(F.col("m_jan"), F.col("m_lv5"), 0.0))
@@ -200,8 +237,8 @@ def _pscore_columns(df: DataFrame, cfg: PricingConfig) -> DataFrame:
 
 def price_sensitivity_features(base: DataFrame, days: DataFrame, packs: DataFrame,
                                cfg: PricingConfig, scope: str = "case",
-                               sample: DataFrame | None = None,
-                               window: DataFrame | None = None) -> DataFrame:
+                               sample: DataFrame | None = None, baskets: DataFrame | None = None,
+                               shelf_sales: DataFrame | None = None) -> DataFrame:
     """Price per content of the item and of what the member buys, relative to the category.
 
     Scope "global" takes the category of an item from the cases, so only items with a case count
@@ -212,8 +249,15 @@ def price_sensitivity_features(base: DataFrame, days: DataFrame, packs: DataFram
     packs = one_row_per_item(packs, "det_val")
     if scope == "global":
         return _pscore_columns(_unit_prices_global(base, sample, days, packs, cfg), cfg)
-    window = member_windows(sample, days, cfg) if window is None else window
-    return _pscore_columns(_unit_prices_of_case(base, sample, days, packs, cfg, window), cfg)
+    baskets = member_baskets(sample, days, cfg) if baskets is None else baskets
+    shelf_sales = item_days(days) if shelf_sales is None else shelf_sales
+    return _pscore_columns(_unit_prices_of_case(base, sample, shelf_sales, packs, cfg, baskets), cfg)
+
+
+def item_days(days: DataFrame) -> DataFrame:
+    """What all members together bought of an item in a store on a day."""
+    return days.groupBy(*ITEM, "salesday").agg(
+        F.sum("salesamount").alias("salesamount"), F.sum("salescnt").alias("salescnt"))
 
 
 def _cases_of(sample: DataFrame) -> DataFrame:
@@ -247,17 +291,16 @@ def _unit_prices_global(base: DataFrame, sample: DataFrame, days: DataFrame, pac
             .join(member_price, ["uid", "plv5_nm"], "left"))
 
 
-def _unit_prices_of_case(base: DataFrame, sample: DataFrame, days: DataFrame, packs: DataFrame,
-                         cfg: PricingConfig, window: DataFrame) -> DataFrame:
-    def sized(sales):
+def _unit_prices_of_case(base: DataFrame, sample: DataFrame, shelf_sales: DataFrame, packs: DataFrame,
+                         cfg: PricingConfig, baskets: DataFrame) -> DataFrame:
+    def sized(sales, units="salescnt"):
         return pack_size_category(sales.join(packs, "jan"), cfg).withColumn(
-            "volume", F.col("det_val") * F.col("salescnt"))
+            "volume", F.col("det_val") * F.col(units))
 
     pack_category = [*CATEGORY, "plv5_nm"]
     price = _unit_price(F.col("salesamount"), F.col("volume"))
     # the two case prices need the sales of all customers, but not by customer
-    sold = sized(days.groupBy(*ITEM, "salesday").agg(
-        F.sum("salesamount").alias("salesamount"), F.sum("salescnt").alias("salescnt")))
+    sold = sized(shelf_sales)
 
     def totals(keys: list[str], name: str) -> DataFrame:
         return (_window_totals(cases, CASE, sold, keys, ["salesamount", "volume"], cfg)
@@ -266,9 +309,9 @@ def _unit_prices_of_case(base: DataFrame, sample: DataFrame, days: DataFrame, pa
     cases = pack_size_category(_cases_of(sample).join(packs, "jan"), cfg).drop("det_val")
     priced = (cases.join(totals(ITEM, "unitp_item"), CASE, "left")
               .join(totals(pack_category, "unitp_cate"), CASE, "left"))
-    members = (sized(window).groupBy(*pack_category, "uid", "astart")
-               .agg(F.sum("salesamount").alias("salesamount"), F.sum("volume").alias("volume"),
-                    F.count_distinct("salesday").alias("ndays"))
+    members = (sized(baskets, "units").groupBy(*pack_category, "uid", "astart")
+               .agg(F.sum("m").alias("salesamount"), F.sum("volume").alias("volume"),
+                    _n_days(baskets, union=True).alias("ndays"))
                .select(*pack_category, "uid", "astart", "ndays", price.alias("unitp_uid")))
     return base.join(priced, CASE, "left").join(members, [*pack_category, "uid", "astart"], "left")
 
@@ -307,7 +350,7 @@ def _with_kani(base: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame
 def cannibalisation_features(base: DataFrame, days: DataFrame, cfg: PricingConfig,
                              scope: str = "case", mean: str = "top5",
                              sample: DataFrame | None = None,
-                             window: DataFrame | None = None) -> DataFrame:
+                             baskets: DataFrame | None = None) -> DataFrame:
     """How strongly members switch between the item and the five closest items of its category.
 
     mean "top5": scores weighted by what members spend on the item, plain mean;
@@ -321,9 +364,9 @@ def cannibalisation_features(base: DataFrame, days: DataFrame, cfg: PricingConfi
         return _with_kani(base, _kani_global(cases, days, cfg), ["jan"])
     if mean not in ("top5", "exponential"):
         raise ValueError(f"unknown mean {mean!r}")
-    if window is None:
-        window = member_windows(case_buyers(cases, days, cfg), days, cfg)
-    return _with_kani(base, _kani_of_case(cases, window, cfg, mean), CASE)
+    if baskets is None:
+        baskets = member_baskets(case_buyers(cases, days, cfg), days, cfg)
+    return _with_kani(base, _kani_of_case(cases, baskets, cfg, mean), CASE)
 
 
 def case_buyers(cases: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataFrame:
@@ -364,8 +407,8 @@ def _kani_global(cases: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataF
     return _top_mean(scores, ["jan"])
 
 
-def _kani_of_case(cases: DataFrame, window: DataFrame, cfg: PricingConfig, mean: str) -> DataFrame:
-    spent = window.groupBy(*BASKET, "jan").agg(F.sum("salesamount").alias("amount"))
+def _kani_of_case(cases: DataFrame, baskets: DataFrame, cfg: PricingConfig, mean: str) -> DataFrame:
+    spent = baskets.select(*BASKET, "jan", F.col("m").alias("amount"))
     bought = spent.join(cases, [*ITEM, "astart"])
     pairs = _pairs(spent, bought.select(*CASE, "uid"), BASKET, cfg) \
         .withColumn("switching", _switching(F.col("amount"), F.col("target_amount")))
@@ -401,20 +444,30 @@ def top_sales_mean(lines: DataFrame, top: int = 5) -> DataFrame:
 # -- all together ----------------------------------------------------------------------------------
 
 def add_customer_features(base: DataFrame, days: DataFrame, packs: DataFrame, cfg: PricingConfig,
-                          scope: str = "case") -> DataFrame:
-    """All features that do not depend on the new price."""
+                          scope: str = "case", work: Workspace | None = None) -> DataFrame:
+    """All features that do not depend on the new price.
+
+    What several features read - the baskets of the feature windows, and the sales per item and day - is
+    written to `work` once, so the customer days are read as often as they are joined. Without `work`, the
+    workspace of the session keeps these tables.
+    """
     _check_scope(scope)
     if scope == "global":
-        days, window = feature_days(base, days, cfg), None
-    else:
-        members = case_buyers(_cases_of(base), days, cfg)
-        if cfg.sample_len > cfg.feature_len:  # otherwise who was sampled is among them
-            members = members.unionByName(base.select("store_cd", "uid", "astart"))
-        window = member_windows(members, days, cfg)
-    out = rfm_features(base, days, cfg, scope, window=window)
-    out = loyalty_features(out, days, cfg, scope, base, window)
-    out = price_sensitivity_features(out, days, packs, cfg, scope, base, window)
-    return cannibalisation_features(out, days, cfg, scope, sample=base, window=window)
+        days = feature_days(base, days, cfg)
+        out = rfm_features(base, days, cfg, scope)
+        out = loyalty_features(out, days, cfg, scope, base)
+        out = price_sensitivity_features(out, days, packs, cfg, scope, base)
+        return cannibalisation_features(out, days, cfg, scope, sample=base)
+    work = work or session_workspace(days.sparkSession)
+    members = case_buyers(_cases_of(base), days, cfg)
+    if cfg.sample_len > cfg.feature_len:  # otherwise who was sampled is among them
+        members = members.unionByName(base.select("store_cd", "uid", "astart"))
+    baskets = work.keep(member_baskets(members, days, cfg), "baskets")
+    shelf_sales = work.keep(item_days(days), "item-days")
+    out = rfm_features(base, days, cfg, scope, baskets=baskets)
+    out = loyalty_features(out, days, cfg, scope, base, baskets)
+    out = price_sensitivity_features(out, days, packs, cfg, scope, base, baskets, shelf_sales)
+    return cannibalisation_features(out, days, cfg, scope, sample=base, baskets=baskets)
 
 
 def fill_features(df: DataFrame) -> DataFrame:
@@ -423,6 +476,6 @@ def fill_features(df: DataFrame) -> DataFrame:
 
 
 def add_features(base: DataFrame, days: DataFrame, packs: DataFrame, cfg: PricingConfig,
-                 scope: str = "case") -> DataFrame:
+                 scope: str = "case", work: Workspace | None = None) -> DataFrame:
     """All features of both models, without NULLs."""
-    return fill_features(price_features(add_customer_features(base, days, packs, cfg, scope)))
+    return fill_features(price_features(add_customer_features(base, days, packs, cfg, scope, work)))

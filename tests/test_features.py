@@ -28,15 +28,14 @@ def packs(spark, *values):
 
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("by", [[], ["g"]])
-@pytest.mark.parametrize("calendar", [False, True])
-def test_ranks_equal_a_plain_count(spark, by, descending, calendar):
+@pytest.mark.parametrize("keys", [None, ["i"]])
+def test_ranks_equal_a_plain_count(spark, by, descending, keys):
     rng = random.Random(7)
     data = [(i, rng.randrange(3), rng.choice([None, 0.0, -3.0, 2.0, 2.5, 1e9, float(i), i / 7]))
             for i in range(200)]
     df = spark.createDataFrame(data, "i int, g int, v double")
-    kwargs = {"calendar": frozenset({"v"} if calendar else ())}
-    found = with_rank_scores(df, by, {"p": ("v", descending)}, **kwargs)
-    shares = with_rank_scores(df, by, {"s": ("v", descending)}, "share", **kwargs)
+    found = with_rank_scores(df, by, {"p": ("v", descending)}, keys=keys)
+    shares = with_rank_scores(df, by, {"s": ("v", descending)}, "share", keys)
     share = {r["i"]: r["s"] for r in rows(shares)}
 
     def place(v):   # NULL first when ascending, last when descending
@@ -57,6 +56,34 @@ def test_single_row_ranks_zero(spark):
         with_rank_scores(df, [], {"p": ("v", True)}, "dense")
 
 
+def test_several_ranks_at_once(spark):
+    rng = random.Random(9)
+    data = [(rng.randrange(2), rng.choice([None, 1.0, 2.0, -5.0]), rng.choice([3, 4, None])) for _ in range(60)]
+    df = spark.createDataFrame(data, "g int, v double, w int")  # with repeated rows, which stay
+    both = with_rank_scores(df, ["g"], {"p": ("v", False), "q": ("w", True)})
+    one = with_rank_scores(with_rank_scores(df, ["g"], {"p": ("v", False)}), ["g"], {"q": ("w", True)})
+    assert both.columns == ["g", "v", "w", "p", "q"] and both.count() == 60
+    assert sorted(map(str, rows(both))) == sorted(map(str, rows(one)))
+
+
+@pytest.mark.parametrize("feature_len", [5, 63, 64, 74, 130])
+def test_days_as_bits(spark, feature_len):
+    cfg = PricingConfig(feature_len=feature_len, thd_plen=200)
+    rng = random.Random(feature_len)
+    sales = [sale(rng.randrange(130, 330), jan=rng.randrange(4), uid=rng.randrange(3)) for _ in range(150)]
+    days = member_days(pos_frame(spark, sales), cfg)
+    asked = spark.createDataFrame([(1, u, day(300)) for u in range(3)], "store_cd int, uid bigint, astart date")
+    baskets = features.member_baskets(asked, days, cfg)
+    near = {}
+    for d, _, uid, jan, *_ in sales:
+        if day(300 - feature_len) <= d <= day(299):
+            for level in ("all", jan):
+                near.setdefault((uid, level), set()).add(d)
+    found = {(r["uid"], "all"): (r["last_day"], r["f"]) for r in rows(features._spending(baskets, "store"))}
+    found |= {(r["uid"], r["jan"]): (r["last_day"], r["f"]) for r in rows(features._spending(baskets, "jan"))}
+    assert found == {key: (max(ds), len(ds)) for key, ds in near.items()} and found
+
+
 def test_price_features(spark):
     df = spark.createDataFrame([case(0), case(0, price=0.0)], CASES)
     found = rows(features.price_features(df), "pprice")

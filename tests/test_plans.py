@@ -8,6 +8,7 @@ from conftest import SMALL
 from checks import spark_queries, views
 from pricelane.operators import cases, clean, features, sampling
 from pricelane.sources.pos import scan_pos
+from pricelane.sources.tables import Workspace
 
 
 def plan(df) -> str:
@@ -23,7 +24,7 @@ def single_task_windows(text: str) -> list[str]:
 LAZY = ["pos_scan", "price_periods", "cases_up", "cases_up_lead_first", "cases_zero",
         "case_master_up", "target_cases", "kani_top_sales", "price_grid", "prob_pivot", "clamp_prob",
         "monotone_prob", "simulate_long", "best_item_price", "series_price_cap",
-        "best_customer_price", "oversample"]
+        "best_customer_price", "oversample", "oversample_weights", "median_fill"]
 
 
 @pytest.mark.parametrize("name", LAZY)
@@ -54,7 +55,7 @@ def test_global_ranks_sort_only_value_buckets_together(spark):
     assert windows and all("percent_rank" not in line for line in windows)
     # one task only adds up value buckets or days; amounts are added up per bucket
     assert all("_bucket" in line for line in single_task_windows(text))
-    assert any(re.search(r"windowspecdefinition\(_bucket#\d+, _value", line) for line in windows)
+    assert any(re.search(r"windowspecdefinition\(_measure#\d+, _bucket#\d+, _value", line) for line in windows)
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark, tmp_path):
@@ -76,15 +77,46 @@ def test_sampling_joins_on_the_time_slot(spark):
     assert any("_slice" in line for line in joins)
 
 
-def test_all_features_read_the_days_a_few_times(spark, tmp_path):
+@pytest.fixture
+def stored(spark, tmp_path):
+    """Customer days and a sample as tables."""
     clean.member_days(views.pos(spark, SMALL), views.CFG).write.parquet(str(tmp_path / "days"))
     days = spark.read.parquet(str(tmp_path / "days"))
-    cases.case_master(views.receipts(spark, SMALL), "up", views.CFG).write.parquet(str(tmp_path / "cases"))
-    sampling.sample_customers(spark.read.parquet(str(tmp_path / "cases")), days, views.CFG) \
-        .write.parquet(str(tmp_path / "base"))
-    df = features.add_features(spark.read.parquet(str(tmp_path / "base")), days, views.packs(spark, SMALL), views.CFG)
+    found = cases.case_master(views.receipts(spark, SMALL), "up", views.CFG)
+    sampling.sample_customers(found, days, views.CFG).write.parquet(str(tmp_path / "base"))
+    return spark.read.parquet(str(tmp_path / "base")), days
+
+
+def scans(df, name: str) -> int:
+    """Reads of the table `name` in the plan that has run."""
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
-    exchanges = len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange (hash|range|single)", final))
-    assert final.count("FileScan parquet") <= 4 + 2  # the days, and the tables of cases and samples
-    assert 0 < exchanges <= 30
+    return sum("FileScan" in line and f"/{name}" in line for line in final.splitlines())
+
+
+def test_all_features_read_the_days_a_few_times(spark, stored):
+    base, days = stored
+    with Workspace(spark) as work:
+        df = features.add_features(base, days, views.packs(spark, SMALL), views.CFG, work=work)
+        assert scans(df, "days") == 0 and work.tables == 2  # only the two kept tables come from the days
+        final = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+        exchanges = len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange (hash|range|single)", final))
+        assert 0 < exchanges <= 30
+    # the kept tables: who bought, and what they bought; what was sold
+    members = features.case_buyers(features._cases_of(base), days, views.CFG)
+    assert scans(features.member_baskets(members, days, views.CFG), "days") <= 2 + 1
+    assert scans(features.item_days(days), "days") == 1
+
+
+def test_all_ranks_of_a_scope_are_one_join(spark, stored):
+    base, days = stored
+    with Workspace(spark) as work:
+        baskets = work.keep(features.member_baskets(base, days, views.CFG), "baskets")
+        levels = plan(features.rfm_level_features(base, days, views.CFG, baskets=baskets))
+        plain = plan(features.rfm_features(base, days, views.CFG, baskets=baskets))
+    for text in (levels, plain):
+        ranked = [line for line in text.splitlines() if "Join [" in line and "_measure" in line and "_value" in line]
+        assert len(ranked) == 1
+    # six ranks need no more shuffles than three, but for the second level of purchases
+    count = lambda text: len(re.findall(r"Exchange (hash|range|single)", text))
+    assert count(levels) <= count(plain) + 3
