@@ -151,6 +151,79 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "base"), header=True).first()["salesday"] == "2020-01-01"
 
 
+def test_other_batches_stay(spark, tmp_path):
+    schema = "store_cd int, jan bigint, name string, units double"
+    out = str(tmp_path / "result")
+    batches = [[(1, 1, "a", 0.1), (1, 2, None, 2.0), (2, 1, "b", 3.0)], [(3, 1, "c", 4.0)], [(2, 5, "again", 5.5)]]
+    for batch in batches:
+        assert sinks.write_batch(spark.createDataFrame(batch, schema), out) == sorted({r[0] for r in batch})
+    df = spark.createDataFrame(batches[0], schema)
+    found = rows(sinks.read_by_store(spark, out, df.schema).drop("store"), "store_cd", "jan")
+    assert [tuple(r.values()) for r in found] == [*batches[0][:2], *batches[2], *batches[1]]
+    listed = {r["store_cd"]: r["rows"] for r in rows(sinks.manifest(spark, out))}
+    assert listed == {1: 2, 2: 1, 3: 1}
+    assert sorted(r["store_cd"] for r in rows(sinks.finished_stores(spark, out, df.schema))) == [1, 2, 3]
+
+
+def test_a_batch_that_was_cut_short_is_not_finished(spark, tmp_path):
+    schema = "store_cd int, jan bigint"
+    out = str(tmp_path / "result")
+    empty = spark.createDataFrame([], schema)
+    assert sinks.finished_stores(spark, out, empty.schema).count() == 0
+    sinks.write_batch(spark.createDataFrame([(s, j) for s in (1, 2) for j in range(5)], schema), out)
+    # new rows of a store and a new store, whose run ended before the manifest
+    sinks.write_by_store(spark.createDataFrame([(2, 9), (3, 1)], schema), out)
+    assert [r["store_cd"] for r in rows(sinks.finished_stores(spark, out, empty.schema))] == [1]
+    rerun = spark.createDataFrame([(2, 9), (3, 1)], schema)
+    sinks.write_batch(rerun.join(sinks.finished_stores(spark, out, empty.schema), "store_cd", "left_anti"), out)
+    assert sorted(r["store_cd"] for r in rows(sinks.finished_stores(spark, out, empty.schema))) == [1, 2, 3]
+
+
+def test_files_follow_each_other_in_reading_order(spark, tmp_path):
+    made = [(s, f"g{i % 3}", f"c{i % 7}", i, i) for s in (1, 2) for i in range(400)]
+    df = spark.createDataFrame(made, "store_cd int, lv4_nm string, lv5_nm string, rank int, jan int").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_by_store(df, str(tmp_path / "out"), "parquet", order=sinks.ITEM_ORDER)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert any(len(list((tmp_path / "out" / f"store=000{s}").glob("*.parquet"))) > 1 for s in (1, 2))
+    found = rows(sinks.reading_places(sinks.read_by_store(spark, str(tmp_path / "out"), df.schema, "parquet"), df.columns))
+    for store in (1, 2):
+        own = sorted((r for r in found if r["store_cd"] == store), key=lambda r: r["place"])
+        keys = [(r["lv4_nm"], r["lv5_nm"], r["rank"]) for r in own]
+        assert len(keys) == 400 and keys == sorted(keys)
+
+
+def test_a_master_file_is_read_once(spark, tmp_path):
+    path = tmp_path / "p.csv"
+    path.write_text("jan,det_val\n1,5\n2,6\nX,7\n")
+    kept = masters.read_pack_master(spark, str(path), max_rejected=0.5)
+    path.unlink()  # rows and their check come from one read
+    assert rows(kept, "jan") == [{"jan": 1, "det_val": 5.0}, {"jan": 2, "det_val": 6.0}]
+    assert "FileScan csv" not in kept._jdf.queryExecution().executedPlan().toString()
+    with tables.Workspace(spark, persist=True) as work:
+        path.write_text("jan,det_val\n1,5\nX,7\n")
+        with pytest.raises(ValueError, match="1 rows are rejected"):
+            masters.read_pack_master(spark, str(path), max_rejected=0.4, work=work)
+        assert masters.read_pack_master(spark, str(path), max_rejected=0.5, work=work).count() == 1
+
+
+def test_clustered_tables(spark, tmp_path):
+    df = spark.range(300).selectExpr("id % 7 AS a", "id % 11 AS b", "id AS c")
+    with tables.Workspace(spark, str(tmp_path / "own")) as work:
+        kept = work.keep_clustered(df, "days", ["a", "b"], 4)
+        assert sorted(rows(kept), key=str) == sorted(rows(df), key=str)
+        plan = kept.groupBy("a", "b", "c").count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        names = [t.name for t in spark.catalog.listTables() if t.name.startswith("days_")]
+        assert len(names) == 1
+    assert not [t for t in spark.catalog.listTables() if t.name in names]
+
+
 def test_flagged_rows(spark, tmp_path):
     df = spark.createDataFrame([("true", 1), ("False", 2), ("TRUE", 3), (None, 4)], "flag string, i int")
     assert [r["i"] for r in rows(sinks.flagged_rows(df, "flag"), "i")] == [1, 3]
@@ -175,10 +248,10 @@ def test_workspace(spark, tmp_path):
         assert kept.schema == df.schema and rows(kept) == rows(df)
         folder = spark.conf.get("spark.checkpoint.dir")
         assert kept.inputFiles()[0].replace("file://", "").startswith(folder)
-    assert not list((tmp_path.parent).glob("**/kept"))
+    assert not list((tmp_path.parent).glob("**/kept-*"))
     with tables.Workspace(spark, str(tmp_path / "own")) as work:
         work.keep(df, "kept")
-        assert list((tmp_path / "own").glob("pricelane/*/kept/*.parquet"))
+        assert list((tmp_path / "own").glob("pricelane/*/kept-1/*.parquet"))
     assert not list((tmp_path / "own").glob("pricelane/*/*"))
     with tables.Workspace(spark, persist=True) as work:
         assert work.keep(df, "kept").storageLevel.useMemory
