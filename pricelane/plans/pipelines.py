@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -33,20 +34,36 @@ class Training:
     work: Workspace
 
 
-def training_days(pos: DataFrame, cases: DataFrame, cfg: PricingConfig, guest_uid=None) -> DataFrame:
+def training_days(pos: DataFrame, cases: DataFrame, cfg: PricingConfig, guest_uid=None,
+                  by_store: bool = False) -> DataFrame:
     """The customer days that samples, labels and features of `cases` look at: stores with a case, from
     the feature window of the first change to the label window of the last.
 
     The two days are read from the cases, so they reach the scan as literals and prune its partitions.
+    With `by_store` each store has its own first and last change. The days that a store needs are listed
+    (at most the days of the history per store) and sales look themselves up in that list, so a fact
+    partitioned by store and day reads only the partitions that are listed.
     """
+    before, after = -max(cfg.feature_len, cfg.sample_len), cfg.interval_len + cfg.label_len - 1
     first, last = cases.agg(F.min("astart"), F.max("astart")).first()
     near = F.lit(False)
     if first is not None:
         day = lambda of, shift: F.date_add(F.lit(of).cast("date"), shift)
-        near = F.col("salesday").between(day(first, -max(cfg.feature_len, cfg.sample_len)),
-                                         day(last, cfg.interval_len + cfg.label_len - 1))
-    stores = cases.select("store_cd").distinct()
-    return member_days(pos.where(near).join(stores, "store_cd", "left_semi"), cfg, guest_uid)
+        near = F.col("salesday").between(day(first, before), day(last, after))
+    if not by_store:
+        stores = cases.select("store_cd").distinct()
+        return member_days(pos.where(near).join(stores, "store_cd", "left_semi"), cfg, guest_uid)
+    return member_days(pos.where(near).join(store_days(cases, before, after), ["store_cd", "salesday"], "left_semi"),
+                       cfg, guest_uid)
+
+
+def store_days(cases: DataFrame, before: int, after: int) -> DataFrame:
+    """store_cd, salesday: the days from `before` days after a store's first change to `after` days after its
+    last (both may be negative)."""
+    bounds = cases.groupBy("store_cd").agg(F.date_add(F.min("astart"), before).alias("first"),
+                                           F.date_add(F.max("astart"), after).alias("last"))
+    # the condition says nothing new, but marks the list as a filter for partition pruning
+    return bounds.where("first <= last").select("store_cd", F.explode(F.sequence("first", "last")).alias("salesday"))
 
 
 def train(pos: DataFrame, packs: DataFrame, cfg: PricingConfig,
@@ -71,12 +88,12 @@ def train(pos: DataFrame, packs: DataFrame, cfg: PricingConfig,
         pos if period is None else padded_period(pos, period, cfg))), "shelves")
     cases = {kind: work.keep(cases_on_shelves(shelves, kind, cfg), f"cases-{kind}") for kind in ("zero", "up")}
     cases["both"] = cases["zero"].unionByName(cases["up"])
-    days = work.keep(training_days(pos, cases["both"], cfg, guest_uid), "days")
     together = scope == "case" and label_scope == "case"
+    days = work.keep(training_days(pos, cases["both"], cfg, guest_uid, by_store=together), "days")
     samples, features = [], []
     for kind in ("both",) if together else ("zero", "up"):
         samples.append(work.keep(sample_customers(cases[kind], days, cfg, label_scope), f"base-{kind}"))
-        known = price_features(add_customer_features(samples[-1], days, packs, cfg, scope))
+        known = price_features(add_customer_features(samples[-1], days, packs, cfg, scope, work))
         features.append(work.keep(label_ints(known), f"features-{kind}"))
     if together:
         same = F.col("aprice") == F.col("pprice")
@@ -86,8 +103,8 @@ def train(pos: DataFrame, packs: DataFrame, cfg: PricingConfig,
         for base, path in zip(samples, sample_paths):
             write_samples(base, path)
     keys = [*CASE, "uid"]
-    zero = fit_models(features[0], options_zero, keys)
-    up = fit_models(features[1], options_up, keys)
+    with ThreadPoolExecutor(2) as pool:
+        zero, up = pool.map(lambda fit: fit_models(*fit, keys), zip(features, (options_zero, options_up)))
     if model_paths is not None:
         zero.save(model_paths[0])
         up.save(model_paths[1])
@@ -118,7 +135,7 @@ def predict_prices(pos: DataFrame, items: DataFrame, dropped: DataFrame, packs:
                                                  F.lit(upday).cast("date")))
     days = work.keep(member_days(recent, cfg, guest_uid), "days")
     base = work.keep(sample_customers(cases, days, cfg), "base")
-    features = add_customer_features(base, days, packs, cfg, scope)
+    features = add_customer_features(base, days, packs, cfg, scope, work)
     return recommend(predict(features, zero, up, cfg, PREDICTION_KEY, hard), items, cfg, series, monotone, work)
 
 
