@@ -446,6 +446,22 @@ SELECT * FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'X' || p_partkey WHEN p_p
                       CASE WHEN p_partkey % 7 = 0 THEN 'unreadable jan' WHEN p_partkey % 10 = 1 THEN 'no jan'
                            WHEN p_partkey % 5 = 0 THEN 'unreadable oprice' END AS reason FROM part)
 WHERE reason IS NOT NULL""",
+    "pack_master_rows": """
+SELECT p_partkey AS jan, CAST(CASE WHEN p_partkey % 4 <> 0 THEN p_size * 50 END AS DOUBLE) AS det_val
+FROM part WHERE p_partkey % 13 <> 0 AND (p_partkey % 4 = 0 OR p_partkey % 9 <> 0)""",
+    "series_master_rows": """
+SELECT p_partkey AS jan, CASE WHEN p_partkey % 6 <> 0 THEN p_brand END AS series FROM part WHERE p_partkey % 5 <> 0""",
+    "sink_by_store": """
+SELECT *, COUNT(*) OVER (PARTITION BY store_cd) AS rows, LPAD(CAST(store_cd AS VARCHAR), 4, '0') AS store
+FROM (SELECT CAST(l_suppkey % 12 AS INTEGER) AS store_cd, l_partkey % 5 AS jan, SUM(l_quantity) AS units, COUNT(*) AS lines
+      FROM lineitem WHERE l_suppkey % 12 < 6 OR l_returnflag = 'N' GROUP BY ALL)""",
+    "sample_dump": "SELECT * FROM base",
+    "item_result_ordered": """
+SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY store_cd ORDER BY lv4_nm, lv5_nm, rank) AS INTEGER) AS place
+FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY store_cd, lv4_nm, lv5_nm ORDER BY units DESC, jan) AS INTEGER) AS rank
+      FROM (SELECT CAST(l_suppkey % 3 AS INTEGER) AS store_cd, 'group ' || (l_partkey % 4) AS lv4_nm,
+                   'class ' || (l_partkey % 20) AS lv5_nm, l_partkey AS jan, SUM(l_quantity) AS units
+            FROM lineitem GROUP BY ALL))""",
     "pos_item_filter": f"SELECT {SCANNED} FROM scanned WHERE jan IN (5, 11, 13)",
     "pos_demographic_filter": f"SELECT {SCANNED} FROM scanned WHERE AGE = 33 AND GENDER_FLG = 1",
     "pos_topk": f"""
@@ -516,6 +532,9 @@ FROM zero_cases c JOIN clipped d ON {_same('c', 'd', ITEM)}
 GROUP BY ALL""",
     "labels_case": _label("case"),
     "labels_item": _label("item"),
+    "label_ints": f"""
+SELECT {CASE}, uid, CAST(label_jan AS INTEGER) AS label_jan, CAST(label_lv5 AS INTEGER) AS label_lv5
+FROM ({_label("case")})""",
     "pack_size_category": """
 SELECT jan, lv5_nm, det_val, CASE WHEN lv5_nm <> 'milk' THEN lv5_nm
        WHEN det_val > 700 AND det_val < 1200 THEN 'milk_L' ELSE 'milk_S' END AS plv5_nm
@@ -694,3 +713,127 @@ QUERIES["train_days"] = _sql("SELECT * FROM days").replace("uid IS NOT NULL", "u
 WHERE salesday BETWEEN (SELECT MIN(astart) FROM ({QUERIES["case_master_period"]})) - INTERVAL 63 DAY
                    AND (SELECT MAX(astart) FROM ({QUERIES["case_master_period"]})) + INTERVAL 34 DAY
   AND store_cd IN (SELECT store_cd FROM ({QUERIES["case_master_period"]}))"""
+QUERIES["train_days_by_store"] = _sql("SELECT d.* FROM days d").replace("uid IS NOT NULL", "uid IS NOT NULL AND uid <> 1") + f"""
+JOIN (SELECT store_cd, MIN(astart) - INTERVAL 63 DAY AS first, MAX(astart) + INTERVAL 34 DAY AS last
+      FROM ({QUERIES["case_master_period"]}) WHERE store_cd = 0 OR astart > DATE '1998-06-01' GROUP BY store_cd) b
+  ON b.store_cd = d.store_cd AND d.salesday BETWEEN b.first AND b.last"""
+QUERIES["oversample_weights"] = QUERIES["oversample"]
+QUERIES["median_fill"] = f"SELECT l_orderkey, quantity, price FROM ({QUERIES['median_fill_exact']})"
+
+# -- forests by rule: splits 1 to 15 and leaves 16 to 31 of each tree, numbered like a heap ---------------
+
+ITEM_INPUTS = ("dprice dprice_pct rscore fscore mscore rfm_score rfm_score2 jan_loy_m jan_loy_f jan_loy pscore_item "
+               "pscore_ucate pscore_ucate_dis050 kani_score kani_score_dis025").split()
+CATEGORY_INPUTS = ("pprice aprice dprice dprice_pct unitp_cate pscore_ucate unitp_uid pscore_ucate_dis050 f_lv5 m_lv5 "
+                   "jan_loy_m jan_loy_f jan_loy kani_score kani_score_dis025").split()
+RANGES = {"dprice": (0, 30), "dprice_pct": (0, 0.25), "pprice": (100, 300), "aprice": (100, 300), "f_lv5": (0, 12),
+          "m_lv5": (0, 9000), "pscore_item": (-0.5, 0.5), "pscore_ucate": (-0.5, 0.5), "kani_score": (0, 0.5),
+          "kani_score_dis025": (0, 0.25)}
+
+
+def _next(seed: str, inputs: int) -> str:
+    """The next node of a row (x, lows, spans) at `node` of `tree`."""
+    place = f"((5 * tree + 3 * node + {seed}) % {inputs} + 1)"
+    part = f"(((37 * tree + 11 * node + 17 * {seed}) % 97 + 1) / CAST(98 AS DOUBLE))"
+    return f"CASE WHEN x[{place}] <= lows[{place}] + spans[{place}] * {part} THEN 2 * node ELSE 2 * node + 1 END"
+
+
+def _share(seed: str) -> str:
+    return f"((13 * tree + 29 * node + 7 * {seed}) % 129) / CAST(128 AS DOUBLE)"
+
+
+QUERIES["forest_score"] = f"""
+WITH RECURSIVE ends AS (
+    SELECT [MIN(l_quantity), MIN(l_extendedprice), MIN(l_discount), MIN(l_partkey % 50),
+            MIN(l_linenumber) FILTER (l_linenumber <> 3)] AS lows,
+           [MAX(l_quantity), MAX(l_extendedprice), MAX(l_discount), MAX(l_partkey % 50),
+            MAX(l_linenumber) FILTER (l_linenumber <> 3)] AS highs FROM lineitem),
+walk AS (
+    SELECT id, l_orderkey, l_linenumber, t.tree, 1 AS node,
+           [l_quantity, l_extendedprice, l_discount, CAST(l_partkey % 50 AS DOUBLE),
+            CASE WHEN l_linenumber <> 3 THEN l_linenumber ELSE 2.5 END::DOUBLE] AS x, lows,
+           list_transform(range(1, 6), lambda i: highs[i] - lows[i]) AS spans
+    FROM (SELECT *, ROW_NUMBER() OVER () AS id FROM lineitem), ends, (SELECT UNNEST(range(0, 7)) AS tree) t
+    UNION ALL SELECT id, l_orderkey, l_linenumber, tree, {_next('0', 5)}, x, lows, spans FROM walk WHERE node < 16)
+SELECT l_orderkey, l_linenumber, ROUND(AVG(share), 9) AS prob,
+       CAST(CASE WHEN AVG(share) > 0.5 THEN 1 ELSE 0 END AS DOUBLE) AS class
+FROM (SELECT *, {_share('0')} AS share FROM walk WHERE node >= 16) GROUP BY id, l_orderkey, l_linenumber"""
+
+TARGETS = f"""
+SELECT DISTINCT store_cd, lv4_nm, lv5_nm, jan, price AS pprice, price AS aprice, DATE '{UPDAY}' AS astart
+FROM (SELECT *, MIN(price) OVER (PARTITION BY store_cd, jan) AS low, MAX(price) OVER (PARTITION BY store_cd, jan) AS high
+      FROM price_rows WHERE salesday BETWEEN DATE '{UPDAY}' - INTERVAL 75 DAY AND DATE '{UPDAY}' - INTERVAL 1 DAY
+                        AND jan IN (SELECT jan FROM items WHERE jan <> 4))
+WHERE low = high"""
+
+
+def _grid_inputs(inputs: list[str]) -> str:
+    own = {"aprice": "pprice + dp", "dprice": "CAST(dp AS DOUBLE)", "dprice_pct": "dp / pprice"}
+    return "[" + ", ".join(own.get(c, c) for c in inputs) + "]"
+
+
+def _ends(inputs: list[str], place) -> str:
+    return "[" + ", ".join(f"CAST({place(*RANGES.get(c, (0, 1)))} AS DOUBLE)" for c in inputs) + "]"
+
+
+_BATCH_STEPS = {
+    "cases": TARGETS,
+    "known": _features("rfm_case", "loyal", "sensitive", "kani_case", CASE)
+    .replace("ROUND(COALESCE(kani_score, 0), 9)", "COALESCE(kani_score, 0)")
+    .replace("ROUND(ABS(COALESCE(kani_score, 0) - 0.25), 9)", "ABS(COALESCE(kani_score, 0) - 0.25)")
+    .replace("SELECT store_cd", "SELECT sample_amt_jan, store_cd", 1),
+    # item models have an even seed, category models the one above; the first two are for unchanged prices
+    "walk": f"""
+SELECT store_cd, lv4_nm, lv5_nm, jan, uid, sample_amt_jan, pprice, dp, tree, 1 AS node, seed,
+       CASE WHEN seed % 2 = 0 THEN {_grid_inputs(ITEM_INPUTS)} ELSE {_grid_inputs(CATEGORY_INPUTS)} END AS x,
+       CASE WHEN seed % 2 = 0 THEN {_ends(ITEM_INPUTS, lambda a, b: a)} ELSE {_ends(CATEGORY_INPUTS, lambda a, b: a)} END AS lows,
+       CASE WHEN seed % 2 = 0 THEN {_ends(ITEM_INPUTS, lambda a, b: b - a)}
+            ELSE {_ends(CATEGORY_INPUTS, lambda a, b: b - a)} END AS spans
+FROM known, (VALUES (0, 0), (0, 1), (10, 2), (10, 3), (20, 2), (20, 3), (30, 2), (30, 3)) g(dp, seed),
+     (SELECT UNNEST(range(0, 7)) AS tree) t
+UNION ALL SELECT store_cd, lv4_nm, lv5_nm, jan, uid, sample_amt_jan, pprice, dp, tree, {_next('seed', 15)}, seed, x, lows, spans
+FROM walk WHERE node < 16""",
+    "predictions": f"""
+SELECT store_cd, lv4_nm, lv5_nm, jan, uid, sample_amt_jan, pprice, CAST(dp AS INTEGER) AS dp,
+       AVG(share) FILTER (seed % 2 = 0) AS prob_jan, AVG(share) FILTER (seed % 2 = 1) AS prob_lv5
+FROM (SELECT *, {_share('seed')} AS share FROM walk WHERE node >= 16) GROUP BY ALL""",
+}
+
+
+def _batch(select: str) -> str:
+    kept = dict(STEPS)
+    for name, step in _BATCH_STEPS.items():
+        if name not in STEPS:  # new steps stand before the ones that read them
+            place = list(STEPS).index("predictions")
+            items = list(STEPS.items())
+            items.insert(place, (name, step))
+            STEPS.clear()
+            STEPS.update(items)
+        else:
+            STEPS[name] = step
+    sql = _sql(select).replace("WITH ", "WITH RECURSIVE ", 1)
+    STEPS.clear()
+    STEPS.update(kept)
+    return sql
+
+
+QUERIES["batch_predict_grid"] = _batch(f"""
+SELECT store_cd, lv4_nm, lv5_nm, jan, DATE '{UPDAY}' AS astart, pprice, uid, sample_amt_jan, dp,
+       ROUND(prob_jan, 9) AS prob_jan, ROUND(prob_lv5, 9) AS prob_lv5 FROM predictions""")
+QUERIES["batch_predict"] = _batch("""
+SELECT store_cd, lv4_nm, lv5_nm, jan, name, pprice, rec_price, uid AS id, id_rec_price,
+       GREATEST(rec_price - id_rec_price, 0) AS disc_price
+FROM (SELECT s.* EXCLUDE (rec_price), b.rec_price,
+             CASE WHEN s.prof_ch < 0 THEN s.pprice ELSE s.rec_price END AS id_rec_price
+      FROM (SELECT * FROM simulated QUALIFY ROW_NUMBER() OVER (
+                PARTITION BY store_cd, jan, uid ORDER BY prof_ch DESC, rec_price) = 1) s
+      JOIN best b ON b.store_cd = s.store_cd AND b.jan = s.jan)""")
+QUERIES["forest_agreement"] = _sql("""
+SELECT CAST(dp AS INTEGER) AS dp, COUNT(*) AS predictions, CAST(0 AS BIGINT) AS apart
+FROM base CROSS JOIN (VALUES (0), (10), (20), (30)) g(dp) GROUP BY dp""")
+QUERIES["model_manifest"] = " UNION ALL ".join(
+    f"SELECT 1 AS version, '{name}' AS model, {place} AS place, '{c}' AS feature, 2 AS trees, 2 AS classes, "
+    f"(SELECT QUANTILE_DISC((l_quantity * {i + 1} + l_partkey) % {10 + i} + l_discount, 0.5) FROM lineitem "
+    f"WHERE (l_linenumber + {i}) % 7 <> 0) AS filled"
+    for name, inputs in (("jan", ITEM_INPUTS), ("lv5", CATEGORY_INPUTS)) for place, c in enumerate(inputs)
+    for i in [list(dict.fromkeys([*ITEM_INPUTS, *CATEGORY_INPUTS])).index(c)])

@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from checks import views
 from checks.views import CFG, PREDICTION_KEYS, UPDAY
+from pricelane.functions.medians import median_row
 from pricelane.functions.predicates import where_clause
 from pricelane.functions.scalars import day_text, offset_day_text
-from pricelane.operators import cases, clean, features, models, periods, probability, sampling, simulate
+from pricelane.operators import cases, clean, features, forest, models, periods, probability, sampling, simulate
 from pricelane.plans import pipelines
 from pricelane.schema import CASE, CATEGORY_FEATURES, ITEM_FEATURES, ITEM_MASTER, PREDICTION_KEY
 from pricelane.sources import pos as pos_source
-from pricelane.sources import sinks
+from pricelane.sources import masters, sinks
 from pricelane.sources.masters import parse_master
 from pricelane.sources.pos import rejected_lines
-from pricelane.sources.tables import Workspace
+from pricelane.sources.tables import session_workspace
+
+
+_MADE: dict[tuple, object] = {}
+
+
+def _once(spark, sf, name, build):
+    """What `build` returns, made once per session and folder for all queries that need it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MADE:
+        _MADE[key] = build()
+    return _MADE[key]
+
+
+def _kept(spark, sf, name, build) -> DataFrame:
+    """A table that several queries start from, written once."""
+    return _once(spark, sf, name, lambda: session_workspace(spark).keep(build(), name))
+
+
+def _folder(spark) -> str:
+    """A new folder for files that a query writes and reads back."""
+    return f"{session_workspace(spark).path}/files-{uuid4().hex}"
 
 
 def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
@@ -107,6 +131,64 @@ def item_master_rejects(spark, sf):
     return parse_master(_master_text(spark, sf), ITEM_MASTER).rejects
 
 
+def _as_file(spark, text: DataFrame) -> str:
+    path = _folder(spark)
+    text.write.option("header", True).csv(path)
+    return path
+
+
+def pack_master_rows(spark, sf):
+    """A pack master in CSV files, with codes and contents of which some cannot be read."""
+    key = F.col("p_partkey")
+    text = views.table(spark, sf, "part").select(
+        F.when(key % 13 == 0, F.concat(F.lit("P"), key)).otherwise(key.cast("string")).alias("jan"), "p_brand",
+        F.when(key % 4 == 0, F.lit("")).when(key % 9 == 0, F.lit("1 l")).otherwise((F.col("p_size") * 50).cast("string")).alias("det_val"))
+    return masters.read_pack_master(spark, _as_file(spark, text), max_rejected=0.5)
+
+
+def series_master_rows(spark, sf):
+    key = F.col("p_partkey")
+    text = views.table(spark, sf, "part").select(
+        F.when(key % 6 != 0, F.col("p_brand")).alias("series"), F.when(key % 5 != 0, key.cast("string")).alias("jan"))
+    return masters.read_series_master(spark, _as_file(spark, text), max_rejected=0.5)
+
+
+def sink_by_store(spark, sf):
+    """Two batches of stores written one after the other, the second with some stores of the first, as they
+    are read back, with what the manifest says about each store."""
+    sold = views.table(spark, sf, "lineitem").select(
+        (F.col("l_suppkey") % 12).cast("int").alias("store_cd"), (F.col("l_partkey") % 5).alias("jan"), "l_returnflag", "l_quantity")
+    path, keys = _folder(spark), ["store_cd", "jan"]
+    total = [F.sum("l_quantity").alias("units"), F.count(F.lit(1)).alias("lines")]
+    first = sold.where("store_cd < 8").groupBy(*keys).agg(*total)
+    second = sold.where("store_cd >= 6 AND l_returnflag = 'N'").groupBy(*keys).agg(*total)
+    for batch in (first, second):
+        sinks.write_batch(batch, path, order=("jan",))
+    finished = sinks.finished_stores(spark, path, first.schema)
+    listed = sinks.manifest(spark, path).join(finished, "store_cd", "left_semi").select("store_cd", "rows")
+    return sinks.read_by_store(spark, path, first.schema).join(listed, "store_cd", "left")
+
+
+def sample_dump(spark, sf):
+    """The sample base written as CSV and read back."""
+    base, path = _sample(spark, sf)[0], _folder(spark)
+    sinks.write_samples(base, path)
+    return sinks.read_samples(spark, path, base.schema)
+
+
+def item_result_ordered(spark, sf):
+    """Items of all stores in result files, with the place at which a reader finds them."""
+    sold = views.table(spark, sf, "lineitem").groupBy(
+        (F.col("l_suppkey") % 3).cast("int").alias("store_cd"), F.concat(F.lit("group "), F.col("l_partkey") % 4).alias("lv4_nm"),
+        F.concat(F.lit("class "), F.col("l_partkey") % 20).alias("lv5_nm"), F.col("l_partkey").alias("jan")) \
+        .agg(F.sum("l_quantity").alias("units"))
+    ranked = sold.withColumn("rank", F.row_number().over(
+        Window.partitionBy("store_cd", "lv4_nm", "lv5_nm").orderBy(F.desc("units"), "jan")))
+    path = _folder(spark)
+    sinks.write_by_store(ranked, path, "parquet", order=sinks.ITEM_ORDER)
+    return sinks.reading_places(sinks.read_by_store(spark, path, ranked.schema, "parquet"), ranked.columns)
+
+
 def store_list(spark, sf):
     return pos_source.store_list(views.store(spark, sf))
 
@@ -236,7 +318,7 @@ def target_cases(spark, sf):
 
 def _days(spark, sf, count=5):
     """Customer days, kept because every step reads them."""
-    return clean.member_days(views.pos(spark, sf, count), CFG).persist()
+    return _kept(spark, sf, f"days-{count}", lambda: clean.member_days(views.pos(spark, sf, count), CFG))
 
 
 def sample_customers(spark, sf):
@@ -252,13 +334,23 @@ def train_days(spark, sf):
     return pipelines.training_days(views.pos(spark, sf), case_master_period(spark, sf), CFG, guest_uid=1)
 
 
+def train_days_by_store(spark, sf):
+    """The same with a range of days for each store, of cases that differ in time from store to store."""
+    cases_ = case_master_period(spark, sf)
+    late = cases_.where("store_cd = 0 OR astart > DATE '1998-06-01'")
+    return pipelines.training_days(views.pos(spark, sf), late, CFG, guest_uid=1, by_store=True)
+
+
 def labels_case(spark, sf):
     return sampling.sample_customers(case_master_up(spark, sf), _days(spark, sf), CFG, "case")
 
 
 def labels_item(spark, sf):
-    cases_up = case_master_up(spark, sf).persist()
-    return sampling.sample_customers(cases_up, _days(spark, sf), CFG, "item")
+    return sampling.sample_customers(case_master_up(spark, sf), _days(spark, sf), CFG, "item")
+
+
+def label_ints(spark, sf):
+    return models.label_ints(labels_case(spark, sf)).select(*CASE, "uid", "label_jan", "label_lv5")
 
 
 # -- features --------------------------------------------------------------------------------------
@@ -285,7 +377,8 @@ def price_features(spark, sf):
 def _sample(spark, sf, scope="case", count=5) -> tuple[DataFrame, DataFrame]:
     """Sample base and customer days, both kept."""
     days = _days(spark, sf, count)
-    base = sampling.sample_customers(case_master_up(spark, sf, count), days, CFG).persist()
+    base = _kept(spark, sf, f"sample-{count}",
+                 lambda: sampling.sample_customers(case_master_up(spark, sf, count), days, CFG))
     return base, features.feature_days(base, days, CFG) if scope == "global" else days
 
 
@@ -395,18 +488,77 @@ def oversample(spark, sf):
         F.count(F.lit(1)).alias("copies"))
 
 
-def median_fill(spark, sf):
+def oversample_weights(spark, sf):
+    """The same balance as weights: one row per line."""
     lines = views.table(spark, sf, "lineitem").select(
-        "l_orderkey", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("quantity"),
-        F.when(F.col("l_linenumber") != 5, F.col("l_extendedprice")).alias("price"))
-    return models.fill_medians(lines, models.medians(lines, ["quantity", "price"]))
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        (10.0 * F.floor(F.sqrt("l_quantity"))).alias("dprice"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return models.weigh(lines, [10, 30, 50, 70], 3, keys).groupBy(*keys, "dprice").agg(
+        F.sum("weight").alias("copies"))
 
 
-def median_fill_exact(spark, sf):
-    lines = views.table(spark, sf, "lineitem").select(
+def _gappy_lines(spark, sf):
+    return views.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("quantity"),
         F.when(F.col("l_linenumber") != 5, F.col("l_extendedprice")).alias("price"))
-    return models.fill_medians(lines, models.medians(lines, ["quantity", "price"], error=0.0))
+
+
+def median_fill(spark, sf):
+    """Medians found and filled in by one lazy plan."""
+    lines = _gappy_lines(spark, sf).drop("l_linenumber")
+    return models.fill_medians(lines, median_row(lines, ["quantity", "price"]))
+
+
+def median_fill_exact(spark, sf):
+    lines = _gappy_lines(spark, sf)
+    return models.fill_medians(lines, models.medians(lines, ["quantity", "price"]))
+
+
+def forest_score(spark, sf):
+    """A forest whose thresholds follow a rule over the ranges of the inputs, scored by its node table."""
+    lines = views.forest_rows(spark, sf)
+    ends = lines.agg(*(f(c) for c in views.FOREST_INPUTS for f in (F.min, F.max))).first()
+    nodes = views.rule_nodes(spark, list(zip(ends[::2], ends[1::2])))
+    made = forest.Forest.of(nodes, views.FOREST_INPUTS, {"line": 2.5})
+    both = forest.forest_score(forest.forest_score(lines, made, "prob"), made, "class", hard=True)
+    return rounded(both.select("l_orderkey", "l_linenumber", "prob", "class"), 9, "prob")
+
+
+def _model_rows(spark, sf):
+    """Lines under the names of the model inputs, some of which have gaps, and two labels."""
+    inputs = list(dict.fromkeys([*ITEM_FEATURES, *CATEGORY_FEATURES]))
+    values = {c: F.when((F.col("l_linenumber") + i) % 7 != 0, (F.col("l_quantity") * (i + 1) + F.col("l_partkey")) % (10 + i)
+                        + F.col("l_discount")) for i, c in enumerate(inputs)}
+    labels = {"label_jan": (F.col("l_quantity") > 25).cast("int"), "label_lv5": (F.col("l_partkey") % 3 == 0).cast("int")}
+    return views.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *(v.alias(c) for c, v in (values | labels).items()))
+
+
+def model_manifest(spark, sf):
+    """What is written beside a saved pair of models: inputs in order, the medians that stand for missing
+    values, and the number of trees."""
+    small = {"numTrees": 2, "maxDepth": 2, "seed": 1}
+    fitted = models.fit_models(_model_rows(spark, sf), models.FitOptions(small, small, impute=True))
+    path = _folder(spark)
+    fitted.save(path)
+    models.RetentionModels.load(path)
+    return models.saved_manifest(spark, path)
+
+
+def forest_agreement(spark, sf):
+    """Per price step the predictions of trained models, and how many their node tables score otherwise."""
+    trained = _trained(spark, sf)
+    keys = [*CASE, "uid"]
+    tables = []
+    for pair in (trained.zero, trained.up):
+        path = _folder(spark)
+        pair.save(path)
+        tables.append(models.RetentionModels.load_forests(path))
+    both = [probability.grid_to_long(models.predict(trained.features_up, *m, CFG, keys))
+            for m in ((trained.zero, trained.up), tables)]
+    met = both[0].join(both[1].withColumnsRenamed({p: f"{p}_nodes" for p in probability.PROBS}), [*keys, "dp"])
+    apart = F.greatest(*(F.abs(F.col(p) - F.col(f"{p}_nodes")) for p in probability.PROBS)) > 1e-9
+    return met.groupBy("dp").agg(F.count(F.lit(1)).alias("predictions"), F.count_if(apart).alias("apart"))
 
 
 def model_eval_fixed(spark, sf):
@@ -418,9 +570,11 @@ def model_eval_fixed(spark, sf):
 
 
 def _trained(spark, sf) -> pipelines.Training:
-    return pipelines.train(views.pos(spark, sf), views.packs(spark, sf), CFG,
-                           options_zero=models.FitOptions({"seed": 1}, {"seed": 1}),
-                           options_up=models.FitOptions({"seed": 1}, {"seed": 1}))
+    """Models that several queries use, trained once."""
+    seeded = models.FitOptions({"seed": 1}, {"seed": 1})
+    return _once(spark, sf, "trained", lambda: pipelines.train(
+        views.pos(spark, sf), views.packs(spark, sf), CFG, options_zero=seeded, options_up=seeded,
+        work=session_workspace(spark)))
 
 
 def model_predict(spark, sf):
@@ -439,13 +593,27 @@ def model_eval(spark, sf):
     return models.evaluate(scored, "label_jan", "prob_jan_10")
 
 
-def batch_predict(spark, sf):
-    trained = _trained(spark, sf)
+def _batch(spark, sf, zero, up) -> pipelines.Recommendation:
     pos = views.pos(spark, sf)
     return pipelines.batch_predict(
         pos, pos.select("store_cd").distinct(), views.item_master(spark, sf),
-        views.dropped(spark, sf), views.packs(spark, sf), UPDAY, trained.zero, trained.up,
-        CFG).customers
+        views.dropped(spark, sf), views.packs(spark, sf), UPDAY, zero, up, CFG, work=session_workspace(spark))
+
+
+def batch_predict(spark, sf):
+    """The whole prediction for all stores, by forests that follow a rule."""
+    return _batch(spark, sf, views.rule_models(spark, 0), views.rule_models(spark, 2)).customers
+
+
+def batch_predict_grid(spark, sf):
+    """The probabilities on the price grid of the same prediction."""
+    found = _batch(spark, sf, views.rule_models(spark, 0), views.rule_models(spark, 2)).predictions
+    return rounded(probability.grid_to_long(found), 9, *probability.PROBS)
+
+
+def batch_predict_trained(spark, sf):
+    trained = _trained(spark, sf)
+    return _batch(spark, sf, trained.zero, trained.up).customers
 
 
 # -- prices ----------------------------------------------------------------------------------------
@@ -464,7 +632,7 @@ def batch_recommend(spark, sf):
     spread = views.predictions(spark, sf).withColumns({p: 1.5 * F.col(p) - 0.25 for p in probability.PROBS})
     kept = pos_source.drop_items(views.item_master(spark, sf), views.dropped(spark, sf))
     grid = probability.grid_from_long(spread.join(kept.select("jan"), "jan", "left_semi"), PREDICTION_KEYS)
-    return pipelines.recommend(grid, kept, CFG, work=Workspace(spark, persist=True)).customers
+    return pipelines.recommend(grid, kept, CFG, work=session_workspace(spark)).customers
 
 
 def simulate_repeated_items(spark, sf):
@@ -545,18 +713,21 @@ def best_customer_price(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     pos_scan, pos_scan_left, pos_scan_damaged, pos_scan_rejects, pos_member_filter, pos_names_filter,
-    item_master_rows, item_master_rejects, pos_filters, pos_item_filter, pos_demographic_filter, pos_topk,
+    item_master_rows, item_master_rejects, pack_master_rows, series_master_rows, sink_by_store, sample_dump,
+    item_result_ordered, pos_filters, pos_item_filter, pos_demographic_filter, pos_topk,
     predicate_builder, store_list, store_lookup, item_drop_anti, flagged_rows,
     unit_price, member_filter, noise_clip, noise_clip_exact, member_days, null_profile,
     date_offset, epoch_date,
     day_price, price_periods, price_periods_many, cases_up, cases_up_lead_first, cases_zero,
     cases_zero_single, case_master_up, case_master_zero, case_master_both, case_master_period, target_cases,
-    sample_customers, sample_customers_zero, train_days, labels_case, labels_item,
+    sample_customers, sample_customers_zero, train_days, train_days_by_store, labels_case, labels_item,
+    label_ints,
     pack_size_category, pack_size_category_all, price_features,
     rfm_global, rfm_case, rfm_rank_norm, rfm_levels, loyalty, loyalty_global, pscore, pscore_global,
     kani_mean5, kani_global, kani_exp, kani_mean5_many, kani_exp_many,
     kani_global_many, kani_top_sales, features_all, features_all_global,
-    oversample, median_fill, median_fill_exact, model_eval_fixed, model_predict, model_eval, batch_predict,
+    oversample, oversample_weights, median_fill, median_fill_exact, forest_score, model_manifest, forest_agreement,
+    model_eval_fixed, model_predict, model_eval, batch_predict, batch_predict_grid, batch_predict_trained,
     price_grid, prob_pivot, clamp_prob, monotone_prob, simulate_long, simulate_repeated_items,
     batch_recommend, best_item_price,
     item_rank_avg, item_rank_ties, series_price_cap, series_price_cap_many, best_customer_price)}

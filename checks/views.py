@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelane.config import PricingConfig
+from pricelane.operators.forest import Forest
+from pricelane.operators.models import RetentionModels
+from pricelane.schema import CATEGORY_FEATURES, ITEM_FEATURES
 
 CFG = PricingConfig(pscore_mod_lv5={"milk": 700})
 UPDAY = "1998-01-15"
@@ -163,4 +166,50 @@ def items_many(spark: SparkSession, folder: str) -> DataFrame:
                     F.when(jan % 5 != 0, F.concat(F.lit("S"), (jan % 2).cast("string"))).alias("series")))
 
 
+# -- forests by rule, the same on both engines -----------------------------------------------------
+
+#: Splits and leaves of a tree are numbered like a heap: 1 to SPLITS - 1, then as many leaves.
+TREES, SPLITS = 7, 16
+
+
+def rule_nodes(spark: SparkSession, ranges: list[tuple[float, float]], seed: int = 0) -> DataFrame:
+    """A node table whose thresholds lie in the ranges of the inputs, by a rule of tree, node and seed."""
+    tree, node = F.col("tree"), F.col("node")
+    leaf = node >= SPLITS
+    place = (5 * tree + 3 * node + seed) % len(ranges)
+    low, span = (F.lit([float(r[i] if i == 0 else r[1] - r[0]) for r in ranges])[F.col("place")] for i in (0, 1))
+    part = ((37 * tree + 11 * node + 17 * seed) % 97 + 1) / F.lit(98.0)
+    return (spark.range(TREES).select(F.col("id").cast("int").alias("tree"))
+            .withColumn("node", F.explode(F.sequence(F.lit(1), F.lit(2 * SPLITS - 1))))
+            .withColumn("place", place.cast("int"))
+            .select("tree", "node", F.when(leaf, -1).otherwise(F.col("place")).alias("feature"),
+                    F.when(~leaf, low + span * part).alias("threshold"), F.when(~leaf, 2 * node).alias("low"),
+                    F.when(~leaf, 2 * node + 1).alias("high"),
+                    F.when(leaf, ((13 * tree + 29 * node + 7 * seed) % 129) / F.lit(128.0)).alias("share")))
+
+
+#: Ranges of the model inputs that the rule draws thresholds from; the others lie between 0 and 1.
+RANGES = {"dprice": (0, 30), "dprice_pct": (0, 0.25), "pprice": (100, 300), "aprice": (100, 300), "f_lv5": (0, 12),
+          "m_lv5": (0, 9000), "pscore_item": (-0.5, 0.5), "pscore_ucate": (-0.5, 0.5), "kani_score": (0, 0.5),
+          "kani_score_dis025": (0, 0.25)}
+
+
+def rule_models(spark: SparkSession, seed: int) -> RetentionModels:
+    """A pair of forests by rule over the inputs of the two models."""
+    made = [Forest.of(rule_nodes(spark, [RANGES.get(c, (0, 1)) for c in inputs], seed + i), inputs)
+            for i, inputs in enumerate((ITEM_FEATURES, CATEGORY_FEATURES))]
+    return RetentionModels(*made)
+
+
+FOREST_INPUTS = ["l_quantity", "l_extendedprice", "l_discount", "part", "line"]
+
+
+def forest_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with five inputs, of which one has gaps."""
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+        (F.col("l_partkey") % 50).cast("double").alias("part"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_linenumber").cast("double")).alias("line"))
+
+
 PREDICTION_KEYS = ["store_cd", "lv4_nm", "lv5_nm", "jan", "uid", "sample_amt_jan", "pprice"]
