@@ -7,8 +7,12 @@ the row count divided evenly, so row counts differ by one at most, while only ro
 leave their home.
 
 The walk needs counts alone. Rows are numbered within their home arc, the walk moves number ranges of
-arcs, and its result - a few thousand ranges, however many rows there are - is joined back. An arc with
-more than a task's fair share of rows (one hot text) is numbered in several cells.
+arcs, and its result - a few thousand ranges, however many rows there are - is joined back.
+
+Rows are numbered in cells of about `cell_rows` rows. A cell is a range of positions, so equal texts have
+numbers side by side; only a text with more than `cell_rows` rows of its own is cut into cells by doc_id,
+and its rows follow those of all other texts of the arc. Cells depend on the rows alone, not on how many
+partitions or tasks there are.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pricelane.llm.work import written
 
 RANGES = "arc int, low long, high long, shard int, first_slot long"
+#: Hot texts up to this number are sent to all tasks; more are joined by a shuffle.
+FEW = 100_000
 
 
 def ring(shards: int, vnodes: int = 64, seed: int = 0) -> list[tuple[int, int]]:
@@ -66,7 +72,26 @@ def walk(counts: dict[int, int], owners: list[int], capacity: list[int]) -> list
     return placed
 
 
-def shards_of(docs: DataFrame, shards: int, vnodes: int = 64, seed: int = 0) -> DataFrame:
+def _in_cells(rows: DataFrame, total: int, cell_rows: int) -> DataFrame:
+    """`rows` with the cell that each is numbered in: hot, place and piece, in this order within an arc."""
+    bits = max(0, (max(total, 1) - 1).bit_length() - (cell_rows - 1).bit_length())
+    grid = F.shiftright("position", 64 - bits) if bits else F.lit(0).cast("long")
+    rows = rows.withColumn("grid", grid)
+    # positions are hashes, so what is far above the mean holds a text of many rows
+    full = rows.groupBy("arc", "grid").count().filter(F.col("count") > 2 * cell_rows).select("arc", "grid")
+    hot = written(rows.join(full, ["arc", "grid"], "left_semi").groupBy("arc", "position").count()
+                  .filter(F.col("count") > cell_rows)
+                  .select("arc", "position", F.ceil(F.col("count") / cell_rows).alias("pieces")), "hot")
+    if hot.count() <= FEW:
+        hot = F.broadcast(hot)
+    is_hot = F.col("pieces").isNotNull()
+    return rows.join(hot, ["arc", "position"], "left") \
+        .withColumn("place", F.when(is_hot, F.col("position")).otherwise(F.col("grid"))) \
+        .withColumn("piece", F.pmod("tie", F.coalesce("pieces", F.lit(1).cast("long")))) \
+        .withColumn("hot", is_hot.cast("int")).drop("pieces", "grid")
+
+
+def shards_of(docs: DataFrame, shards: int, vnodes: int = 64, seed: int = 0, cell_rows: int = 1 << 12) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, size, text_crc32, shard, slot.
 
     size: UTF-8 bytes of the text plus 16. slot: place within the shard, gapless from 0. A null text
@@ -93,20 +118,14 @@ def shards_of(docs: DataFrame, shards: int, vnodes: int = 64, seed: int = 0) ->
     total = sum(counts.values())
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     ranges = walk(counts, [s for _, s in points], capacity)
-    # a quarter of what a task would have if all had the same: at most one more cell per point and four
-    # per task
-    most = max(1, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cells = [(arc, -(-n // most)) for arc, n in counts.items() if n > most]
-
-    split = F.broadcast(spark.createDataFrame(cells, "arc int, cells long"))  # at most one per point
-    rows = rows.join(split, "arc", "left").withColumn(
-        "cell", F.pmod("tie", F.coalesce("cells", F.lit(1).cast("long")))).drop("cells")
-    before = Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    first = rows.groupBy("arc", "cell").count() \
-        .select("arc", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("arc", "cell").orderBy("position", "tie", "doc_id", "text_crc32", "size")
+    rows = _in_cells(rows, total, cell_rows)
+    cell = ["arc", "hot", "place", "piece"]
+    before = Window.partitionBy("arc").orderBy(*cell[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy(*cell).count() \
+        .select(*cell, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy(*cell).orderBy("position", "tie", "doc_id", "text_crc32", "size")
     numbered = rows.withColumn("number", F.row_number().over(inside) - 1) \
-        .join(first, ["arc", "cell"]).withColumn("number", F.col("number") + F.col("first"))
+        .join(first, cell).withColumn("number", F.col("number") + F.col("first"))
     # as many ranges as points and shards, whatever the number of rows
     target = F.broadcast(spark.createDataFrame(ranges, RANGES).withColumnRenamed("arc", "home"))
     there = (F.col("arc") == F.col("home")) & F.col("number").between(F.col("low"), F.col("high") - 1)

@@ -110,3 +110,49 @@ def test_written_files(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 200 and back.select("shard").distinct().count() == 5
     assert back.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).count() == 0
+
+
+def on_partitions(spark, n, build):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        return rows(build())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def with_a_hot_text(spark):
+    """A text that a third of 1,500 rows share, texts of 2 to 20 rows, and single ones."""
+    return spark.range(1500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(
+        F.col("id") % 3 == 1, F.concat(F.lit("group "), F.floor(F.sqrt("id")))).otherwise(F.concat(F.lit("own "), "id")).alias("text"))
+
+
+def test_shards_do_not_depend_on_partitions(spark):
+    docs = with_a_hot_text(spark)
+    few, many = ({r["doc_id"]: (r["shard"], r["slot"]) for r in on_partitions(
+        spark, n, lambda: sharding.shards_of(docs.repartition(n), 9, vnodes=4, cell_rows=64))} for n in (2, 31))
+    assert few == many and len(few) == 1500
+
+
+def test_groups_beside_a_hot_text_stay_whole(spark):
+    docs = with_a_hot_text(spark)
+    found = rows(sharding.shards_of(docs, 9, vnodes=4, cell_rows=64))
+    slots_are_gapless(found, 9)
+    text = {r["doc_id"]: r["text"] for r in rows(docs)}
+    spread = {}
+    for r in found:
+        spread.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    cut = [t for t, own in spread.items() if len(own) > 1 and t != "hot"]
+    # a full shard cuts one text at most, whatever the cells are
+    assert len(cut) <= 9
+    plain_ = {r["doc_id"]: r["shard"] for r in rows(sharding.shards_of(docs, 9, vnodes=4, cell_rows=4096))}
+    whole = {}
+    for doc, shard in plain_.items():
+        whole.setdefault(text[doc], set()).add(shard)
+    assert len(spread["hot"]) <= len(whole["hot"]) + 1
+
+
+def test_a_hot_text_is_numbered_in_pieces(spark):
+    made = spark.range(1000).select(F.lit(3).alias("arc"), F.lit(77).cast("long").alias("position"), F.xxhash64("id").alias("tie"))
+    cells = sharding._in_cells(made, 1000, 64).groupBy("hot", "place", "piece").count().collect()
+    assert len(cells) == 16 and max(r["count"] for r in cells) < 2 * 64 and {r["hot"] for r in cells} == {1}
