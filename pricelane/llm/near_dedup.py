@@ -5,7 +5,8 @@ distributed hash values, as its place on a grid of exponentially spaced values,
 registers of a union are the larger ones of its parts, and two sets agree in a register about as
 often as their Jaccard similarity says. Steps:
 
-1. Equal sets become one class, of which the smallest doc_id stands for all; copies go no further.
+1. Equal sets become one class with a number of its own; copies go no further. Which documents a class
+   holds is only looked up again at the end, so it does not matter whether doc_ids repeat or are missing.
 2. Bands of registers deal the classes into buckets. Classes that share a bucket are candidates. A pair
    at similarity s shares none of `BANDS` bands of `ROWS` registers with chance (1 - s ** ROWS) ** BANDS,
    2e-9 at 0.85.
@@ -16,8 +17,9 @@ often as their Jaccard similarity says. Steps:
 4. Of what is left in a bucket, all pairs of different components are compared by the joint likelihood
    of their registers, in cells of bounded size, and rows that may reach the threshold with another go
    on. Rows of a bucket's largest component only meet those of others.
-5. Every link is verified on the full sets of the texts: first the pairs with a head, then inside the
-   cells of what went on. A cell gives the links that connect its rows, never all pairs.
+5. Every link is verified on the full sets of the texts: first the pairs with a head, in cells of a head
+   and at most BLOCK of its members or so, then inside the cells of what went on. A cell gives the links
+   that connect its rows, never all pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from pricelane.config import PricingConfig
+from pricelane.functions.hot import join_split
 from pricelane.llm import words
 from pricelane.llm.components import components
 from pricelane.llm.work import written
@@ -122,21 +126,25 @@ def likely(more: np.ndarray, less: np.ndarray, n1: np.ndarray, n2: np.ndarray, p
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, digest (of the set; null without words), registers."""
+    """doc_id, raw (a hash of the text), n, digest (of the set; null without words), registers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in words.slices(batch.column(1)):
+            for at, texts in words.slices(batch.column(2)):
                 sets = shingle_sets(texts)
                 rows = registers(sets)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
+                    *(batch.column(i).slice(at, len(texts)) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                               for s in sets], pa.binary()),
                     pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary())],
-                    names=["doc_id", "n", "digest", "registers"])
+                    names=["doc_id", "raw", "n", "digest", "registers"])
+
+    return docs.select(F.col("doc_id").cast("long"), _raw(), F.col("text").cast("string")) \
+        .mapInArrow(run, "doc_id long, raw long, n long, digest binary, registers binary")
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")) \
-        .mapInArrow(run, "doc_id long, n long, digest binary, registers binary")
+def _raw() -> Column:
+    return F.xxhash64(F.col("text").cast("string")).alias("raw")
 
 
 def as_registers(column: pa.Array) -> np.ndarray:
@@ -235,21 +243,35 @@ def _linked(percent: int):
 
 
 def _verify(percent: int):
+    """The links between heads and members of a stream (head, cell, id, text) in which each cell starts
+    with its head, whose id is null. A head's set is made once per cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
         for batch in batches:
-            keep = []
-            for at, texts in words.slices(batch.column(2)):
-                others = [t.encode("utf-8", "surrogatepass").lower()
-                          for t in batch.column(3).slice(at, len(texts)).to_pylist()]
-                keep += [similar(a, b, percent) for a, b in zip(shingle_sets(texts), shingle_sets(others))]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            low, high = [], []
+            for at, texts in words.slices(batch.column(3)):
+                sets = shingle_sets(texts)
+                for head, member, found in zip(batch.column(0).slice(at, len(texts)).to_pylist(),
+                                               batch.column(2).slice(at, len(texts)).to_pylist(), sets):
+                    if member is None:
+                        own = found
+                    elif similar(own, found, percent):
+                        low.append(min(head, member))
+                        high.append(max(head, member))
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["low", "high"])
     return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (low, high) whose texts' full sets are similar."""
-    met = pairs.join(texts.toDF("low", "low_text"), "low").join(texts.toDF("high", "high_text"), "high")
-    return met.select("low", "high", "low_text", "high_text") \
+    """low, high: the pairs (id, head) whose texts' full sets are similar. The members of a head are dealt
+    into cells, each of which gets the head's text once."""
+    sizes = pairs.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cells"))
+    members = pairs.join(sizes, "head").withColumn("cell", F.pmod(F.xxhash64("id"), "cells").cast("int"))
+    members = members.join(texts, "id").select("head", "cell", "id", "text")
+    heads = sizes.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))) \
+        .join(texts.toDF("head", "text"), "head").select("head", "cell", F.lit(None).cast("long").alias("id"), "text")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return heads.unionAll(members).repartition(parts, "head", "cell").sortWithinPartitions("head", "cell", "id") \
         .mapInArrow(_verify(percent), "low long, high long").distinct()
 
 
@@ -275,7 +297,8 @@ def dealt(rooted: DataFrame) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """id, root of the classes (id, n, registers) that are linked to a smaller one."""
+    """id, root of the classes (id, doc, raw, n, registers) that are linked to a smaller one. doc and raw: the
+    doc_id and hash of a text of the class."""
     bands = written(classes.select("id", "registers").mapInArrow(_bands, "id long, key long"), "bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = written(bands.join(shared, "key"), "shared")
@@ -284,14 +307,16 @@ def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFra
         F.max(F.struct("company", (-F.col("id")).alias("h"))).alias("best")) \
         .select("key", (-F.col("best.h")).alias("head"))
     members = written(buckets.join(heads, "key"), "buckets")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-                    .join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    rows = docs.select(F.col("doc_id").cast("long"), _raw(), F.coalesce("text", F.lit("")).alias("text"))
+    asked = classes.join(members.select("id").distinct(), "id", "left_semi") \
+        .select(F.col("id"), F.col("doc").alias("class_doc"), F.col("raw").alias("class_raw"))
+    same = F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("raw") == F.col("class_raw"))
+    texts = written(rows.join(asked, same).groupBy("id").agg(F.first("text").alias("text")), "texts")  # of equal rows one
 
     # the head that a class shares most buckets with
     first = members.filter("id != head").groupBy("id", "head").agg(F.count("*").alias("shared")) \
         .groupBy("id").agg(F.max(F.struct("shared", (-F.col("head")).alias("h"))).alias("best")) \
-        .select(F.col("id"), (-F.col("best.h")).alias("head")) \
-        .select(F.least("id", "head").alias("low"), F.greatest("id", "head").alias("high")).distinct()
+        .select(F.col("id"), (-F.col("best.h")).alias("head"))
     links = written(verified(first, texts, percent), "links")
     roots = written(components(links), "roots")
 
@@ -308,32 +333,48 @@ def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return components(links.unionByName(more))
 
 
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, raw, n, component_id, one row per row of `docs`."""
+    rows = written(sketches(docs), "sketches")
+    named = rows.filter(F.col("digest").isNotNull())
+    classes = named.groupBy("digest").agg(
+        F.min(F.struct("doc_id", "raw")).alias("of"), F.min("doc_id").alias("low"), F.first("n").alias("n"),
+        F.first("registers").alias("registers"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "low", "n", "registers",
+                                     F.col("of.doc_id").alias("doc"), F.col("of.raw").alias("raw")), "classes")
+    roots = linked_classes(docs, classes.select("id", "doc", "raw", "n", "registers"), percent)
+    rooted = classes.select("digest", "id", "low").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    split = PricingConfig(hot_rows=1000)  # a set with many rows, or a root with many sets, is spread over slices
+    rooted = written(rooted.select("digest", "root", F.col("id").alias("class_id")), "rooted")
+    found = join_split(rooted, lowest, ["root"], F.col("class_id"), split).select("digest", "component_id")
+    met = join_split(named.select("doc_id", "raw", "n", "digest"), found, ["digest"], F.monotonically_increasing_id(), split)
+    columns = ["doc_id", "raw", "n", "component_id"]
+    empty = rows.filter(F.col("digest").isNull()).withColumn("component_id", F.col("doc_id"))
+    return met.select(*columns).unionAll(empty.select(*columns))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per row of `docs` (doc_id, text; other columns are ignored): doc_id, n_shingles (size of
     the set), component_id (smallest doc_id reachable by links, itself included), kept.
 
     Linked are documents with 100 * intersection >= percent * union of their sets. A text of fewer than
-    five words is one shingle; a null text or one without words has an empty set and no links. Rows
-    without a doc_id are only linked to equal sets; if no row of theirs has one, component_id is null
-    and all of them are kept. Rows that share a doc_id are told apart by their texts. An empty table
-    gives no rows.
+    five words is one shingle; a null text or one without words has an empty set and no links. Rows that
+    share a doc_id are told apart by their texts: each is linked, and kept or not, by its own. Rows without
+    a doc_id are linked like others; component_id is null, and all are kept, if no row of theirs has one.
+    An empty table gives no rows.
     """
-    rows = written(sketches(docs), "sketches")
-    classes = written(rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
-    roots = linked_classes(docs, classes.filter(F.col("id").isNotNull()).select("id", "n", "registers"), percent)
-    rooted = classes.select(F.col("digest").alias("class"), "id").join(roots, "id", "left") \
-        .select("class", F.coalesce("root", "id").alias("root"))
-    own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("root"))
-    return rows.select("doc_id", "n", "digest").join(rooted, F.col("digest") == F.col("class"), "left") \
-        .select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")) \
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _judged(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id",
+                                         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    """The rows of `docs` that stay, with all their columns: those that near_duplicates() keeps, found by
+    doc_id and text. Empty texts stay; equal rows stay or go together. An empty table gives no rows."""
+    kept = _judged(docs, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
+        .select(F.col("doc_id").alias("kept_id"), F.col("raw").alias("kept_raw")).distinct()
     names = [f"c{i}" for i in range(len(docs.columns))]
-    own = docs.toDF(*names)
+    own = docs.select("*", _raw()).toDF(*names, "own_raw")
     ids = F.col(names[docs.columns.index("doc_id")]).cast("long")
-    return own.join(kept, ids.eqNullSafe(F.col("kept_id")), "left_semi").toDF(*docs.columns)
+    return own.join(kept, ids.eqNullSafe(F.col("kept_id")) & (F.col("own_raw") == F.col("kept_raw")), "left_semi") \
+        .select(*names).toDF(*docs.columns)

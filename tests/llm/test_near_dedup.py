@@ -81,6 +81,35 @@ def test_small_sets_and_other_threshold(spark):
     check(spark, made(5, 10, 6, 0.06), 90)
 
 
+def test_a_doc_id_on_several_texts(spark):
+    base = [f"w{i}" for i in range(120)]
+    other = [f"v{i}" for i in range(60)]
+    docs = [(1, " ".join(base)), (5, " ".join(base + ["more"])), (5, " ".join(other)), (7, "nothing like the others at all here"),
+            (8, " ".join(other[:-1] + ["changed"])), (9, " ".join(base[1:])), (9, " ".join(other[1:])), (4, " ".join(other + ["x"]))]
+    check(spark, docs)
+    table = spark.createDataFrame(docs[:4], "doc_id long, text string").repartition(2)
+    assert sorted((r["doc_id"], r["text"]) for r in rows(near_dedup.without_near_duplicates(table))) == \
+        sorted([docs[0], docs[2], docs[3]])
+
+
+def test_rows_without_a_doc_id_are_linked(spark):
+    base = [f"w{i}" for i in range(120)]
+    docs = [(None, " ".join(base)), (6, " ".join(base + ["more"])), (None, " ".join(base[2:])),
+            (None, "these words stand alone in the table"), (None, "these words stand alone in the table too")]
+    found = rows(near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert sorted(str((r["doc_id"], r["component_id"], r["kept"])) for r in found) == sorted(
+        map(str, [(None, 6, False), (6, 6, True), (None, 6, False), (None, None, True), (None, None, True)]))
+
+
+def test_a_head_is_sent_once_per_cell(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    base = [f"w{i}" for i in range(200)]
+    texts = [(i, " ".join(base[:i] + [f"n{i}"] + base[i + 1:])) for i in range(100)] + [(100, "far from all of the others here")]
+    table = spark.createDataFrame(texts, "id long, text string")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 101)], "id long, head long")
+    assert sorted((r["low"], r["high"]) for r in rows(near_dedup.verified(pairs, table, 85))) == [(0, i) for i in range(1, 100)]
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     found = rows(near_dedup.near_duplicates(docs))
