@@ -2,14 +2,17 @@
 
 A classifier learned from a labelled table gives each document a posterior over domains. Document rates
 are then fitted so that the expected tokens of each domain - the sum over documents of rate * tokens *
-posterior - match the targets: nonnegative least squares by projected gradient. A step needs one sum per
-domain over all documents. The projection is lazy: gradients add up in one number per domain, and a
-document's rate is what these numbers and its posterior give, projected into the allowed range. So the
-state of the fit is a number per domain, and each step is one narrow scan without a shuffle of rows.
+posterior - match the targets: nonnegative least squares by projected gradient. The projection is lazy:
+gradients add up in one number per domain, the pull, and a document's rate is what the pulls and its
+posterior give, projected into the allowed range. So the state of the fit is a number per domain, and a
+step is one narrow scan without a shuffle of rows. A scan also sums up how the totals of two domains move
+together (over documents whose rate is not at an end of its range), and the gradient is scaled by these;
+a step is halved until it lowers the objective. The fit ends when the totals are where the least squares
+want them, after a few scans, not after a number of steps.
 
 Everything runs as DataFrame expressions. The classifier is naive Bayes over binned features of the
-text, among them how many of a domain's marker words it holds. A labelled document is not guessed at:
-its label is its posterior.
+text and over all words that are frequent in some domain and unusual for it. A labelled document is not
+guessed at: its label is its posterior.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ BINS = 16
 
 class Classifier(NamedTuple):
     domains: list[str]
-    markers: list[list[str]]  # by domain
+    evidence: dict[str, list[float]]  # logarithms of odds by domain, of each telling word
     prior: list[float]  # logarithms, by domain
     tables: list[list[list[float]]]  # logarithms, by domain, feature and bin
 
@@ -57,24 +60,24 @@ def measured(docs: DataFrame, *kept: str | Column) -> DataFrame:
         .select("*", F.size("words").cast("long").alias("tokens"), F.array(*(c.cast("long") for c in counts)).alias("shape"))
 
 
-def bins(markers: list[list[str]]) -> list[Column]:
-    """The features of a measured() row, as bins from 0 to BINS - 1."""
+def bins() -> list[Column]:
+    """The features of the shape of a measured() row, as bins from 0 to BINS - 1."""
     tokens, chars = F.greatest("tokens", F.lit(1)), F.greatest(F.col("shape")[0], F.lit(1))
     share = lambda part, of: F.sqrt(part / of) * BINS
     values = [F.log2(tokens), share(F.col("shape")[1], chars), share(F.col("shape")[2], chars),
               share(F.col("shape")[3], chars), share(F.col("shape")[4], tokens),
               (F.size(F.array_distinct("words")) / tokens) * BINS, F.col("shape")[0] / tokens]
-    values += [F.size(F.array_intersect("words", F.lit(m or [""]))) for m in markers]
     return [F.greatest(F.lit(0), F.least(F.floor(v), F.lit(BINS - 1))).cast("int") for v in values]
 
 
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], rows_per_domain: int = 1000,
-          markers_per_domain: int = 24, min_docs: int = 8) -> Classifier:
+          min_docs: int = 8, least: float = 2.0) -> Classifier:
     """A classifier from `docs` (doc_id, text) and `labelled` (doc_id, domain).
 
     rows_per_domain: at most so many documents of each domain, chosen by a hash of their ids, are read.
-    Priors come from all labelled rows. A word is a marker of a domain if at least `min_docs` of its
-    documents have it and it is there at least twice as frequent as elsewhere.
+    Priors come from all labelled rows. A word is evidence for a domain if at least `min_docs` of its
+    documents have it and the logarithm of its odds against the other domains is at least `least`, or
+    against it if it is so frequent elsewhere.
     """
     known = labelled.filter(F.col("domain").isin(domains))
     counts = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}  # one per domain
@@ -91,36 +94,49 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], rows_per_dom
     total = sum(seen.values())
     found = rows.select("domain", F.explode(F.array_distinct("words")).alias("word")) \
         .groupBy("word").agg(F.count("*").alias("all"), *(
-            F.count_if(F.col("domain") == d).alias(f"in_{i}") for i, d in enumerate(domains)))
-    markers = []
+            F.count_if(F.col("domain") == d).alias(f"in_{i}") for i, d in enumerate(domains))) \
+        .filter(F.col("all") >= min_docs)
+    odds = []
     for i, domain in enumerate(domains):
         own, n = F.col(f"in_{i}"), seen.get(domain, 0)
-        odds = ((own + 0.5) / (n + 1)) / ((F.col("all") - own + 0.5) / (total - n + 1))
-        best = found.filter((own >= min_docs) & (odds > 2)).orderBy(F.desc(odds), "word").limit(markers_per_domain)
-        markers.append([r.word for r in best.collect()])
-
-    bin_counts = rows.select("domain", F.posexplode(F.array(*bins(markers))).alias("feature", "bin")) \
+        logs = F.log((own + 0.5) / (n + 1)) - F.log((F.col("all") - own + 0.5) / (total - n + 1))
+        odds.append(F.when(F.greatest(own, F.col("all") - own) >= min_docs, F.when(F.abs(logs) >= least, logs)))
+    telling = found.select("word", *(F.coalesce(o, F.lit(0.0)).alias(f"odds_{i}") for i, o in enumerate(odds))) \
+        .filter(" OR ".join(f"odds_{i} <> 0" for i in range(len(domains))))
+    # words of at least min_docs documents of the bounded sample
+    evidence = {r[0]: list(r[1:]) for r in telling.collect()}
+
+    bin_counts = rows.select("domain", F.posexplode(F.array(*bins())).alias("feature", "bin")) \
         .groupBy("domain", "feature", "bin").count().collect()  # domains * features * BINS at most
-    features = len(bins(markers))
+    features = len(bins())
     table = [[[1.0] * BINS for _ in range(features)] for _ in domains]
     for r in bin_counts:
         table[domains.index(r.domain)][r.feature][r.bin] += r["count"]
     prior = [math.log((counts.get(d, 0) + 1) / (sum(counts.values()) + len(domains))) for d in domains]
     tables = [[[math.log(x / sum(row)) for x in row] for row in own] for own in table]
-    return Classifier(domains, markers, prior, tables)
+    return Classifier(domains, evidence, prior, tables)
 
 
 def posteriors(docs: DataFrame, model: Classifier, sharpness: float = 0.5) -> DataFrame:
     """doc_id, tokens, lot (a hash of the row) and p, the posterior of each domain.
 
-    sharpness: the power of the likelihood, below 1 as the features depend on each other.
+    sharpness: the power of the likelihood of the shape, below 1 as its features depend on each other.
     """
     lot = F.xxhash64("doc_id", "text").alias("lot")
-    rows = measured(docs, "doc_id", lot).select("doc_id", "lot", "tokens", F.array(*bins(model.markers)).alias("bins"))
+    telling = sorted(model.evidence)
+    met = F.array_intersect("words", F.lit(telling or [""])) if telling else F.array().cast("array<string>")
+    # a place among the telling words, few of which a text holds
+    places = F.transform(met, lambda w: F.array_position(F.lit(telling or [""]), w).cast("int"))
+    rows = measured(docs, "doc_id", lot).select("doc_id", "lot", "tokens", F.array(*bins()).alias("bins"), places.alias("met"))
+
+    def said(k: int) -> Column:
+        odds = F.lit([model.evidence[w][k] for w in telling] or [0.0])
+        return F.aggregate("met", F.lit(0.0), lambda total, place: total + F.element_at(odds, place))
+
     logs = []
-    for prior, tables in zip(model.prior, model.tables):
+    for k, (prior, tables) in enumerate(zip(model.prior, model.tables)):
         terms = [F.element_at(F.lit(t), F.col("bins")[i] + 1) for i, t in enumerate(tables)]
-        logs.append(F.lit(prior) + sharpness * sum(terms[1:], terms[0]))
+        logs.append(F.lit(prior) + sharpness * sum(terms[1:], terms[0]) + said(k))
     named = rows.select("doc_id", "lot", "tokens", *(x.alias(f"log_{i}") for i, x in enumerate(logs)))
     top = F.greatest(*(F.col(f"log_{i}") for i in range(len(logs))), F.lit(-1e300))
     weights = [F.exp(F.col(f"log_{i}") - top) for i in range(len(logs))]
@@ -140,43 +156,90 @@ def with_labels(rows: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
     return met.select("doc_id", "lot", "tokens", F.coalesce("known", "p").alias("p"))
 
 
+def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a positive definite system of as many equations as there are domains."""
+    rows = [[*row, value] for row, value in zip(matrix, right)]
+    for i, row in enumerate(rows):
+        for other in rows[i + 1:]:
+            factor = other[i] / row[i]
+            other[i:] = [x - factor * y for x, y in zip(other[i:], row[i:])]
+    found = [0.0] * len(rows)
+    for i in reversed(range(len(rows))):
+        found[i] = (rows[i][-1] - sum(rows[i][k] * found[k] for k in range(i + 1, len(rows)))) / rows[i][i]
+    return found
+
+
 def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = None, max_rate: float = 4.0,
-                 ridge: float = 1e-3, steps: int = 25, enough: float = 1e-3) -> Column:
+                 ridge: float = 1e-6, enough: float = 1e-4, strict: bool = False) -> Column:
     """The rate of a row of `rows` (tokens, p) as an expression of p.
 
     weights: target shares of the domains. total: tokens to aim at, as a share of all tokens; None: as
     many as the domain of the largest weight fills without repeats or losses. If `max_rate` is 1 at most
     besides, rows are only thinned out: those whose likeliest domain is that one have the rate `max_rate`,
-    and the others are fitted. Rates lie between 0 and `max_rate`; `ridge` draws them to 1.
-    Stops when no domain's expected tokens change by more than `enough` of their target in a step.
+    and the others are fitted. Rates lie between 0 and `max_rate`; `ridge` draws the pulls to 0.
+    Ends when each domain's total is within `enough` of its target, or of what the least squares come to
+    where rates within their range cannot meet the targets; `strict` raises an error then.
     """
-    size = len(weights)
+    size, cap = len(weights), float(max_rate)
     share = [w / sum(weights) for w in weights]
-
-    def expected(rate: Column) -> list[float] | None:
-        sums = rows.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col("p")[k] * rate) for k in range(size))).first()
-        return [s / sums[0] for s in sums[1:]] if sums[0] else None
-
     main = share.index(max(share))
     held = F.col("p")[main] >= F.array_max("p") if total is None and max_rate <= 1 else F.lit(False)
-    rate = F.lit(1.0)
-    now = expected(rate)
-    if now is None:
-        return F.least(rate, F.lit(float(max_rate)))
-    mass = [max(x, 1e-9) for x in now]
+
+    def pulled(pull: list[float]) -> Column:
+        return sum((F.col("p")[k] * pull[k] for k in range(1, size)), F.col("p")[0] * pull[0])
+
+    def rate_of(pulled: Column, held: Column) -> Column:
+        return F.when(held, F.lit(cap)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(cap), 1 - pulled)))
+
+    start = rows.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col("p")[k]) for k in range(size))).first()
+    if not start[0]:
+        return F.least(F.lit(1.0), F.lit(cap))
+    mass = [x / start[0] for x in start[1:]]
     if total is None:
-        total = mass[main] / share[main]
+        total = max(mass[main], 1e-9) / share[main]
     target = [s * total for s in share]
+    scale = [max(t, 1e-9) for t in target]
+
+    def scan(pull: list[float]):
+        """Totals by domain, how two of them move together, and the objective at `pull`."""
+        at = rows.select("tokens", "p", pulled(pull).alias("pulled"), held.alias("held"))
+        rate = rate_of(F.col("pulled"), F.col("held"))
+        free = F.when(~F.col("held") & (F.col("pulled") > 1 - cap) & (F.col("pulled") < 1), F.col("tokens")).otherwise(0.0)
+        # the integral of the rate over the pull
+        cost = F.when(F.col("held"), -cap * F.col("pulled")).when(F.col("pulled") >= 1, 0.0) \
+            .when(F.col("pulled") > 1 - cap, (1 - F.col("pulled")) * (1 - F.col("pulled")) / 2) \
+            .otherwise(cap * cap / 2 + cap * (1 - cap - F.col("pulled")))
+        pairs = [(k, m) for k in range(size) for m in range(k + 1)]
+        sums = at.agg(*(F.sum(F.col("tokens") * rate * F.col("p")[k]) for k in range(size)),
+                      *(F.sum(free * F.col("p")[k] * F.col("p")[m]) for k, m in pairs), F.sum(F.col("tokens") * cost)).first()
+        sums = [x / start[0] for x in sums]
+        moved = [[0.0] * size for _ in range(size)]
+        for (k, m), x in zip(pairs, sums[size:-1]):
+            moved[k][m] = moved[m][k] = x
+        drawn = sum(ridge * s * x * x for s, x in zip(scale, pull)) / 2
+        return sums[:size], moved, sums[-1] + drawn + sum(t * x for t, x in zip(target, pull))
+
     pull = [0.0] * size
-    for _ in range(steps):
-        # the gradients so far over the document's tokens, in shares of each domain's mass
-        pull = [(1 - ridge) * p + (n - t) / m for p, n, t, m in zip(pull, now, target, mass)]
-        dot = sum((F.col("p")[k] * pull[k] for k in range(1, size)), F.col("p")[0] * pull[0])
-        rate = F.when(held, F.lit(float(max_rate))).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(max_rate), 1 - dot)))
-        last, now = now, expected(rate)
-        if max(abs(a - b) / max(t, 1e-9) for a, b, t in zip(now, last, target)) <= enough:
+    now, moved, objective = scan(pull)
+    while True:
+        slope = [ridge * s * x + t - n for s, x, t, n in zip(scale, pull, target, now)]
+        if max(abs(g) / s for g, s in zip(slope, scale)) <= enough:
             break
-    return rate
+        step = solved([[x + (ridge * scale[k] if k == m else 0.0) for m, x in enumerate(row)] for k, row in enumerate(moved)],
+                      [-g for g in slope])
+        length, gain = 1.0, sum(g * x for g, x in zip(slope, step))
+        while length > 1e-9:
+            tried = [x + length * y for x, y in zip(pull, step)]
+            found = scan(tried)
+            if found[2] <= objective + 1e-4 * length * gain:
+                break
+            length /= 2
+        else:
+            break  # no lower value that numbers of this precision can tell
+        pull, (now, moved, objective) = tried, found
+    if strict and max(abs(n - t) / s for n, t, s in zip(now, target, scale)) > 100 * enough:
+        raise ValueError(f"rates up to {cap} give the shares {now} of the tokens instead of {target}")
+    return rate_of(pulled([float(f"{x:.12g}") for x in pull]), held)
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], max_rate: float = 4.0,
