@@ -31,7 +31,7 @@ OUTSIDE = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 #: Rows of a table that are folded at once, and rows after which a task hands out what it has.
 FOLD, HELD = 1 << 20, 1 << 21
 #: Rows of a cell and sources of a block in the comparison of sources.
-CELL, BLOCK = 1 << 18, 256
+CELL, BLOCK = 1 << 15, 256
 #: Shares are whole parts of this.
 SCALE, EXTRA = 10 ** 9, 5
 MASK = np.array([(1 << 64) - (1 << 64 - 8 * k) if k else 0 for k in range(9)], np.uint64)
