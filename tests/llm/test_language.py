@@ -100,3 +100,41 @@ def test_learned_languages_are_accepted(docs, filters):
     lettered = [r.text for r in docs.select("text").collect() if language.has_letter(r.text)]
     assert language.recognised(lettered, filters).all()
     assert list(language.recognised(["The", "the of", "12 !", "", None], filters)) == [True, True, False, False, False]
+
+
+def plain_sets(docs, min_count=2, rare=0.05):
+    """The n-grams of each language in plain sets, from all rows of docs (text, lang)."""
+    counts = {}
+    for text, lang in docs:
+        own = counts.setdefault(lang, {})
+        for grams in plain_grams(text):
+            for g in grams:
+                own[g] = own.get(g, 0) + 1
+    total = {lang: sum(own.values()) for lang, own in counts.items()}
+    most = {}
+    for lang, own in counts.items():
+        for g, n in own.items():
+            most[g] = max(most.get(g, 0), n / total[lang])
+    return {lang: {g for g, n in own.items() if n >= min_count and n / total[lang] >= rare * most[g]} for lang, own in counts.items()}
+
+
+def test_predictions_against_plain_sets(docs, filters):
+    learned = docs.filter(language.learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    assert learned.groupBy("lang").count().agg(F.max("count")).first()[0] <= 1500  # so all of them are read
+    sets = plain_sets([(r.text, r.lang) for r in learned.select("text", "lang").collect()])
+    asked = [r.text for r in docs.filter(language.held_out()).select("text").collect()]
+    said, _ = language.predict(asked, filters)
+    corrected, n = language.summed_hits(asked, filters)
+    same = 0
+    for text, lang, hits, size in zip(asked, said, corrected, n):
+        grams = [g for own in plain_grams(text or "") for g in own]
+        assert size == len(grams)
+        exact = np.array([sum(g in sets[k] for g in grams) for k in filters.languages])
+        # what the filters count too much is chance, of which the expected number is taken off again
+        spread = np.sqrt(size * filters.false_rate) / (1 - filters.false_rate)
+        assert (abs(hits - exact) <= 8 * spread + 3 + 0.02 * size).all()
+        best = filters.languages[int(exact.argmax())] if language.has_letter(text) else "und"
+        margin = np.sort(exact)[-1] - np.sort(exact)[-2]
+        same += best == lang
+        assert best == lang or margin <= 8 * spread.max() + 3
+    assert same >= 0.99 * len(asked)

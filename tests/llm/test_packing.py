@@ -3,9 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from cases import no_documents, odd_documents
 from conftest import SMALL, rows
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pricelane.llm import packing
@@ -79,6 +81,41 @@ def test_streams_and_cells(spark):
     assert well_packed(found, 100) <= 1.1 * sum(x["length"] for x in found) / 100
 
 
+def plain_best_fit(lengths, limit, most):
+    """(sequence, offset) of each length by a search through all open bins, of which the latest among equals."""
+    open_, found, opened = [], [], 0  # [free, number], in the order in which they got their free space
+    for length in lengths:
+        fits = [b for b in open_ if b[0] >= length]
+        if fits:
+            least = min(b[0] for b in fits)
+            best = [b for b in fits if b[0] == least][-1]
+            open_.remove(best)
+        else:
+            if len(open_) >= most:
+                least = min(b[0] for b in open_)
+                open_.remove([b for b in open_ if b[0] == least][-1])
+            best, opened = [limit, opened], opened + 1
+        found.append((best[1], limit - best[0]))
+        if best[0] > length:
+            open_.append([best[0] - length, best[1]])
+    return found
+
+
+def test_streams_against_a_plain_best_fit(spark):
+    r = random.Random(5)
+    made = [(i, 0, 0, r.choice([r.randrange(1, 101), 100, 3]), i) for i in range(1500)]
+    table = spark.createDataFrame(made, packing.PIECES).repartition(4)
+    found = rows(packing.pack(table, 100, open_bins=6, stream_bins=200))
+    tie = {x["doc_id"]: x["tie"] for x in rows(table.select("doc_id", F.xxhash64("doc_id", "piece", "ids_crc32").alias("tie")))}
+    streams = {}
+    for x in found:
+        streams.setdefault(x["sequence_id"] >> 32, []).append(x)
+    assert len(streams) > 2
+    for own in streams.values():
+        own.sort(key=lambda x: (-x["length"], tie[x["doc_id"]]))
+        assert [(x["sequence_id"] & 0xFFFFFFFF, x["offset"]) for x in own] == plain_best_fit([x["length"] for x in own], 100, 6)
+
+
 def test_best_fit_and_the_fullest_closes():
     bins = packing.OpenBins(10, 2)
     assert bins.put(6) == (0, 0) and bins.put(7) == (1, 0)

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from cases import no_documents, odd_documents
@@ -87,3 +89,51 @@ def test_without_labels(spark):
     labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
     network = toxicity.train(docs, labels, F.lit(True))
     assert all(r["score"] < 0.5 for r in rows(toxicity.scored(docs, network)))
+
+
+def plain_score(network, text):
+    """One text by loops over its windows, the steps of each and the two directions, one vector at a time."""
+    w = {k: v.astype(np.float64) for k, v in network.w.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    size = toxicity.HIDDEN
+
+    def vector(word):
+        own, _, _ = toxicity.vocabulary([word])
+        at = np.flatnonzero(network.known == own.hashes[0])
+        return np.concatenate([w["word"][at[0] if len(at) else -1], np.mean([w["char"][s] for s in own.slots], axis=0)])
+
+    def states(side, vectors):
+        h, found = np.zeros(size), []
+        for x in vectors:
+            given, before = x @ w[f"{side}_in"] + w[f"{side}_bias"], h @ w[f"{side}_rec"]
+            z = sigmoid(given[:size] + before[:size])
+            r = sigmoid(given[size:2 * size] + before[size:2 * size])
+            new = np.tanh(given[2 * size:] + r * before[2 * size:])
+            h = z * h + (1 - z) * new
+            found.append(h)
+        return found
+
+    read = [m for m in re.findall(rb"[a-z\x80-\xff]+", text.lower())]
+    odds, at = [], 0
+    while True:
+        vectors = [vector(word) for word in read[at:at + toxicity.WINDOW]]
+        if vectors:
+            both = [np.concatenate(s) for s in zip(states("f", vectors), states("b", vectors[::-1])[::-1])]
+            mark = np.array([s @ w["attend"] for s in both])
+            weight = np.exp(mark - mark.max())
+            pooled = sum(a * s for a, s in zip(weight / weight.sum(), both))
+        else:
+            pooled = np.zeros(2 * size)
+        odds.append(pooled @ w["out"] + w["bias"][0])
+        if at + toxicity.WINDOW >= len(read):
+            return sigmoid(max(odds))
+        at += toxicity.STRIDE
+
+
+def test_scores_against_plain_loops(spark, network):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(25).collect()]
+    texts += ["", "1 2 3", "Idiot", "the and of " * 60, "é" * 30 + " ñandú x"]
+    given = [(t or "").encode() for t in texts]
+    assert max(len(t) for t in given) > 2000
+    found = network.scores([t.lower() for t in given])
+    assert np.allclose(found, [plain_score(network, t) for t in given], atol=2e-4)
