@@ -551,6 +551,7 @@ SELECT {KEY}, r_jan, f_jan, r_lv5, f_lv5, {_mixed('_jan')}, {_mixed('_lv5')},
        m_jan, rscore_jan, fscore_jan, mscore_jan, m_lv5, rscore_lv5, fscore_lv5, mscore_lv5
 FROM levels""",
     "loyalty": _loyalty("loyal"),
+    "loyalty_clustered": _loyalty("loyal"),
     "loyalty_global": _loyalty("loyal_global"),
     "pscore": _pscore("sensitive"),
     "pscore_global": _pscore("sensitive_global"),

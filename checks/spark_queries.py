@@ -406,6 +406,14 @@ def loyalty(spark, sf):
     return features.loyalty_features(*_sample(spark, sf), CFG).select(*KEY, *LOYALTY)
 
 
+def loyalty_clustered(spark, sf):
+    """The same from customer days in buckets by store and member."""
+    base, days = _sample(spark, sf)
+    kept = _once(spark, sf, "clustered", lambda: session_workspace(spark).keep_clustered(days, "days", ["store_cd", "uid"], 8))
+    baskets = features.member_baskets(base, kept, CFG, clustered=True)
+    return features.loyalty_features(base, kept, CFG, baskets=baskets).select(*KEY, *LOYALTY)
+
+
 def loyalty_global(spark, sf):
     return features.loyalty_features(*_sample(spark, sf, "global"), CFG, "global") \
         .select(*KEY, *LOYALTY)
@@ -723,7 +731,7 @@ QUERIES = {f.__name__: f for f in (
     sample_customers, sample_customers_zero, train_days, train_days_by_store, labels_case, labels_item,
     label_ints,
     pack_size_category, pack_size_category_all, price_features,
-    rfm_global, rfm_case, rfm_rank_norm, rfm_levels, loyalty, loyalty_global, pscore, pscore_global,
+    rfm_global, rfm_case, rfm_rank_norm, rfm_levels, loyalty, loyalty_clustered, loyalty_global, pscore, pscore_global,
     kani_mean5, kani_global, kani_exp, kani_mean5_many, kani_exp_many,
     kani_global_many, kani_top_sales, features_all, features_all_global,
     oversample, oversample_weights, median_fill, median_fill_exact, forest_score, model_manifest, forest_agreement,

@@ -51,13 +51,17 @@ def _window_totals(rows: DataFrame, by: list[str], sales: DataFrame, keys: list[
             .groupBy(*by).agg(*(F.sum(c).alias(c) for c in sums)))
 
 
-def member_windows(rows: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataFrame:
+def member_windows(rows: DataFrame, days: DataFrame, cfg: PricingConfig, clustered: bool = False) -> DataFrame:
     """The customer days in the feature windows of `rows` (store_cd, uid, astart), all categories.
 
     A member's cases of one store and change day share a window, so each of its days is met once,
-    however many rows of the sample it has.
+    however many rows of the sample it has. `clustered` days lie in buckets by store and member
+    (`Workspace.keep_clustered`) and are joined where they lie: only the windows are shuffled.
     """
     asked = rows.select("store_cd", "uid", "astart").distinct()
+    if clustered:
+        near = F.col("salesday").between(F.date_add("astart", -cfg.feature_len), F.date_add("astart", -1))
+        return asked.join(days, ["store_cd", "uid"]).where(near)
     return sales_in_window(asked, days, ["store_cd", "uid"], -cfg.feature_len, -1, cfg)
 
 
@@ -65,7 +69,7 @@ def member_windows(rows: DataFrame, days: DataFrame, cfg: PricingConfig) -> Data
 DAYS_PER_WORD = 63
 
 
-def member_baskets(rows: DataFrame, days: DataFrame, cfg: PricingConfig) -> DataFrame:
+def member_baskets(rows: DataFrame, days: DataFrame, cfg: PricingConfig, clustered: bool = False) -> DataFrame:
     """The items of a member's feature window (of `rows`: store_cd, uid, astart), one row each: amount (m),
     units, and its days as bits of `days_0`, `days_1`, ..., the day before the change first.
 
@@ -76,7 +80,7 @@ def member_baskets(rows: DataFrame, days: DataFrame, cfg: PricingConfig) -> Data
     words = range(-(-cfg.feature_len // DAYS_PER_WORD))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), ago % DAYS_PER_WORD)
     marks = [F.bit_or(F.when(F.floor(ago / DAYS_PER_WORD) == k, bit).otherwise(0)).alias(f"days_{k}") for k in words]
-    return member_windows(rows, days, cfg).groupBy(*BASKET, "jan").agg(
+    return member_windows(rows, days, cfg, clustered).groupBy(*BASKET, "jan").agg(
         F.sum("salesamount").alias("m"), F.sum("salescnt").alias("units"), *marks)
 
 
@@ -444,12 +448,12 @@ def top_sales_mean(lines: DataFrame, top: int = 5) -> DataFrame:
 # -- all together ----------------------------------------------------------------------------------
 
 def add_customer_features(base: DataFrame, days: DataFrame, packs: DataFrame, cfg: PricingConfig,
-                          scope: str = "case", work: Workspace | None = None) -> DataFrame:
+                          scope: str = "case", work: Workspace | None = None, clustered: bool = False) -> DataFrame:
     """All features that do not depend on the new price.
 
     What several features read - the baskets of the feature windows, and the sales per item and day - is
     written to `work` once, so the customer days are read as often as they are joined. Without `work`, the
-    workspace of the session keeps these tables.
+    workspace of the session keeps these tables. `clustered`: see member_windows.
     """
     _check_scope(scope)
     if scope == "global":
@@ -462,7 +466,7 @@ def add_customer_features(base: DataFrame, days: DataFrame, packs: DataFrame, cf
     members = case_buyers(_cases_of(base), days, cfg)
     if cfg.sample_len > cfg.feature_len:  # otherwise who was sampled is among them
         members = members.unionByName(base.select("store_cd", "uid", "astart"))
-    baskets = work.keep(member_baskets(members, days, cfg), "baskets")
+    baskets = work.keep(member_baskets(members, days, cfg, clustered), "baskets")
     shelf_sales = work.keep(item_days(days), "item-days")
     out = rfm_features(base, days, cfg, scope, baskets=baskets)
     out = loyalty_features(out, days, cfg, scope, base, baskets)

@@ -72,14 +72,15 @@ def train(pos: DataFrame, packs: DataFrame, cfg: PricingConfig,
           options_zero: FitOptions = FitOptions(), options_up: FitOptions = FitOptions(),
           model_paths: tuple[str, str] | None = None,
           sample_paths: tuple[str, str] | None = None, guest_uid=None,
-          work: Workspace | None = None) -> Training:
+          work: Workspace | None = None, buckets: int | None = None) -> Training:
     """Cases, samples, labels, features and both pairs of models (unchanged and raised prices).
 
     Receipt lines are read twice: for the prices on the shelves and for what customers bought around
     the cases. These two tables, cases, samples and features are kept in `work`, because every later
     step reads them several times; clear it when the results are no longer needed. When labels and
     features only look at a row's own case, both kinds of cases go through the steps together; otherwise
-    each kind on its own. `guest_uid` is the member code of guests, if there is one.
+    each kind on its own. `guest_uid` is the member code of guests, if there is one. With `buckets` the
+    customer days are kept in so many buckets by store and member, which later joins do not shuffle.
     """
     work = work or Workspace(pos.sparkSession)
     if stores is not None:
@@ -89,11 +90,12 @@ def train(pos: DataFrame, packs: DataFrame, cfg: PricingConfig,
     cases = {kind: work.keep(cases_on_shelves(shelves, kind, cfg), f"cases-{kind}") for kind in ("zero", "up")}
     cases["both"] = cases["zero"].unionByName(cases["up"])
     together = scope == "case" and label_scope == "case"
-    days = work.keep(training_days(pos, cases["both"], cfg, guest_uid, by_store=together), "days")
+    days = training_days(pos, cases["both"], cfg, guest_uid, by_store=together)
+    days = work.keep_clustered(days, "days", ["store_cd", "uid"], buckets) if buckets else work.keep(days, "days")
     samples, features = [], []
     for kind in ("both",) if together else ("zero", "up"):
         samples.append(work.keep(sample_customers(cases[kind], days, cfg, label_scope), f"base-{kind}"))
-        known = price_features(add_customer_features(samples[-1], days, packs, cfg, scope, work))
+        known = price_features(add_customer_features(samples[-1], days, packs, cfg, scope, work, bool(buckets)))
         features.append(work.keep(label_ints(known), f"features-{kind}"))
     if together:
         same = F.col("aprice") == F.col("pprice")

@@ -120,3 +120,23 @@ def test_all_ranks_of_a_scope_are_one_join(spark, stored):
     # six ranks need no more shuffles than three, but for the second level of purchases
     count = lambda text: len(re.findall(r"Exchange (hash|range|single)", text))
     assert count(levels) <= count(plain) + 3
+
+
+def test_clustered_days_are_not_shuffled(spark, stored):
+    base, days = stored
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the windows were too many to send to all
+    try:
+        with Workspace(spark) as work:
+            kept = work.keep_clustered(days, "days", ["store_cd", "uid"], 4)
+            df = features.member_baskets(base, kept, views.CFG, clustered=True)
+            text = plan(df)
+            exchanges = [line for line in text.splitlines() if re.search(r"Exchange (hash|range|single)", line)]
+            # the distinct windows are dealt like the days; days and baskets stay where they are
+            assert 0 < len(exchanges) <= 2 and all("astart" in line or "uid" in line for line in exchanges)
+            assert "SortMergeJoin" in text and "Bucketed: true" in text
+            plain = features.member_baskets(base, days, views.CFG)
+            assert sorted(map(str, df.select(*sorted(df.columns)).collect())) == \
+                sorted(map(str, plain.select(*sorted(plain.columns)).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
