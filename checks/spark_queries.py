@@ -40,7 +40,10 @@ def _kept(spark, sf, name, build) -> DataFrame:
 
 def _folder(spark) -> str:
     """A new folder for files that a query writes and reads back."""
-    return f"{session_workspace(spark).path}/files-{uuid4().hex}"
+    shared = session_workspace(spark).path
+    if shared is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared}/files-{uuid4().hex}"
 
 
 def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
