@@ -176,14 +176,16 @@ def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = No
     weights: target shares of the domains. total: tokens to aim at, as a share of all tokens; None: as
     many as the domain of the largest weight fills without repeats or losses. If `max_rate` is 1 at most
     besides, rows are only thinned out: those whose likeliest domain is that one have the rate `max_rate`,
-    and the others are fitted. Rates lie between 0 and `max_rate`; `ridge` draws the pulls to 0.
+    and the others are fitted to the targets of the other domains; a domain with less than its target is
+    not thinned, and nothing else is held back for it. Rates lie between 0 and `max_rate`; `ridge` draws the pulls to 0.
     Ends when each domain's total is within `enough` of its target, or of what the least squares come to
     where rates within their range cannot meet the targets; `strict` raises an error then.
     """
     size, cap = len(weights), float(max_rate)
     share = [w / sum(weights) for w in weights]
     main = share.index(max(share))
-    held = F.col("p")[main] >= F.array_max("p") if total is None and max_rate <= 1 else F.lit(False)
+    thinning = total is None and max_rate <= 1
+    held = F.col("p")[main] >= F.array_max("p") if thinning else F.lit(False)
 
     def pulled(pull: list[float]) -> Column:
         return sum((F.col("p")[k] * pull[k] for k in range(1, size)), F.col("p")[0] * pull[0])
@@ -199,6 +201,8 @@ def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = No
         total = max(mass[main], 1e-9) / share[main]
     target = [s * total for s in share]
     scale = [max(t, 1e-9) for t in target]
+    # totals that no rate in the range can reach would pull without end
+    fitted = [k for k in range(size) if not thinning or (k != main and cap * mass[k] > target[k])]
 
     def scan(pull: list[float]):
         """Totals by domain, how two of them move together, and the objective at `pull`."""
@@ -221,13 +225,16 @@ def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = No
 
     pull = [0.0] * size
     now, moved, objective = scan(pull)
-    while True:
-        slope = [ridge * s * x + t - n for s, x, t, n in zip(scale, pull, target, now)]
-        if max(abs(g) / s for g, s in zip(slope, scale)) <= enough:
+    while fitted:
+        slope = [ridge * scale[k] * pull[k] + target[k] - now[k] for k in fitted]
+        if max(abs(g) / scale[k] for g, k in zip(slope, fitted)) <= enough:
             break
-        step = solved([[x + (ridge * scale[k] if k == m else 0.0) for m, x in enumerate(row)] for k, row in enumerate(moved)],
-                      [-g for g in slope])
-        length, gain = 1.0, sum(g * x for g, x in zip(slope, step))
+        found = solved([[moved[k][m] + (ridge * scale[k] if k == m else 0.0) for m in fitted] for k in fitted],
+                       [-g for g in slope])
+        step = [0.0] * size
+        for k, x in zip(fitted, found):
+            step[k] = x
+        length, gain = 1.0, sum(g * x for g, x in zip(slope, found))
         while length > 1e-9:
             tried = [x + length * y for x, y in zip(pull, step)]
             found = scan(tried)
