@@ -26,6 +26,8 @@ from pricelane.llm.text import ascii_lower
 from pricelane.llm.work import written
 
 BINS = 16
+#: Rows that are only thinned out go for sure if this part of their posterior is one domain's that is too large.
+SURE = 0.5
 
 
 class Classifier(NamedTuple):
@@ -177,7 +179,7 @@ def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = No
     many as the domain of the largest weight fills without repeats or losses. If `max_rate` is 1 at most
     besides, rows are only thinned out: those whose likeliest domain is that one have the rate `max_rate`,
     and the others are fitted to the targets of the other domains; a domain with less than its target is
-    not thinned, and nothing else is held back for it. Rates lie between 0 and `max_rate`; `ridge` draws the pulls to 0.
+    not thinned, and nothing else is held back for it, and no domain's pull exceeds 1 / SURE. Rates lie between 0 and `max_rate`; `ridge` draws the pulls to 0.
     Ends when each domain's total is within `enough` of its target, or of what the least squares come to
     where rates within their range cannot meet the targets; `strict` raises an error then.
     """
@@ -203,6 +205,7 @@ def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = No
     scale = [max(t, 1e-9) for t in target]
     # totals that no rate in the range can reach would pull without end
     fitted = [k for k in range(size) if not thinning or (k != main and cap * mass[k] > target[k])]
+    most = 1 / SURE if thinning else math.inf
 
     def scan(pull: list[float]):
         """Totals by domain, how two of them move together, and the objective at `pull`."""
@@ -225,20 +228,21 @@ def fitted_rates(rows: DataFrame, weights: list[float], total: float | None = No
 
     pull = [0.0] * size
     now, moved, objective = scan(pull)
-    while fitted:
-        slope = [ridge * scale[k] * pull[k] + target[k] - now[k] for k in fitted]
-        if max(abs(g) / scale[k] for g, k in zip(slope, fitted)) <= enough:
+    while True:
+        slope = {k: ridge * scale[k] * pull[k] + target[k] - now[k] for k in fitted}
+        free = [k for k in fitted if pull[k] < most or slope[k] > 0]
+        if not free or max(abs(slope[k]) / scale[k] for k in free) <= enough:
             break
-        found = solved([[moved[k][m] + (ridge * scale[k] if k == m else 0.0) for m in fitted] for k in fitted],
-                       [-g for g in slope])
-        step = [0.0] * size
-        for k, x in zip(fitted, found):
-            step[k] = x
-        length, gain = 1.0, sum(g * x for g, x in zip(slope, found))
+        step = solved([[moved[k][m] + (ridge * scale[k] if k == m else 0.0) for m in free] for k in free],
+                      [-slope[k] for k in free])
+        length = 1.0
         while length > 1e-9:
-            tried = [x + length * y for x, y in zip(pull, step)]
+            tried = list(pull)
+            for k, x in zip(free, step):
+                tried[k] = min(most, pull[k] + length * x)
+            gain = sum(slope[k] * (tried[k] - pull[k]) for k in free)
             found = scan(tried)
-            if found[2] <= objective + 1e-4 * length * gain:
+            if found[2] <= objective + 1e-4 * min(gain, 0.0):
                 break
             length /= 2
         else:
