@@ -75,3 +75,35 @@ def test_beyond_a_long(spark):
 def test_nothing_to_find(spark, vectors):
     table = spark.createDataFrame(vectors, SCHEMA)
     assert topk.top_k(table, F.col("vec_id") % 5 == 0, 5).count() == 0
+
+
+def plain_by_row(vectors, every, k):
+    from math import floor
+    good = [(i, [floor(256 * x) for x in v]) for i, v, _ in vectors]
+    found = []
+    for at, (q, own) in enumerate(good):
+        if q % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for j, (i, v) in enumerate(good) if j != at)
+            found += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("options", [{}, {"chunk_rows": 3, "bins": 3}])
+def test_every_row_is_a_query_that_meets_all_others(spark, options):
+    r = random.Random(4)
+    some = [(i % 40, [exact(r.uniform(-2, 2)) for _ in range(3)], 0) for i in range(120)]
+    vectors = some + some[:30] + [(5, [0.0, 0.0, 0.0], 0)] * 7 + [(10, [3.0, 0.0, 0.0], 0), (10, [3.0, 1.0, 0.0], 0)]
+    table = spark.createDataFrame(vectors, SCHEMA).repartition(3)
+    found = topk.top_k(table, F.col("vec_id") % 5 == 0, 5, by_row=True, **options)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(tuple(x) for x in found.collect()) == plain_by_row(vectors, 5, 5)
+    alone = spark.createDataFrame([(5, [1.0], 0)], SCHEMA)
+    assert topk.top_k(alone, F.col("vec_id") % 5 == 0, 5, by_row=True).count() == 0
+
+
+def test_registered_query_finds_twins(spark, tmp_path):
+    from pricelane.llm.queries import op1_topk
+    spark.createDataFrame([(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (1, [0.5, 0.0], 0)], SCHEMA) \
+        .write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted(tuple(x) for x in op1_topk(spark, str(tmp_path)).collect())
+    assert found == [(0, 1, 0, 65536), (0, 1, 0, 65536), (0, 2, 1, 32768), (0, 2, 1, 32768)]
