@@ -180,3 +180,14 @@ def test_a_repeated_item_counts_once_and_lower_prices_stay(spark):
     more = spark.createDataFrame([(7, "y", 50.0, 20.0), (7, "x", 60.0, 20.0), (7, "a", None, 20.0)], master)
     found = rows(simulate.simulate(table, once, cfg), "dp")
     assert [r["dp"] for r in found] == [-10, 10] and found == rows(simulate.simulate(table, more, cfg), "dp")
+
+
+def test_the_series_cap_simulates_customers_once(spark):
+    simulated = simulate.simulate(predictions(spark, *((j, u, 500.0, flat(0.9, 0.9)) for j in (1, 2, 3) for u in (1, 2))),
+                                  items(spark, (1, 60, 30), (2, 60, 20), (3, 60, 10)), CFG)
+    series = spark.createDataFrame([(j, "A") for j in (1, 2, 3)], "jan bigint, series string")
+    capped = simulate.best_item_price(simulated, CFG, series)
+    assert "inline" not in capped._jdf.queryExecution().optimizedPlan().toString()
+    valid = simulate.valid_item_prices(simulated, CFG)
+    plain = simulate.rank_items(simulate.series_price_cap(simulate.most_profitable(valid), valid, series, CFG))
+    assert capped.count() > 0 and rows(capped, "jan") == rows(plain, "jan")
