@@ -324,8 +324,13 @@ def _days(spark, sf, count=5):
     return _kept(spark, sf, f"days-{count}", lambda: clean.member_days(views.pos(spark, sf, count), CFG))
 
 
+def _cases(spark, sf, count=5):
+    """Cases of raised prices, kept because their size decides how sales are joined with them."""
+    return _kept(spark, sf, f"cases-{count}", lambda: case_master_up(spark, sf, count))
+
+
 def sample_customers(spark, sf):
-    return sampling.sample_customers(case_master_up(spark, sf), _days(spark, sf), CFG)
+    return sampling.sample_customers(_cases(spark, sf), _days(spark, sf), CFG)
 
 
 def sample_customers_zero(spark, sf):
@@ -345,11 +350,11 @@ def train_days_by_store(spark, sf):
 
 
 def labels_case(spark, sf):
-    return sampling.sample_customers(case_master_up(spark, sf), _days(spark, sf), CFG, "case")
+    return sampling.sample_customers(_cases(spark, sf), _days(spark, sf), CFG, "case")
 
 
 def labels_item(spark, sf):
-    return sampling.sample_customers(case_master_up(spark, sf), _days(spark, sf), CFG, "item")
+    return sampling.sample_customers(_cases(spark, sf), _days(spark, sf), CFG, "item")
 
 
 def label_ints(spark, sf):
@@ -381,7 +386,7 @@ def _sample(spark, sf, scope="case", count=5) -> tuple[DataFrame, DataFrame]:
     """Sample base and customer days, both kept."""
     days = _days(spark, sf, count)
     base = _kept(spark, sf, f"sample-{count}",
-                 lambda: sampling.sample_customers(case_master_up(spark, sf, count), days, CFG))
+                 lambda: sampling.sample_customers(_cases(spark, sf, count), days, CFG))
     return base, features.feature_days(base, days, CFG) if scope == "global" else days
 
 

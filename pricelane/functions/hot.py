@@ -24,16 +24,20 @@ def join_split(big: DataFrame, small: DataFrame, keys: list[str], by: Column,
                cfg: PricingConfig) -> DataFrame:
     """Inner join in which the rows of a hot key of `big` are spread by `by` over slices.
 
-    Only the rows of `small` with a hot key are repeated, once per slice.
+    Only the rows of `small` with a hot key are repeated, once per slice. They find their key in a map of the
+    hot ones: a join would hide from the optimizer how small `small` is, and one that can be broadcast (a table
+    that was written, such as the cases of a run) spares `big` its shuffle. The map holds hashes of keys; a
+    key that shares its hash with a hot one is repeated for slices in which nothing meets it.
     """
-    hot = F.broadcast(hot_keys(big, keys, cfg))
-    spread = (big.join(hot, keys, "left")
+    hot = hot_keys(big, keys, cfg)
+    digest = F.xxhash64(*(F.col(k).cast(big.schema[k].dataType) for k in keys))
+    listed = hot.groupBy(digest.alias("_digest")).agg(F.max("_slices").alias("_slices")) \
+        .agg(F.str_to_map(F.listagg(F.concat_ws(":", "_digest", "_slices"), F.lit(",")), F.lit(","), F.lit(":"))).scalar()
+    spread = (big.join(F.broadcast(hot), keys, "left")
               .withColumn("_slice", F.pmod(F.xxhash64(by), F.coalesce("_slices", F.lit(1))).cast("int"))
               .drop("_slices"))
-    repeated = (small.join(hot, keys, "left")
-                .withColumn("_slice", F.explode(
-                    F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
-                .drop("_slices"))
+    slices = F.coalesce(F.try_element_at(listed, digest.cast("string")).cast("int"), F.lit(1))
+    repeated = small.withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
     return repeated.join(spread, [*keys, "_slice"]).drop("_slice")
 
 

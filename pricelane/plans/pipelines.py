@@ -131,7 +131,7 @@ def predict_prices(pos: DataFrame, items: DataFrame, dropped: DataFrame, packs:
     if stores is not None:
         pos = pos.join(stores.select("store_cd").distinct(), "store_cd", "left_semi")
     items = drop_items(items, dropped)
-    cases = target_cases(pos, upday, 0, cfg, items)
+    cases = work.keep(target_cases(pos, upday, 0, cfg, items), "cases")
     first = offset_day(upday, -max(cfg.feature_len, cfg.sample_len))
     recent = pos.where(F.col("salesday").between(F.lit(first).cast("date"),
                                                  F.lit(upday).cast("date")))
@@ -150,7 +150,7 @@ def recommend(grid: DataFrame, items: DataFrame, cfg: PricingConfig, series: Dat
         grid = monotone_prob(grid, cfg)
     predictions = work.keep(grid, "predictions")
     simulated = simulate(predictions, items, cfg)
-    best = work.keep(best_item_price(simulated, cfg, series), "items")
+    best = work.keep(best_item_price(simulated, cfg, series, work=work), "items")
     return Recommendation(predictions, best, best_customer_price(simulated, best), work)
 
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from conftest import POS_SCHEMA, day, pos_frame, rows, sale
+from pyspark.sql import functions as F
 
 from pricelane import PricingConfig
 from pricelane.functions.hot import hot_keys, sales_in_window
@@ -136,3 +137,23 @@ def test_lines_of_an_unknown_category_reach_the_sample(spark):
 def test_category_labels_need_no_list_of_days(spark):
     text = sampled(spark, [case(100)], [sale(90)], "case")._jdf.queryExecution().toString()
     assert "collect_set" not in text and "collect_list" not in text
+
+
+@pytest.mark.parametrize("cfg", [CFG, SPLIT])
+def test_few_cases_are_sent_to_the_sales(spark, tmp_path, cfg):
+    """Cases of known size spare the sales a shuffle, whether keys are split or not."""
+    spark.createDataFrame([case(100), case(110, jan=2)], CASES).write.parquet(f"{tmp_path}/cases")
+    pos_frame(spark, _random_sales(3, 200)).write.parquet(f"{tmp_path}/sales")
+    cases, lines = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("cases", "sales"))
+    found = sales_in_window(cases, lines, ITEM, -28, -1, cfg, "uid")
+    text = found._jdf.queryExecution().optimizedPlan().toString().split("Subquery")[0]
+    last = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in last and "BroadcastHashJoin" in last, text
+
+
+def test_split_keys_with_nulls_and_other_types(spark):
+    lines = pos_frame(spark, [sale(d, jan=1, uid=u) for d in range(95, 100) for u in range(20)]
+                      + [(*sale(96)[:3], None, *sale(96)[4:])] * 30)
+    cases = spark.createDataFrame([case(100), (1, "lv4", "milk", None, 1.0, 2.0, day(100))],
+                                  CASES).withColumn("jan", F.col("jan").cast("int"))
+    assert [sales_in_window(cases, lines, ITEM, -28, -1, cfg, "uid").count() for cfg in (CFG, SPLIT)] == [100, 100]
