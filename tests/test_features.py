@@ -254,3 +254,12 @@ def test_slices_of_a_basket_change_nothing(spark):
                       for n in (2_000, 2))
         assert [round(r["kani_score"], 9) for r in whole] == [round(r["kani_score"], 9) for r in cut]
         assert any(r["kani_score"] > 0 for r in whole)
+
+
+def test_both_levels_of_loyalty_read_baskets_that_were_written_once(spark, tmp_path):
+    base, days = sample(spark, [case(100)], [sale(90), sale(91, jan=2, amount=300.0), sale(95, uid=2)])
+    days.write.parquet(f"{tmp_path}/days")
+    found = features.loyalty_features(base, spark.read.parquet(f"{tmp_path}/days"), CFG)
+    assert str(tmp_path) not in " ".join(found.inputFiles())
+    plain = features.loyalty_features(base, days, CFG, baskets=features.member_baskets(base, days, CFG))
+    assert rows(found, *KEY) == rows(plain, *KEY)
