@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import POS_SCHEMA, day, pos_frame, rows, sale
+from conftest import POS_SCHEMA, SMALL, day, pos_frame, rows, sale
 from pyspark.sql import functions as F
 
 from pricelane import PricingConfig
@@ -145,10 +145,13 @@ def test_few_cases_are_sent_to_the_sales(spark, tmp_path, cfg):
     spark.createDataFrame([case(100), case(110, jan=2)], CASES).write.parquet(f"{tmp_path}/cases")
     pos_frame(spark, _random_sales(3, 200)).write.parquet(f"{tmp_path}/sales")
     cases, lines = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("cases", "sales"))
-    found = sales_in_window(cases, lines, ITEM, -28, -1, cfg, "uid")
-    text = found._jdf.queryExecution().optimizedPlan().toString().split("Subquery")[0]
-    last = found._jdf.queryExecution().sparkPlan().toString()
-    assert "SortMergeJoin" not in last and "BroadcastHashJoin" in last, text
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        last = sales_in_window(cases, lines, ITEM, -28, -1, cfg, "uid")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in last and "BroadcastHashJoin" in last
 
 
 def test_split_keys_with_nulls_and_other_types(spark):
@@ -157,3 +160,9 @@ def test_split_keys_with_nulls_and_other_types(spark):
     cases = spark.createDataFrame([case(100), (1, "lv4", "milk", None, 1.0, 2.0, day(100))],
                                   CASES).withColumn("jan", F.col("jan").cast("int"))
     assert [sales_in_window(cases, lines, ITEM, -28, -1, cfg, "uid").count() for cfg in (CFG, SPLIT)] == [100, 100]
+
+
+def test_samples_read_cases_that_were_written(spark):
+    from checks import spark_queries
+    found = spark_queries.sample_customers(spark, SMALL)
+    assert found.inputFiles() and not any("lineitem" in name for name in found.inputFiles())
