@@ -18,6 +18,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Receipt lines that one task adds up.
+LINES_PER_TASK = 100_000
+
+
+def parts(spark: SparkSession, folder: str) -> int:
+    """Into how many parts receipt lines are dealt; the files know their number of lines."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, folder, "lineitem").count() // LINES_PER_TASK))
+
+
 #: Items of the second view: three categories of eight, two groups.
 MANY = 24
 
@@ -119,11 +128,16 @@ def store(spark: SparkSession, folder: str) -> DataFrame:
                                                    F.col("s_suppkey").alias("STORE_CODE"))
 
 
+def _dealt(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame:
+    """Receipt lines by store and member, in parts that a task can gather in memory. What is grouped later by
+    these and other columns stays where it is."""
+    return lines.repartition(parts(spark, folder), "store_cd", "uid")
+
+
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Deterministic probabilities for every member who bought an item."""
     keys = ["store_cd", "lv4_nm", "lv5_nm", "jan", "uid"]
-    bought = (pos(spark, folder)
-              .where("uid IS NOT NULL AND salesamount > 0")
+    bought = (_dealt(spark, folder, pos(spark, folder).where("uid IS NOT NULL AND salesamount > 0"))
               .groupBy(*keys).agg(F.sum("salesamount").alias("sample_amt_jan")))
     wear = 0.01 * (F.col("uid") % 7)
     slope = 0.00025 * ((2 * F.col("jan") + F.col("store_cd")) % 5)
@@ -138,7 +152,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 def predictions_many(spark: SparkSession, folder: str) -> DataFrame:
     """The same for 24 items, of which each two have equal sales and prices and so equal profits."""
     keys = ["store_cd", "lv4_nm", "lv5_nm", "jan", "uid"]
-    bought = (pos(spark, folder, MANY // 2).where("uid IS NOT NULL AND salesamount > 0")
+    bought = (_dealt(spark, folder, pos(spark, folder, MANY // 2).where("uid IS NOT NULL AND salesamount > 0"))
               .groupBy("store_cd", "jan", "uid").agg(F.sum("salesamount").alias("sample_amt_jan"))
               .withColumn("half", F.col("jan"))
               .withColumn("jan", F.explode(F.array(F.col("half"), F.col("half") + MANY // 2)))

@@ -6,7 +6,8 @@ import pytest
 from conftest import SMALL
 
 from checks import spark_queries, views
-from pricelane.operators import cases, clean, features, sampling
+from checks.views import PREDICTION_KEYS
+from pricelane.operators import cases, clean, features, probability, sampling
 from pricelane.sources.pos import scan_pos
 from pricelane.sources.tables import Workspace
 
@@ -140,3 +141,26 @@ def test_clustered_days_are_not_shuffled(spark, stored):
                 sorted(map(str, plain.select(*sorted(plain.columns)).collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def dealt(df):
+    """Numbers of parts that rows are dealt into by a stated number, in the plan that ran."""
+    df.collect()
+    return [int(n) for n in re.findall(r"hashpartitioning\([^\n]*, (\d+)\), REPARTITION_BY_NUM", final_plan(df))]
+
+
+def final_plan(df):
+    return plan(df).split("+- == Initial Plan ==")[0]
+
+
+@pytest.fixture
+def few_rows(monkeypatch):
+    """As if a task could hold few rows."""
+    monkeypatch.setattr(views, "LINES_PER_TASK", 100)
+
+
+def test_grids_are_gathered_where_their_sales_are(spark, few_rows):
+    for view, keys in ((views.predictions, PREDICTION_KEYS), (views.predictions_many, PREDICTION_KEYS)):
+        df = probability.grid_from_long(view(spark, SMALL), keys)
+        assert dealt(df) == [views.parts(spark, SMALL)]
+        assert len(re.findall(r"(?<!Broadcast)Exchange hash", final_plan(df))) == 1
