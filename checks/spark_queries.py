@@ -321,7 +321,7 @@ def target_cases(spark, sf):
 
 def _days(spark, sf, count=5):
     """Customer days, kept because every step reads them."""
-    return _kept(spark, sf, f"days-{count}", lambda: clean.member_days(views.pos(spark, sf, count), CFG))
+    return _kept(spark, sf, f"days-{count}", lambda: clean.member_days(views.pos(spark, sf, count), CFG, parts=views.parts(spark, sf)))
 
 
 def _cases(spark, sf, count=5):
@@ -590,7 +590,7 @@ def _trained(spark, sf) -> pipelines.Training:
     seeded = models.FitOptions({"seed": 1}, {"seed": 1})
     return _once(spark, sf, "trained", lambda: pipelines.train(
         views.pos(spark, sf), views.packs(spark, sf), CFG, options_zero=seeded, options_up=seeded,
-        work=session_workspace(spark)))
+        work=session_workspace(spark), parts=views.parts(spark, sf)))
 
 
 def model_predict(spark, sf):

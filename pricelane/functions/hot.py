@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from pricelane.config import PricingConfig
 
+#: Rows of a kept table that one task sorts or groups.
+ROWS_PER_TASK = 250_000
+
+
+def parts(df: DataFrame) -> int:
+    """Into how many parts `df` is dealt so that a task has at most some `ROWS_PER_TASK` rows.
+
+    Spark merges shuffle partitions, and decides about broadcasts, by compressed sizes, which for customer days
+    and samples are a small part of what they take in memory; a stated number of parts is left alone. `df` is
+    counted, which of a table that was written only reads the footers of its files.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+
 
 def hot_keys(df: DataFrame, keys: list[str], cfg: PricingConfig) -> DataFrame:
     """Keys with more than `hot_share` of the rows and the number of slices each is cut into.
@@ -42,12 +55,13 @@ def join_split(big: DataFrame, small: DataFrame, keys: list[str], by: Column,
 
 
 def sales_in_window(cases: DataFrame, sales: DataFrame, keys: list[str], first: int, last: int,
-                    cfg: PricingConfig, by: str | None = None) -> DataFrame:
+                    cfg: PricingConfig, by: str | None = None, parts: int | None = None) -> DataFrame:
     """Rows of `sales` on a day in [astart + first, astart + last] of a case with equal keys.
 
     Time is cut into slots as long as the window: a case reaches at most two slots and a sale lies
     in exactly one, so the slot is part of the equi-join key and only near rows are compared.
-    With `by`, keys with very many sales are spread by that column.
+    With `by`, keys with very many sales are spread by that column. With `parts` both sides are dealt into so
+    many parts by key and slot and neither is broadcast: for cases that grow with the sales.
     """
     width = last - first + 1
 
@@ -59,7 +73,9 @@ def sales_in_window(cases: DataFrame, sales: DataFrame, keys: list[str], first:
     left = cases.withColumn("_slot", F.explode(slots))
     right = sales.withColumn("_slot", slot(F.col("salesday")))
     keyed = [*keys, "_slot"]
-    if by is None:
+    if parts is not None:
+        joined = left.repartition(parts, *keyed).hint("merge").join(right.repartition(parts, *keyed), keyed)
+    elif by is None:
         joined = left.join(right, keyed)
     else:
         joined = join_split(right, left, keyed, F.col(by), cfg)

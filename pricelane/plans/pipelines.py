@@ -35,14 +35,14 @@ class Training:
 
 
 def training_days(pos: DataFrame, cases: DataFrame, cfg: PricingConfig, guest_uid=None,
-                  by_store: bool = False) -> DataFrame:
+                  by_store: bool = False, parts: int | None = None) -> DataFrame:
     """The customer days that samples, labels and features of `cases` look at: stores with a case, from
     the feature window of the first change to the label window of the last.
 
     The two days are read from the cases, so they reach the scan as literals and prune its partitions.
     With `by_store` each store has its own first and last change. The days that a store needs are listed
     (at most the days of the history per store) and sales look themselves up in that list, so a fact
-    partitioned by store and day reads only the partitions that are listed.
+    partitioned by store and day reads only the partitions that are listed. `parts`: see member_days.
     """
     before, after = -max(cfg.feature_len, cfg.sample_len), cfg.interval_len + cfg.label_len - 1
     first, last = cases.agg(F.min("astart"), F.max("astart")).first()
@@ -52,9 +52,9 @@ def training_days(pos: DataFrame, cases: DataFrame, cfg: PricingConfig, guest_ui
         near = F.col("salesday").between(day(first, before), day(last, after))
     if not by_store:
         stores = cases.select("store_cd").distinct()
-        return member_days(pos.where(near).join(stores, "store_cd", "left_semi"), cfg, guest_uid)
+        return member_days(pos.where(near).join(stores, "store_cd", "left_semi"), cfg, guest_uid, parts)
     return member_days(pos.where(near).join(store_days(cases, before, after), ["store_cd", "salesday"], "left_semi"),
-                       cfg, guest_uid)
+                       cfg, guest_uid, parts)
 
 
 def store_days(cases: DataFrame, before: int, after: int) -> DataFrame:
@@ -72,7 +72,7 @@ def train(pos: DataFrame, packs: DataFrame, cfg: PricingConfig,
           options_zero: FitOptions = FitOptions(), options_up: FitOptions = FitOptions(),
           model_paths: tuple[str, str] | None = None,
           sample_paths: tuple[str, str] | None = None, guest_uid=None,
-          work: Workspace | None = None, buckets: int | None = None) -> Training:
+          work: Workspace | None = None, buckets: int | None = None, parts: int | None = None) -> Training:
     """Cases, samples, labels, features and both pairs of models (unchanged and raised prices).
 
     Receipt lines are read twice: for the prices on the shelves and for what customers bought around
@@ -80,7 +80,8 @@ def train(pos: DataFrame, packs: DataFrame, cfg: PricingConfig,
     step reads them several times; clear it when the results are no longer needed. When labels and
     features only look at a row's own case, both kinds of cases go through the steps together; otherwise
     each kind on its own. `guest_uid` is the member code of guests, if there is one. With `buckets` the
-    customer days are kept in so many buckets by store and member, which later joins do not shuffle.
+    customer days are kept in so many buckets by store and member, which later joins do not shuffle. With
+    `parts` receipt lines are dealt into so many parts before they are added up (see member_days).
     """
     work = work or Workspace(pos.sparkSession)
     if stores is not None:
@@ -90,7 +91,7 @@ def train(pos: DataFrame, packs: DataFrame, cfg: PricingConfig,
     cases = {kind: work.keep(cases_on_shelves(shelves, kind, cfg), f"cases-{kind}") for kind in ("zero", "up")}
     cases["both"] = cases["zero"].unionByName(cases["up"])
     together = scope == "case" and label_scope == "case"
-    days = training_days(pos, cases["both"], cfg, guest_uid, by_store=together)
+    days = training_days(pos, cases["both"], cfg, guest_uid, by_store=together, parts=parts)
     days = work.keep_clustered(days, "days", ["store_cd", "uid"], buckets) if buckets else work.keep(days, "days")
     samples, features = [], []
     for kind in ("both",) if together else ("zero", "up"):
@@ -125,7 +126,8 @@ def predict_prices(pos: DataFrame, items: DataFrame, dropped: DataFrame, packs:
                    upday: str, zero: RetentionModels, up: RetentionModels, cfg: PricingConfig,
                    stores: DataFrame | None = None, scope: str = "case",
                    series: DataFrame | None = None, monotone: bool = False,
-                   hard: bool = False, guest_uid=None, work: Workspace | None = None) -> Recommendation:
+                   hard: bool = False, guest_uid=None, work: Workspace | None = None,
+                   parts: int | None = None) -> Recommendation:
     """Recommended prices per item and per customer for a change on `upday`, in all stores given."""
     work = work or Workspace(pos.sparkSession)
     if stores is not None:
@@ -135,7 +137,7 @@ def predict_prices(pos: DataFrame, items: DataFrame, dropped: DataFrame, packs:
     first = offset_day(upday, -max(cfg.feature_len, cfg.sample_len))
     recent = pos.where(F.col("salesday").between(F.lit(first).cast("date"),
                                                  F.lit(upday).cast("date")))
-    days = work.keep(member_days(recent, cfg, guest_uid), "days")
+    days = work.keep(member_days(recent, cfg, guest_uid, parts), "days")
     base = work.keep(sample_customers(cases, days, cfg), "base")
     features = add_customer_features(base, days, packs, cfg, scope, work)
     return recommend(predict(features, zero, up, cfg, PREDICTION_KEY, hard), items, cfg, series, monotone, work)

@@ -7,6 +7,7 @@ from conftest import SMALL
 
 from checks import spark_queries, views
 from checks.views import PREDICTION_KEYS
+from pricelane.functions import hot
 from pricelane.operators import cases, clean, features, probability, sampling
 from pricelane.sources.pos import scan_pos
 from pricelane.sources.tables import Workspace
@@ -156,9 +157,39 @@ def final_plan(df):
 @pytest.fixture
 def few_rows(monkeypatch):
     """As if a task could hold few rows."""
+    monkeypatch.setattr(hot, "ROWS_PER_TASK", 100)
     monkeypatch.setattr(views, "LINES_PER_TASK", 100)
 
 
+def test_parts_grow_with_the_rows(spark, few_rows):
+    assert [hot.parts(spark.range(n)) for n in (0, 1000, 1001)] == [spark.sparkContext.defaultParallelism, 10, 11]
+
+
+def test_windows_and_baskets_are_not_broadcast(spark, stored, few_rows):
+    """Windows grow with the members, so they meet the days in as many parts as there are rows for."""
+    base, days = stored
+    df = features.member_baskets(base, days, views.CFG)
+    assert "BroadcastHashJoin" not in plan(df)
+    assert dealt(df) and set(dealt(df)) == {hot.parts(days)}
+    with Workspace(spark) as work:
+        baskets = features._kept_baskets(work, df)
+        for found in (features.rfm_features(base, days, views.CFG, baskets=baskets),
+                      features.rfm_level_features(base, days, views.CFG, baskets=baskets),
+                      features.loyalty_features(base, days, views.CFG, baskets=baskets)):
+            joins = [line for line in plan(found).splitlines()
+                     if re.search(r"(Hash|Merge)Join \[[^\]]*uid", line)]
+            assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_days_are_added_up_once(spark):
+    """Dealt lines are added up where they are dealt to: no table per piece of the input, and the same days."""
+    lines = views.pos(spark, SMALL)
+    df, before = clean.member_days(lines, views.CFG, parts=7), clean.member_days(lines, views.CFG)
+    assert dealt(df) == [7] and sorted(df.collect()) == sorted(before.collect())
+    text = final_plan(df)
+    assert text.index("HashAggregate(keys=[store_cd") < text.rindex("HashAggregate(keys=[store_cd") < text.index("REPARTITION_BY_NUM")
+
+
 def test_grids_are_gathered_where_their_sales_are(spark, few_rows):
     for view, keys in ((views.predictions, PREDICTION_KEYS), (views.predictions_many, PREDICTION_KEYS)):
         df = probability.grid_from_long(view(spark, SMALL), keys)
