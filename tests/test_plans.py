@@ -173,9 +173,11 @@ def test_windows_and_baskets_are_not_broadcast(spark, stored, few_rows):
     assert dealt(df) and set(dealt(df)) == {hot.parts(days)}
     with Workspace(spark) as work:
         baskets = features._kept_baskets(work, df)
+        packs = views.packs(spark, SMALL)
         for found in (features.rfm_features(base, days, views.CFG, baskets=baskets),
                       features.rfm_level_features(base, days, views.CFG, baskets=baskets),
-                      features.loyalty_features(base, days, views.CFG, baskets=baskets)):
+                      features.loyalty_features(base, days, views.CFG, baskets=baskets),
+                      features.price_sensitivity_features(base, days, packs, views.CFG, baskets=baskets)):
             joins = [line for line in plan(found).splitlines()
                      if re.search(r"(Hash|Merge)Join \[[^\]]*uid", line)]
             assert joins and all("SortMergeJoin" in line for line in joins)
