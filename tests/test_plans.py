@@ -4,6 +4,7 @@ import re
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from checks import spark_queries, views
 from checks.views import PREDICTION_KEYS
@@ -144,6 +145,33 @@ def test_clustered_days_are_not_shuffled(spark, stored):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_samples_and_features_stay_where_their_members_lie(spark, stored, monkeypatch, most):
+    """Of samples in buckets by store and member nothing but totals and ranks is shuffled, with the same results."""
+    from pricelane.functions import ranks
+
+    monkeypatch.setattr(ranks, "RANKS_IN_MEMORY", most)
+    _, days = stored
+    cut = spark_queries._cases(spark, SMALL)
+    count = lambda df: len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange (hash|range|single)", final_plan(df)))
+    with Workspace(spark) as work:
+        kept = work.keep_clustered(days, "days", ["store_cd", "uid"], 4)
+        sample = sampling.sample_customers(cut, kept, views.CFG, "case", True)
+        plain = sampling.sample_customers(cut, days, views.CFG, "case")
+        text = plan(sample)
+        assert "salesamount" not in " ".join(x for x in text.splitlines() if re.search(r"Exchange (hash|range|single)", x))
+        assert sorted(map(str, sample.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+        base = work.keep_clustered(sample, "base", ["store_cd", "uid"], 4)
+        found = features.add_customer_features(base, kept, views.packs(spark, SMALL), views.CFG, work=work, clustered=4)
+        found.collect()
+        assert most == 0 or count(found) == 0  # before: every level of features shuffled the sample once
+        wanted = features.add_customer_features(work.keep(plain, "base"), days, views.packs(spark, SMALL), views.CFG, work=work)
+        assert sorted(found.dtypes) == sorted(wanted.dtypes) and found.count() == plain.count() > 0
+        doubles = {c: F.round(c, 9) + 0.0 for c, kind in wanted.dtypes if kind == "double"}
+        assert sorted(map(str, found.select(*wanted.columns).withColumns(doubles).collect())) == \
+            sorted(map(str, wanted.withColumns(doubles).collect()))
+
+
 def dealt(df):
     """Numbers of parts that rows are dealt into by a stated number, in the plan that ran."""
     df.collect()
