@@ -263,3 +263,13 @@ def test_both_levels_of_loyalty_read_baskets_that_were_written_once(spark, tmp_p
     assert str(tmp_path) not in " ".join(found.inputFiles())
     plain = features.loyalty_features(base, days, CFG, baskets=features.member_baskets(base, days, CFG))
     assert rows(found, *KEY) == rows(plain, *KEY)
+
+
+@pytest.mark.parametrize("ago, expected", [(64, None), (63, False), (29, False), (28, True), (1, True), (0, None)])
+def test_buyers_who_are_sampled(spark, ago, expected):
+    cfg = PricingConfig()
+    days = member_days(pos_frame(spark, [sale(100 - ago), sale(99, jan=7)]), cfg)
+    told = features.case_buyers(spark.createDataFrame([case(100)], CASES), days, cfg, tell=True)
+    assert [r["sampled"] for r in rows(told)] == ([] if expected is None else [expected])
+    baskets = rows(features.member_baskets(told, days, cfg))
+    assert {r["jan"] for r in baskets} == (set() if expected is None else {1, 7}) and {r["sampled"] for r in baskets} <= {expected}
