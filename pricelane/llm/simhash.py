@@ -185,7 +185,8 @@ def _seats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dealt(seats: DataFrame) -> DataFrame:
     """anchor, i, j, fp, home: the cells in which the seats (anchor, fp, home) of each anchor meet. Anchors
     of up to BLOCK rows are one cell. Else rows at home have blocks of their own, from 0 on, and visitors
-    the blocks after these; a block at home meets itself and every later one."""
+    the blocks after these; a block at home meets itself and every later one. Neither side is broadcast: Spark
+    takes seats to be no more than the fingerprints that they are made of."""
     sizes = seats.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")) \
         .filter("n > 1 AND homes > 0")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -193,7 +194,7 @@ def dealt(seats: DataFrame) -> DataFrame:
     own = F.when(large, blocks(F.col("homes"))).otherwise(1)
     all_ = F.when(large, F.col("own") + blocks(F.col("n") - F.col("homes"))).otherwise(1)
     lot = F.xxhash64("fp")
-    rows = seats.join(sizes, "anchor").withColumn("own", own).withColumn("all", all_)
+    rows = seats.hint("merge").join(sizes, "anchor").withColumn("own", own).withColumn("all", all_)
     rows = rows.withColumn("block", F.when(~large, 0).when(F.col("home"), F.pmod(lot, F.col("own")))
                            .otherwise(F.col("own") + F.pmod(lot, F.col("all") - F.col("own"))).cast("int"))
     met = F.sequence(F.lit(0), F.when(large & F.col("home"), F.col("all")).otherwise(F.col("own")) - 1)
@@ -257,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.select("fp", "id", F.col("fp").alias("root"))
     if not links.isEmpty():
         roots = components(links.distinct()).select(F.col("id").alias("member"), F.col("root").alias("top"))
-        named = classes.join(roots, F.col("fp") == F.col("member"), "left") \
+        named = classes.join(roots.hint("merge"), F.col("fp") == F.col("member"), "left") \
             .select("fp", "id", F.coalesce("top", "fp").alias("root"))
     named = written(named, "named")
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))

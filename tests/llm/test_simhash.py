@@ -178,3 +178,13 @@ def test_groups_of_a_stream():
     found = [g.to_pylist() for g in cells.groups(iter(batches), 2)]
     assert [tuple(row.values()) for g in found for row in g] == values
     assert len(found) == len({v[:2] for v in values}) and all(len({(x["k"], x["l"]) for x in g}) == 1 for g in found)
+
+
+def test_seats_are_not_broadcast(spark, tmp_path):
+    # a file of fingerprints says little about the many seats that are made of them
+    r = random.Random(8)
+    spark.createDataFrame([(r.getrandbits(64) - 2 ** 63,) for _ in range(300)], "fp long").write.parquet(str(tmp_path / "fps"))
+    links = simhash.linked(spark.read.parquet(str(tmp_path / "fps")))
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
