@@ -269,3 +269,17 @@ def test_codes_and_amounts_that_do_not_fit(star):
     large = fact.withColumn("SALES_AMOUNT", F.lit(16_777_217))
     assert {r["salesamount"] for r in rows(scan_pos(large, category, product))} == {16_777_217.0}
     assert {r["salesamount"] for r in rows(scan_pos(large, category, product, single_precision=True))} == {16_777_216.0}
+
+
+def test_tables_are_read_in_parts(spark, tmp_path):
+    parts = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    with tables.Workspace(spark, str(tmp_path)) as work:
+        for pieces in (1, 40):  # one large file, many small ones
+            df = spark.range(20_000).select("id", F.xxhash64("id").alias("other")).repartition(pieces)
+            kept = work.keep_in_parts(df, "rows", 1000)
+            assert sorted(r["id"] for r in kept.collect()) == list(range(20_000)) and kept.dtypes == df.dtypes
+            assert max(parts(kept)) <= 2000 and len(parts(kept)) <= 40
+        assert work.keep_in_parts(df.limit(0), "none", 1000).count() == 0
+    assert not list(tmp_path.glob("pricelane/*/*"))
+    with tables.Workspace(spark, persist=True) as work:
+        assert work.keep_in_parts(df, "rows", 1000).count() == 20_000
