@@ -343,7 +343,7 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, top: int = 50) -> Dat
     group and part, by falling value, then item. Repeated rows count as documents of their own. A language
     that keeps no term has pairs at distance 0; an only source has no pair; an empty table gives no rows.
     """
-    kept = written(kept_counts(docs, min_docs), "kept")
+    kept = written(kept_counts(docs, min_docs), "counts")
     groups = written(sizes(docs, kept), "groups")
     columns = ["lang", "source", "part", "item", "value", "rank"]
     pairs = source_distances(kept, groups).withColumn("part", F.lit("pair")).select(*columns)
